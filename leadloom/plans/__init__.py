@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles")
 
 
 def load():

@@ -220,5 +220,6 @@ def oracle_text(body: str) -> str:
 
 
 def _plain(sql: str) -> str:
-    sql = _NAME.sub(lambda m: m.group(1), _dialect(sql, oracle=True))
+    sql = _NAME.sub(lambda m: m.group(1) if m.group(1) in VIEWS or m.group(1) in TABLES else m.group(0),
+                    _dialect(sql, oracle=True))
     return re.sub(r"\bAS string\)", "AS varchar)", sql)

@@ -120,7 +120,7 @@ def transition_emails(emails: DataFrame, prospects: DataFrame, commands: DataFra
     position, action = F.col("position"), F.col("action")
     leaves = (F.when(action.isin("edit", "reopen"), "in_review").when(action == "reject", "rejected"))
     # an edit also brings new text, given in the command, without the placeholder unless it says so
-    edited = F.when(action == "edit", F.col("new_placeholder"))
+    edited = F.when((action == "edit") & F.col("open"), F.col("new_placeholder"))
     rows = running(rows, ["email_id"], id_block(position), [position], before=True,
                    lasts={"reset_to": leaves, "reset_at": F.when(leaves.isNotNull(), position), "edit_placeholder": edited})
     placeholder = F.coalesce("edit_placeholder", "placeholder")

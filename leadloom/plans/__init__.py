@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying", "outreaching", "lifecycles")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling")
 
 
 def load():

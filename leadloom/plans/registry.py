@@ -18,9 +18,14 @@ class Query:
     oracle: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        for key, value in TABLE_READING.items():
+            spark.conf.set(key, value)
         return self.build(Views(spark, sf_dir))
 
 
+# The tables store UTC wall-clock times without a zone: read them as instants.
+TABLE_READING = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.inferTimestampNTZ.enabled": "false"}
+
 QUERIES: dict[str, Query] = {}
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying")
 
 
 def load():

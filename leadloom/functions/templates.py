@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import let
+
 # Variable syntax, footer separator, honorifics skipped in a greeting, length limits.
 VARIABLE = r"\{\{\s*([a-z][a-z0-9_]*)\s*(?:\|([^{}]*))?\}\}"
 FOOTER_SEPARATOR = "\n\n--\n"
@@ -30,15 +32,19 @@ def strip(text: Column) -> Column:
 
 def search_name(name: Column) -> Column:
     """The name without a branch or place after a dash, bar or bracket (a hyphen only when <= 3 words follow)."""
-    whole = squeeze(F.coalesce(name, F.lit("")))
-    head = whole
-    for mark in (" — ", " – ", " | ", " ("):
-        head = F.substring_index(head, mark, 1)
-    tail = F.substring_index(head, " - ", -1)
-    before = F.left(head, F.length(head) - F.length(tail) - 3)
-    words = F.size(F.filter(F.split(strip(tail), r"(?U)\s+"), lambda w: w != ""))
-    short = F.when(F.contains(head, F.lit(" - ")) & (F.length(before) > 0) & (words <= 3), before).otherwise(head)
-    return F.coalesce(_blank_to_null(F.trim(short)), whole)
+    def without_branch(whole: Column) -> Column:
+        head = whole
+        for mark in (" — ", " – ", " | ", " ("):
+            head = F.substring_index(head, mark, 1)
+        return F.coalesce(_blank_to_null(F.trim(let(head, without_place))), whole)
+
+    def without_place(head: Column) -> Column:
+        tail = F.substring_index(head, " - ", -1)
+        before = F.left(head, F.length(head) - F.length(tail) - 3)
+        words = F.size(F.filter(F.split(strip(tail), r"(?U)\s+"), lambda w: w != ""))
+        return F.when(F.contains(head, F.lit(" - ")) & (F.length(before) > 0) & (words <= 3), before).otherwise(head)
+
+    return let(squeeze(F.coalesce(name, F.lit(""))), without_branch)
 
 
 def clean_job_title(title: Column) -> Column:
@@ -49,7 +55,7 @@ def first_name(given: Column, full: Column) -> Column:
     words = F.filter(F.split(strip(F.replace(F.coalesce(full, F.lit("")), F.lit("."), F.lit(". "))), r"(?U)\s+"),
                      lambda w: (w != "") & ~F.lower(F.rtrim(w, F.lit("."))).isin(*GREETING_TITLES))
     picked = F.when(F.coalesce(given, F.lit("")) != "", strip(given)).otherwise(F.get(words, 0))
-    return F.when(~F.contains(picked, F.lit("@")), picked)
+    return let(picked, lambda p: F.when(~F.contains(p, F.lit("@")), p))
 
 
 def rating(value: Column) -> Column:

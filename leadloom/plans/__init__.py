@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing")
 
 
 def load():

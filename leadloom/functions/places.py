@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import ascii_token, distinctive_tokens, fold_ascii, let, normalize_text, token
+from leadloom.functions.text import ascii_token, distinctive_tokens, fields, fold_ascii, let, normalize_text, token
 
 
 @dataclass(frozen=True)
@@ -112,17 +112,17 @@ def parse_address(address: Column, country: Column | None = None, countries=COUN
         town_first = both & code.rlike(british)
         left = (F.when(more & (alone | (both & ~town_first)), shorter(parts))
                 .when(more & town_first, F.concat(shorter(parts), F.array(name))).otherwise(parts))
-        return F.struct(left.alias("left"), F.when(more & both & ~town_first, name).alias("state"),
-                        F.when(more & alone, end).when(more & both, code).alias("postal_code"))
+        return fields(left=left, state=F.when(more & both & ~town_first, name),
+                      postal_code=F.when(more & alone, end).when(more & both, code))
 
     def placed(r: Column) -> Column:
         end = last(r["left"])
         city = F.when((F.size(r["left"]) > 1) & end.rlike(r"\p{L}") & ~end.rlike(r"(?U)\d"), F.left(end, F.lit(120)))
-        return F.struct(city.alias("city"), r["state"].alias("state"), r["postal_code"].alias("postal_code"))
+        return fields(city=city, state=r["state"], postal_code=r["postal_code"])
 
     parts = F.filter(F.transform(F.split(F.coalesce(normalize_text(address), F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     rest = let(parts, without_country)
-    return let(let(let(rest, lambda p: F.struct(p.alias("parts"), last(p).alias("end"))), read), placed)
+    return let(let(let(rest, lambda p: fields(parts=p, end=last(p))), read), placed)
 
 
 def parse_review_count(*texts: Column) -> Column:
@@ -152,8 +152,8 @@ def context_tokens(location: Column, domains: Column) -> Column:
 def mentions_business(text: Column, name: Column, context: Column, phone: Column) -> Column:
     """Whether a text is about this business: its phone, its distinctive words, or (for a generic
     name) the whole name together with its place or domain."""
-    folded = F.struct(token(fold_ascii(text)).alias("haystack"), ascii_token(name).alias("name"), distinctive_tokens(name).alias("own"),
-                      F.regexp_replace(text, r"(?U)\D", "").alias("digits"), context.alias("context"), phone.alias("phone"))
+    folded = fields(haystack=token(fold_ascii(text)), name=ascii_token(name), own=distinctive_tokens(name),
+                    digits=F.regexp_replace(text, r"(?U)\D", ""), context=context, phone=phone)
 
     def test(t: Column) -> Column:
         hits = F.size(F.filter(t["own"], lambda w: F.contains(t["haystack"], w)))

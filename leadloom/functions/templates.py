@@ -218,7 +218,7 @@ def clean_list(items: Column, text: bool = True, keep: int = 50) -> Column:
     if text:
         items = F.transform(items, lambda x: F.left(squeeze(x), F.lit(200)))
         items = F.filter(items, lambda x: x.isNotNull() & (x != ""))
-        folded = F.transform(items, F.lower)
+        folded = F.transform(items, lambda x: F.lower(x))
     else:
         items = F.filter(items, lambda x: x.isNotNull())
         folded = items

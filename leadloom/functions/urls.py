@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leadloom.functions.text import FOREIGN, let, normalize_text
+from leadloom.functions.text import FOREIGN, fields, let, normalize_text
 
 # E-mail pattern, tracking parameters, free mail hosts, local parts that name a role.
 EMAIL = r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b"
@@ -101,7 +102,7 @@ def host_of(value: Column) -> Column:
     return let(host, lambda h: F.when(F.contains(h, F.lit(".")) & ~h.isin(*FREE_EMAIL_DOMAINS), h))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _idna(hosts: pd.Series) -> pd.Series:
     def encode(host):
         try:
@@ -143,7 +144,7 @@ def join_url(base: Column, value: Column) -> Column:
                 .when(query_of(value) != "", F.concat(origin, path_of(base), tail))
                 .otherwise(base))
 
-    return let(F.struct(base.alias("base"), value.alias("value")), joined)
+    return let(fields(base=base, value=value), joined)
 
 
 def _decoded(text: Column) -> Column:
@@ -168,15 +169,15 @@ def normalize_url_idna(value: Column, base: Column | None = None) -> Column:
     url = F.trim(value) if base is None else join_url(base, F.trim(value))
     host = hostname(url)
     converted = _idna(F.when(host.rlike(FOREIGN), host))
-    pair = F.struct(url.alias("url"), converted.alias("host"))
+    pair = fields(url=url, host=converted)
     return let(pair, lambda p: let(F.when(p["host"].isNull(), p["url"]).otherwise(
         F.replace(p["url"], F.regexp_extract(p["url"], _SCHEME + _HOST, 1), p["host"])), _normalize_absolute))
 
 
 def _own_query(query: Column) -> Column:
     """The query's pairs without tracking parameters, sorted and encoded again."""
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
-        _decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: fields(
+        k=_decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)), v=_decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1))))
     own = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS) & ~F.lower(p["k"]).startswith("utm_"))
     return F.array_join(F.transform(F.array_sort(own), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
@@ -193,8 +194,8 @@ def _normalize_absolute(url: Column) -> Column:
         return F.when(good, F.concat(scheme, F.lit("://"), shown, _shown_port(scheme, port), path, _with_query(parts["query"])))
 
     query = let(query_of(url), lambda q: F.when(q == "", q).otherwise(_own_query(q)))
-    return let(F.struct(scheme_of(url).alias("scheme"), netloc_of(url).alias("netloc"), hostname(url).alias("host"), port_of(url).alias("port"),
-                        path_of(url).alias("path"), query.alias("query")), rebuilt)
+    return let(fields(scheme=scheme_of(url), netloc=netloc_of(url), host=hostname(url), port=port_of(url), path=path_of(url), query=query),
+               rebuilt)
 
 
 def url_identity(normalized: Column) -> Column:
@@ -221,7 +222,7 @@ def is_same_site(url: Column, home_host: Column) -> Column:
 
 def is_public_url(url: Column) -> Column:
     """http(s), no local name, and a literal address only when it is globally routable (no DNS lookup)."""
-    return let(F.struct(scheme_of(url).alias("scheme"), hostname(url).alias("host")), lambda u: _is_public(u["scheme"], u["host"]))
+    return let(fields(scheme=scheme_of(url), host=hostname(url)), lambda u: _is_public(u["scheme"], u["host"]))
 
 
 def _is_public(scheme: Column, host: Column) -> Column:
@@ -251,7 +252,7 @@ def coordinates_from_url(url: Column) -> Column:
 
 def extract_emails(text: Column) -> Column:
     """Addresses in a text, lower-case, each once, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL)), lambda a: F.lower(a)))
 
 
 def mailto_address(href: Column) -> Column:

@@ -104,7 +104,7 @@ def candidate_addresses(contacts: DataFrame, cap: int = 0) -> DataFrame:
                                                      F.array().cast("array<string>")))
     clean = F.filter(F.transform(entries, lambda e: F.trim(e)), lambda e: e.isNotNull() & F.contains(e, F.lit("@")))
     rows = contacts.select(F.col("id").alias("contact_id"), clean.alias("a"))
-    folded = rows.withColumn("f", F.transform("a", F.lower))
+    folded = rows.withColumn("f", F.transform("a", lambda a: F.lower(a)))
     # an entry stays when nothing equal stands before it
     kept = F.filter("a", lambda a, i: F.array_position(F.col("f"), F.lower(a)) == i + 1)
     kept = F.slice(kept, 1, cap) if cap else kept

@@ -106,7 +106,7 @@ def keep_raw(v):
 @query("parsed_addresses", "X9 X20", """
 SELECT id, CASE k WHEN 0 THEN 'Karachi' WHEN 1 THEN 'Lahore' WHEN 2 THEN 'Austin' WHEN 3 THEN 'London' WHEN 4 THEN 'Islamabad' END AS city,
  CASE k WHEN 1 THEN 'Punjab' WHEN 2 THEN 'TX' END AS state, CASE k WHEN 0 THEN '75300' WHEN 1 THEN '54000' WHEN 2 THEN '78701' WHEN 3 THEN 'SW1A 2AA' END AS postal_code,
- CASE k WHEN 0 THEN 'Karachi' WHEN 1 THEN 'Gulberg III' WHEN 3 THEN 'UK' WHEN 4 THEN 'Islamabad' WHEN 2 THEN 'United States' END AS location
+ CASE k WHEN 0 THEN 'Karachi' WHEN 1 THEN 'Lahore' WHEN 3 THEN 'UK' WHEN 4 THEN 'Islamabad' WHEN 2 THEN 'United States' END AS location
 FROM (SELECT c_custkey AS id, c_custkey % 6 AS k FROM {customer}) x""")
 def parsed_addresses(v):
     kind, key = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")

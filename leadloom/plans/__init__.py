@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing", "texts")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing", "texts", "opening")
 
 
 def load():

@@ -23,7 +23,7 @@ def build_session(app_name: str = "leadloom", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**SETTINGS, **{key.replace("__", "."): value for key, value in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

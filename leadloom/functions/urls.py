@@ -23,6 +23,15 @@ PLACE_ID = r"(ChIJ[A-Za-z0-9_-]{10,})"
 
 _SCHEME = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
 _HOST = r"//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:@\[\]]*)"
+_ALL = (r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?:(//)([^/?#]*@)?(\[[^\]]*\]|[^/?#:@\[\]]*)(?::([^/?#]*))?(?=[/?#]|$))?"
+        r"([^?#]*)(?:\?([^#]*))?(?:#.*)?$")
+_FIELDS = ("scheme", "slashes", "user", "host", "port", "path", "query")
+
+
+def url_parts(url: Column) -> Column:
+    """The parts of a URL in one pass: struct(scheme, slashes, user, host, port, path, query), '' where absent."""
+    joined = F.regexp_replace(url, _ALL, "\u0001".join(f"${i + 1}" for i in range(len(_FIELDS))))
+    return let(F.split(joined, "\u0001"), lambda p: fields(**{n: F.get(p, i) for i, n in enumerate(_FIELDS)}))
 
 
 def scheme_of(url: Column) -> Column:
@@ -126,25 +135,20 @@ def _resolve_dots(path: Column) -> Column:
         return let(F.aggregate(segments, empty, keep), lambda kept: F.concat(
             F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), "/").otherwise("")))
 
-    plain = ~path.rlike(r"/\.{1,2}(/|$)")
-    return F.when(plain, path).otherwise(let(F.split(F.substring(path, 2, 1 << 30), "/"), resolved))
+    dotted = F.contains(path, F.lit("/.")) & path.rlike(r"/\.{1,2}(/|$)")
+    return F.when(dotted, let(F.split(F.substring(path, 2, 1 << 30), "/"), resolved)).otherwise(path)
 
 
-def join_url(base: Column, value: Column) -> Column:
-    """A link as found on a page, made absolute against the page's (absolute) URL."""
-    def joined(pair: Column) -> Column:
-        base, value = pair["base"], pair["value"]
-        origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-        folder = F.regexp_extract(F.concat(path_of(base), F.when(path_of(base) == "", "/").otherwise("")), "(?s)^(.*/)", 1)
-        path, tail = path_of(value), _with_query(query_of(value))
-        return (F.when(scheme_of(value) != "", value)
-                .when(value.startswith("//"), F.concat(F.regexp_extract(base, "^([^/]*)", 1), value))
-                .when(path.startswith("/"), F.concat(origin, let(path, _resolve_dots), tail))
-                .when(path != "", F.concat(origin, let(F.concat(folder, path), _resolve_dots), tail))
-                .when(query_of(value) != "", F.concat(origin, path_of(base), tail))
-                .otherwise(base))
-
-    return let(fields(base=base, value=value), joined)
+def _against(base: Column, link: Column) -> Column:
+    """The parts of a link made absolute against the parts of its page's URL."""
+    bare = link["slashes"] == ""
+    folder = F.when(base["path"] == "", "/").otherwise(F.regexp_extract(base["path"], "(?s)^(.*/)", 1))
+    joined = F.when(link["path"].startswith("/"), link["path"]).otherwise(F.concat(folder, link["path"]))
+    path = F.when(link["path"] != "", let(joined, _resolve_dots)).otherwise(base["path"])
+    query = F.when((link["path"] == "") & (link["query"] == ""), base["query"]).otherwise(link["query"])
+    relative = fields(scheme=base["scheme"], slashes=base["slashes"], user=base["user"], host=base["host"], port=base["port"], path=path, query=query)
+    same_scheme = fields(scheme=base["scheme"], **{n: link[n] for n in _FIELDS[1:]})
+    return F.when(link["scheme"] != "", link).when(~bare, same_scheme).otherwise(relative)
 
 
 def _decoded(text: Column) -> Column:
@@ -155,23 +159,29 @@ def _encoded(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def normalize_url(value: Column, base: Column | None = None) -> Column:
-    """Absolute http(s) URL without www, default port, user info, doubled slashes, fragment and
-    tracking parameters, the query sorted; NULL when it is not a usable web address.
+def normalized(value: Column, base_parts: Column | None = None) -> Column:
+    """struct(url, host, identity) of a web address, absolute against its page; NULL fields when unusable.
 
-    ``value`` may be an array element: only ASCII hosts are accepted then. For a plain column,
-    ``normalize_url_idna`` also converts international hosts.
+    The URL has no www, default port, user info, doubled slashes, fragment or tracking parameters
+    and its query is sorted; the identity is its equality key. ``value`` may be an array element.
+    Only ASCII hosts are accepted here; normalize_url_idna converts international ones.
     """
-    return let(F.trim(value) if base is None else join_url(base, F.trim(value)), _normalize_absolute)
+    own = url_parts(F.trim(value))
+    if base_parts is None:
+        return let(own, _rebuild)
+    return let(let(fields(b=base_parts, v=own), lambda p: _against(p["b"], p["v"])), _rebuild)
+
+
+def normalize_url(value: Column, base: Column | None = None) -> Column:
+    return normalized(value, None if base is None else url_parts(base))["url"]
 
 
-def normalize_url_idna(value: Column, base: Column | None = None) -> Column:
-    url = F.trim(value) if base is None else join_url(base, F.trim(value))
-    host = hostname(url)
-    converted = _idna(F.when(host.rlike(FOREIGN), host))
-    pair = fields(url=url, host=converted)
-    return let(pair, lambda p: let(F.when(p["host"].isNull(), p["url"]).otherwise(
-        F.replace(p["url"], F.regexp_extract(p["url"], _SCHEME + _HOST, 1), p["host"])), _normalize_absolute))
+def normalize_url_idna(value: Column) -> Column:
+    """normalize_url of a plain column, with international host names in their ASCII form."""
+    url = F.trim(value)
+    converted = _idna(F.when(url.rlike(FOREIGN) & hostname(url).rlike(FOREIGN), hostname(url)))
+    return let(fields(url=url, host=converted), lambda p: normalize_url(F.when(p["host"].isNull(), p["url"]).otherwise(
+        F.replace(p["url"], F.regexp_extract(p["url"], _SCHEME + _HOST, 1), p["host"]))))
 
 
 def _own_query(query: Column) -> Column:
@@ -182,20 +192,25 @@ def _own_query(query: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(own), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
-def _normalize_absolute(url: Column) -> Column:
-    def rebuilt(parts: Column) -> Column:
-        scheme, port, host = parts["scheme"], parts["port"], _without_www(F.rtrim(parts["host"], F.lit(".")))
-        shown = F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
-        path = F.regexp_replace(F.when(parts["path"] == "", "/").otherwise(parts["path"]), "/{2,}", "/")
+def _rebuild(parts: Column) -> Column:
+    def shown(p: Column) -> Column:
+        scheme, host, port = p["scheme"], p["host"], p["port"]
         # an ASCII name of labels of 1 to 63 characters, or a bracketed address
-        named = parts["host"].rlike(r"^(?:[^.\x80-\x{10FFFF}]{1,63}\.)*[^.\x80-\x{10FFFF}]{1,63}\.?$") & (host != "")
-        good = scheme.isin("http", "https") & named & ~F.contains(parts["netloc"], F.lit("@")) & _port_ok(port)
-        path = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-        return F.when(good, F.concat(scheme, F.lit("://"), shown, _shown_port(scheme, port), path, _with_query(parts["query"])))
-
-    query = let(query_of(url), lambda q: F.when(q == "", q).otherwise(_own_query(q)))
-    return let(fields(scheme=scheme_of(url), netloc=netloc_of(url), host=hostname(url), port=port_of(url), path=path_of(url), query=query),
-               rebuilt)
+        named = (host != "") & host.rlike(r"^(?:[^.\x80-\x{10FFFF}]{1,63}\.)*[^.\x80-\x{10FFFF}]{1,63}$")
+        good = scheme.isin("http", "https") & named & (p["user"] == "") & _port_ok(port)
+        bracketed = F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+        port_text = F.when(port == "", port).otherwise(_shown_port(scheme, port))
+        query = _with_query(p["query"])
+        same = F.when(port_text.isin(":80", ":443"), "").otherwise(port_text)
+        return fields(url=F.when(good, F.concat(scheme, F.lit("://"), bracketed, port_text, p["path"], query)), host=F.when(good, host),
+                      identity=F.when(good, F.concat_ws(" ", F.concat(host, same), p["path"], p["query"])))
+
+    host = F.rtrim(F.lower(F.translate(parts["host"], "[]", "")), F.lit("."))
+    host = let(host, lambda h: F.when(h.startswith("www."), F.substring(h, 5, 1 << 20)).otherwise(h))
+    single = F.when(F.contains(parts["path"], F.lit("//")), F.regexp_replace(parts["path"], "/{2,}", "/")).otherwise(parts["path"])
+    path = let(F.rtrim(single, F.lit("/")), lambda x: F.when(x == "", "/").otherwise(x))
+    query = F.when(parts["query"] == "", "").otherwise(_own_query(parts["query"]))
+    return let(fields(scheme=F.lower(parts["scheme"]), user=parts["user"], host=host, port=parts["port"], path=path, query=query), shown)
 
 
 def url_identity(normalized: Column) -> Column:

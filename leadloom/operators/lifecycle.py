@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import lookup
 from leadloom.operators.outreach import prospect_ready, ready_prospects
 from leadloom.scale import id_block, running
 from leadloom.schemas import (EDITABLE, NOT_SENT, PIPELINE_STAGES, RESUME_STAGES, SENDING_STAGES, SENT, STOP_STAGES)
@@ -165,10 +166,7 @@ def stage_order(column: Column) -> Column:
 
 
 def stage_label(column: Column) -> Column:
-    label = F.lit(None).cast("string")
-    for value, text in reversed(PIPELINE_STAGES):
-        label = F.when(column == value, text).otherwise(label)
-    return label
+    return lookup(column, dict(PIPELINE_STAGES))
 
 
 def advance_stage(prospects: DataFrame, signals: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ class _Days:
     """Local days in UTC microseconds, per zone and window; looked up once per day."""
 
     def __init__(self):
-        self._zones, self._bounds = {}, {}
+        self._zones, self._bounds, self._recent = {}, {}, {}
 
     def _micros(self, day: dt.date, seconds: int, zone: str) -> int:
         tz = self._zones.setdefault(zone, ZoneInfo(zone))
@@ -152,8 +152,12 @@ class _Days:
         return int(wall.timestamp()) * 1_000_000
 
     def date(self, micros: int, zone: str) -> dt.date:
-        tz = self._zones.setdefault(zone, ZoneInfo(zone))
-        return dt.datetime.fromtimestamp(micros // 1_000_000, tz).date()
+        start, end, day = self._recent.get(zone, (0, 0, None))
+        if not start <= micros < end:  # the last day asked for is usually the one asked for again
+            tz = self._zones.setdefault(zone, ZoneInfo(zone))
+            day = dt.datetime.fromtimestamp(micros // 1_000_000, tz).date()
+            self._recent[zone] = (*self.bounds(day, zone, None), day)
+        return day
 
     def bounds(self, day: dt.date, zone: str, window: tuple[int, int] | None) -> tuple[int, int]:
         key = (day, zone, window)

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import lookup
 from leadloom.scale import id_block, running, top_k
 from leadloom.schemas import CONCLUSIVE
 
@@ -229,9 +230,7 @@ def shortcut_domains(checks: DataFrame, known_catch_all: DataFrame, patterns=())
     inherits = F.col("known") | (F.col("position") > F.col("decided_at"))
     source = F.when(F.col("pattern").isNotNull(), "pattern").when(F.col("known"), "known").when(inherits, "run").otherwise("probe")
     verdict = F.when(F.col("known"), "catch_all").otherwise(F.col("state"))
-    status, note = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for key, (s, text) in SHORTCUTS.items():
-        status, note = F.when(verdict == key, s).otherwise(status), F.when(verdict == key, text).otherwise(note)
+    status, note = lookup(verdict, {k: s for k, (s, _) in SHORTCUTS.items()}), lookup(verdict, {k: t for k, (_, t) in SHORTCUTS.items()})
     note = F.when(F.col("known"), EARLIER_CATCH_ALL).otherwise(note)
     rows = rows.withColumn("source", source)
     own, other = F.col("source") == "probe", F.col("source") == "pattern"

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing", "texts", "opening")
+MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing", "texts",
+           "storing", "opening")
 
 
 def load():

@@ -31,12 +31,7 @@ _LINKS = f"""SELECT page_id, url, i - 1 AS pos, regexp_extract(url, '^([a-z]+):/
 @query("page_links", "X17 J19 O5", f"""
 SELECT page_id, min(pos) AS pos, link AS url FROM ({_LINKS}) l GROUP BY page_id, link""")
 def page_links(v):
-    found = pages.extract_pages(v.pages).select("page_id", F.posexplode("links").alias("n", "link"))
-    # positions among the page's distinct links, back to positions among all its anchors
-    anchors = v.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'))).alias("pos", "href"),
-                             urls.normalize_url_idna(F.col("url")).alias("page_url"))
-    first = anchors.select("page_id", "pos", urls.normalize_url(F.col("href"), F.col("page_url")).alias("url")).groupBy("page_id", "url").agg(F.min("pos").alias("pos"))
-    return found.select("page_id", F.col("link.url").alias("url")).join(first, ["page_id", "url"])
+    return pages.extract_pages(v.pages).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.pos")
 
 
 @query("unvisited_links", "J19 U5", f"""
@@ -47,10 +42,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY pos) AS off
    SELECT 1 FROM f WHERE f.business_id = k.business_id AND f.url = k.url AND f.pos % 100 = 0))
 SELECT business_id, url, pos, offered_rank FROM o WHERE offered_rank <= 50""")
 def unvisited_links(v):
-    anchors = v.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'))).alias("n", "href"),
-                             urls.normalize_url_idna(F.col("url")).alias("page_url"))
-    links = anchors.select((F.col("page_id") % 20).alias("business_id"), (F.col("page_id") * 100 + F.col("n")).alias("pos"),
-                           urls.normalize_url(F.col("href"), F.col("page_url")).alias("url"))
+    links = pages.extract_pages(v.pages).select("page_id", F.explode("links").alias("l")).select(
+        (F.col("page_id") % 20).alias("business_id"), (F.col("page_id") * 100 + F.col("l.pos")).alias("pos"), "l.url")
     return pages.unvisited_links(links, links.where(F.col("pos") % 100 == 0).select("business_id", "url"))
 
 

@@ -30,28 +30,28 @@ _NOTE_A = """CASE k WHEN 1 THEN 'mail server says this mailbox does not exist' W
  WHEN 12 THEN 'Reacher could not verify this address (server unreachable, blocked or greylisted)' END"""
 
 
-def _raw_a(v):
-    """The answers as the provider sends them: one JSON text per address, NULL when it did not answer."""
-    rows = v.sql(_CHECKS)
+def _answers(v):
+    """What the verifier answered per address; NULL when it did not answer."""
     answer = F.struct(
         "is_reachable", F.struct("is_disposable", "is_role_account").alias("misc"),
         F.struct("accepts_mail", F.struct(F.lit(None).cast("string").alias("message")).alias("error")).alias("mx"),
         F.struct("can_connect_smtp", "has_full_inbox", "is_catch_all", (F.col("k") == 0).alias("is_deliverable"), "is_disabled",
                  F.struct(F.col("smtp_error").alias("message")).alias("error")).alias("smtp"),
         F.struct(F.col("valid_syntax").alias("is_valid_syntax")).alias("syntax"))
-    return rows.select("position", "run_id", "address", F.when(F.col("k") != 12, F.to_json(answer)).alias("raw"))
+    return v.sql(_CHECKS).select("position", "run_id", "address", F.when(F.col("k") != 12, answer).alias("response"))
 
 
 def checks(v):
-    parsed = _raw_a(v).withColumn("response", F.from_json("raw", verifier.RESPONSE_A)).drop("raw")
-    return verifier.outcome_a(parsed)
+    return verifier.outcome_a(_answers(v))
 
 
 @query("verdicts", "S5 X21", f"""
 SELECT position, {_STATUS_A} AS status, {_VERDICT_A} AS verdict, {_NOTE_A} AS note, k IN (10, 11, 12) AS retryable,
  CASE WHEN k <> 12 THEN is_role_account END AS is_role_account FROM ({_CHECKS}) c""")
 def verdicts(v):
-    return checks(v).select("position", "status", "verdict", "note", "retryable", "is_role_account")
+    sent = _answers(v).withColumn("raw", F.to_json("response")).drop("response")  # as it arrives: one JSON text per address
+    parsed = sent.withColumn("response", F.from_json("raw", verifier.RESPONSE_A)).drop("raw")
+    return verifier.outcome_a(parsed).select("position", "status", "verdict", "note", "retryable", "is_role_account")
 
 
 @query("verdicts_b", "S6 X22", """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions import urls
-from leadloom.functions.text import fields, squeeze
+from leadloom.functions.text import fields, let, squeeze
 from leadloom.scale import top_k
 
 # Parts of a page that are not its content, and texts nobody sees.
@@ -69,19 +69,26 @@ def _parse(pages: pd.Series) -> pd.DataFrame:
 
 
 def extract_pages(pages: DataFrame, keep_chars: int | None = None) -> DataFrame:
-    """Pages (page_id, url, html) with their links (absolute, each once), e-mail addresses and main text.
+    """Pages (page_id, url, html) with their links (absolute, each once, with the anchor's position), e-mail
+    addresses and main text.
 
     The whole page is read; ``keep_chars`` cuts the stored text to a limit, as a page store may want.
     """
     rows = pages.select(*[c for c in pages.columns if c != "html"], urls.normalize_url_idna(F.col("url")).alias("page_url"),
                         _parse("html").alias("p"))
-    rows = rows.withColumn("home", F.regexp_replace(urls.hostname(F.col("page_url")), r"^www\.", ""))
-    resolved = F.transform("p.links", lambda a: fields(
-        url=urls.normalize_url(a["href"], F.col("page_url")), text=F.coalesce(squeeze(a["text"]), F.lit(""))))
-    keyed = F.transform(F.filter(resolved, lambda a: a["url"].isNotNull()), lambda a: fields(
-        url=a["url"], text=a["text"], same_site=urls.is_same_site(a["url"], F.col("home")), identity=urls.url_identity(a["url"])))
-    rows = rows.withColumn("links", keyed).withColumn("__ids", F.transform("links", lambda a: a["identity"]))
-    first = F.filter("links", lambda a, i: F.array_position(F.col("__ids"), a["identity"]) == i + 1)
+    rows = rows.select("*", urls.url_parts(F.col("page_url")).alias("base"), F.regexp_replace(urls.hostname(F.col("page_url")), r"^www\.", "").alias("home"))
+
+    def link(a: Column, i: Column) -> Column:
+        return let(urls.normalized(a["href"], F.col("base")), lambda n: fields(
+            url=n["url"], text=F.coalesce(squeeze(a["text"]), F.lit("")), identity=n["identity"], pos=i,
+            same_site=(F.col("home") != "") & F.endswith(F.concat(F.lit("."), n["host"]), F.concat(F.lit("."), F.col("home")))))
+
+    def distinct(found: Column) -> Column:
+        return let(F.transform(found, lambda a: a["identity"]), lambda ids: F.filter(
+            found, lambda a, i: F.array_position(ids, a["identity"]) == i + 1))
+
+    usable = F.filter(F.transform("p.links", link), lambda a: a["url"].isNotNull())
+    first = let(usable, distinct)
     mailto = F.filter(F.transform("p.links", lambda a: urls.mailto_address(a["href"])), lambda x: x.isNotNull())
     emails = F.array_sort(F.array_distinct(F.concat(urls.extract_emails(F.col("p.seen")), F.flatten(F.transform(mailto, lambda m: urls.extract_emails(m))),
                                                      urls.extract_emails(F.col("p.content")))))

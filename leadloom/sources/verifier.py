@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import lookup
+
 # The nested response of the address verifier.
 RESPONSE_A = ("struct<is_reachable:string,misc:struct<is_disposable:boolean,is_role_account:boolean>,"
               "mx:struct<accepts_mail:boolean,error:struct<message:string>>,"
@@ -76,10 +78,8 @@ def verdict_a() -> Column:
 
 
 def note_a(verdict: Column) -> Column:
-    note = F.coalesce(F.nullif("smtp_error", F.lit("")), F.lit(NOTE_UNKNOWN_A))
-    for key, text in NOTES_A.items():
-        note = F.when(verdict == key, text).otherwise(note)
-    return F.when(verdict != "deliverable", note)
+    other = F.coalesce(F.nullif("smtp_error", F.lit("")), F.lit(NOTE_UNKNOWN_A))
+    return F.when(verdict != "deliverable", F.coalesce(lookup(verdict, NOTES_A), other))
 
 
 def outcome_a(responses: DataFrame, column: str = "response") -> DataFrame:
@@ -94,16 +94,13 @@ def outcome_b(responses: DataFrame, column: str = "response") -> DataFrame:
     """The second provider's responses as the same outcome columns."""
     data = F.col(column)
     name = data["status"]
-    status, verdict = F.lit("unknown"), F.lit("unknown")
-    for key, (s, v) in STATUS_B.items():
-        status, verdict = F.when(name == key, s).otherwise(status), F.when(name == key, v).otherwise(verdict)
+    status = F.coalesce(lookup(name, {k: s for k, (s, _) in STATUS_B.items()}), F.lit("unknown"))
+    verdict = F.coalesce(lookup(name, {k: v for k, (_, v) in STATUS_B.items()}), F.lit("unknown"))
     verdict = (F.when(name.isNull(), "check_failed")
                .when((name == "invalid") & ~F.coalesce(data["regexp"], F.lit(True)), "invalid_syntax")
                .when((name == "invalid") & ~F.coalesce(data["mx_records"], F.lit(True)), "no_mail_server")
                .when((name == "unknown") & F.coalesce(data["block"], F.lit(False)), "blocked").otherwise(verdict))
-    note = F.lit(None).cast("string")
-    for key, text in NOTES_B.items():
-        note = F.when(F.col("verdict") == key, text).otherwise(note)
+    note = lookup(F.col("verdict"), NOTES_B)
     rows = responses.withColumns({"status": status, "verdict": verdict, "probed_status": F.coalesce(name, F.lit("unknown")),
                                   "is_catch_all": F.coalesce(data["accept_all"], F.lit(False)) | F.coalesce(name == "accept_all", F.lit(False))})
     return rows.withColumns({"note": note, "retryable": F.col("status") == "unknown"}).drop(column)

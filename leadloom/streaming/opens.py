@@ -1,8 +1,8 @@
 """Open tracking: image requests, rate limits and open counts, as streams and as batch twins.
 
 Both limits depend on what was admitted before, so neither is a window function. A limit's state is
-void after a quiet spell of one window, which cuts a key into independent spells. A spell with at
-most ``limit`` rows passes whole; one of up to ARRAY_ROWS rows is folded as an array in the JVM;
+void after a quiet spell of one window, which cuts a key into independent spells. A spell of up to
+ARRAY_ROWS rows is folded as an array in the JVM (one of at most ``limit`` rows passes whole);
 longer ones stream through their task in time order, in batches.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadloom.functions.templates import TOKEN_PATTERN
-from leadloom.functions.text import fields
+from leadloom.functions.text import fields, let
 from leadloom.scale import running, time_block
 
 # The image path with its token, the limits, and how much of a user agent is kept.
@@ -88,43 +88,40 @@ def rate_limit(rows: DataFrame, key: str, limit: int, window_seconds: int, rule:
     spells = running(seen.withColumn("__opens", F.when(opens, F.col("__at"))), [key], block, order, lasts={"__spell": F.col("__opens")})
     sizes = spells.groupBy(key, "__spell").agg(F.count("*").alias("__size"))
     sized = spells.join(sizes, [key, "__spell"])
-    size = F.col("__size")
-    short = sized.where(size <= limit).select(*rows.columns, F.lit(True).alias("admitted"))
-    admitted = _fold_arrays(sized.where((size > limit) & (size <= ARRAY_ROWS)), [key, "__spell"], limit, window_us, rule)
-    kinds = dict(rows.dtypes)
-    long = sized.where(size > ARRAY_ROWS).select(key, "__spell", "__at", "id")
+    bounded = _fold_arrays(sized.where(F.col("__size") <= ARRAY_ROWS), rows.columns, [key, "__spell"], limit, window_us, rule)
+    shape = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    long = sized.where(F.col("__size") > ARRAY_ROWS).select(*rows.columns, "__spell", "__at")
     streamed = (long.repartition(key, "__spell").sortWithinPartitions(key, "__spell", "__at", "id").groupBy(key, "__spell")
-                .applyInPandas(_fold(RULES[rule], limit, window_us), f"id {kinds['id']}, admitted boolean"))
-    admitted = admitted.unionByName(streamed.where("admitted"))
-    judged = sized.where(size > limit).select(*rows.columns).join(admitted, "id", "left")
-    return short.unionByName(judged.withColumn("admitted", F.coalesce("admitted", F.lit(False))))
+                .applyInPandas(_fold(RULES[rule], limit, window_us, rows.columns), f"{shape}, admitted boolean"))
+    return bounded.unionByName(streamed)
 
 
-def _fold_arrays(spells: DataFrame, group: list[str], limit: int, window_us: int, rule: str) -> DataFrame:
-    """(id, admitted) of what a rule admits in bounded spells, without Python."""
+def _fold_arrays(spells: DataFrame, columns: list[str], group: list[str], limit: int, window_us: int, rule: str) -> DataFrame:
+    """The rows of bounded spells with ``admitted``, folded as arrays in the JVM."""
     none = F.lit(None).cast("long")
-    times, ids = F.array().cast("array<bigint>"), F.array().cast(f"array<{dict(spells.dtypes)['id']}>")
+    times, flags = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
 
     def first_hit(acc, r):
         fresh = acc["start"].isNull() | (r["__at"] - acc["start"] >= window_us)
         hits = F.when(fresh, F.lit(1)).otherwise(acc["hits"] + 1)
-        return fields(start=F.when(fresh, r["__at"]).otherwise(acc["start"]), hits=hits,
-                      ids=F.when(hits <= limit, F.concat(acc["ids"], F.array(r["id"]))).otherwise(acc["ids"]))
+        return fields(start=F.when(fresh, r["__at"]).otherwise(acc["start"]), hits=hits, ok=F.concat(acc["ok"], F.array(hits <= limit)))
 
     def trailing(acc, r):
-        recent = F.filter(acc["times"], lambda t: t > r["__at"] - window_us)
-        room = F.size(recent) < limit
-        return fields(times=F.when(room, F.concat(recent, F.array(r["__at"]))).otherwise(recent),
-                      ids=F.when(room, F.concat(acc["ids"], F.array(r["id"]))).otherwise(acc["ids"]))
+        return let(F.filter(acc["times"], lambda t: t > r["__at"] - window_us), lambda recent: fields(
+            times=F.when(F.size(recent) < limit, F.concat(recent, F.array(r["__at"]))).otherwise(recent),
+            ok=F.concat(acc["ok"], F.array(F.size(recent) < limit))))
 
-    start, step = ((fields(start=none, hits=F.lit(0), ids=ids), first_hit) if rule == "first_hit"
-                   else (fields(times=times, ids=ids), trailing))
-    ordered = spells.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__at", "id"))).alias("rows"))
-    taken = F.aggregate("rows", start, step, lambda acc: acc["ids"])
-    return ordered.select(F.explode(taken).alias("id"), F.lit(True).alias("admitted"))
+    start, step = ((fields(start=none, hits=F.lit(0), ok=flags), first_hit) if rule == "first_hit"
+                   else (fields(times=times, ok=flags), trailing))
+    row = F.struct(F.col("__at"), F.col("id"), *[F.col(c) for c in columns if c != "id"])
+    ordered = spells.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    whole = F.transform("rows", lambda r: F.lit(True))
+    ok = F.when(F.size("rows") <= limit, whole).otherwise(F.aggregate("rows", start, step, lambda acc: acc["ok"]))
+    pairs = ordered.select("rows", ok.alias("ok")).select(F.explode(F.arrays_zip("rows", "ok")).alias("z"))
+    return pairs.select(*[F.col(f"z.rows.{c}").alias(c) for c in columns], F.col("z.ok").alias("admitted"))
 
 
-def _fold(rule, limit: int, window_us: int):
+def _fold(rule, limit: int, window_us: int, columns: list[str]):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, last = rule(limit, window_us), None
         for batch in batches:
@@ -132,7 +129,7 @@ def _fold(rule, limit: int, window_us: int):
             if times != sorted(times) or (last is not None and times and times[0] < last):
                 raise ValueError("rows must arrive in time order")
             last = times[-1] if times else last
-            yield pd.DataFrame({"id": batch["id"], "admitted": [state.admit(at) for at in times]})
+            yield batch[columns].assign(admitted=[state.admit(at) for at in times])
 
     return fold
 

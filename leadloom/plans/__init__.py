@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("reporting", "qualifying", "outreaching", "lifecycles", "scheduling", "verifying", "listing", "texts",
-           "storing", "opening")
+           "people", "storing", "opening")
 
 
 def load():

@@ -94,8 +94,8 @@ def can_be_sent(emails: DataFrame, prospects: DataFrame) -> DataFrame:
 def queue_outcome(emails: DataFrame, prospects: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """What queueing each email does: queued (rescheduled first or not), already, or skipped with the reason."""
     active = mailboxes.where("is_active").select(F.col("id").alias("mailbox_id"), F.lit(True).alias("__active"))
-    any_active = mailboxes.agg(F.count_if("is_active").alias("__boxes"))
-    rows = can_be_sent(emails, prospects).join(active, "mailbox_id", "left").join(any_active)
+    boxes = mailboxes.agg(F.count_if("is_active")).scalar()
+    rows = can_be_sent(emails, prospects).join(active, "mailbox_id", "left").withColumn("__boxes", boxes)
     bad_box = F.col("mailbox_id").isNull() | F.col("__active").isNull()
     waiting, queueable = F.col("status").isin("queued", "sending"), F.col("status").isin("approved", "failed")
     why = (F.when(~queueable, F.concat(F.lit("it is "), F.replace(F.col("status"), F.lit("_"), F.lit(" "))))
@@ -303,9 +303,9 @@ def _opening_state(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame
         F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
     near_all = holders.select(F.lit(0).cast("long").alias("mailbox_id"), "scheduled_at").join(every, "mailbox_id").where(
         F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
-    used = zones.select(F.explode("zones").alias("zone")).distinct().agg(F.collect_set("zone").alias("__zones"))
+    used = zones.select(F.explode("zones").alias("zone")).distinct().agg(F.collect_set("zone")).scalar()
     counts = (near.unionByName(near_all).groupBy("mailbox_id", "latest", "scheduled_at").agg(F.count("*").alias("n"))
-              .join(used).withColumn("zone", F.explode("__zones"))
+              .withColumn("zone", F.explode(used))
               .where(local_date(F.col("scheduled_at"), F.col("zone")) == local_date(F.col("latest"), F.col("zone")))
               .groupBy("mailbox_id", "latest", "zone").agg(F.sum("n").alias("n"))
               .groupBy("mailbox_id", "latest").agg(F.collect_list(F.struct("zone", "n")).alias("counts")))

@@ -263,4 +263,4 @@ def verification_summary(outcomes: DataFrame, skipped: DataFrame) -> DataFrame:
     counts = outcomes.agg(
         F.count("*").alias("checked"), *[F.count_if(F.col("status") == s).alias(s) for s in ("deliverable", "undeliverable", "risky", "unknown")],
         F.count_if(F.col("status").isin("risky", "unknown")).alias("needs_review"))
-    return counts.join(skipped.agg(F.count("*").alias("skipped")))
+    return counts.withColumn("skipped", skipped.agg(F.count("*")).scalar())

@@ -36,10 +36,10 @@ def page_links(v):
 
 @query("unvisited_links", "J19 U5", f"""
 WITH f AS (SELECT page_id % 20 AS business_id, page_id * 100 + pos AS pos, link AS url FROM ({_LINKS}) l),
-d AS (SELECT business_id, url, min(pos) AS pos FROM f GROUP BY 1, 2),
+d AS (SELECT business_id, regexp_replace(url, '^[a-z]+://', '') AS identity, arg_min(url, pos) AS url, min(pos) AS pos FROM f GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY pos) AS r FROM d),
 o AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY pos) AS offered_rank FROM k WHERE r <= 200 AND NOT EXISTS (
-   SELECT 1 FROM f WHERE f.business_id = k.business_id AND f.url = k.url AND f.pos % 100 = 0))
+   SELECT 1 FROM f WHERE f.business_id = k.business_id AND regexp_replace(f.url, '^[a-z]+://', '') = k.identity AND f.pos % 100 = 0))
 SELECT business_id, url, pos, offered_rank FROM o WHERE offered_rank <= 50""")
 def unvisited_links(v):
     links = pages.extract_pages(v.pages).select("page_id", F.explode("links").alias("l")).select(

@@ -137,7 +137,7 @@ def cascade_delete(tables: dict[str, DataFrame], parent: str, ids: DataFrame) ->
     for name in [t for t in order if t in tables]:
         df = tables[name]
         if name == parent:
-            df = df.join(gone[parent], "id", "left_anti")
+            df = df.join(gone[parent], "id", "left_anti").select(*df.columns)
         removed = None
         for column, owner, effect in FOREIGN_KEYS.get(name, []):
             if owner not in gone or column not in df.columns:
@@ -147,7 +147,7 @@ def cascade_delete(tables: dict[str, DataFrame], parent: str, ids: DataFrame) ->
                 if "id" in df.columns:
                     lost = df.join(keys, column, "left_semi").select("id")
                     removed = lost if removed is None else removed.unionByName(lost)
-                df = df.join(keys, column, "left_anti")
+                df = df.join(keys, column, "left_anti").select(*df.columns)
             else:
                 marked = df.join(keys.withColumn("__gone", F.lit(True)), column, "left")
                 df = marked.select(*[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns])

@@ -11,6 +11,7 @@ from leadloom.functions.text import lookup
 from leadloom.operators.outreach import prospect_ready, ready_prospects
 from leadloom.scale import id_block, running
 from leadloom.schemas import (EDITABLE, NOT_SENT, PIPELINE_STAGES, RESUME_STAGES, SENDING_STAGES, SENT, STOP_STAGES)
+from leadloom.session import materialize
 
 STOP_NOTE = "Sequence stopped ("
 
@@ -124,6 +125,7 @@ def transition_emails(emails: DataFrame, prospects: DataFrame, commands: DataFra
     edited = F.when((action == "edit") & F.col("open"), F.col("new_placeholder"))
     rows = running(rows, ["email_id"], id_block(position), [position], before=True,
                    lasts={"reset_to": leaves, "reset_at": F.when(leaves.isNotNull(), position), "edit_placeholder": edited})
+    rows = materialize(rows)  # the second pass reads its input twice
     placeholder = F.coalesce("edit_placeholder", "placeholder")
     passes = (action == "approve") & ~placeholder & F.col("cleared")
     rows = running(rows.withColumn("has_text_left", placeholder), ["email_id"], id_block(position), [position], before=True,
@@ -195,13 +197,15 @@ def move_stage(prospects: DataFrame, moves: DataFrame) -> DataFrame:
     position, stage = F.col("position"), F.col("stage")
     key, block, order = ["prospect_id"], id_block(F.col("position")), [F.col("position")]
     rows = running(rows, key, block, order, before=True, sums={"left_initial": F.when(stage != F.col("initial"), 1).otherwise(0)})
+    rows = materialize(rows)  # every later pass reads its input twice; kept, the work stays linear
     real_stop = stage.isin(*STOP_STAGES) & ((stage != F.col("initial")) | (F.col("left_initial") > 0))
     rows = running(rows, key, block, order, before=True, sums={"stops": real_stop.cast("int")})
+    rows = materialize(rows)
     resumes = stage.isin(*RESUME_STAGES)
     refused = resumes & F.col("do_not_contact") & (F.col("stopped_first") | (F.col("stops") > 0))
     rows = running(rows.withColumn("refused", refused), key, block, order, before=True,
                    lasts={"moved_to": F.when(~F.col("refused"), stage)})
-    rows = rows.withColumn("from_stage", F.coalesce("moved_to", "initial"))
+    rows = materialize(rows.withColumn("from_stage", F.coalesce("moved_to", "initial")))
     stays = stage == F.col("from_stage")
     # the last stop or resume that was not refused decides whether the lead is stopped now
     flips = F.when(~F.col("refused") & ~stays & stage.isin(*STOP_STAGES), True).when(

@@ -231,10 +231,15 @@ def step_outcomes(run_log: DataFrame, steps: list[str]) -> DataFrame:
         "run_id", "position", "step", state.alias("state"), F.coalesce("remaining", F.lit(0)).alias("remaining"))
 
 
-def stacked(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Labelled one-row counts (column n) under each other, in order."""
+def stacked(sources: list[tuple[DataFrame, dict[int, tuple[str, str]]]]) -> DataFrame:
+    """One-row counts as labelled rows: per source its columns as position -> (label, column).
+
+    Each source is read once, however many labels come from it.
+    """
     result = None
-    for position, (label, df) in enumerate(parts):
-        row = df.select(F.lit(position).alias("position"), F.lit(label).alias("label"), F.col("n").cast("long").alias("n"))
-        result = row if result is None else result.unionByName(row)
+    for df, labels in sources:
+        rows = df.select(F.inline(F.array(*[
+            F.struct(F.lit(position).alias("position"), F.lit(label).alias("label"), F.col(column).cast("long").alias("n"))
+            for position, (label, column) in labels.items()])))
+        result = rows if result is None else result.unionByName(rows)
     return result

@@ -266,6 +266,7 @@ def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, sett
     mailbox's latest slot and its count on that day. Rows stream through a task in batches, pools
     run in parallel, and no task ever holds a whole pool.
     """
+    requests = materialize(requests)  # read for its size, its zones, its positions and its rows
     ordered = positions(requests, ["pool"], [F.col("arrival")], [id_block(F.col("arrival"))])
     ordered = ordered.withColumn("chunk", F.floor(F.col("position") / chunk_rows)).select(
         "pool", "position", "chunk", "email_id", F.unix_micros("earliest").alias("earliest_us"), "zone", "window_start",

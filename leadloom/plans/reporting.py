@@ -146,12 +146,10 @@ def funnel(v):
         ("in_review", ["in_review"]), ("approved", ["approved"]), ("queued", ["queued", "sending"]), ("sent", ["sent", "opened"]))])
     count = F.count("*").alias("n")
     return reports.stacked([
-        ("Businesses found", business.select(F.col("found").alias("n"))),
-        ("Websites researched", business.select(F.col("researched").alias("n"))),
-        ("Qualified", business.select(F.col("qualified").alias("n"))), ("Contacts found", v.v_contacts.agg(count)),
-        ("Ready to email", ready_prospects(v.v_prospects, v.v_emails).agg(count)),
-        ("Emails in review", mail.select(F.col("in_review").alias("n"))), ("Approved", mail.select(F.col("approved").alias("n"))),
-        ("Queued", mail.select(F.col("queued").alias("n"))), ("Sent", mail.select(F.col("sent").alias("n")))])
+        (business, {0: ("Businesses found", "found"), 1: ("Websites researched", "researched"), 2: ("Qualified", "qualified")}),
+        (v.v_contacts.agg(count), {3: ("Contacts found", "n")}),
+        (ready_prospects(v.v_prospects, v.v_emails).agg(count), {4: ("Ready to email", "n")}),
+        (mail, {5: ("Emails in review", "in_review"), 6: ("Approved", "approved"), 7: ("Queued", "queued"), 8: ("Sent", "sent")})])
 
 
 @query("stage_counts", "A7 J20", f"""
@@ -303,21 +301,18 @@ def worklist_counts(v):
         F.count_if(qualify.needs_review()).alias("review"), F.count_if(qualify.is_qualified() & open_search).alias("discover"),
         F.count_if(F.col("google_review_count").isNull()).alias("missing"),
         F.count_if(qualify.has_website() & unread).alias("research"), F.count_if(F.col("profile_status") == "failed").alias("failed"))
-    pick = lambda df, c: df.select(F.col(c).alias("n"))
     status = F.col("email_status")
+    unchecked = v.v_contacts.where(status.isNull() | status.isin("unverified", "unknown"))
+    unwritten = ready_prospects(v.v_prospects, v.v_emails).join(v.v_emails.select(F.col("prospect_id").alias("id")), "id", "left_anti")
     return reports.stacked([
-        ("emails waiting for review", pick(mail, "in_review")),
-        ("follow-ups to write", lifecycle.follow_ups_due(v.v_prospects, v.v_emails, v.v_follow_ups).agg(n)),
-        ("businesses to review", pick(firms, "review")), ("approved emails not queued", pick(mail, "approved")),
-        ("emails that failed", pick(mail, "failed")), ("queued emails", pick(mail, "queued")),
-        ("addresses waiting for a score", pick(people, "score")), ("prospects to review", pick(people, "review")),
-        ("ready prospects without email", ready_prospects(v.v_prospects, v.v_emails).join(
-            v.v_emails.select(F.col("prospect_id").alias("id")), "id", "left_anti").agg(n)),
-        ("contacts to verify", v.v_contacts.where(status.isNull() | status.isin("unverified", "unknown")).agg(n)),
-        ("businesses without decision maker", pick(firms, "discover")),
-        ("businesses without review count", pick(firms, "missing")), ("websites to research", pick(firms, "research")),
-        ("failed research", pick(firms, "failed")), ("emails left half-sent", pick(mail, "sending")),
-        ("campaigns", v.v_campaigns.agg(n))])
+        (mail, {0: ("emails waiting for review", "in_review"), 3: ("approved emails not queued", "approved"), 4: ("emails that failed", "failed"),
+                5: ("queued emails", "queued"), 14: ("emails left half-sent", "sending")}),
+        (lifecycle.follow_ups_due(v.v_prospects, v.v_emails, v.v_follow_ups).agg(n), {1: ("follow-ups to write", "n")}),
+        (people, {6: ("addresses waiting for a score", "score"), 7: ("prospects to review", "review")}),
+        (unwritten.agg(n), {8: ("ready prospects without email", "n")}), (unchecked.agg(n), {9: ("contacts to verify", "n")}),
+        (firms, {2: ("businesses to review", "review"), 10: ("businesses without decision maker", "discover"),
+                 11: ("businesses without review count", "missing"), 12: ("websites to research", "research"), 13: ("failed research", "failed")}),
+        (v.v_campaigns.agg(n), {15: ("campaigns", "n")})])
 
 
 @query("step_outcomes", "A21", """

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from leadloom.functions.templates import TOKEN_PATTERN
 from leadloom.functions.text import fields, let
 from leadloom.scale import running, time_block
+from leadloom.session import materialize
 
 # The image path with its token, the limits, and how much of a user agent is kept.
 FOOTER_PATH = r"/footer/([^/]+?)(?:\.(?:png|gif|jpe?g|webp))?/?$"
@@ -84,6 +85,7 @@ def rate_limit(rows: DataFrame, key: str, limit: int, window_seconds: int, rule:
     order = [F.col("__at"), F.col("id")]
     block = time_block(F.col("ts"), BLOCK_SECONDS)
     seen = running(named, [key], block, order, before=True, lasts={"__previous": F.col("__at")})
+    seen = materialize(seen)  # the next pass and the sizes read it again
     opens = F.col("__previous").isNull() | (F.col("__at") - F.col("__previous") >= window_us)
     spells = running(seen.withColumn("__opens", F.when(opens, F.col("__at"))), [key], block, order, lasts={"__spell": F.col("__opens")})
     sizes = spells.groupBy(key, "__spell").agg(F.count("*").alias("__size"))

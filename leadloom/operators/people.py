@@ -194,27 +194,53 @@ def _base(column: str) -> Column:
     return value
 
 
-def _join_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    entries: dict[str, list] = {}  # key -> [name words, name, first position]
+class _Entries:
+    """People of one business in order of arrival, found by the words a variant must share.
+
+    A prefix shares the first two words; otherwise the last words are equal and the shorter name's
+    first word is one of the longer's. Both are look-ups, so a new name is never compared with
+    everyone seen before.
+    """
+
+    def __init__(self):
+        self.keys, self.rows, self.index = {}, [], {}
+
+    def _marks(self, words):
+        marks = {("last", words[-1], w) for w in words} if words else set()
+        return marks | {("first", *words[:2])} if len(words) > 1 else marks
+
+    def _write(self, at: int, words, name: str) -> None:
+        self.rows[at][1:3] = [words, name]
+        for mark in self._marks(words):
+            self.index.setdefault(mark, set()).add(at)
 
-    def variant(words):
-        for key, (other, _, _) in entries.items():
-            short, long = sorted((words, other), key=len)
+    def find(self, key: str, words):
+        if key in self.keys:
+            return self.keys[key]
+        near = set().union(*(self.index.get(mark, ()) for mark in self._marks(words)))
+        for at in sorted(near):
+            short, long = sorted((words, self.rows[at][1]), key=len)
             if len(short) >= 2 and (long[: len(short)] == short or (short[-1] == long[-1] and short[0] in long)):
-                return key
+                return at
         return None
 
+    def add(self, key: str, words, name: str, pos) -> list:
+        at = self.find(key, words)
+        if at is None:
+            at = self.keys[key] = len(self.rows)
+            self.rows.append([key, None, "", pos])
+        if len(name) > len(self.rows[at][2]):
+            self._write(at, words, name)
+        return self.rows[at]
+
+
+def _join_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    entries = _Entries()
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            words = list(row.words)
-            key = row.person_key if row.person_key in entries else variant(words)
-            if key is None:
-                key = row.person_key
-                entries[key] = [words, row.name, row.pos]
-            elif len(row.name) > len(entries[key][1]):
-                entries[key][:2] = [words, row.name]
-            out.append((row.business_id, row.person_key, row.name, key, entries[key][2]))
+            entry = entries.add(row.person_key, list(row.words), row.name, row.pos)
+            out.append((row.business_id, row.person_key, row.name, entry[0], entry[3]))
         if out:
             yield pd.DataFrame(out, columns=["business_id", "person_key", "name", "entry", "entry_pos"])
 
@@ -232,6 +258,13 @@ def merge_found_emails(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- addresses
 
 
+def business_domains(businesses: DataFrame, most: int = 2) -> DataFrame:
+    """(business_id, domain_no, domain): the business's domain, website host and hosts of the pages read, each once."""
+    hosts = F.transform(F.concat(F.array("domain", "website_url"), F.coalesce("scraped_urls", F.array().cast("array<string>"))), lambda x: urls.host_of(x))
+    usable = F.slice(F.array_distinct(F.filter(hosts, lambda h: h.isNotNull())), 1, most)
+    return businesses.select(F.col("id").alias("business_id"), F.posexplode(usable).alias("domain_no", "domain"))
+
+
 def generated_addresses(people: DataFrame) -> DataFrame:
     """Local parts a person's name suggests: (person_id, local, label, weight, no, place), best weight per local part.
 

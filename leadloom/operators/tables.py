@@ -160,22 +160,26 @@ def cascade_delete(tables: dict[str, DataFrame], parent: str, ids: DataFrame) ->
 # ---------------------------------------------------------------- constraints and defaults
 
 
-def checks_of(table: str) -> dict[str, Column]:
-    """Row rules of a table: name -> condition of a violation (NULLs pass, as in SQL CHECK)."""
+def checks_of(table: str) -> dict[str, tuple[tuple[str, ...], Column]]:
+    """Row rules of a table: name -> (columns, condition of a violation); NULLs pass, as in SQL CHECK."""
     c = F.col
-    rules = {
-        "campaigns": {"status": ~c("status").isin("pending", "running", "completed", "failed"), "min_score": (c("min_score") > 100) | (c("min_score") < 0)},
-        "email_templates": {"kind": ~c("kind").isin("initial", "follow_up")},
-        "follow_ups": {"sequence": c("sequence") < 1, "days": c("days_after_previous") < 1},
-        "contacts": {"confidence": (c("confidence") < 0) | (c("confidence") > 1)},
-        "emails": {"status": ~c("status").isin(*EMAIL_STATUSES), "open_count": c("open_count") < 0},
-        "businesses": {"name_length": F.length("name") > 255, "rating": (c("google_rating") < 0) | (c("google_rating") > 5)},
-        "prospects": {"email_length": F.length("email") > 320, "email_score": (c("email_score") < 0) | (c("email_score") > 100)},
-    }
     window = (c("send_window_start").isNull() != c("send_window_end").isNull()) | (c("send_window_start") >= c("send_window_end"))
-    if table == "campaigns_with_window":
-        return {**rules["campaigns"], "send_window": window}
-    return rules.get(table, {})
+    return {
+        "campaigns": {
+            "status": (("status",), ~c("status").isin("pending", "running", "completed", "failed")),
+            "lead_source": (("lead_source",), ~c("lead_source").isin("browser", "scraper_api")),
+            "min_score": (("min_score",), (c("min_score") > 100) | (c("min_score") < 0)),
+            "send_window": (("send_window_start", "send_window_end"), window),
+        },
+        "email_templates": {"kind": (("kind",), ~c("kind").isin("initial", "follow_up")), "subject_length": (("subject",), F.length("subject") > 200)},
+        "follow_ups": {"sequence": (("sequence",), c("sequence") < 1), "days": (("days_after_previous",), c("days_after_previous") < 1)},
+        "contacts": {"confidence": (("confidence",), (c("confidence") < 0) | (c("confidence") > 1))},
+        "emails": {"status": (("status",), ~c("status").isin(*EMAIL_STATUSES)), "open_count": (("open_count",), c("open_count") < 0)},
+        "businesses": {"name_length": (("name",), F.length("name") > 255),
+                       "rating": (("google_rating",), (c("google_rating") < 0) | (c("google_rating") > 5))},
+        "prospects": {"email_length": (("email",), F.length("email") > 320),
+                      "email_score": (("email_score",), (c("email_score") < 0) | (c("email_score") > 100))},
+    }.get(table, {})
 
 
 UNIQUE = {"emails": ["prospect_id", "sequence_step"], "prospects": ["contact_id", "email"], "follow_ups": ["sequence_id", "sequence"],
@@ -184,13 +188,7 @@ UNIQUE = {"emails": ["prospect_id", "sequence_step"], "prospects": ["contact_id"
 
 def check_constraints(df: DataFrame, table: str) -> DataFrame:
     """(table, rule, violations): every row rule in one pass, and the rows beyond the first of a unique key."""
-    usable = {}
-    for name, test in checks_of(table).items():
-        try:
-            df.select(test)
-            usable[name] = test
-        except Exception:  # noqa: BLE001 - a table may lack optional columns
-            continue
+    usable = {name: test for name, (columns, test) in checks_of(table).items() if set(columns) <= set(df.columns)}
     parts = []
     if usable:
         counts = df.agg(*[F.count_if(test).alias(name) for name, test in usable.items()])

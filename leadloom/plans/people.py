@@ -211,6 +211,19 @@ def ranked_domain_people(v):
     return people.rank_domain_people(rows).select("business_id", "place", "email", "job_title", "is_primary")
 
 
+@query("business_domains", "X4 J10", """
+SELECT c_custkey AS business_id, d.no AS domain_no, d.name AS domain FROM {customer}, LATERAL (SELECT * FROM (VALUES
+ (0, CASE c_custkey % 3 WHEN 0 THEN 'b' || c_custkey || '.org' WHEN 1 THEN 'site' || c_custkey || '.org' ELSE 'shop.b' || c_custkey || '.org' END),
+ (1, CASE c_custkey % 3 WHEN 0 THEN 'site' || c_custkey || '.org' WHEN 1 THEN 'shop.b' || c_custkey || '.org' END)) v(no, name)) d WHERE d.name IS NOT NULL""")
+def business_domains(v):
+    kind, key = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    businesses = v.customer.select(
+        F.col("c_custkey").alias("id"), F.when(kind == 0, F.concat(F.lit("www.B"), key, F.lit(".org"))).when(kind == 1, "gmail.com").alias("domain"),
+        F.when(kind < 2, F.concat(F.lit("https://site"), key, F.lit(".org/x"))).alias("website_url"),
+        F.array(F.concat(F.lit("https://shop.b"), key, F.lit(".org/a")), F.concat(F.lit("http://www.shop.b"), key, F.lit(".org/b"))).alias("scraped_urls"))
+    return people.business_domains(businesses)
+
+
 @query("evidence_waterfall", "U2", """
 WITH e AS (SELECT o_custkey AS business_id, o_orderkey AS id, o_orderkey % 3 AS tier, CASE WHEN o_orderkey % 5 = 0 THEN 'target' ELSE 'fallback' END AS kind FROM {orders}),
 s AS (SELECT business_id, min(tier) AS stop FROM e WHERE kind = 'target' GROUP BY 1)

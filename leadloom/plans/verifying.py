@@ -170,10 +170,11 @@ FROM (SELECT * FROM {{v_prospects}} WHERE {_SCORING} AND email_scored_at IS NULL
 JOIN {{v_contacts}} c ON c.id = p.contact_id LEFT JOIN {{v_website_profiles}} w ON w.business_id = p.business_id""")
 def scoring_context(v):
     context = verify.scoring_context(verify.scoring_queue(v.v_prospects), v.v_prospects, v.v_businesses, v.v_website_profiles, v.v_contacts)
-    read = lambda path: F.get_json_object("context", path)
-    return context.select("id", read("$.address").alias("address"), read("$.business.name").alias("business"),
-                          read("$.business.qualification_score").cast("int").alias("score"), read("$.contact.job_title").alias("job_title"),
-                          F.json_array_length(read("$.other_addresses_at_this_business")).alias("others"))
+    shape = ("struct<address:string,business:struct<name:string,qualification_score:int>,contact:struct<job_title:string>,"
+             "other_addresses_at_this_business:array<struct<address:string>>>")
+    read = context.select("id", F.from_json("context", shape).alias("c"))
+    return read.select("id", "c.address", F.col("c.business.name").alias("business"), F.col("c.business.qualification_score").alias("score"),
+                       "c.contact.job_title", F.size("c.other_addresses_at_this_business").alias("others"))
 
 
 @query("score_gate", "M10 X23 X24", """

@@ -23,19 +23,20 @@ SELECT cast(n_nationkey AS bigint) AS id, n_name AS name, 30 + 10 * (n_nationkey
        CASE n_nationkey % 3 WHEN 0 THEN 'Asia/Karachi' WHEN 1 THEN 'Europe/Berlin' ELSE 'America/New_York' END AS send_timezone
 FROM {nation}"""
 
-VIEWS["v_campaign_sequences"] = """
-SELECT cast(n_nationkey AS bigint) AS campaign_id, cast(s.id AS bigint) AS sequence_id
-FROM {nation} JOIN (VALUES (1), (2), (3)) AS s(id)
-  ON (n_nationkey + s.id) % 4 <> 0 AND n_nationkey % 7 <> 6"""
+# three sequences on offer, each campaign uses some of them
+VIEWS["v_campaign_sequences"] = " UNION ALL ".join(f"""
+SELECT cast(n_nationkey AS bigint) AS campaign_id, cast({i} AS bigint) AS sequence_id
+FROM {{nation}} WHERE (n_nationkey + {i}) % 4 <> 0 AND n_nationkey % 7 <> 6""" for i in (1, 2, 3))
 
 VIEWS["v_sequences"] = """
 SELECT cast(id AS bigint) AS id, name, cast(initial_template_id AS bigint) AS initial_template_id
 FROM (VALUES (1, 'Warm', 1), (2, 'Short', 2), (3, 'Bare', NULL)) AS t(id, name, initial_template_id)"""
 
-VIEWS["v_follow_ups"] = """
-SELECT cast(q.id AS bigint) AS sequence_id, t.step AS sequence, t.days AS days_after_previous,
-       CASE WHEN q.id = 2 AND t.step = 3 THEN NULL ELSE cast(10 * q.id + t.step AS bigint) END AS template_id
-FROM (VALUES (1), (2), (3)) AS q(id) JOIN (VALUES (1, 3), (2, 5), (3, 7), (4, 9)) AS t(step, days) ON q.id > 0"""
+_STEPS = ", ".join(f"({q}, {step}, {days}, {'NULL' if (q, step) == (2, 3) else 10 * q + step})"
+                   for q in (1, 2, 3) for step, days in ((1, 3), (2, 5), (3, 7), (4, 9)))
+VIEWS["v_follow_ups"] = f"""
+SELECT cast(q AS bigint) AS sequence_id, step AS sequence, days AS days_after_previous, cast(t AS bigint) AS template_id
+FROM (VALUES {_STEPS}) AS f(q, step, days, t)"""
 
 VIEWS["v_mailboxes"] = """
 SELECT cast(id AS bigint) AS id, id AS priority, id <> 3 AS is_active

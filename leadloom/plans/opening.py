@@ -78,7 +78,7 @@ def open_requests(v):
 
 
 @query("usage_by_day", "T4", """
-SELECT strftime(created_at, '%Y-%m-%d') AS day, action, model, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(credits) AS credits, count(*) AS calls
+SELECT strftime(created_at, '%Y-%m-%d') AS day, action, model, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens, cast(sum(credits) AS decimal(18, 2)) AS credits, count(*) AS calls
 FROM {v_usage} GROUP BY 1, 2, 3""")
 def usage_by_day(v):
     return opens.usage_stream(v.v_usage).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -100,8 +100,8 @@ def pipeline_stats(v):
                                   v.v_emails)
 
 
-_USAGE_SUMS = """sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
- sum(reasoning_tokens) AS reasoning_tokens, sum(credits) AS credits, count(*) AS calls"""
+_USAGE_SUMS = """cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens,
+ cast(sum(reasoning_tokens) AS bigint) AS reasoning_tokens, cast(sum(credits) AS decimal(18, 2)) AS credits, count(*) AS calls"""
 
 
 @query("usage_summary", "A4 S11", f"""
@@ -317,7 +317,7 @@ def worklist_counts(v):
 
 @query("step_outcomes", "A21", """
 WITH log AS (SELECT cast(user_id AS bigint) AS run_id, s.position, s.step,
-    max(CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'partial' ELSE 'ok' END) AS outcome, sum(event_id % 5) AS remaining,
+    max(CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'partial' ELSE 'ok' END) AS outcome, cast(sum(event_id % 5) AS bigint) AS remaining,
     bool_or(event_type = 'error') AS failed
   FROM {events} JOIN (VALUES (0, 'fetch'), (1, 'research'), (2, 'stakeholders'), (3, 'verify'), (4, 'generate'), (5, 'followups')) s(position, step)
     ON s.position = event_id % 6 GROUP BY 1, 2, 3),

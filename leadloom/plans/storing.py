@@ -89,11 +89,11 @@ def _deleted(v):
 
 
 @query("cascade_delete", "S18", """
-SELECT 'businesses' AS name, count(*) AS n, sum(id) AS ids, count(*) AS kept FROM {v_businesses} WHERE id % 5 <> 0
-UNION ALL SELECT 'contacts', count(*), sum(id), count(business_id) FROM {v_contacts} WHERE business_id % 5 <> 0
-UNION ALL SELECT 'prospects', count(*), sum(id), count(business_id) FROM {v_prospects} WHERE business_id % 5 <> 0
-UNION ALL SELECT 'emails', count(*), sum(id), count(business_id) FROM {v_emails_of} WHERE business_id % 5 <> 0
-UNION ALL SELECT 'usage_records', count(*), sum(id), count(CASE WHEN business_id % 5 <> 0 OR business_id NOT IN (SELECT id FROM {v_businesses}) THEN 1 END) FROM {v_usage}""")
+SELECT 'businesses' AS name, count(*) AS n, cast(sum(id) AS bigint) AS ids, count(*) AS kept FROM {v_businesses} WHERE id % 5 <> 0
+UNION ALL SELECT 'contacts', count(*), cast(sum(id) AS bigint), count(business_id) FROM {v_contacts} WHERE business_id % 5 <> 0
+UNION ALL SELECT 'prospects', count(*), cast(sum(id) AS bigint), count(business_id) FROM {v_prospects} WHERE business_id % 5 <> 0
+UNION ALL SELECT 'emails', count(*), cast(sum(id) AS bigint), count(business_id) FROM {v_emails_of} WHERE business_id % 5 <> 0
+UNION ALL SELECT 'usage_records', count(*), cast(sum(id) AS bigint), count(CASE WHEN business_id % 5 <> 0 OR business_id NOT IN (SELECT id FROM {v_businesses}) THEN 1 END) FROM {v_usage}""")
 def cascade_delete(v):
     result = None
     for name, df in _deleted(v).items():
@@ -109,7 +109,7 @@ UNION ALL SELECT 'emails', 'unique prospect_id, sequence_step', count(*) - count
 UNION ALL SELECT 'prospects', 'email_length', count(*) FILTER (length(email) > 320) FROM {v_prospects}
 UNION ALL SELECT 'prospects', 'email_score', count(*) FILTER (email_score < 0 OR email_score > 100) FROM {v_prospects}
 UNION ALL SELECT 'prospects', 'unique contact_id, email', count(*) - count(DISTINCT (contact_id, email)) FROM {v_prospects}
-UNION ALL SELECT 'businesses', 'unique google_place_id', (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {v_listings} WHERE place_id IS NOT NULL GROUP BY place_id) x)
+UNION ALL SELECT 'businesses', 'unique google_place_id', (SELECT cast(sum(n - 1) AS bigint) FROM (SELECT count(*) AS n FROM {v_listings} WHERE place_id IS NOT NULL GROUP BY place_id) x)
 UNION ALL SELECT 'businesses', 'name_length', count(*) FILTER (length(name) > 255) FROM {v_listings}
 UNION ALL SELECT 'follow_ups', 'sequence', count(*) FILTER (sequence < 1) FROM {v_follow_ups}
 UNION ALL SELECT 'follow_ups', 'days', count(*) FILTER (days_after_previous < 1) FROM {v_follow_ups}

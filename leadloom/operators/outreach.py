@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.operators.verify import present
 from leadloom.scale import id_block, positions
 from leadloom.schemas import REFILLABLE
 
@@ -57,7 +58,8 @@ def ready_prospects(prospects: DataFrame, emails: DataFrame) -> DataFrame:
 def with_step_email(prospects: DataFrame, emails: DataFrame, step: int = 1) -> DataFrame:
     """Prospects with their email of one step; those without stay (the condition belongs to the join)."""
     of_step = emails.where(F.col("sequence_step") == step).select(
-        F.col("prospect_id").alias("id"), F.col("id").alias("email_id"), F.col("status").alias("current_email_status"))
+        F.col("prospect_id").alias("id"), F.col("id").alias("email_id"), F.col("status").alias("current_email_status"),
+        *present(emails, {"tracking_token": "tracking_token"}))
     return prospects.join(of_step, "id", "left")
 
 
@@ -72,17 +74,24 @@ def writing_queue(prospects: DataFrame, emails: DataFrame, *, regenerate: bool =
 
 
 def prospect_facts(prospects: DataFrame, businesses: DataFrame, contacts: DataFrame, campaigns: DataFrame,
-                   emails: DataFrame) -> DataFrame:
-    """The wide row templates are filled from."""
-    business = businesses.select(
-        F.col("id").alias("business_id"), F.col("discovery_campaign_id").alias("campaign_id"),
-        F.col("name").alias("business_name"), "category", "city", "website_url", "google_rating", "google_review_count")
-    contact = contacts.select(F.col("id").alias("contact_id"), F.col("name").alias("contact_name"), "job_title")
+                   emails: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """The wide row templates are filled from: the prospect, its business, research, contact, campaign
+    and its first email, under the names templates use (columns a table lacks are left out)."""
+    same = lambda *columns: {c: c for c in columns}
+    business = businesses.select(F.col("id").alias("business_id"), *present(businesses, {
+        "discovery_campaign_id": "campaign_id", "name": "business_name",
+        **same("category", "city", "country", "website_url", "google_rating", "google_review_count")}))
+    contact = contacts.select(F.col("id").alias("contact_id"), *present(contacts, {
+        "name": "contact_name", **same("first_name", "last_name", "job_title", "role_type")}))
+    research = None if profiles is None else profiles.select("business_id", *present(
+        profiles, same("qualification_reasons", "scraped_pages", "extracted")))
     campaign = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
-    return (with_step_email(prospects, emails)
-            .select(F.col("id").alias("prospect_id"), "business_id", "contact_id", "qualification_score",
-                    "email_sequence_id", F.col("email").alias("recipient"), "email_id", "current_email_status")
-            .join(business, "business_id").join(contact, "contact_id").join(campaign, "campaign_id"))
+    own = present(prospects, {"id": "prospect_id", "email": "recipient", **same(
+        "business_id", "contact_id", "qualification_score", "outreach_facts", "research_summary", "email_sequence_id")})
+    rows = with_step_email(prospects, emails)
+    rows = rows.select(*own, *present(rows, same("email_id", "current_email_status", "tracking_token")))
+    rows = rows.join(business, "business_id").join(contact, "contact_id").join(campaign, "campaign_id")
+    return rows if research is None else rows.join(research, "business_id", "left")
 
 
 def balanced_assignment(prospects: DataFrame, new: DataFrame, campaign_sequences: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import names, urls
-from leadloom.functions.text import clean_markdown, fields, fold_ascii, let, token, tokens
+from leadloom.functions.text import clean_markdown, fields, fold_ascii, let, lookup, token, tokens
 from leadloom.scale import top_k
 from leadloom.session import materialize
 from leadloom.sources.people import EXCLUDED_WORDS, FALLBACK_ROLES, TARGET_ROLES, classify_title
@@ -430,9 +430,14 @@ def rank_domain_people(people: DataFrame) -> DataFrame:
     usable = rows.where(F.col("kind") != "generic").unionByName(rows.where(F.col("kind") == "generic").join(personal, "business_id", "left_anti"))
     best = top_k(usable, ["business_id"], [F.asc("role_rank"), F.desc("confidence"), F.asc("pos")], MAX_CONTACTS, "place")
     title = F.coalesce("position", F.col("role.role_name"), F.when(F.col("generic"), "General address"))
+    sources = F.size("source_urls") if "source_urls" in people.columns else F.lit(0)
+    label = lookup(F.col("kind"), {"target": "highest-ranked role found", "fallback": "no target role, best fallback role",
+                                   "other": "no matching role, most senior person", "generic": "no person, a general address"})
+    why = F.concat(F.when(F.col("place") == 1, "Primary").otherwise("Secondary"), F.lit(" contact ("), label, F.lit("): found by Hunter's domain search ("),
+                   F.bround(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% confidence, "), sources.cast("string"), F.lit(" public source(s))."))
     return best.select("business_id", "place", "email", "name", title.alias("job_title"),
                        F.coalesce(F.col("role.role_type"), F.when(F.col("generic"), "generic").otherwise("other")).alias("role_type"),
-                       "confidence", (F.col("place") == 1).alias("is_primary"))
+                       "confidence", (F.col("place") == 1).alias("is_primary"), why.alias("discovery_reasoning"))
 
 
 def waterfall(people: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ SCORABLE_STATUS = ("deliverable", "risky", "unknown")
 SCORABLE_OUTREACH = ("pending", "needs_review")
 
 
+def present(df: DataFrame, names: dict[str, str]) -> list[Column]:
+    """The columns a table has, under their new names."""
+    return [F.col(old).alias(new) for old, new in names.items() if old in df.columns]
+
+
 def domain_of(address: Column) -> Column:
     return F.lower(F.substring_index(address, "@", -1))
 
@@ -112,11 +117,15 @@ def candidate_addresses(contacts: DataFrame, cap: int = 0) -> DataFrame:
     return folded.select("contact_id", F.posexplode(kept).alias("position", "address"))
 
 
-def undecided(candidates: DataFrame, prospects: DataFrame, recheck: bool = False) -> DataFrame:
-    """Candidates whose address has no conclusive result yet, or none but a failed one of the second provider."""
+def undecided(candidates: DataFrame, prospects: DataFrame, recheck: bool = False, paid_provider: str | None = None) -> DataFrame:
+    """Candidates whose address has no conclusive result yet (unknown is checked again). With a paid
+    provider, neither those it answered before, unless that check failed."""
     if recheck:
         return candidates
-    decided = prospects.where(F.col("email_status").isin(*CONCLUSIVE)).select("contact_id", F.col("email").alias("address"))
+    done = F.col("email_status").isin(*CONCLUSIVE)
+    if paid_provider:
+        done = done | ((F.col("email_verification_provider") == paid_provider) & (F.coalesce("verdict", F.lit("")) != "check_failed"))
+    decided = prospects.where(done).select("contact_id", F.col("email").alias("address"))
     return candidates.join(decided, ["contact_id", "address"], "left_anti")
 
 
@@ -146,16 +155,21 @@ def sibling_addresses(prospects: DataFrame, k: int = 12) -> DataFrame:
 
 def scoring_context(queue: DataFrame, prospects: DataFrame, businesses: DataFrame, profiles: DataFrame, contacts: DataFrame) -> DataFrame:
     """(id, context): the document a scorer sees about each address, as JSON."""
-    business = businesses.select(F.col("id").alias("business_id"), F.struct(
-        "name", "category", "city", F.col("website_url").alias("website"), "google_rating", "google_review_count").alias("b"))
-    profile = profiles.select("business_id", F.col("qualification_score").alias("profile_score"))
-    contact = contacts.select(F.col("id").alias("contact_id"), F.struct(
-        "name", "job_title", F.col("email_source").alias("found_by"), F.col("is_primary").alias("is_primary_contact")).alias("contact"))
-    rows = (queue.select("id", "business_id", "contact_id", "email", "email_status", "verdict")
+    business = businesses.select(F.col("id").alias("business_id"), F.struct(*present(businesses, {
+        "name": "name", "category": "category", "city": "city", "country": "country", "website_url": "website", "google_rating": "google_rating",
+        "google_review_count": "google_review_count"})).alias("b"))
+    profile = profiles.select("business_id", F.col("qualification_score").alias("profile_score"),
+                              *present(profiles, {"qualification_reasons": "reasons"}))
+    contact = contacts.select(F.col("id").alias("contact_id"), F.struct(*present(contacts, {
+        "name": "name", "job_title": "job_title", "role_type": "role_type", "email_source": "found_by", "is_primary": "is_primary_contact",
+        "confidence": "confidence", "linkedin_url": "linkedin", "discovery_reasoning": "why_chosen"})).alias("contact"))
+    checked = present(queue, {"email_status": "status", "verdict": "verdict", "verification_note": "note", "email_verification_provider": "provider"})
+    rows = (queue.select("id", "business_id", "contact_id", "email", F.struct(*checked).alias("verification"))
             .join(business, "business_id").join(contact, "contact_id").join(profile, "business_id", "left")
             .join(sibling_addresses(prospects), "id"))
-    document = F.struct(F.col("email").alias("address"), F.struct(F.col("email_status").alias("status"), "verdict").alias("verification"),
-                        "contact", F.struct("b.*", F.col("profile_score").alias("qualification_score")).alias("business"),
+    reasons = [F.col("reasons").alias("qualification_reasons")] if "reasons" in profile.columns else []
+    document = F.struct(F.col("email").alias("address"), "verification", "contact",
+                        F.struct("b.*", F.col("profile_score").alias("qualification_score"), *reasons).alias("business"),
                         F.col("siblings").alias("other_addresses_at_this_business"))
     return rows.select("id", F.to_json(document).alias("context"))
 

@@ -197,7 +197,9 @@ def review_prospects(v):
     return lifecycle.review_prospects(v.v_prospects, v.sql(_REVIEWS))
 
 
-@query("mark_do_not_contact", "M9", "SELECT id, do_not_contact OR id % 10 = 0 AS do_not_contact FROM {v_prospects}")
+@query("mark_do_not_contact", "M9", """
+SELECT p.id, p.do_not_contact OR coalesce(b.review_status, '') = 'rejected' AS do_not_contact FROM {v_prospects} p JOIN {v_businesses} b ON b.id = p.business_id""")
 def mark_do_not_contact(v):
-    ids = v.orders.where(F.col("o_orderkey") % 10 == 0).select(F.col("o_orderkey").alias("prospect_id"))
+    rejected = v.v_businesses.where(F.col("review_status") == "rejected").select(F.col("id").alias("business_id"))
+    ids = v.v_prospects.join(rejected, "business_id", "left_semi").select(F.col("id").alias("prospect_id"))
     return lifecycle.set_do_not_contact(v.v_prospects, ids).select("id", "do_not_contact")

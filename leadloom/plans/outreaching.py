@@ -22,8 +22,8 @@ def ready_prospects(v):
     return outreach.ready_prospects(v.v_prospects, v.v_emails).select("id", "contact_id", "email")
 
 
-# Prospects whose first steps were never written, so that the queue is not empty on the given tables.
-_UNWRITTEN = "SELECT * FROM {v_emails} WHERE prospect_id % 2 = 0"
+# Before anything was sent: only the emails still waiting exist.
+_UNWRITTEN = "SELECT * FROM {v_emails} WHERE sent_at IS NULL"
 
 
 @query("writing_queue", "J4 F22", f"""

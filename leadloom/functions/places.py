@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import ascii_token, distinctive_tokens, fields, fold_ascii, let, normalize_text, token
+from leadloom.functions.text import ascii_token, distinctive_tokens, fields, fold_ascii, let, lookup, normalize_text, token
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,18 @@ UK_POSTCODE = r"[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}"
 NUMERIC_POSTAL = r"\d[\d -]{2,9}"
 
 
+def _codes(countries) -> dict[str, str]:
+    return {name: c.code for c in countries for name in c.names}
+
+
+def _rule(code: Column, countries) -> Column:
+    """The dial rule of a country code: struct(trunk, shortest, longest), NULLs when unknown."""
+    return fields(trunk=lookup(code, {c.code: c.trunk for c in countries}), shortest=lookup(code, {c.code: c.shortest for c in countries}),
+                  longest=lookup(code, {c.code: c.longest for c in countries}))
+
+
 def is_country(name: Column, countries=COUNTRIES) -> Column:
-    return F.lower(F.trim(name)).isin(*[n for c in countries for n in c.names])
+    return F.coalesce(lookup(F.lower(F.trim(name)), _codes(countries)).isNotNull(), F.lit(False))
 
 
 def normalize_phone(value: Column, country: Column | None = None, countries=COUNTRIES) -> Column:
@@ -55,27 +65,29 @@ def normalize_phone(value: Column, country: Column | None = None, countries=COUN
 
 
 def _phone(text: Column, country: Column | None, countries) -> Column:
-    def chosen(digits: Column) -> Column:
-        result = F.when(digits != "", digits)
-        if country is not None:
-            name = F.lower(F.trim(country))
-            for c in countries:
-                national = F.regexp_replace(digits, f"^{c.trunk}", "") if c.trunk else digits
-                fits = F.length(national).between(c.shortest, c.longest)
-                result = F.when(name.isin(*c.names) & fits & ~digits.startswith("00"), F.concat(F.lit("+" + c.code), national)).otherwise(result)
-        return F.when(text.startswith("+"), F.when(digits != "", F.concat(F.lit("+"), digits))).otherwise(result)
+    code = F.lit(None).cast("string") if country is None else lookup(F.lower(F.trim(country)), _codes(countries))
+
+    def chosen(p: Column) -> Column:
+        digits, rule = p["digits"], p["rule"]
+        trunked = (rule["trunk"] != "") & F.startswith(digits, rule["trunk"])
+        national = F.when(trunked, F.substring(digits, 2, 30)).otherwise(digits)
+        fits = F.length(national).between(rule["shortest"], rule["longest"]) & ~digits.startswith("00")
+        local = F.when(F.coalesce(fits, F.lit(False)), F.concat(F.lit("+"), p["code"], national)).otherwise(digits)
+        return F.nullif(F.when(text.startswith("+") & (digits != ""), F.concat(F.lit("+"), digits)).otherwise(local), F.lit(""))
 
-    return let(F.regexp_replace(text, "[^0-9]", ""), chosen)
+    return let(fields(digits=F.regexp_replace(text, "[^0-9]", ""), code=code, rule=_rule(code, countries)), chosen)
 
 
 def normalize_listed_phone(value: Column, country: Column | None = None, countries=COUNTRIES) -> Column:
     """As listings give it: bare digits starting with a country code are international already."""
     def listed(text: Column) -> Column:
-        whole = F.lit(False)
-        for c in countries:
-            rest = F.length(text) - len(c.code)
-            trunked = text.startswith(c.code + c.trunk) if c.trunk else F.lit(False)
-            whole = whole | (text.startswith(c.code) & rest.between(max(c.shortest, 8), c.longest) & ~trunked)
+        def with_code(length: int) -> Column:
+            rest = F.substring(text, length + 1, 30)
+            return let(_rule(F.left(text, F.lit(length)), countries), lambda rule: F.coalesce(
+                F.length(rest).between(F.greatest(rule["shortest"], F.lit(8)), rule["longest"])
+                & ~((rule["trunk"] != "") & F.startswith(rest, rule["trunk"])), F.lit(False)))
+
+        whole = with_code(1) | with_code(2) | with_code(3)
         return F.when(text.rlike("^[1-9][0-9]*$") & whole, F.concat(F.lit("+"), text)).otherwise(_phone(text, country, countries))
 
     return let(normalize_text(value), listed)

@@ -302,8 +302,8 @@ def _opening_state(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame
     # a zone's local day lasts at most 25 hours, so only the last ones before the latest slot can share it
     near = holders.select("mailbox_id", "scheduled_at").join(latest, "mailbox_id").where(
         F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
-    near_all = holders.select(F.lit(0).cast("long").alias("mailbox_id"), "scheduled_at").join(every, "mailbox_id").where(
-        F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
+    near_all = holders.select(F.lit(0).cast("long").alias("mailbox_id"), "scheduled_at").withColumn(
+        "latest", held.agg(F.max("latest")).scalar()).where(F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
     used = zones.select(F.explode("zones").alias("zone")).distinct().agg(F.collect_set("zone")).scalar()
     counts = (near.unionByName(near_all).groupBy("mailbox_id", "latest", "scheduled_at").agg(F.count("*").alias("n"))
               .withColumn("zone", F.explode(used))

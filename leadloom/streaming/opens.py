@@ -25,7 +25,7 @@ from leadloom.session import materialize
 # The image path with its token, the limits, and how much of a user agent is kept.
 FOOTER_PATH = r"/footer/([^/]+?)(?:\.(?:png|gif|jpe?g|webp))?/?$"
 PER_IP, PER_TOKEN, OPENS_PER_EMAIL, WINDOW_SECONDS, MAX_USER_AGENT = 60, 10, 10, 60, 500
-BLOCK_SECONDS = 3600
+BLOCK_SECONDS = 600  # rows of one key in ten minutes fit one task
 ARRAY_ROWS = 512  # the longest spell folded as one array
 
 

@@ -99,10 +99,31 @@ def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[C
                                              for prefix in ("__local_", "__carry_")])
 
 
-def spread_null(key: Column, row_id: Column, ways: int = 4096) -> Column:
-    """A join key whose NULLs are spread over many partitions instead of one.
+HOT_KEYS = 1024  # keys whose summary rows may travel to every task
 
-    The other side must not hold NULL keys; the filler starts with U+0000, which no key does.
+
+def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size: str, how: str = "left",
+                 keep_size: bool = False) -> DataFrame:
+    """Join every row to the one summary row of its key; no key's rows meet in one task.
+
+    Adaptive execution does not split a join against a ``groupBy`` of the same key, because the
+    aggregate hands its partitioning on to the join. So the largest keys by ``size`` (rows per key)
+    are broadcast, at most ``HOT_KEYS`` of them by LIMIT; every other key holds less than one in
+    ``HOT_KEYS`` rows and meets its rows in a shuffled join, in which rows already served are dealt
+    out by a hash of the whole row. NULL keys match NULL keys. ``how`` is left or inner.
     """
-    filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(row_id), F.lit(ways)).cast("string"))
-    return F.coalesce(key, filler)
+    values = [c for c in summary.columns if c not in keys and (keep_size or c != size)]
+    found = F.struct(*[F.col(c) for c in values])
+    hot = summary.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+    hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], found.alias("__hot"))
+    cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.lit(0).alias("__cold_lane"), found.alias("__cold"))
+    same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
+    rows_hash = F.pmod(F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if f.dataType.typeName() != "map"]), F.lit(1 << 20))
+    served = (rows.withColumn("__row_hash", rows_hash.cast("int")).join(F.broadcast(hot), same, "left")
+              .withColumn("__lane", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.col("__row_hash"))))
+    same = [F.col("__lane") == F.col("__cold_lane")] + [F.col(k).eqNullSafe(F.col(f"__cold_{k}")) for k in keys]
+    joined = served.join(cold, same, "left")
+    if how == "inner":
+        joined = joined.where(F.col("__hot").isNotNull() | F.col("__cold").isNotNull())
+    both = F.coalesce(F.col("__hot"), F.col("__cold"))
+    return joined.select(*[F.col(c) for c in rows.columns], *[both[c].alias(c) for c in values])

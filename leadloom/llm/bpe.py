@@ -215,17 +215,21 @@ def join_tree(codec: Codec, leaves: dict[str, tuple[str, np.ndarray]]) -> np.nda
     return nodes[""][1]
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
+           leaf_chars: int | None = LEAF_CHARS) -> DataFrame:
     """Add ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, in binary.
 
     ``tokenizer`` is a path of a tokenizer file that every executor can read. Every row stays, repeated
     rows and rows with NULL ids included; NULL and empty texts get an empty value. All other columns
-    pass through; one named ``out`` is replaced.
+    pass through; one named ``out`` is replaced. Without ``leaf_chars`` every text is encoded where it
+    is, whatever its length, so that partitions and their order stay.
     """
     def whole(texts):
         return [codec(tokenizer).encode([x or "" for x in texts])]
 
     added = [(out, T.BinaryType())]
+    if leaf_chars is None:
+        return map_text(df, text, added, whole)
     is_long = F.coalesce(F.length(text) > leaf_chars, F.lit(False))
     short = map_text(df.where(~is_long), text, added, whole)
     return short.unionByName(_encode_long(df.where(is_long), tokenizer, text, out, leaf_chars).select(*short.columns))

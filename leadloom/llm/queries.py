@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe
-from leadloom.llm.common import table
+from leadloom.llm import bpe, idfiles, warc
+from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,5 +15,29 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec,)}
-ORACLES: dict[str, str] = {}
+
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = idfiles.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    folder = shared_folder(spark, "ids")
+    idfiles.write(bpe.encode(rows, public_tokenizers.path(TOKENIZER), leaf_chars=None), folder, end_id=1)
+    return idfiles.documents(spark, folder)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(('0x' || substr(h, {10 * (i // 8) + 1}, 10))::BIGINT >> {35 - 5 * (i % 8)} & 31 AS INT), 1)"
+                      for i in range(32))
+ORACLE_OP9 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+     f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
+FROM p JOIN f USING (h)"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_id_files, op9_warc)}
+ORACLES: dict[str, str] = {"op9_warc": ORACLE_OP9}

@@ -266,7 +266,7 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
     schema = with_columns(df.drop(row), [(text, T.StringType()), (out, T.BinaryType())])
     final = arrow_schema(schema)
 
-    def assemble(group: pa.Table) -> pa.Table:
+    def assemble(group):
         group = group.sort_by(path)
         paths, pieces = group.column(path).to_pylist(), group.column(piece).to_pylist()
         ids = [np.frombuffer(x, "<u4") for x in group.column(of_piece).to_pylist()]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, idfiles, warc
+from leadloom.llm import bpe, exact_search, hash_forest, idfiles, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +17,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = idfiles.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
     folder = shared_folder(spark, "ids")
@@ -23,6 +28,20 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.documents(spark, folder)
 
 
+def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE_OP5 = """
+WITH c AS (SELECT DISTINCT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x, len(embedding) AS n FROM embeddings),
+     u AS (SELECT vec_id FROM embeddings EXCEPT SELECT vec_id FROM c WHERE x IS NULL OR NOT isfinite(x)),
+     w AS (SELECT vec_id, i, n, cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT) AS x FROM c JOIN u USING (vec_id)),
+     s AS (SELECT q.vec_id AS query_id, d.vec_id, cast(sum(q.x * d.x) AS BIGINT) AS score
+           FROM w AS q JOIN w AS d ON q.i = d.i AND q.n = d.n AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+     r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -39,5 +58,5 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
 FROM p JOIN f USING (h)"""
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_id_files, op9_warc)}
-ORACLES: dict[str, str] = {"op9_warc": ORACLE_OP9}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op5_exact_search, op9_warc)}
+ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op9_warc": ORACLE_OP9}

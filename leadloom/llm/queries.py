@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_search, hash_forest, idfiles, warc
+from leadloom.llm import bpe, exact_search, hash_forest, idfiles, simhash, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +48,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(('0x' || substr(h, {10 * (i // 8) + 1}, 10))::BIGINT >> {35 - 5 * (i % 8)} & 31 AS INT), 1)"
                       for i in range(32))
 ORACLE_OP9 = f"""
@@ -58,5 +62,5 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
 FROM p JOIN f USING (h)"""
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op5_exact_search, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op5_exact_search, op9_warc, op10_simhash)}
 ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op9_warc": ORACLE_OP9}

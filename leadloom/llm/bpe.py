@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from leadloom.llm.common import arrow_schema, map_text, with_columns, worker_state
 
 LEAF_CHARS = 32768
-CACHED_WORDS = 500_000  # of one worker process, about 100 MB
+CACHED_WORDS = 400_000  # of one worker process, about 80 MB
 FIRST_WINDOW = 64
 
 # The letters, digits and spaces below U+0300, of which every character is its own normal form.
@@ -47,6 +48,26 @@ _PLAIN = re.compile(r"[\t-\r -~¡-˿]*")
 _CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
 
 
+class Words(dict):
+    """The ids of every word met, as bytes; a word that is new is merged by the library's model."""
+
+    def __init__(self, model):
+        self.merge = model.tokenize
+        # the byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on
+        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [i for i in range(256) if i not in printing]
+        self.spelling = {i: chr(i) for i in printing} | {i: chr(256 + k) for k, i in enumerate(others)}
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        ids = array("I", [token.id for token in self.merge(spelled)]).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """The tokenizers library with a cache of words. One per worker process."""
 
@@ -58,64 +79,31 @@ class Codec:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        # for words that are split and lower-cased already
-        by_space = {"type": "Sequence", "pretokenizers": [
-            {"type": "WhitespaceSplit"},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-        self.words = Tokenizer.from_str(json.dumps({**described, "normalizer": None, "added_tokens": [],
-                                                    "pre_tokenizer": by_space, "truncation": None, "padding": None}))
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         added = {t["id"]: t["content"] for t in described["added_tokens"]}
         suffix = described["model"].get("end_of_word_suffix") or ""
         size = max(vocabulary.values()) + 1
         self.text = [b""] * size
         self.size = np.zeros(size, np.int64)  # bytes of normalised text that a token stands for
-        self.ends = np.zeros(size, bool)  # the last token of a word
         for token, i in vocabulary.items():
             self.text[i] = token.encode()
-            self.ends[i] = i in added or bool(suffix) and token.endswith(suffix)
-            self.size[i] = len(token.encode()) if i in added else len(token) - len(suffix) * bool(self.ends[i])
+            ends = bool(suffix) and token.endswith(suffix)
+            self.size[i] = len(token.encode()) if i in added else len(token) - len(suffix) * ends
         self.special = sorted(added.values())
         # the fast way holds for this word pattern only; any other vocabulary goes through the library as it is
         split = json.dumps(described.get("pre_tokenizer"))
         self.known = bool(suffix) and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split
-        self.pattern = re.compile(rf"[{_LETTERS}]+|{_CONTRACTIONS}|[{_DIGITS}]|[^\t-\r {_LETTERS}{_DIGITS}]+")
-        self.cache: dict[str, bytes] = {}
+        self.split = re.compile(rf"[{_LETTERS}]+|{_CONTRACTIONS}|[{_DIGITS}]|[^\t-\r {_LETTERS}{_DIGITS}]+").findall
+        self.words = Words(self.whole.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        split, word = self.split, self.words.__getitem__
         plain = [self.known and _PLAIN.fullmatch(x) is not None and not any(s in x for s in self.special) for x in texts]
         others = [x for x, easy in zip(texts, plain) if not easy]
         rest = iter([np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(others, add_special_tokens=False)]
                     if others else [])
-        known = iter(self._encode_plain([x for x, easy in zip(texts, plain) if easy]))
-        return [next(known if easy else rest) for easy in plain]
-
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        split, get = self.pattern.findall, self.cache.get
-        words = [split(x.lower()) for x in texts]
-        found = [list(map(get, x)) for x in words]
-        new = dict.fromkeys(w for x, ids in zip(words, found) for w, i in zip(x, ids) if i is None)
-        new = dict(zip(new, self._encode_words(list(new))))
-        out = [b"".join(ids) if None not in ids else b"".join([new[w] if i is None else i for w, i in zip(x, ids)])
-               for x, ids in zip(words, found)]
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-        self.cache.update((w, i) for w, i in new.items() if len(w) <= 64)
-        return out
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for start in range(0, len(words), 512):
-            some = words[start:start + 512]
-            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a word has no last token; the vocabulary lacks a byte")
-            raw = ids.tobytes()
-            at = [0, *(ends * 4).tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:])]
-        return out
+        return [b"".join(map(word, split(x.lower()))) if easy else next(rest) for x, easy in zip(texts, plain)]
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode([text])[0], "<u4")
@@ -215,21 +203,17 @@ def join_tree(codec: Codec, leaves: dict[str, tuple[str, np.ndarray]]) -> np.nda
     return nodes[""][1]
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
-           leaf_chars: int | None = LEAF_CHARS) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Add ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, in binary.
 
     ``tokenizer`` is a path of a tokenizer file that every executor can read. Every row stays, repeated
-    rows and rows with NULL ids included; NULL and empty texts get an empty value. All other columns
-    pass through; one named ``out`` is replaced. Without ``leaf_chars`` every text is encoded where it
-    is, whatever its length, so that partitions and their order stay.
+    rows included; NULL and empty texts get an empty value. All other columns
+    pass through; one named ``out`` is replaced.
     """
     def whole(texts):
         return [codec(tokenizer).encode([x or "" for x in texts])]
 
     added = [(out, T.BinaryType())]
-    if leaf_chars is None:
-        return map_text(df, text, added, whole)
     is_long = F.coalesce(F.length(text) > leaf_chars, F.lit(False))
     short = map_text(df.where(~is_long), text, added, whole)
     return short.unionByName(_encode_long(df.where(is_long), tokenizer, text, out, leaf_chars).select(*short.columns))

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20  # a segment is closed once it holds as many; one document is never split
-SEGMENTS_PER_FILE = 16
+SEGMENTS_PER_FILE = 8
 PERCENTILE = 98.0
 MAGIC = b"PFOR"
 HEADER = "<4sqqqqqq"
@@ -114,13 +114,14 @@ def segments(content: memoryview):
         at += found.bytes + 1
 
 
-def write(df: DataFrame, folder: str, key: str = "doc_id", ids: str = "ids", end_id: int | None = None,
+def write(df: DataFrame, folder: str, key: str = "doc_id", ids: str = "ids", to_ids=None, end_id: int | None = None,
           percentile: float = PERCENTILE, segment_ids: int = SEGMENT_IDS) -> None:
     """Write the ids of every row to files below ``folder``, in the order in which the partitions hold the rows.
 
     ``df`` is range-partitioned and sorted within partitions already (see ``in_order``). ``key`` is a
-    64-bit integer or NULL, ``ids`` little-endian unsigned 32-bit integers in binary (NULL: none), to
-    which ``end_id`` is appended. Repeated keys stay separate documents.
+    64-bit integer or NULL, ``ids`` little-endian unsigned 32-bit integers in binary (NULL: none), or
+    whatever ``to_ids`` turns into a list of such values, in lists of up to 256; ``end_id`` is appended
+    to each. Repeated keys stay separate documents.
     """
     end = np.array([end_id], "<u4").tobytes() if end_id is not None else b""
 
@@ -128,14 +129,16 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", ids: str = "ids", end
         partition, before = TaskContext.get().partitionId(), 0
         keys, parts, size = [], [], 0
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = (raw.as_buffer() if raw.is_valid else b"", end)
-                keys.append(k)
-                parts.append(b"".join(own))
-                size += len(parts[-1]) // 4
-                if size >= segment_ids:
-                    yield segment(keys, parts, partition, before)
-                    keys, parts, size, before = [], [], 0, before + size
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                values = some.column(1).to_pylist()
+                for k, raw in zip(some.column(0).to_pylist(), to_ids(values) if to_ids else values):
+                    keys.append(k)
+                    parts.append((raw or b"") + end)
+                    size += len(parts[-1]) // 4
+                    if size >= segment_ids:
+                        yield segment(keys, parts, partition, before)
+                        keys, parts, size, before = [], [], 0, before + size
         if keys:
             yield segment(keys, parts, partition, before)
 

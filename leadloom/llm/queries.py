@@ -22,9 +22,9 @@ def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer, folder = public_tokenizers.path(TOKENIZER), shared_folder(spark, "ids")
     rows = idfiles.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    folder = shared_folder(spark, "ids")
-    idfiles.write(bpe.encode(rows, public_tokenizers.path(TOKENIZER), leaf_chars=None), folder, end_id=1)
+    idfiles.write(rows, folder, ids="text", to_ids=lambda texts: bpe.codec(tokenizer).encode([x or "" for x in texts]), end_id=1)
     return idfiles.documents(spark, folder)
 
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_search, hash_forest, idfiles, simhash, warc
-from leadloom.llm.common import shared_folder, table
+from leadloom.llm import bpe, exact_search, hash_forest, idfiles, langid, quality, simhash, toxicity, warc
+from leadloom.llm.common import fold, held_out, shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,11 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.documents(spark, folder)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, fold(F.col("doc_id")) != 0, held_out(F.col("doc_id")))
+
+
 def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -42,6 +47,21 @@ WITH c AS (SELECT DISTINCT vec_id, unnest(range(1, len(embedding) + 1)) AS i, un
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def _scored(docs: DataFrame, operator, labels: DataFrame) -> DataFrame:
+    """The contract of both classifiers: learn outside fold 0, score every document."""
+    model = operator.train(docs, labels, lambda doc_id: fold(doc_id) != 0)
+    rows = operator.score(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= operator.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(table(spark, sf_dir, "documents"), toxicity, table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(table(spark, sf_dir, "documents"), quality, table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -62,5 +82,6 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
 FROM p JOIN f USING (h)"""
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op5_exact_search, op9_warc, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op4_language, op5_exact_search, op7_toxicity, op8_quality, op9_warc,
+                                  op10_simhash)}
 ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op9_warc": ORACLE_OP9}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_search, hash_forest, idfiles, langid, quality, simhash, toxicity, warc
+from leadloom.llm import bpe, exact_search, hash_forest, idfiles, langid, mixing, quality, simhash, toxicity, warc
 from leadloom.llm.common import fold, held_out, shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,47 @@ WITH c AS (SELECT DISTINCT vec_id, unnest(range(1, len(embedding) + 1)) AS i, un
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "tokens_before", "copies")
+
+
+ORACLE_OP6 = """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_tokens FROM documents),
+t AS (SELECT cast(sum(n_tokens) AS DOUBLE) AS total FROM d),
+s AS (SELECT source, sum(n_tokens) AS held, count(*) AS units, sum(n_tokens) / any_value(total) AS share FROM d, t GROUP BY source),
+n AS (SELECT 0.95 * ln(count(*)) AS target FROM s WHERE share > 0),
+flat AS (
+  SELECT 0 AS i, cast(0 AS DOUBLE) AS lo, cast(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN fine THEN mid ELSE lo END, CASE WHEN fine THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2))
+                FROM s WHERE share > 0) >= (SELECT target FROM n) - 1e-12 AS fine FROM flat WHERE i < 36)),
+rare AS (
+  SELECT 0 AS i, cast(0 AS DOUBLE) AS lo, cast(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN fine THEN lo ELSE mid END, CASE WHEN fine THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT max(pow(share, (lo + hi) / 2) / share) / sum(pow(share, (lo + hi) / 2)) FROM s WHERE share > 0) <= 4 + 1e-12 AS fine
+        FROM rare WHERE i < 36)),
+e AS (SELECT round(greatest((SELECT lo FROM flat WHERE i = 36), CASE WHEN (SELECT lo FROM rare WHERE i = 36) = 0 THEN 0 ELSE (SELECT hi FROM rare WHERE i = 36) END), 6) AS tau),
+z AS (SELECT sum(pow(share, tau)) AS norm FROM s, e WHERE share > 0),
+w AS (SELECT source, held, units, cast(ceil(units / 1024) AS BIGINT) AS blocks,
+             CASE WHEN share > 0 THEN round(pow(share, tau) / norm, 9) ELSE 0 END AS weight FROM s, e, z),
+b AS (SELECT *, cast(floor(round(weight * total, 3)) AS BIGINT) AS own FROM w, t),
+r AS (SELECT *, CASE WHEN held > 0 THEN own // held ELSE 0 END AS rounds, CASE WHEN held > 0 THEN own % held ELSE 0 END AS rest FROM b),
+m AS (SELECT d.doc_id, d.source, n_tokens, weight, rounds, rest, md5('6:' || coalesce(d.source, '~') || ':' || coalesce(cast(doc_id AS VARCHAR), '~')) AS mark, blocks
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, cast('0x' || substr(mark, 1, 8) AS BIGINT) % blocks AS block FROM m),
+o AS (SELECT *, md5('6:' || coalesce(source, '~') || ':block:' || block) AS place FROM k),
+p AS (SELECT *, cast(coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY place, block, mark, cast(doc_id AS VARCHAR)
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before FROM o)
+SELECT doc_id, source, cast(n_tokens AS BIGINT) AS n_tokens, weight, tokens_before,
+       cast(rounds + CASE WHEN tokens_before + n_tokens <= rest THEN 1 ELSE 0 END AS INT) AS copies
+FROM p"""
+
+
 def _scored(docs: DataFrame, operator, labels: DataFrame) -> DataFrame:
     """The contract of both classifiers: learn outside fold 0, score every document."""
     model = operator.train(docs, labels, lambda doc_id: fold(doc_id) != 0)
@@ -82,6 +123,6 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
 FROM p JOIN f USING (h)"""
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op4_language, op5_exact_search, op7_toxicity, op8_quality, op9_warc,
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op4_language, op5_exact_search, op6_mixing, op7_toxicity, op8_quality, op9_warc,
                                   op10_simhash)}
-ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op9_warc": ORACLE_OP9}
+ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op6_mixing": ORACLE_OP6, "op9_warc": ORACLE_OP9}

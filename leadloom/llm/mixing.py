@@ -86,8 +86,8 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     sources = materialize(sources.withColumn("share", F.col("held") / F.lit(float(total or 1))))
     exponent = find_exponent(sources, budget / (total or 1), entropy, max_repeats)
     norm = sources.where(F.col("share") > 0).agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0
-    weight = F.when(F.col("share") > 0, F.round(F.pow("share", F.lit(exponent)) / F.lit(norm), 9)).otherwise(0.0)
-    sources = sources.withColumn("weight", weight).withColumn("own", F.floor(F.round(F.col("weight") * F.lit(float(budget)), 3)))
+    weight = F.when(F.col("share") > 0, F.round(F.pow("share", F.lit(exponent)) / F.lit(norm), 12)).otherwise(0.0)
+    sources = sources.withColumn("weight", weight).withColumn("own", F.round(F.col("weight") * F.lit(float(budget))).cast("long"))
     sources = sources.select("__source", "units", "weight", "held", F.ceil(F.col("units") / block_docs).alias("blocks"),
                              F.when(F.col("held") > 0, F.floor(F.col("own") / F.col("held"))).otherwise(0).alias("rounds"), "own")
     sources = sources.withColumn("rest", F.col("own") - F.col("rounds") * F.col("held")).drop("own", "held")

@@ -74,8 +74,8 @@ rare AS (
 e AS (SELECT round(greatest((SELECT lo FROM flat WHERE i = 36), CASE WHEN (SELECT lo FROM rare WHERE i = 36) = 0 THEN 0 ELSE (SELECT hi FROM rare WHERE i = 36) END), 6) AS tau),
 z AS (SELECT sum(pow(share, tau)) AS norm FROM s, e WHERE share > 0),
 w AS (SELECT source, held, units, cast(ceil(units / 1024) AS BIGINT) AS blocks,
-             CASE WHEN share > 0 THEN round(pow(share, tau) / norm, 9) ELSE 0 END AS weight FROM s, e, z),
-b AS (SELECT *, cast(floor(round(weight * total, 3)) AS BIGINT) AS own FROM w, t),
+             CASE WHEN share > 0 THEN round(pow(share, tau) / norm, 12) ELSE 0 END AS weight FROM s, e, z),
+b AS (SELECT *, cast(round(weight * total) AS BIGINT) AS own FROM w, t),
 r AS (SELECT *, CASE WHEN held > 0 THEN own // held ELSE 0 END AS rounds, CASE WHEN held > 0 THEN own % held ELSE 0 END AS rest FROM b),
 m AS (SELECT d.doc_id, d.source, n_tokens, weight, rounds, rest, md5('6:' || coalesce(d.source, '~') || ':' || coalesce(cast(doc_id AS VARCHAR), '~')) AS mark, blocks
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),

@@ -248,7 +248,6 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
     leaves = df.mapInArrow(split, leaf_schema).repartition(row, path)
     leaves = map_text(leaves, piece, [(of_piece, T.BinaryType())], encode_leaves, rows=64)
     schema = with_columns(df.drop(row), [(text, T.StringType()), (out, T.BinaryType())])
-    final = arrow_schema(schema)
 
     def assemble(group):
         group = group.sort_by(path)
@@ -256,8 +255,7 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
         ids = [np.frombuffer(x, "<u4") for x in group.column(of_piece).to_pylist()]
         joined = join_tree(codec(tokenizer), dict(zip(paths, zip(pieces, ids))))
         made = {text.lower(): pa.array(["".join(pieces)], pa.string()), out.lower(): pa.array([joined.astype("<u4").tobytes()], pa.binary())}
-        return pa.table([made.get(f.name.lower()) if f.name.lower() in made else group.column(f.name).slice(0, 1) for f in final],
-                        schema=final)
+        return pa.table({f.name: made.get(f.name.lower()) if f.name.lower() in made else group.column(f.name).slice(0, 1) for f in schema.fields})
 
     return leaves.groupBy(row).applyInArrow(assemble, schema)
 

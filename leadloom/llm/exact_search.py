@@ -3,8 +3,8 @@
 Scores are exact. Products run in double precision while no sum of them can leave 2**53, which real
 embeddings never do; beyond that a tile falls back to Python integers, and a score outside 64 bits is
 held at the border of its range. Vectors that are NULL, empty, or hold NULL or non-finite components
-take no part; vectors of another length than the query's are no candidates of it. Rows that share an
-id are candidates each; the query's own id is none.
+take no part; vectors of another length than the query's are no candidates of it. Rows that repeat id
+and vector are one; rows that share an id only are candidates each, and the query's own id is none.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     rows = tiles.usable(df, vec_id, vector, zero_too=True).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
     counted = rows.select(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-counted[0] // shard_rows)), max(1, -(-counted[1] // block_rows))
-    index, queries = tiles.pack(rows, shards, 1), tiles.pack(rows.where(is_query), blocks, 2)
+    index, queries = tiles.pack(rows, shards, 1), tiles.pack(tiles.asked(rows, is_query), blocks, 2)
 
     def score(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ the 5 nearest is about 0.98 with these settings; where neighbours are near, far
 
 Vectors that are NULL, empty, zero or hold NULL or non-finite components take no part; vectors of
 another length are no candidates. Equal vectors of a shard are compared once, of which the k + 1
-smallest ids can be among the k nearest. Ties go to the smaller id.
+smallest ids can be among the k nearest. Rows that repeat id and vector are one. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -180,6 +180,6 @@ def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
                 yield tiles.output(cell["block"].as_py(), cell["shard"].as_py(), *columns)
 
     forest = tiles.pack(rows, shards, 1).mapInArrow(grow, FOREST)
-    queries = tiles.pack(rows.where(is_query), blocks, 2)
+    queries = tiles.pack(tiles.asked(rows, is_query), blocks, 2)
     lists = tiles.tiles(queries, forest, shards).mapInArrow(score, tiles.LIST.format(score="double"))
     return tiles.ranked(tiles.merge_lists(lists, shards, k, "double"), queries, k)

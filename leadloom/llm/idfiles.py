@@ -82,6 +82,8 @@ class Segment:
     """A segment of a file, of which any range of ids can be read without the rest."""
 
     def __init__(self, data: memoryview):
+        if len(data) < struct.calcsize(HEADER):
+            raise ValueError("a segment is cut short")
         magic, self.bytes, self.partition, self.before, docs, self.ids, blocks = struct.unpack_from(HEADER, data)
         if magic != MAGIC or self.bytes > len(data):
             raise ValueError("not a segment, or cut short")

@@ -142,7 +142,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
                                              names=["lang", "at", "value"])
 
     sums = rows.mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    found = sums.orderBy("lang", "at").limit(dimensions * MOST_LANGUAGES + 1).toPandas()
+    found = sums.limit(dimensions * MOST_LANGUAGES + 1).toPandas().sort_values(["lang", "at"])
     if len(found) > dimensions * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {str(name): part["value"].to_numpy() for name, part in found.groupby("lang", sort=True)}

@@ -29,12 +29,20 @@ def usable(df: DataFrame, vec_id: str, vector: str, zero_too: bool) -> DataFrame
 
 
 def pack(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Rows of (vec_id, v) as one row per shard and dimension, ids ascending; no two dimensions share a matrix."""
+    """Rows of (vec_id, v) as one row per shard and dimension, ids ascending; no two dimensions share a matrix.
+
+    Rows that repeat id and vector, which always meet in one shard, are one row.
+    """
     def build(key, group):
         group = group.sort_by("vec_id")
         values = group.column("v").combine_chunks()
         matrix = (values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)).flatten().to_numpy(zero_copy_only=False)
         ids = group.column("vec_id").to_numpy()
+        matrix = matrix.reshape(len(ids), -1)
+        if (ids[1:] == ids[:-1]).any():
+            first = {(i, v.tobytes()): at for at, (i, v) in reversed(list(enumerate(zip(ids.tolist(), matrix))))}
+            kept = sorted(first.values())
+            ids, matrix = ids[kept], matrix[kept]
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()),
                          "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                          "matrix": pa.array([matrix.astype("<f8").tobytes()], pa.binary())})
@@ -43,6 +51,11 @@ def pack(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     return dealt.groupBy("shard", "dim").applyInArrow(build, PACKED)
 
 
+def asked(rows: DataFrame, is_query) -> DataFrame:
+    """The query rows, one for each id: of different vectors with one id, the smallest."""
+    return rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def tiles(queries: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """Every block of queries beside every shard of its dimension."""
     blocks = queries.select(F.col("shard").alias("block"), "dim", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))

@@ -52,7 +52,7 @@ def cosine(a, b):
 
 
 ODD = [(None, [1.0] * 16), (1000, None), (1001, []), (1050, [float("nan")] * 16), (1002, [1.0] * 15 + [None]), (1003, [float("inf")] * 16),
-       (1100, [0.0] * 16), (1150, [1.0, 2.0]), (1004, [2.0, 1.0]), (1005, [0.5] * 16), (1005, [0.25] * 16), (0, None)]
+       (1100, [0.0] * 16), (1150, [1.0, 2.0]), (1004, [2.0, 1.0]), (1005, [0.5] * 16), (1005, [0.25, -0.5] * 8), (0, None)]
 
 
 @pytest.mark.parametrize("shard_rows", [64, 100_000])

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from leadloom.llm.common import arrow_schema, map_text, with_columns, worker_state
 
 LEAF_CHARS = 32768
-CACHED_WORDS = 400_000  # of one worker process, about 80 MB
+CACHED_WORDS = 250_000  # of one worker process, about 50 MB
 FIRST_WINDOW = 64
 
 # The letters, digits and spaces below U+0300, of which every character is its own normal form.

@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from leadloom.session import ensure_checkpoint_dir
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,19 +30,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 def worker_state(key, build):
     """A value built once in a Python worker process and kept there for its later tasks.
 
-    Functions of this package travel by value, so their module globals live for one task only. The
-    last few values of a kind are kept; ``key`` must name everything the value depends on.
+    Functions of this package travel by value, so their module globals live for one task only. A process
+    keeps one value, the last; ``key`` must name everything the value depends on.
     """
     holder = sys.modules.setdefault("_worker_state_of_tasks", types.ModuleType("_worker_state_of_tasks")).__dict__
-    kind = key[0]
-    kept = holder.setdefault(kind, {})
+    kept = holder.setdefault("kept", {})
     if key not in kept:
-        while len(kept) >= 2:
-            kept.pop(next(iter(kept)))
+        kept.clear()
         kept[key] = build()
     return kept[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts travel to Python at most a thousand at a time; a session that asks for less keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def with_columns(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T.StructType:
     """The schema of ``df`` plus columns; a column of the same name is replaced, as ``withColumn`` does."""
     names = {name.lower() for name, _ in added}
@@ -64,6 +72,7 @@ def map_text(df: DataFrame, text: str, added: list[tuple[str, T.DataType]], per_
     ``per_batch`` gets a list of texts (NULL as None), at most ``rows`` at a time, and returns one
     Arrow array or list for each added column.
     """
+    small_batches(df.sparkSession)
     schema = with_columns(df, added)
     kinds = [(name, to_arrow_type(kind)) for name, kind in added]
 

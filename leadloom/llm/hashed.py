@@ -9,9 +9,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import small_batches
+
 SAMPLE_ROWS = 20_000  # the bound of the learning sample
 SLICES = 4
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 150_000
 
 TOKEN = r"[^\W\d_]+|\d+|[^\w\s]+|_+"
 
@@ -44,6 +46,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learning, rows: int =
     ``learning`` says which ids may be learnt from. A document with several labels counts as 1 if at least half
     of them are. Only ids and labels are ordered, and at most ``rows`` of them are joined to the texts.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learning(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("label"))
     chosen = chosen.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).orderBy("order", "doc_id").limit(rows)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadloom.llm.common import small_batches
+
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20  # a segment is closed once it holds as many; one document is never split
 SEGMENTS_PER_FILE = 8
@@ -149,6 +151,7 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", ids: str = "ids", to_
         raw = pack_segment(keys, [len(x) // 4 for x in parts], joined, partition, before, percentile)
         return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["segment"])
 
+    small_batches(df.sparkSession)
     packed = df.select(F.col(key).cast("long").alias("key"), F.col(ids).alias("ids")).mapInArrow(run, "segment binary")
     # bytes cast to a string stay as they are, and the text sink writes them so
     (packed.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n")

@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import map_text, worker_state
+from leadloom.llm.common import map_text, small_batches, worker_state
 
 DIMENSIONS = 512
 SEED = 41
-BATCH_TEXTS = 256
-BATCH_CHARS = 1 << 21
+BATCH_TEXTS = 192
+BATCH_CHARS = 1 << 19
 MOST_LANGUAGES = 20_000  # prototypes travel to every task, 4 KB each
 UNKNOWN = "und"
 
@@ -34,6 +34,8 @@ class Letters:
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed = dimensions, seed
         self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.seen = np.zeros(0x110000, bool)
+        self.place = np.zeros(0x110000, np.int64)
         self.vectors: dict[int, np.ndarray] = {}
 
     def vector(self, code: int) -> np.ndarray:
@@ -59,18 +61,18 @@ def trigrams(texts: list[str], known: Letters) -> tuple[np.ndarray, np.ndarray,
     codes, text_of = codes[kept], text_of[kept]
     if len(codes) < 3:
         return np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, 3), np.int64)
-    seen = np.zeros(0x110000, np.int64)
-    seen[codes] = 1
-    alphabet = np.flatnonzero(seen)
-    seen[alphabet] = np.arange(len(alphabet))
-    small = seen[codes]
+    known.seen[codes] = True
+    alphabet = np.flatnonzero(known.seen)
+    known.seen[alphabet] = False
+    known.place[alphabet] = np.arange(len(alphabet))
+    small = known.place[codes]
     size = len(alphabet)
     keys = (small[:-2] * size + small[1:-1]) * size + small[2:]
     # a window around a blank between two texts belongs to neither; the blank after a text may stand for the next one's
     middle = codes[1:-1] != 0
     inside = middle | (text_of[:-2] == text_of[2:])
     of, keys = np.where(middle, text_of[1:-1], text_of[:-2])[inside], keys[inside]
-    if size ** 3 <= 1 << 23:
+    if size ** 3 <= 1 << 21:
         present = np.flatnonzero(np.bincount(keys, minlength=size ** 3))
         column = np.empty(size ** 3, np.int64)
         column[present] = np.arange(len(present))
@@ -102,8 +104,9 @@ def bundles(of: np.ndarray, at: np.ndarray, spelled: np.ndarray, n: int, known:
         else:
             rows = order[np.searchsorted(at, start, sorter=order):np.searchsorted(at, stop, sorter=order)]
             here, own = at[rows], of[rows]
-        counts = np.bincount(own * (stop - start) + (here - start), minlength=n * (stop - start)).reshape(n, -1)
-        out += counts.astype(np.float32) @ trigram_vectors(spelled[start:stop], known).astype(np.float32)
+        counts = np.bincount(own * (stop - start) + (here - start), minlength=n * (stop - start)).reshape(n, -1).astype(np.float32)
+        for a in range(0, stop - start, 4096):
+            out += counts[:, a:a + 4096] @ trigram_vectors(spelled[start + a:min(stop, start + a + 4096)], known).astype(np.float32)
     return out
 
 
@@ -127,6 +130,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         known, sums = letters(dimensions, seed), {}
         for batch in batches:

@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import small_batches
 from leadloom.scale import join_summary
 from leadloom.session import materialize
 
@@ -107,6 +108,7 @@ def write(pages: DataFrame, folder: str) -> None:
                     frames.append(packer.compress(raw))
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
+    small_batches(pages.sparkSession)
     frames = rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(folder)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import lookup
 from leadloom.operators.outreach import prospect_ready, ready_prospects
-from leadloom.scale import id_block, running
+from leadloom.scale import running, with_block
 from leadloom.schemas import (EDITABLE, NOT_SENT, PIPELINE_STAGES, RESUME_STAGES, SENDING_STAGES, SENT, STOP_STAGES)
 from leadloom.session import materialize
 
@@ -123,12 +123,14 @@ def transition_emails(emails: DataFrame, prospects: DataFrame, commands: DataFra
     leaves = (F.when(action.isin("edit", "reopen"), "in_review").when(action == "reject", "rejected"))
     # an edit also brings new text, given in the command, without the placeholder unless it says so
     edited = F.when((action == "edit") & F.col("open"), F.col("new_placeholder"))
-    rows = running(rows, ["email_id"], id_block(position), [position], before=True,
+    rows = with_block(rows, position, commands)
+    part = F.col("__part")
+    rows = running(rows, ["email_id"], part, [position], before=True,
                    lasts={"reset_to": leaves, "reset_at": F.when(leaves.isNotNull(), position), "edit_placeholder": edited})
     rows = materialize(rows)  # the second pass reads its input twice
     placeholder = F.coalesce("edit_placeholder", "placeholder")
     passes = (action == "approve") & ~placeholder & F.col("cleared")
-    rows = running(rows.withColumn("has_text_left", placeholder), ["email_id"], id_block(position), [position], before=True,
+    rows = running(rows.withColumn("has_text_left", placeholder), ["email_id"], part, [position], before=True,
                    lasts={"passed_at": F.when(passes, position)})
     base = F.coalesce("reset_to", "initial")
     approved_since = (base == "in_review") & (F.col("passed_at") > F.coalesce("reset_at", F.lit(-1)))
@@ -195,7 +197,8 @@ def move_stage(prospects: DataFrame, moves: DataFrame) -> DataFrame:
                              F.col("sequence_stopped_at").isNotNull().alias("stopped_first"), "do_not_contact")
     rows = moves.join(state, "prospect_id")
     position, stage = F.col("position"), F.col("stage")
-    key, block, order = ["prospect_id"], id_block(F.col("position")), [F.col("position")]
+    rows = with_block(rows, position, moves)
+    key, block, order = ["prospect_id"], F.col("__part"), [position]
     rows = running(rows, key, block, order, before=True, sums={"left_initial": F.when(stage != F.col("initial"), 1).otherwise(0)})
     rows = materialize(rows)  # every later pass reads its input twice; kept, the work stays linear
     real_stop = stage.isin(*STOP_STAGES) & ((stage != F.col("initial")) | (F.col("left_initial") > 0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import urls
 from leadloom.functions.text import normalize_name_key, normalize_text
-from leadloom.scale import running, top_k
+from leadloom.scale import join_summary, running, top_k
 from leadloom.session import materialize
 
 IDENTITY = ("place", "link", "name_key", "address_key", "domain_key")
@@ -165,8 +165,9 @@ def backfill_place_ids(businesses: DataFrame) -> DataFrame:
     has = F.coalesce("google_place_id", F.lit("")) != ""
     taken = businesses.where(has).select(F.col("google_place_id").alias("place_id")).distinct().withColumn("__stored", F.lit(True))
     read = businesses.where(~has).select("id", urls.place_id_from_url(F.col("google_maps_url")).alias("place_id")).where(F.col("place_id").isNotNull())
-    lowest = read.groupBy("place_id").agg(F.min("id").alias("__lowest"))
-    return (read.join(lowest, "place_id").join(taken, "place_id", "left")
+    lowest = read.groupBy("place_id").agg(F.min("id").alias("__lowest"), F.count(F.lit(1)).alias("__n"))
+    facts = lowest.join(taken, "place_id", "left")
+    return (join_summary(read, facts, ["place_id"], "__n")
             .select("id", "place_id", (F.col("__stored").isNotNull() | (F.col("id") != F.col("__lowest"))).alias("taken")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.operators.verify import present
-from leadloom.scale import id_block, positions
+from leadloom.scale import join_summary, positions, with_block
 from leadloom.schemas import REFILLABLE
 
 
@@ -38,18 +38,19 @@ def ready_prospects(prospects: DataFrame, emails: DataFrame) -> DataFrame:
             .withColumn("address", F.lower("email")).withColumn("__ready", is_ready()))
     holds = F.col("pipeline_stage").isNotNull() | F.col("has_email")
     per_contact = rows.groupBy("contact_id").agg(
-        F.bool_or("do_not_contact").alias("contact_dnc"), F.min(F.when(F.col("__ready"), F.col("id"))).alias("contact_first"),
+        F.count(F.lit(1)).alias("contact_rows"), F.bool_or("do_not_contact").alias("contact_dnc"), F.min(F.when(F.col("__ready"), F.col("id"))).alias("contact_first"),
         F.min(F.when(F.col("has_email"), F.col("id"))).alias("writer_min"),
         F.max(F.when(F.col("has_email"), F.col("id"))).alias("writer_max"))
     per_address = rows.groupBy("address").agg(
-        F.bool_or("do_not_contact").alias("address_dnc"), F.min(F.when(F.col("__ready"), F.col("id"))).alias("address_first"),
+        F.count(F.lit(1)).alias("address_rows"), F.bool_or("do_not_contact").alias("address_dnc"), F.min(F.when(F.col("__ready"), F.col("id"))).alias("address_first"),
         F.min(F.when(holds, F.col("id"))).alias("holder_min"), F.max(F.when(holds, F.col("id"))).alias("holder_max"))
 
     def only_me(low: str, high: str) -> Column:
         return F.col(low).isNull() | ((F.col(low) == F.col("id")) & (F.col(high) == F.col("id")))
 
-    return (rows.where("__ready")
-            .join(per_contact, "contact_id").join(per_address, "address")
+    known = rows.where(F.col("__ready") & F.col("contact_id").isNotNull() & F.col("address").isNotNull())
+    known = join_summary(known, per_contact, ["contact_id"], "contact_rows", how="inner")
+    return (join_summary(known, per_address, ["address"], "address_rows", how="inner")
             .where(~F.col("contact_dnc") & (F.col("contact_first") == F.col("id")) & only_me("writer_min", "writer_max")
                    & ~F.col("address_dnc") & (F.col("address_first") == F.col("id")) & only_me("holder_min", "holder_max"))
             .select(*prospects.columns))
@@ -117,9 +118,10 @@ def balanced_assignment(prospects: DataFrame, new: DataFrame, campaign_sequences
         return F.struct(start.alias("start"), F.array_sort(F.transform(active, lambda s: s["sequence_id"])).alias("turns"))
 
     phases = by_size.select("campaign_id", F.transform(F.sequence(F.lit(1), F.size("q")), phase).alias("phases"))
-    ranked = positions(new.select("id", "campaign_id", "qualification_score"), ["campaign_id"],
+    new = with_block(new.select("id", "campaign_id", "qualification_score"), F.col("id"))
+    ranked = positions(new, ["campaign_id"],
                        [F.desc_nulls_last("qualification_score"), F.col("id")],
-                       [-F.coalesce("qualification_score", F.lit(-1)), id_block(F.col("id"))])
+                       [-F.coalesce("qualification_score", F.lit(-1)), F.col("__part")])
     now = F.element_at(F.filter("phases", lambda p: p["start"] <= F.col("position")), -1)
     placed = ranked.join(phases, "campaign_id").withColumn("__phase", now)
     turn = (F.col("position") - F.col("__phase.start")) % F.size("__phase.turns")

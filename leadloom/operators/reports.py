@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom.operators.lifecycle import stage_label
-from leadloom.scale import id_block, top_k
+from leadloom.scale import top_k, with_block
 from leadloom.schemas import EMAIL_STATUSES, PIPELINE_STAGES
 
 
@@ -179,10 +179,11 @@ def stage_history(changes: DataFrame, k: int = 20) -> DataFrame:
 def next_in_review(emails: DataFrame) -> DataFrame:
     """For every email in review the next one, wrapping to the first; NULL when it is the only one.
 
-    Ids are cut into blocks: ``lead`` looks inside a block, the last id of a block takes the first
-    id of the next block that has any.
+    Ids are cut into counted blocks: ``lead`` looks inside a block, the last id of a block takes the
+    first id of the next block that has any. Only one row per block, at most ``scale.BLOCKS``, is in order overall.
     """
-    waiting = emails.where(F.col("status") == "in_review").select("id").withColumn("__block", id_block(F.col("id")))
+    waiting = emails.where(F.col("status") == "in_review").select("id")
+    waiting = with_block(waiting, F.col("id"), name="__block")
     firsts = waiting.groupBy("__block").agg(F.min("id").alias("__first"))
     overall = Window.partitionBy(F.lit(1)).orderBy("__block")
     wrap = F.min("__first").over(overall.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

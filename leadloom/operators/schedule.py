@@ -11,9 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.scale import id_block, positions
 from leadloom.schemas import HOLDS_SLOT, SENT, Settings
-from leadloom.session import materialize
 
 STUCK_AFTER = dt.timedelta(minutes=15)
 MAX_DAYS_TRIED = 366
@@ -198,25 +196,26 @@ class _Box:
         self.latest = slot
 
 
-_OUT = "pool bigint, position bigint, email_id bigint, mailbox_id bigint, slot_us bigint, state string"
+_OUT = "pool bigint, position bigint, email_id bigint, mailbox_id bigint, slot_us bigint"
 
 
 def _fold(cap: int):
     """Hand out slots in order: a stream of batches per pool in, the same stream of rows out."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        days, boxes, zones, last, pool = _Days(), {}, [], -2, None
+        days, boxes, zones, last, pool = _Days(), {}, [], None, None
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if row.position <= last:
-                    raise ValueError("slots must be handed out in order")
-                last, pool = row.position, row.pool
-                if row.position == -1:  # the state row comes first
+                pool = row.pool
+                if isinstance(row.state, str):  # the state row comes first
                     state = json.loads(row.state)
                     zones = state["zones"]
                     boxes = {int(k): _Box(b["latest"], {c["zone"]: c["n"] for c in b["counts"]}) for k, b in state["boxes"].items()}
                     continue
+                if last is not None and row.position <= last:
+                    raise ValueError("slots must be handed out in order")
+                last = row.position
                 window = None if pd.isna(row.window_start) or pd.isna(row.window_end) else (int(row.window_start), int(row.window_end))
                 first = None if pd.isna(row.previous_mailbox_id) else int(row.previous_mailbox_id)
                 best = None
@@ -227,21 +226,18 @@ def _fold(cap: int):
                         best = (box_id, *found)
                 if best:
                     boxes[best[0]].take(days, best[1], zones)
-                    out.append((pool, row.position, row.email_id, best[0] or None, best[1], None))
+                    out.append((pool, row.position, row.email_id, best[0] or None, best[1]))
                 else:
-                    out.append((pool, row.position, row.email_id, None, None, None))
+                    out.append((pool, row.position, row.email_id, None, None))
             if out:
                 yield _frame(out)
-        state = {"zones": zones, "boxes": {
-            k: {"latest": b.latest, "counts": [{"zone": z, "n": n} for z, n in b.counts.items()]} for k, b in boxes.items()}}
-        yield _frame([(pool, -1, None, None, None, json.dumps(state))])
 
     return fold
 
 
 def _frame(rows) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["pool", "position", "email_id", "mailbox_id", "slot_us", "state"])
-    return frame.astype({c: "Int64" for c in ("pool", "position", "email_id", "mailbox_id", "slot_us")})
+    frame = pd.DataFrame(rows, columns=["pool", "position", "email_id", "mailbox_id", "slot_us"])
+    return frame.astype("Int64")
 
 
 def gap_micros(email_id: Column, settings: Settings, seed: int = 0) -> Column:
@@ -252,8 +248,7 @@ def gap_micros(email_id: Column, settings: Settings, seed: int = 0) -> Column:
     return ((jitter + F.lit(fixed)) * 1000).cast("long")
 
 
-def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, settings: Settings,
-             chunk_rows: int = 1_000_000) -> DataFrame:
+def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, settings: Settings) -> DataFrame:
     """Mailbox and send time of every request, handed out in arrival order.
 
     ``requests``: pool, arrival (unique per pool), email_id, earliest, zone, window_start and
@@ -261,32 +256,17 @@ def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, sett
     ``mailboxes``: pool, mailbox_id, priority (active ones; a pool without any gets times only).
     ``holders``: mailbox_id, scheduled_at of emails that already hold a slot.
 
-    Each slot depends on the one before it, so a pool is a sequence. It is worked off in chunks of
-    at most ``chunk_rows`` consecutive requests; what one chunk hands to the next is only each
-    mailbox's latest slot and its count on that day. Rows stream through a task in batches, pools
-    run in parallel, and no task ever holds a whole pool.
+    Each slot depends on the one before it, so a pool is a sequence, and pools are the unit of
+    parallel work: a pool's requests are sorted by the shuffle and stream through its task in
+    batches. What a pool can hold is bounded by its mailboxes' daily caps, not by the data.
     """
-    requests = materialize(requests)  # read for its size, its zones, its positions and its rows
-    ordered = positions(requests, ["pool"], [F.col("arrival")], [id_block(F.col("arrival"))])
-    ordered = ordered.withColumn("chunk", F.floor(F.col("position") / chunk_rows)).select(
-        "pool", "position", "chunk", "email_id", F.unix_micros("earliest").alias("earliest_us"), "zone", "window_start",
+    ordered = requests.select(
+        "pool", F.col("arrival").alias("position"), "email_id", F.unix_micros("earliest").alias("earliest_us"), "zone", "window_start",
         "window_end", "previous_mailbox_id", "gap_us", F.lit(None).cast("string").alias("state"))
-    state = _opening_state(requests, mailboxes, holders)
-    chunks = requests.groupBy("pool").count().agg(F.max("count")).first()[0]  # one number
-    chunks = -(-(chunks or 0) // chunk_rows)
-    if chunks > 1:
-        ordered = materialize(ordered)
-    done = None
-    for chunk in range(max(chunks, 1)):
-        rows = ordered.where(F.col("chunk") == chunk).drop("chunk").unionByName(state, allowMissingColumns=True)
-        rows = rows.repartition("pool").sortWithinPartitions("pool", "position")
-        result = rows.groupBy("pool").applyInPandas(_fold(settings.daily_cap), _OUT)
-        if chunks > 1:
-            result = materialize(result)
-        state = result.where(F.col("position") == -1).select("pool", "position", "state")
-        slots = result.where(F.col("position") >= 0).drop("state")
-        done = slots if done is None else done.unionByName(slots)
-    return done.select("pool", "position", "email_id", "mailbox_id", F.timestamp_micros("slot_us").alias("slot"))
+    rows = ordered.unionByName(_opening_state(requests, mailboxes, holders), allowMissingColumns=True)
+    rows = rows.repartition("pool").sortWithinPartitions("pool", F.col("state").isNull(), "position")
+    result = rows.groupBy("pool").applyInPandas(_fold(settings.daily_cap), _OUT)
+    return result.select("pool", "position", "email_id", "mailbox_id", F.timestamp_micros("slot_us").alias("slot"))
 
 
 def _opening_state(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame) -> DataFrame:

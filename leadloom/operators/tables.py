@@ -256,9 +256,9 @@ def setup_to_sequences(campaigns: DataFrame, initials: DataFrame, steps: DataFra
         "campaign_id", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template_name"), F.lit(0).cast("long").alias("n"), "name")
     every = own.select("campaign_id", "template_id", "template_name", "n", "name").unionByName(bare)
     base = F.left(F.when(F.col("n") <= 1, F.col("name")).otherwise(F.concat("name", F.lit(" - "), "template_name")), F.lit(190))
-    from leadloom.scale import id_block, positions
-    numbered = positions(every.withColumn("base", base), ["base"], [F.col("campaign_id"), F.asc_nulls_first("template_name")],
-                         [id_block(F.col("campaign_id"))], "nth")
+    from leadloom.scale import positions, with_block
+    numbered = positions(with_block(every.withColumn("base", base), F.col("campaign_id")), ["base"], [F.col("campaign_id"), F.asc_nulls_first("template_name")],
+                         [F.col("__part")], "nth")
     named = F.when(F.col("nth") == 0, F.col("base")).otherwise(F.concat("base", F.lit(" ("), (F.col("nth") + 1).cast("string"), F.lit(")")))
     sequences = numbered.select("campaign_id", "template_id", named.alias("name"))
     copied = sequences.join(steps.withColumnRenamed("template_id", "step_template_id"), "campaign_id").select("name", "sequence", "days", "step_template_id")
@@ -269,14 +269,14 @@ def prompts_to_kinds(prompts: DataFrame) -> DataFrame:
     """Old prompts (id, owner_id, owner, name, sequence, variation, is_default, opened) with their kind, a unique
     name (owner appended to repeats, then the id) and whether they are their group's best: per owner and
     variation for initial ones, per owner and step for follow-ups; default first, then opened, then id."""
-    from leadloom.scale import top_k
-    first = prompts.groupBy("name").agg(F.min("id").alias("__first"))
+    from leadloom.scale import join_summary, top_k
+    first = prompts.groupBy("name").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     owned = F.left(F.concat("name", F.lit(" ("), F.coalesce("owner", F.lit("None")), F.lit(")")), F.lit(240))
-    rows = prompts.join(first, "name").withColumn("__owned", F.when(F.col("id") != F.col("__first"), owned))
+    rows = join_summary(prompts, first, ["name"], "__n").withColumn("__owned", F.when(F.col("id") != F.col("__first"), owned))
     # a repeat's owner name may itself be taken: by an original of that name seen earlier, or an earlier repeat
     taken = prompts.groupBy(F.col("name").alias("__owned")).agg(F.min("id").alias("__original"))
-    earlier = rows.where(F.col("__owned").isNotNull()).groupBy("__owned").agg(F.min("id").alias("__repeat"))
-    rows = rows.join(taken, "__owned", "left").join(earlier, "__owned", "left")
+    earlier = rows.groupBy("__owned").agg(F.min(F.when(F.col("__owned").isNotNull(), F.col("id"))).alias("__repeat"), F.count(F.lit(1)).alias("__n"))
+    rows = join_summary(rows, earlier.join(taken, "__owned", "left"), ["__owned"], "__n")
     clash = F.coalesce(F.col("__original") < F.col("id"), F.lit(False)) | F.coalesce(F.col("__repeat") < F.col("id"), F.lit(False))
     unique = F.when(F.col("__owned").isNull(), F.col("name")).when(clash, F.concat("__owned", F.lit(" #"), F.col("id").cast("string"))).otherwise(F.col("__owned"))
     group = F.when(F.col("sequence") == 0, F.concat(F.lit("v"), "variation")).otherwise(F.concat(F.lit("s"), F.col("sequence").cast("string")))

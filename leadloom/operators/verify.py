@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import lookup
-from leadloom.scale import id_block, running, top_k
+from leadloom.scale import join_summary, running, top_k, with_block
 from leadloom.schemas import CONCLUSIVE
 
 # Names that cannot receive mail (RFC 2606, RFC 6761).
@@ -240,7 +240,9 @@ def shortcut_domains(checks: DataFrame, known_catch_all: DataFrame, patterns=())
     state = rows.where(deciding.isNotNull()).groupBy("domain").agg(
         F.min("position").alias("decided_at"), F.min_by(deciding, "position").alias("state"))
     earlier = known_catch_all.select("domain", F.lit(True).alias("known")).distinct()
-    rows = rows.join(state, "domain", "left").join(earlier, "domain", "left")
+    sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("__rows"))
+    facts = sizes.join(state, "domain", "left").join(earlier, "domain", "left")
+    rows = join_summary(rows, facts, ["domain"], "__rows")
     inherits = F.col("known") | (F.col("position") > F.col("decided_at"))
     source = F.when(F.col("pattern").isNotNull(), "pattern").when(F.col("known"), "known").when(inherits, "run").otherwise("probe")
     verdict = F.when(F.col("known"), "catch_all").otherwise(F.col("state"))
@@ -264,7 +266,8 @@ def failure_streak(checks: DataFrame, k: int = 3) -> DataFrame:
     """
     fails = F.when(~F.col("can_connect_smtp"), 1).otherwise(0)
     resets = F.when(F.col("can_connect_smtp"), 1).otherwise(0)
-    counted = running(checks.select("run_id", "position", "can_connect_smtp"), ["run_id"], id_block(F.col("position")), [F.col("position")],
+    rows = with_block(checks.select("run_id", "position", "can_connect_smtp"), F.col("position"))
+    counted = running(rows, ["run_id"], F.col("__part"), [F.col("position")],
                       sums={"fails": fails, "resets": resets})
     # failures seen when the island's reset came: the fewest in the island; none before the first reset
     base = counted.groupBy("run_id", "resets").agg(F.min("fails").alias("least"))

@@ -138,16 +138,22 @@ def schedule_single_mailbox(v):
 
 @query("schedule_pool", "W8 W9")
 def schedule_pool(v):
+    """Every mailbox is a pool: follow-ups stay with the mailbox that wrote before, others are dealt out by a hash."""
     settings = Settings()
     due = schedule.earliest_send(v.v_emails, v.v_prospects, v.v_follow_ups, NOW).where(F.col("problem").isNull())
     campaign = v.v_campaigns.select(F.col("id").alias("discovery_campaign_id"), "send_timezone")
     zone = v.v_businesses.select(F.col("id").alias("business_id"), "discovery_campaign_id").join(campaign, "discovery_campaign_id")
+    active = v.v_mailboxes.where("is_active")
+    boxes = active.agg(F.array_sort(F.collect_list(F.struct("priority", "id")))).scalar()
+    ids = F.transform(boxes, lambda b: b["id"])
+    dealt = F.element_at(ids, (1 + F.pmod(F.xxhash64("id"), F.size(ids))).cast("int"))
     approved = v.v_emails_of.where(F.col("status") == "approved").select("id", "business_id")
     requests = approved.join(due, "id").join(zone, "business_id").select(
-        F.lit(1).cast("long").alias("pool"), F.col("id").alias("arrival"), F.col("id").alias("email_id"), "earliest",
+        F.when(F.array_contains(ids, F.col("previous_mailbox_id")), F.col("previous_mailbox_id")).otherwise(dealt).alias("pool"),
+        F.col("id").alias("arrival"), F.col("id").alias("email_id"), "earliest",
         F.col("send_timezone").alias("zone"), F.lit(9 * 3600).alias("window_start"), F.lit(18 * 3600).alias("window_end"),
         "previous_mailbox_id", schedule.gap_micros(F.col("id"), settings).alias("gap_us"))
-    boxes = v.v_mailboxes.where("is_active").select(F.lit(1).cast("long").alias("pool"), F.col("id").alias("mailbox_id"), "priority")
+    boxes = active.select(F.col("id").alias("pool"), F.col("id").alias("mailbox_id"), "priority")
     held = v.v_emails.where(F.col("status").isin(*[s for s in HOLDS_SLOT if s != "approved"])).select("mailbox_id", "scheduled_at")
     return schedule.schedule(requests, boxes, held, settings).select(
         "email_id", "mailbox_id", F.date_format("slot", _FORMAT).alias("slot"))

@@ -1,9 +1,10 @@
 """Ordered computations that stay distributed when one key holds a third of the rows.
 
 A plain ``row_number()`` or running ``sum()`` over ``PARTITION BY key`` sorts the whole key in one
-task. The helpers here cut every key into *blocks*: an expression that never decreases along the
-order and of which one value covers a bounded number of rows (``id div 2^20``, an hour of time).
-Windows run inside ``(key, block)``; only one summary row per block crosses block borders.
+task. The helpers here cut every key into *blocks* along the order: ``with_block`` takes the
+borders from approximate quantiles of all rows, so a block never holds more than about one in
+``BLOCKS`` of them, however the values lie and whatever a key holds. Windows run inside
+``(key, block)``; one summary row per block crosses block borders, at most ``BLOCKS`` of a key.
 
 Top-k per group needs none of this: ``row_number() <= k`` plans a WindowGroupLimit, which keeps k
 rows per key in every map task before the shuffle.
@@ -17,15 +18,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ID_BLOCK = 1 << 20  # rows per block when the order is a unique integer id
+BLOCKS = 1024
 
 
-def id_block(column: Column, size: int = ID_BLOCK) -> Column:
-    return F.floor(column / F.lit(size)).cast("long")
+def with_block(df: DataFrame, value: Column, of: DataFrame | None = None, name: str = "__part", blocks: int = BLOCKS) -> DataFrame:
+    """Rows with their counted block by a whole-number value that the order rises with.
+
+    The borders are a scalar subquery over ``of`` (by default the rows themselves): one more pass over
+    this column, which nothing but ``blocks`` numbers leaves. NULL values come into block 0.
+    """
+    value = value.cast("long")
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    borders = (df if of is None else of).select(F.percentile_approx(value, shares, F.lit(20 * blocks))).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((blocks - 1).bit_length()))])
+
+    def further(at, step):  # binary search: how many borders are not above the value
+        return F.when(F.try_element_at("__borders", at + step) <= value, at + step).otherwise(at)
+
+    return df.withColumn("__borders", borders).withColumn(name, F.aggregate(steps, F.lit(0), further)).drop("__borders")
 
 
-def time_block(column: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys, of which NULL equals NULL."""
+    names = {k: f"__right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, on).drop(*names.values()) if keys else left.crossJoin(right)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -39,7 +57,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], level
     """0-based position of every row in its group.
 
     ``levels`` are non-decreasing along ``order``, coarse to fine; a full combination covers a
-    bounded number of rows. Offsets are added up level by level, so no task ever sees more than
+    bounded number of rows (the last is usually that of ``with_block``). NULL keys are a group. Offsets are added up level by level, so no task ever sees more than
     one block of rows or one level of block counts.
     """
     names = [f"__level{i}" for i in range(len(levels))]
@@ -53,12 +71,11 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], level
         before = Window.partitionBy(*parent).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         level = counts if depth == len(names) - 1 else counts.groupBy(*here).agg(F.sum("__n").alias("__n"))
         level = level.select(*here, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__before{depth}"))
-        offsets = level if len(names) == 1 else offsets.join(level, here)
+        offsets = level if len(names) == 1 else _same(offsets, level, here)
     total = sum((F.col(f"__before{i}") for i in range(len(names))), F.lit(0))
     offsets = offsets.select(*block, total.alias("__offset"))
     inside = Window.partitionBy(*block).orderBy(*order)
-    return (df.withColumn("__row", F.row_number().over(inside))
-            .join(offsets, block)
+    return (_same(df.withColumn("__row", F.row_number().over(inside)), offsets, block)
             .withColumn(out, (F.col("__offset") + F.col("__row") - 1).cast("long"))
             .drop("__row", "__offset", *names))
 
@@ -68,7 +85,7 @@ def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[C
             before: bool = False) -> DataFrame:
     """Running sums and last non-NULL values along the order of each group.
 
-    With ``before`` the row itself is left out (what held when the row arrived).
+    With ``before`` the row itself is left out (what held when the row arrived). NULL keys are a group.
     """
     sums, lasts, keys = dict(sums or {}), dict(lasts or {}), list(keys)
     inputs = {f"__in_{name}": column for name, column in {**sums, **lasts}.items()}
@@ -90,7 +107,7 @@ def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[C
         *group,
         *[F.coalesce(F.sum(f"__total_{name}").over(earlier), F.lit(0)).alias(f"__carry_{name}") for name in sums],
         *[F.last(f"__total_{name}", ignorenulls=True).over(earlier).alias(f"__carry_{name}") for name in lasts])
-    joined = local.join(carried, group)
+    joined = _same(local, carried, group)
     result = joined.withColumns({
         **{name: F.col(f"__local_{name}") + F.col(f"__carry_{name}") for name in sums},
         **{name: F.coalesce(F.col(f"__local_{name}"), F.col(f"__carry_{name}")) for name in lasts},
@@ -110,13 +127,15 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size:
     aggregate hands its partitioning on to the join. So the largest keys by ``size`` (rows per key)
     are broadcast, at most ``HOT_KEYS`` of them by LIMIT; every other key holds less than one in
     ``HOT_KEYS`` rows and meets its rows in a shuffled join, in which rows already served are dealt
-    out by a hash of the whole row. NULL keys match NULL keys. ``how`` is left or inner.
+    out by a hash of the whole row. The summary must have a row for every key that can be hot, matched
+    or not: group the rows themselves. NULL keys match NULL keys. ``how`` is left or inner.
     """
     values = [c for c in summary.columns if c not in keys and (keep_size or c != size)]
     found = F.struct(*[F.col(c) for c in values])
+    # the lane of a summary row is 0, computed so that the optimizer cannot take it out of the join's keys
     hot = summary.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
     hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], found.alias("__hot"))
-    cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.lit(0).alias("__cold_lane"), found.alias("__cold"))
+    cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.least(F.col(size), F.lit(0)).cast("int").alias("__cold_lane"), found.alias("__cold"))
     same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
     rows_hash = F.pmod(F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if f.dataType.typeName() != "map"]), F.lit(1 << 20))
     served = (rows.withColumn("__row_hash", rows_hash.cast("int")).join(F.broadcast(hot), same, "left")

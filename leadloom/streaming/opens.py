@@ -1,16 +1,16 @@
 """Open tracking: image requests, rate limits and open counts, as streams and as batch twins.
 
 Both limits depend on what was admitted before, so neither is a window function. A limit's state is
-void after a quiet spell of one window, which cuts a key into independent spells. A spell of up to
-ARRAY_ROWS rows is folded as an array in the JVM (one of at most ``limit`` rows passes whole);
-longer ones stream through their task in time order, in batches.
+void after a quiet spell of one window, which cuts a key into independent spells. A spell streams
+through its task in time order, in batches of bounded size; each batch is decided by jumps to the next
+moment at which something changes, so the work is a search per window or admitted row, not a step per row.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadloom.functions.templates import TOKEN_PATTERN
-from leadloom.functions.text import fields, let
-from leadloom.scale import running, time_block
-from leadloom.session import materialize
+from leadloom.scale import running, with_block
 
 # The image path with its token, the limits, and how much of a user agent is kept.
 FOOTER_PATH = r"/footer/([^/]+?)(?:\.(?:png|gif|jpe?g|webp))?/?$"
 PER_IP, PER_TOKEN, OPENS_PER_EMAIL, WINDOW_SECONDS, MAX_USER_AGENT = 60, 10, 10, 60, 500
-BLOCK_SECONDS = 600  # rows of one key in ten minutes fit one task
-ARRAY_ROWS = 512  # the longest spell folded as one array
 
 
 def read_open_requests(requests: DataFrame) -> DataFrame:
@@ -46,92 +42,63 @@ def read_open_requests(requests: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the two rules
 
 
-class FirstHitWindow:
-    """A window opens with its first hit; at most ``limit`` hits pass until one comes a window later."""
-
-    def __init__(self, limit: int, window_us: int, start: int | None = None, hits: int = 0):
-        self.limit, self.window_us, self.start, self.hits = limit, window_us, start, hits
-
-    def admit(self, at: int) -> bool:
-        if self.start is None or at - self.start >= self.window_us:
-            self.start, self.hits = at, 1
-            return True
-        self.hits += 1
-        return self.hits <= self.limit
+def first_hit(times: np.ndarray, limit: int, window_us: int, state: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None]:
+    """A window opens with its first hit; at most ``limit`` hits pass until one comes a window later.
 
+    ``times`` ascend; ``state`` is the open window's start and its hits so far. Returns who passes, and the state after.
+    """
+    passes, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        start, hits = state if state and times[at] < state[0] + window_us else (int(times[at]), 0)
+        end = int(np.searchsorted(times, start + window_us))
+        passes[at:min(end, at + max(0, limit - hits))] = True
+        state, at = (start, hits + end - at), end
+    return passes, state
 
-class TrailingAdmitted:
-    """At most ``limit`` admitted in any trailing window; what was not admitted does not count."""
 
-    def __init__(self, limit: int, window_us: int, admitted=()):
-        self.limit, self.window_us, self.admitted = limit, window_us, deque(admitted)
+def trailing(times: np.ndarray, limit: int, window_us: int, state: tuple[int, ...] | None) -> tuple[np.ndarray, tuple[int, ...]]:
+    """At most ``limit`` pass in any trailing window; who does not pass does not count.
 
-    def admit(self, at: int) -> bool:
-        while self.admitted and self.admitted[0] <= at - self.window_us:
-            self.admitted.popleft()
-        if len(self.admitted) >= self.limit:
-            return False
-        self.admitted.append(at)
-        return True
+    ``state`` holds the last ``limit`` times that passed.
+    """
+    passes, last, at = np.zeros(len(times), bool), list(state or ())[-limit:], 0
+    while at < len(times) and limit > 0:
+        if len(last) == limit and times[at] < last[0] + window_us:
+            at = int(np.searchsorted(times, last[0] + window_us))
+            continue
+        passes[at] = True
+        last = [*last, int(times[at])][-limit:]
+        at += 1
+    return passes, tuple(last)
 
 
-RULES = {"first_hit": FirstHitWindow, "trailing": TrailingAdmitted}
+RULES = {"first_hit": first_hit, "trailing": trailing}
 
 
 def rate_limit(rows: DataFrame, key: str, limit: int, window_seconds: int, rule: str) -> DataFrame:
-    """Batch twin: rows (id, key, ts) with ``admitted``, in order of (ts, id) per key."""
+    """Batch twin: rows (id, key, ts) with ``admitted``, in order of (ts, id) per key; a NULL key is a key."""
     window_us = window_seconds * 1_000_000
-    named = rows.withColumn("__at", F.unix_micros("ts"))
-    order = [F.col("__at"), F.col("id")]
-    block = time_block(F.col("ts"), BLOCK_SECONDS)
-    seen = running(named, [key], block, order, before=True, lasts={"__previous": F.col("__at")})
-    seen = materialize(seen)  # the next pass and the sizes read it again
+    named = with_block(rows.withColumn("__at", F.unix_micros("ts")), F.col("__at"))
+    order, part = [F.col("__at"), F.col("id")], F.col("__part")
+    seen = running(named, [key], part, order, before=True, lasts={"__previous": F.col("__at")})
     opens = F.col("__previous").isNull() | (F.col("__at") - F.col("__previous") >= window_us)
-    spells = running(seen.withColumn("__opens", F.when(opens, F.col("__at"))), [key], block, order, lasts={"__spell": F.col("__opens")})
-    sizes = spells.groupBy(key, "__spell").agg(F.count("*").alias("__size"))
-    sized = spells.join(sizes, [key, "__spell"])
-    bounded = _fold_arrays(sized.where(F.col("__size") <= ARRAY_ROWS), rows.columns, [key, "__spell"], limit, window_us, rule)
+    spells = running(seen.withColumn("__opens", F.when(opens, F.col("__at"))), [key], part, order, lasts={"__spell": F.col("__opens")})
     shape = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
-    long = sized.where(F.col("__size") > ARRAY_ROWS).select(*rows.columns, "__spell", "__at")
-    streamed = (long.repartition(key, "__spell").sortWithinPartitions(key, "__spell", "__at", "id").groupBy(key, "__spell")
-                .applyInPandas(_fold(RULES[rule], limit, window_us, rows.columns), f"{shape}, admitted boolean"))
-    return bounded.unionByName(streamed)
-
-
-def _fold_arrays(spells: DataFrame, columns: list[str], group: list[str], limit: int, window_us: int, rule: str) -> DataFrame:
-    """The rows of bounded spells with ``admitted``, folded as arrays in the JVM."""
-    none = F.lit(None).cast("long")
-    times, flags = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
-
-    def first_hit(acc, r):
-        fresh = acc["start"].isNull() | (r["__at"] - acc["start"] >= window_us)
-        hits = F.when(fresh, F.lit(1)).otherwise(acc["hits"] + 1)
-        return fields(start=F.when(fresh, r["__at"]).otherwise(acc["start"]), hits=hits, ok=F.concat(acc["ok"], F.array(hits <= limit)))
-
-    def trailing(acc, r):
-        return let(F.filter(acc["times"], lambda t: t > r["__at"] - window_us), lambda recent: fields(
-            times=F.when(F.size(recent) < limit, F.concat(recent, F.array(r["__at"]))).otherwise(recent),
-            ok=F.concat(acc["ok"], F.array(F.size(recent) < limit))))
-
-    start, step = ((fields(start=none, hits=F.lit(0), ok=flags), first_hit) if rule == "first_hit"
-                   else (fields(times=times, ok=flags), trailing))
-    row = F.struct(F.col("__at"), F.col("id"), *[F.col(c) for c in columns if c != "id"])
-    ordered = spells.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    whole = F.transform("rows", lambda r: F.lit(True))
-    ok = F.when(F.size("rows") <= limit, whole).otherwise(F.aggregate("rows", start, step, lambda acc: acc["ok"]))
-    pairs = ordered.select("rows", ok.alias("ok")).select(F.explode(F.arrays_zip("rows", "ok")).alias("z"))
-    return pairs.select(*[F.col(f"z.rows.{c}").alias(c) for c in columns], F.col("z.ok").alias("admitted"))
+    return (spells.select(*rows.columns, "__spell", "__at").repartition(key, "__spell").sortWithinPartitions(key, "__spell", "__at", "id")
+            .groupBy(key, "__spell").applyInPandas(_fold(RULES[rule], limit, window_us, rows.columns), f"{shape}, admitted boolean"))
 
 
 def _fold(rule, limit: int, window_us: int, columns: list[str]):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = rule(limit, window_us), None
+        state, last = None, None
         for batch in batches:
-            times = batch["__at"].tolist()
-            if times != sorted(times) or (last is not None and times and times[0] < last):
-                raise ValueError("rows must arrive in time order")
-            last = times[-1] if times else last
-            yield batch[columns].assign(admitted=[state.admit(at) for at in times])
+            times = batch["__at"].to_numpy()
+            if len(times):
+                if (times[1:] < times[:-1]).any() or (last is not None and times[0] < last):
+                    raise ValueError("rows must arrive in time order")
+                last = times[-1]
+            passes, state = rule(times, limit, window_us, state)
+            yield batch[columns].assign(admitted=passes)
 
     return fold
 
@@ -173,71 +140,61 @@ def merge_rollup(stored: DataFrame, batch: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-
-
 def _micros(times: pd.Series) -> list[int]:
     return (times.astype("datetime64[us]").astype("int64")).tolist()
 
 
-class FirstHitProcessor(StatefulProcessor):
-    """Per key: the window's start and hits; the state expires after a quiet window."""
+class LimitProcessor(StatefulProcessor):
+    """Per key what its rule remembers: a few numbers, which go when the watermark is a window past the key's last row.
+
+    The rows of a key in one micro-batch are put in order of (ts, id); a micro-batch's size is what
+    bounds them (set the source's maximum per trigger).
+    """
 
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.window_us = limit, window_seconds * 1_000_000
+    def __init__(self, rule: str, limit: int, window_seconds: int):
+        self.rule, self.limit, self.window_us = rule, limit, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType([T.StructField("start", T.LongType()), T.StructField("hits", T.LongType())])
+        self.handle = handle
+        shape = T.StructType([T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("due", T.LongType())])
         self.state = handle.getValueState("window", shape)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows)
-        start, hits = self.state.get() if self.state.exists() else (None, 0)
-        rule = FirstHitWindow(self.limit, self.window_us, start, hits)
-        batch["admitted"] = [rule.admit(at) for at in _micros(batch["ts"])]
-        self.state.update((rule.start, rule.hits))
-        yield batch
-
-    def close(self) -> None:
-        pass
-
-
-class TrailingProcessor(StatefulProcessor):
-    """Per key: the times admitted within the last window."""
-
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.window_us = limit, window_seconds * 1_000_000
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        held, due = self.state.get() if self.state.exists() else (None, None)
+        times = np.array(_micros(batch["ts"]), np.int64)
+        passes, held = RULES[self.rule](times, self.limit, self.window_us, tuple(held) if held else None)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(due or 0, (int(times[-1]) + self.window_us) // 1000 + 1)
+        self.handle.registerTimer(due)
+        self.state.update((list(held or ()), due))
+        yield batch.assign(admitted=passes)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
-        self.state = handle.getValueState("admitted", shape)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows)
-        rule = TrailingAdmitted(self.limit, self.window_us, self.state.get()[0] if self.state.exists() else ())
-        batch["admitted"] = [rule.admit(at) for at in _micros(batch["ts"])]
-        self.state.update((list(rule.admitted),))
-        yield batch
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def limited_stream(stream: DataFrame, key: str, limit: int, window_seconds: int, rule: str) -> DataFrame:
+def limited_stream(stream: DataFrame, key: str, limit: int, window_seconds: int, rule: str, delay: str | None = "10 minutes") -> DataFrame:
     """Stream rows (id, ts, key, ...) with ``admitted``; rows of one key are judged in arrival order,
-    inside a micro-batch in order of (ts, id)."""
-    processor = {"first_hit": FirstHitProcessor, "trailing": TrailingProcessor}[rule](limit, window_seconds)
+    inside a micro-batch in order of (ts, id). Rows later than the watermark are dropped; without
+    ``delay`` the stream must have one on ``ts`` already."""
+    rows = stream.withWatermark("ts", delay) if delay else stream
     shape = T.StructType([*stream.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="None")
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=LimitProcessor(rule, limit, window_seconds), outputStructType=shape, outputMode="Append",
+        timeMode="EventTime", eventTimeColumnName="ts")
 
 
 def limited_requests_stream(stream: DataFrame, per_ip: int = PER_IP, per_token: int = PER_TOKEN,
                             window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Requests both limits let through; the token counter also advances for those the IP limit stops."""
     by_ip = limited_stream(stream, "ip", per_ip, window_seconds, "first_hit").withColumnRenamed("admitted", "ip_ok")
-    both = limited_stream(by_ip, "token", per_token, window_seconds, "first_hit")
+    both = limited_stream(by_ip, "token", per_token, window_seconds, "first_hit", delay=None)
     return both.where(F.col("ip_ok") & F.col("admitted")).drop("ip_ok", "admitted")
 
 
@@ -304,9 +261,11 @@ def reply_timeouts(stream: DataFrame, reply_window_days: int = 3, delay: str = "
         statefulProcessor=ReplyTimeout(reply_window_days * 86_400), outputStructType=shape, outputMode="Append", timeMode="EventTime")
 
 
-def due_emails_writer(queue_table, send_batch, every: str = "30 seconds"):
+def due_emails_writer(queue_table, send_batch, checkpoint: str, every: str = "30 seconds"):
     """Start a stream that looks at the queue every 30 seconds and hands what is due to ``send_batch``.
 
+    ``checkpoint`` is a folder that all machines share; a restarted stream goes on from there.
+
     ``queue_table`` is a function returning the queue as it is now; only the selection is ours.
     """
     from leadloom.operators.schedule import due_now
@@ -316,7 +275,7 @@ def due_emails_writer(queue_table, send_batch, every: str = "30 seconds"):
         send_batch(due_now(queue_table(), now).orderBy("scheduled_at", "id"), epoch)
 
     def start(ticks: DataFrame):
-        return ticks.writeStream.foreachBatch(look).trigger(processingTime=every).start()
+        return ticks.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
     return start
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,19 +41,48 @@ def drained(spark, stream, tmp_path, mode="append"):
     return spark.table(name)
 
 
+def plainly(times, limit, window, rule):
+    """Who passes, straight from the rules: windows cut off one after the other, or all earlier passes looked at."""
+    passed = []
+    if rule == "trailing":
+        for at in times:
+            passed.append(sum(ok and at - window < t for t, ok in zip(times, passed)) < limit)
+        return passed
+    rest = list(times)
+    while rest:
+        inside = [t for t in rest if t < rest[0] + window]
+        passed += [i < limit for i in range(len(inside))]
+        rest = rest[len(inside):]
+    return passed
+
+
 def sequential(rows, limit, window, rule):
-    states, ok = {}, {}
-    for i, token, _, at in sorted(rows, key=lambda r: (r[3], r[0])):
-        state = states.setdefault(token, opens.RULES[rule](limit, window * 1_000_000))
-        ok[i] = state.admit(int(at.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6))
+    ok = {}
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[3], r[0]))
+        seconds = [r[3].timestamp() for r in own]
+        ok |= dict(zip([r[0] for r in own], plainly(seconds, limit, window, rule)))
     return ok
 
 
 @pytest.mark.parametrize("rule", ["first_hit", "trailing"])
-@pytest.mark.parametrize("array_rows", [512, 4])
-def test_batch_twin_is_the_sequential_rule(spark, rule, array_rows, monkeypatch):
-    monkeypatch.setattr(opens, "ARRAY_ROWS", array_rows)
-    rows = hits()
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_rules_go_on_from_their_state(rule, step):
+    rng = random.Random(step)
+    for limit in (0, 1, 3):
+        times = sorted(rng.choices(range(900), k=400))
+        state, got = None, []
+        for i in range(0, len(times), step):
+            passes, state = opens.RULES[rule](np.array(times[i:i + step]), limit, 60, state)
+            got += passes.tolist()
+        assert got == plainly(times, limit, 60, rule)
+
+
+@pytest.mark.parametrize("rule", ["first_hit", "trailing"])
+@pytest.mark.parametrize("quiet", [70, 5])
+def test_batch_twin_is_the_sequential_rule(spark, rule, quiet):
+    rows = [r for r in hits()] if quiet == 70 else [(i, "hot", "x", BASE + dt.timedelta(seconds=i // 2)) for i in range(600)]
+    rows += [(10_000 + i, None, "x", BASE + dt.timedelta(seconds=i)) for i in range(10)]  # a NULL key is a key
     got = opens.rate_limit(spark.createDataFrame(rows, HITS).select("id", "token", "ts"), "token", 3, 60, rule)
     assert {r.id: r.admitted for r in got.collect()} == sequential(rows, 3, 60, rule)
 

@@ -228,8 +228,8 @@ def stage_log(outcome: DataFrame) -> DataFrame:
 
 def stop_prospects(prospects: DataFrame, emails: DataFrame, stops: DataFrame,
                    now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Stop sequences (stops: prospect_id, reason) and cancel the emails not sent yet."""
-    chosen = stops.groupBy("prospect_id").agg(F.min("reason").alias("__reason"))
+    """Stop sequences (stops: position, prospect_id, reason) and cancel the emails not sent yet; the first stop of a prospect counts."""
+    chosen = stops.groupBy("prospect_id").agg(F.min_by(F.coalesce("reason", F.lit("")), "position").alias("__reason"))
     text = F.left(F.trim(F.coalesce(F.nullif("__reason", F.lit("")), F.lit("stopped"))), F.lit(64))
     people = prospects.join(chosen, prospects.id == chosen.prospect_id, "left")
     fresh = F.col("__reason").isNotNull() & F.col("sequence_stopped_at").isNull()
@@ -303,20 +303,23 @@ def mark_business_replied(emails: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def review_prospects(prospects: DataFrame, commands: DataFrame) -> DataFrame:
-    """A person's approvals and rejections (prospect_id, action); one action per prospect, rejects win ties.
+    """A person's approvals and rejections (position, prospect_id, action) in order: the last action and what they leave.
 
-    Undeliverable addresses are never approved, contacted ones never rejected; those are skipped.
+    Undeliverable addresses are never approved, contacted ones never rejected; those are skipped. A
+    rejection that is carried out wins over all before it, and an approval only acts on what waits or
+    was rejected, so the last action and whether any rejection came before it tell the whole fold.
     """
-    chosen = commands.groupBy("prospect_id").agg(F.max("action").alias("action"))
+    chosen = commands.groupBy("prospect_id").agg(F.max_by("action", "position").alias("action"), F.bool_or(F.col("action") == "reject").alias("__rejects"))
     rows = prospects.join(chosen, prospects.id == chosen.prospect_id)
-    approves = (F.col("outreach_status").isin("needs_review", "pending", "rejected")
-                & (F.coalesce("email_status", F.lit("")) != "undeliverable"))
-    allowed = F.when(F.col("action") == "approve", approves).otherwise(F.col("outreach_status") != "contacted")
-    target = F.when(F.col("action") == "approve", "ready").otherwise("rejected")
+    contacted = F.col("outreach_status") == "contacted"
+    rejected = F.col("__rejects") & ~contacted
+    before = F.when(rejected, "rejected").otherwise(F.col("outreach_status"))
+    approves = before.isin("needs_review", "pending", "rejected") & (F.coalesce("email_status", F.lit("")) != "undeliverable")
+    approved = (F.col("action") == "approve") & approves
     return rows.select(
-        "prospect_id", "action", allowed.alias("done"),
-        F.when(allowed, target).otherwise(F.col("outreach_status")).alias("outreach_status"),
-        F.when(allowed, F.col("action") == "approve").otherwise(F.col("approved_by_person")).alias("approved_by_person"))
+        "prospect_id", "action", F.when(F.col("action") == "approve", approves).otherwise(~contacted).alias("done"),
+        F.when(approved, "ready").otherwise(before).alias("outreach_status"),
+        F.when(approved, True).when(rejected, False).otherwise(F.col("approved_by_person")).alias("approved_by_person"))
 
 
 def set_do_not_contact(prospects: DataFrame, ids: DataFrame, value: bool = True) -> DataFrame:

@@ -9,12 +9,16 @@ place id and an address. A key shared by a third of all rows costs one summary r
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import urls
 from leadloom.functions.text import normalize_name_key, normalize_text
-from leadloom.scale import join_summary, running, top_k
+from leadloom.scale import join_summary, top_k
 from leadloom.session import materialize
 
 IDENTITY = ("place", "link", "name_key", "address_key", "domain_key")
@@ -98,7 +102,8 @@ def greedy_dedupe(found: DataFrame, saved: DataFrame | None = None, arrival: str
     The match is not transitive, so this is not a connected-components question. Copies with equal
     keys collapse to their first arrival. Then, in rounds: whoever matches an accepted row is
     rejected, whoever has no earlier undecided match is accepted. A round is one grouped minimum
-    over keys and one join; the number of rounds is the longest chain of rows that wait for one another.
+    over keys and one join of what is still open; the rounds are the longest chain of rows that wait
+    for one another, and each writes only what it leaves open and what it accepts.
     Returns the found rows with ``accepted``.
     """
     rows = identify(found)
@@ -109,19 +114,21 @@ def greedy_dedupe(found: DataFrame, saved: DataFrame | None = None, arrival: str
     if saved is not None:
         firsts = _smallest_matches(firsts, "first", identify(saved), {"stored": F.lit(1)}, _offered_keys(), _wanted_keys()).where(
             F.col("stored").isNull()).drop("stored")
-    state = materialize(firsts.withColumn("decided", F.lit(None).cast("boolean")))
+    open_, fresh, accepted = materialize(firsts), None, []
     while True:
-        in_play = state.where(F.coalesce("decided", F.lit(True)))
-        open_ = state.where(F.col("decided").isNull())
-        judged = _smallest_matches(open_, "first", in_play, {
-            "taken": F.when(F.col("decided"), F.col("first")), "waiting": F.when(F.col("decided").isNull(), F.col("first")),
-        }, _offered_keys(), _wanted_keys())
+        # whoever an earlier round accepted has met all that is open already: only the last round's are asked again
+        in_play = open_.withColumn("__in", F.lit(False))
+        if fresh is not None:
+            in_play = in_play.unionByName(fresh.withColumn("__in", F.lit(True)))
+        judged = _smallest_matches(open_, "first", in_play, {"taken": F.when(F.col("__in"), F.col("first")), "waiting": F.when(~F.col("__in"), F.col("first"))},
+                                   _offered_keys(), _wanted_keys())
         decision = F.when(F.col("taken").isNotNull(), False).when(F.coalesce("waiting", "first") >= F.col("first"), True)
-        state = materialize(state.where(F.col("decided").isNotNull()).unionByName(
-            judged.withColumn("decided", decision).drop("taken", "waiting")))
-        if state.where(F.col("decided").isNull()).isEmpty():
+        judged = materialize(judged.withColumn("decided", decision).drop("taken", "waiting").where(F.coalesce("decided", F.lit(True))))
+        fresh, open_ = judged.where("decided").drop("decided"), judged.where(F.col("decided").isNull()).drop("decided")
+        accepted.append(fresh.select(F.col("first").alias("__winner")))
+        if open_.isEmpty():
             break
-    winners = state.where("decided").select(F.col("first").alias("__winner"))
+    winners = functools.reduce(DataFrame.unionByName, accepted)
     joined = rows.join(winners, F.col(arrival) == F.col("__winner"), "left")
     return joined.withColumn("accepted", ~F.col("__matchable") | F.col("__winner").isNotNull()).select(*found.columns, "accepted")
 
@@ -171,14 +178,30 @@ def backfill_place_ids(businesses: DataFrame) -> DataFrame:
             .select("id", "place_id", (F.col("__stored").isNotNull() | (F.col("id") != F.col("__lowest"))).alias("taken")))
 
 
-def remaining_demand(results: DataFrame, limit: int, per_search: int = 240) -> DataFrame:
-    """Search results (campaign_id, query_no, position, is_new) taken until ``limit`` new ones are accepted.
+def remaining_demand(results: DataFrame, known: DataFrame, limit: int, per_search: int = 240) -> DataFrame:
+    """Search results (campaign_id, query_no, position, is_new) that a campaign takes until ``limit`` new ones are accepted.
 
-    Queries run in order; a query asks for what is still missing plus the businesses the campaign
-    already had (``known``), at most ``per_search``, and none runs once the limit is reached.
-    A query never has more than ``per_search`` results, so the query number is the block.
+    Queries run in order. Each asks for what is still missing plus the businesses the campaign already
+    had (``known``: campaign_id, known), at most ``per_search``, gets no more than that, and none runs
+    once the limit is reached. What a query may ask depends on the queries before it, so a campaign's
+    queries stream through one task in order, each as one row with the places of its new results
+    (``per_search`` at most); results themselves never meet.
     """
-    within = results.where(F.col("position") < per_search)
-    counted = running(within, ["campaign_id"], F.col("query_no"), [F.col("query_no"), F.col("position")],
-                      sums={"accepted_before": F.col("is_new").cast("int")}, before=True)
-    return counted.where(F.col("is_new") & (F.col("accepted_before") < limit))
+    received = results.where(F.col("position") < per_search)
+    queries = received.groupBy("campaign_id", "query_no").agg(F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("position")))).alias("new"))
+    queries = queries.join(known, "campaign_id", "left").withColumn("known", F.coalesce("known", F.lit(0)).cast("long"))
+    ordered = queries.repartition("campaign_id").sortWithinPartitions("campaign_id", "query_no")
+    kinds = dict(queries.dtypes)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        accepted = 0
+        for batch in batches:
+            taken = []
+            for new, had in zip(batch["new"], batch["known"]):
+                asked = min(limit - accepted + had, per_search)
+                taken.append([p for p in new if p < asked][:max(0, limit - accepted)] if accepted < limit else [])
+                accepted += len(taken[-1])
+            yield batch[["campaign_id", "query_no"]].assign(position=taken)
+
+    taken = ordered.groupBy("campaign_id").applyInPandas(take, f"campaign_id {kinds['campaign_id']}, query_no {kinds['query_no']}, position {kinds['new']}")
+    return taken.select("campaign_id", "query_no", F.explode("position").alias("position"))

@@ -15,6 +15,7 @@ from leadloom.session import materialize
 from leadloom.sources.people import EXCLUDED_WORDS, FALLBACK_ROLES, TARGET_ROLES, classify_title
 
 MAX_CONTACTS, MAX_FALLBACK, MAX_TITLE = 4, 2, 80
+MAX_STORED_URLS, MAX_EVIDENCES, MAX_REASONING = 10, 3, 4000
 SECONDARY_DOMAIN, OBSERVED_FACTOR, INFERRED_FACTOR = 0.5, 0.70, 0.50
 SOURCE_BASE = {"website": "0.80", "search_ai": "0.65", "search_snippet": "0.50"}
 SENIORITY = {"executive": 0, "senior": 1}
@@ -180,11 +181,27 @@ def merge_people(mentions: DataFrame) -> DataFrame:
     # the best role wins the title: target first, then the lowest rank, then the first mention
     role = F.struct((F.col("kind") != "target").alias("k"), "rank", "pos")
     facts = F.struct("job_title", "kind", "rank", "role_name", "role_type")
-    return tagged.groupBy("business_id", F.col("entry").alias("person_key")).agg(
+    tagged = tagged.drop("person_key").withColumnRenamed("entry", "person_key")
+    person = ["business_id", "person_key"]
+    merged = tagged.groupBy(*person).agg(
         F.min("entry_pos").alias("arrival"), F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
-        F.min_by(F.struct("first_name", "last_name", "weak"), "pos").alias("p"), F.min_by(facts, role).alias("r"),
-        F.countDistinct("url").alias("n_sources"), F.max(_base("source")).alias("base"),
-    ).select("business_id", "person_key", "arrival", "name", "p.*", "r.*", "n_sources", "base")
+        F.min_by(F.struct("first_name", "last_name", "weak"), "pos").alias("p"), F.min_by(facts, role).alias("r"))
+    # a URL counts as the source it was first seen as; the best of those is the person's base
+    per_url = tagged.where(F.col("url").isNotNull()).groupBy(*person, "url").agg(F.min("pos").alias("at"), F.min_by("source", "pos").alias("source"))
+    sources = per_url.groupBy(*person).agg(F.count(F.lit(1)).alias("n_sources"), F.max(_base("source")).alias("base"))
+    told = tagged.where(F.coalesce("evidence", F.lit("")) != "").groupBy(*person, "evidence").agg(F.min("pos").alias("at"))
+    return (merged.join(sources, person, "left").join(_firsts(per_url, person, "url", MAX_STORED_URLS, "source_urls"), person, "left")
+            .join(_firsts(told, person, "evidence", MAX_EVIDENCES, "evidences"), person, "left")
+            .select(*person, "arrival", "name", "p.*", "r.*", F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), "base",
+                    F.coalesce("source_urls", F.array().cast("array<string>")).alias("source_urls"),
+                    F.coalesce("evidences", F.array().cast("array<string>")).alias("evidences")))
+
+
+def _firsts(rows: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
+    """The first k values of each group by ``at``, as an array; k rows of a group at most are collected."""
+    first = top_k(rows, keys, [F.col("at"), F.col(value)], k, "__place")
+    ordered = F.array_sort(F.collect_list(F.struct("__place", F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(ordered, lambda x: x["v"]).alias(name))
 
 
 def _base(column: str) -> Column:
@@ -326,7 +343,7 @@ def own_emails(people: DataFrame, found: DataFrame, domains: DataFrame) -> DataF
     own = found.select("business_id", "address", "source", "first_pos").distinct().where(~urls.is_role_based(F.col("address")))
     own = own.withColumns({"local": F.substring_index("address", "@", 1), "host": F.substring_index("address", "@", -1)})
     # a subdomain belongs to every parent of it
-    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.array_join(F.slice(F.split(F.col("host"), r"\."), i, 100), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.array_join(F.slice(F.split(F.col("host"), r"\."), i, F.size(F.split(F.col("host"), r"\."))), "."))
     owned = own.withColumn("domain", F.explode(parents)).join(domains.select("business_id", "domain"), ["business_id", "domain"], "left_semi")
     everywhere = own.join(domains.select("business_id").distinct(), "business_id", "left_anti").withColumn("domain", F.col("host"))
     usable = owned.unionByName(everywhere).select("business_id", "address", "source", "first_pos", "local").distinct()
@@ -396,7 +413,15 @@ def build_contacts(people: DataFrame, found: DataFrame, links: DataFrame, domain
     rows = rows.withColumns({
         "email": F.coalesce("own_email", "guess"), "email_source": F.coalesce("own_source", F.when(inferred, "inferred")),
         "raw_confidence": person_confidence(F.col("profile").isNotNull()) * factor})
-    return rank_contacts(rows)
+    urls_of = F.concat("source_urls", F.array_compact(F.array("profile")))
+    rows = rows.withColumns({"linkedin_url": F.col("profile"), "source_urls": F.slice(F.array_distinct(urls_of), 1, MAX_STORED_URLS + 1),
+                             "email_status": F.when(F.col("email").isNotNull(), "unverified")})
+    # the other guesses in order; an address found on the site is no guess, an inferred one stays among them
+    other = guesses.join(rows.select("person_id", "own_email"), "person_id").where(~F.col("email").eqNullSafe(F.col("own_email")))
+    listed = F.array_sort(F.collect_list(F.struct("position", "email", "pattern", "confidence")))
+    options = other.groupBy("person_id").agg(F.transform(listed, lambda c: F.struct(c["email"].alias("email"), c["pattern"].alias("pattern"),
+                                                                                   c["confidence"].alias("confidence"))).alias("candidate_emails"))
+    return rank_contacts(rows.join(options, "person_id", "left"))
 
 
 def rank_contacts(rows: DataFrame) -> DataFrame:
@@ -413,8 +438,12 @@ def rank_contacts(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("Selected as primary contact: "), "role_name", F.lit(" is the highest-ranked role found")))
     primary = F.concat(lead, F.when(F.size("team") > 1, F.concat(F.lit("; retained as secondary: "), others)).otherwise(""))
     secondary = F.concat(F.lit("Secondary contact ("), "role_name", F.lit("); primary is "), F.get("team", 0)["name"])
+    why = F.when(first, primary).otherwise(secondary)
+    if "evidences" in rows.columns:
+        why = F.left(F.concat(why, F.lit(". Evidence: "), F.array_join(F.slice("evidences", 1, MAX_EVIDENCES), " | ")), F.lit(MAX_REASONING))
+    more = [c for c in ("email_status", "linkedin_url", "source_urls", "candidate_emails") if c in rows.columns]
     return rows.select("business_id", "place", "name", "first_name", "last_name", "job_title", "role_type", "email", "email_source",
-                       "confidence", first.alias("is_primary"), F.when(first, primary).otherwise(secondary).alias("discovery_reasoning"))
+                       "confidence", first.alias("is_primary"), why.alias("discovery_reasoning"), *more)
 
 
 def rank_domain_people(people: DataFrame) -> DataFrame:
@@ -430,7 +459,7 @@ def rank_domain_people(people: DataFrame) -> DataFrame:
     usable = rows.where(F.col("kind") != "generic").unionByName(rows.where(F.col("kind") == "generic").join(personal, "business_id", "left_anti"))
     best = top_k(usable, ["business_id"], [F.asc("role_rank"), F.desc("confidence"), F.asc("pos")], MAX_CONTACTS, "place")
     title = F.coalesce("position", F.col("role.role_name"), F.when(F.col("generic"), "General address"))
-    sources = F.size("source_urls") if "source_urls" in people.columns else F.lit(0)
+    sources = F.col("n_sources") if "n_sources" in people.columns else F.size("source_urls") if "source_urls" in people.columns else F.lit(0)
     label = lookup(F.col("kind"), {"target": "highest-ranked role found", "fallback": "no target role, best fallback role",
                                    "other": "no matching role, most senior person", "generic": "no person, a general address"})
     why = F.concat(F.when(F.col("place") == 1, "Primary").otherwise("Secondary"), F.lit(" contact ("), label, F.lit("): found by Hunter's domain search ("),

@@ -131,10 +131,9 @@ def rating_bucket() -> Column:
 
 
 def reviews_bucket() -> Column:
-    """Disjoint buckets; a zero count is both "few" and "none" in the lists, here "none"."""
+    """The lists a business is in by its reviews; one with a known count of zero is in "few" and in "none"."""
     count = F.col("google_review_count")
-    return (F.when(count.isNull() | (count == 0), "none").when(count >= 100, "100").when(count >= 20, "20")
-            .otherwise("few"))
+    return F.when(count.isNull(), "none").when(count == 0, "few,none").when(count >= 100, "100").when(count >= 20, "20").otherwise("few")
 
 
 def research_bucket() -> Column:

@@ -192,10 +192,18 @@ def clamp_score(score: Column) -> Column:
 
 
 def apply_scores(prospects: DataFrame, scores: DataFrame, minimum: int, now: dt.datetime) -> DataFrame:
-    """Write scores (id, score, reasoning) while the prospect still waits for a decision."""
-    one = scores.groupBy("id").agg(F.max_by(F.struct(clamp_score(F.col("score")).alias("score"), F.left(F.trim(F.regexp_replace(
-        "reasoning", r"(?U)\s+", " ")), F.lit(2000)).alias("reasoning")), F.struct("score", "reasoning")).alias("__new"))
+    """Write scores (position, id, score, reasoning) in order while the prospect still waits for a decision.
+
+    A score below the minimum leaves a prospect open for the next; one that makes it ready closes it, so
+    the first of those counts, or else the last of all.
+    """
+    written = F.struct(clamp_score(F.col("score")).alias("score"),
+                       F.left(F.trim(F.regexp_replace("reasoning", r"(?U)\s+", " ")), F.lit(2000)).alias("reasoning"))
+    enough = F.when(clamp_score(F.col("score")) >= minimum, F.col("position"))
+    one = scores.groupBy("id").agg(F.min_by(written, enough).alias("__first"), F.max_by(written, "position").alias("__last"))
     rows = prospects.join(one, "id", "left")
+    closes = (F.col("email_status") == "deliverable") & F.col("__first").isNotNull()
+    rows = rows.withColumn("__new", F.when(closes, F.col("__first")).otherwise(F.col("__last"))).drop("__first", "__last")
     open_ = F.col("__new").isNotNull() & F.col("outreach_status").isin(*SCORABLE_OUTREACH)
     return rows.withColumns({
         "outreach_status": F.when(open_, decide(F.col("email_status"), F.col("__new.score"), minimum)).otherwise(F.col("outreach_status")),

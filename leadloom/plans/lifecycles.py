@@ -118,11 +118,11 @@ def advance_stage(v):
     return lifecycle.advance_stage(v.v_prospects, signals)
 
 
-_STOPS = "SELECT user_id AS prospect_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS reason FROM {events} WHERE event_type = 'purchase'"
+_STOPS = "SELECT event_id AS position, user_id AS prospect_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS reason FROM {events} WHERE event_type = 'purchase'"
 
 
 @query("stop_emails", "M5", f"""
-WITH s AS (SELECT prospect_id, coalesce(nullif(min(reason), ''), 'stopped') AS reason FROM ({_STOPS}) x GROUP BY 1)
+WITH s AS (SELECT prospect_id, coalesce(nullif(arg_min(reason, position), ''), 'stopped') AS reason FROM ({_STOPS}) x GROUP BY 1)
 SELECT e.id, CASE WHEN s.reason IS NOT NULL AND e.status IN ('in_review', 'approved', 'queued', 'failed') THEN 'rejected' ELSE e.status END AS status,
  CASE WHEN s.reason IS NOT NULL AND e.status IN ('in_review', 'approved', 'queued', 'failed') THEN 'Sequence stopped (' || s.reason || ').' END AS review_note,
  CASE WHEN s.reason IS NOT NULL AND e.status IN ('in_review', 'approved', 'queued', 'failed') THEN NULL ELSE strftime(scheduled_at, '%Y-%m-%d') END AS scheduled
@@ -133,7 +133,7 @@ def stop_emails(v):
 
 
 @query("stop_people", "M5", f"""
-WITH s AS (SELECT prospect_id, coalesce(nullif(min(reason), ''), 'stopped') AS reason FROM ({_STOPS}) x GROUP BY 1)
+WITH s AS (SELECT prospect_id, coalesce(nullif(arg_min(reason, position), ''), 'stopped') AS reason FROM ({_STOPS}) x GROUP BY 1)
 SELECT p.id, strftime(coalesce(p.sequence_stopped_at, CASE WHEN s.reason IS NOT NULL THEN {_NOW} END), '%Y-%m-%d') AS stopped,
  CASE WHEN p.sequence_stopped_at IS NULL THEN coalesce(s.reason, p.sequence_stop_reason) ELSE p.sequence_stop_reason END AS sequence_stop_reason
 FROM {{v_prospects}} p LEFT JOIN s ON s.prospect_id = p.id""")
@@ -184,17 +184,23 @@ def mark_business_replied(v):
     return lifecycle.mark_business_replied(v.v_emails_of, v.v_businesses.select(F.col("id").alias("business_id")))
 
 
-_REVIEWS = """SELECT o_orderkey AS prospect_id, CASE WHEN o_orderkey % 3 = 0 THEN 'reject' ELSE 'approve' END AS action FROM {orders}"""
+_REVIEWS = """SELECT l_orderkey AS prospect_id, l_linenumber AS position, CASE WHEN (l_orderkey + 2 * l_linenumber) % 3 = 0 THEN 'reject' ELSE 'approve' END AS action FROM {lineitem}"""
 
 
 @query("review_prospects", "M9 U6", f"""
-SELECT x.prospect_id, x.action, done, CASE WHEN done THEN CASE x.action WHEN 'approve' THEN 'ready' ELSE 'rejected' END ELSE outreach_status END AS outreach_status,
- CASE WHEN done THEN x.action = 'approve' ELSE approved_by_person END AS approved_by_person
-FROM (SELECT r.*, p.outreach_status, p.approved_by_person, CASE r.action WHEN 'approve' THEN p.outreach_status IN ('needs_review', 'pending', 'rejected')
-   AND p.email_status <> 'undeliverable' ELSE p.outreach_status <> 'contacted' END AS done
- FROM ({_REVIEWS}) r JOIN {{v_prospects}} p ON p.id = r.prospect_id) x""")
+WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY position) AS n FROM ({_REVIEWS}) r),
+f(prospect_id, n, action, done, outreach_status, approved_by_person, email_status) AS (
+  SELECT id, 0::bigint, NULL::varchar, NULL::boolean, outreach_status, approved_by_person, email_status FROM {{v_prospects}}
+  UNION ALL
+  SELECT prospect_id, n, action, ok, CASE WHEN ok THEN CASE action WHEN 'approve' THEN 'ready' ELSE 'rejected' END ELSE outreach_status END,
+    CASE WHEN ok THEN action = 'approve' ELSE approved_by_person END, email_status
+  FROM (SELECT f.prospect_id, c.n, c.action, f.outreach_status, f.approved_by_person, f.email_status, CASE c.action WHEN 'approve'
+      THEN f.outreach_status IN ('needs_review', 'pending', 'rejected') AND coalesce(f.email_status, '') <> 'undeliverable' ELSE f.outreach_status <> 'contacted' END AS ok
+    FROM f JOIN c ON c.prospect_id = f.prospect_id AND c.n = f.n + 1) x),
+l AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY n DESC) AS last FROM f)
+SELECT l.prospect_id, l.action, outreach_status, approved_by_person FROM l WHERE last = 1 AND n > 0""")
 def review_prospects(v):
-    return lifecycle.review_prospects(v.v_prospects, v.sql(_REVIEWS))
+    return lifecycle.review_prospects(v.v_prospects, v.sql(_REVIEWS)).drop("done")
 
 
 @query("mark_do_not_contact", "M9", """

@@ -161,15 +161,23 @@ def backfill_place_ids(v):
 
 
 @query("remaining_demand", "O7", """
-SELECT campaign_id, query_no, position FROM (SELECT *, coalesce(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY campaign_id ORDER BY query_no, position
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
- FROM (SELECT o_custkey % 25 AS campaign_id, o_orderkey // 200 AS query_no, o_orderkey % 200 AS position, o_orderkey % 3 = 0 AS is_new FROM {orders}) x) y
-WHERE is_new AND before < 17""")
+WITH RECURSIVE x AS (SELECT o_custkey % 25 AS campaign_id, o_orderkey // 200 AS query_no, o_orderkey % 200 AS position, o_orderkey % 3 = 0 AS is_new FROM {orders}),
+q AS MATERIALIZED (SELECT campaign_id, query_no, row_number() OVER (PARTITION BY campaign_id ORDER BY query_no) AS n,
+  list(position ORDER BY position) FILTER (WHERE is_new) AS fresh FROM x WHERE position < 150 GROUP BY 1, 2),
+f(campaign_id, n, query_no, taken, accepted) AS (
+  SELECT DISTINCT campaign_id, 0::bigint, NULL::bigint, []::bigint[], 0::bigint FROM q
+  UNION ALL
+  SELECT campaign_id, n, query_no, t, accepted + len(t)
+  FROM (SELECT f.campaign_id, q.n, q.query_no, f.accepted, (SELECT coalesce(list(p ORDER BY p), []) FROM (SELECT unnest(q.fresh) AS p ORDER BY p) u
+      WHERE p < least(100 - f.accepted + f.campaign_id % 4, 150))[1:100 - f.accepted] AS t
+    FROM f JOIN q ON q.campaign_id = f.campaign_id AND q.n = f.n + 1 WHERE f.accepted < 100) s)
+SELECT campaign_id, query_no, unnest(taken) AS position FROM f WHERE n > 0""")
 def remaining_demand(v):
     key = F.col("o_orderkey")
     results = v.orders.select((F.col("o_custkey") % 25).alias("campaign_id"), F.floor(key / 200).alias("query_no"),
                               (key % 200).alias("position"), (key % 3 == 0).alias("is_new"))
-    return listings.remaining_demand(results, 17).select("campaign_id", "query_no", "position")
+    known = v.nation.select(F.col("n_nationkey").cast("long").alias("campaign_id"), (F.col("n_nationkey") % 4).alias("known"))
+    return listings.remaining_demand(results, known, 100, 150).select("campaign_id", "query_no", "position")
 
 
 @query("search_queries", "U1 X34", """

@@ -88,9 +88,14 @@ WITH m AS (SELECT o_custkey AS business_id, o_orderkey AS pos, 'https://s.org/'
   ['Ann', 'Omar', 'Lena'][o_orderkey % 3 + 1] AS f, ['Lee', 'Khan'][(o_orderkey // 3) % 2 + 1] AS l, o_orderkey % 4 = 0 AS longer, o_orderkey % 2 = 0 AS target FROM {orders})
 SELECT business_id, lower(f || '|' || l) AS person_key, min(pos) AS arrival, CASE WHEN bool_or(longer) THEN f || ' Rose ' || l ELSE f || ' ' || l END AS name,
  CASE WHEN bool_or(target) THEN 'Owner' ELSE 'Dentist' END AS job_title, CASE WHEN bool_or(target) THEN 'target' ELSE 'fallback' END AS kind,
- count(DISTINCT url) AS n_sources, cast(max(base) AS decimal(3, 2)) AS base FROM m GROUP BY business_id, f, l""")
+ any_value(n_sources) AS n_sources, any_value(best) AS base, any_value(source_urls) AS source_urls, any_value(evidences) AS evidences
+FROM m JOIN (SELECT business_id, f, l, count(*) AS n_sources, cast(max(base) AS decimal(3, 2)) AS best, string_agg(url, ' ' ORDER BY first_at) AS source_urls
+  FROM (SELECT business_id, f, l, url, min(pos) AS first_at, arg_min(base, pos) AS base FROM m GROUP BY 1, 2, 3, 4) u GROUP BY 1, 2, 3) s USING (business_id, f, l)
+JOIN (SELECT business_id, f, l, string_agg('e' || pos, ' | ' ORDER BY pos) AS evidences FROM (SELECT *, row_number() OVER (PARTITION BY business_id, f, l ORDER BY pos) AS n FROM m) e
+  WHERE n <= 3 GROUP BY 1, 2, 3) t USING (business_id, f, l) GROUP BY business_id, f, l""")
 def merged_people(v):
-    return people.merge_people(_mentions(v)).select("business_id", "person_key", "arrival", "name", "job_title", "kind", "n_sources", "base")
+    return people.merge_people(_mentions(v)).select("business_id", "person_key", "arrival", "name", "job_title", "kind", "n_sources", "base",
+                                                    F.array_join("source_urls", " ").alias("source_urls"), F.array_join("evidences", " | ").alias("evidences"))
 
 
 @query("merged_emails", "A16", """

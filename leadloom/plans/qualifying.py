@@ -35,7 +35,7 @@ def qualification_labels(v):
 WITH f AS (SELECT * FROM ({JOINED}) j JOIN ({CHILDREN}) k ON k.business_id = j.id)
 SELECT id, CASE WHEN qualification_score >= 80 THEN '80' WHEN qualification_score >= 50 THEN '50' WHEN qualification_score < 50 THEN 'low' ELSE 'none' END AS score,
  CASE WHEN google_rating >= 4.5 THEN '45' WHEN google_rating >= 4 THEN '40' WHEN google_rating < 4 THEN 'low' ELSE 'none' END AS rating,
- CASE WHEN coalesce(google_review_count, 0) = 0 THEN 'none' WHEN google_review_count >= 100 THEN '100' WHEN google_review_count >= 20 THEN '20' ELSE 'few' END AS reviews,
+ CASE WHEN google_review_count IS NULL THEN 'none' WHEN google_review_count = 0 THEN 'few,none' WHEN google_review_count >= 100 THEN '100' WHEN google_review_count >= 20 THEN '20' ELSE 'few' END AS reviews,
  CASE WHEN profile_status IS NULL OR profile_status = 'pending' THEN 'none' ELSE profile_status END AS research,
  CASE contact_discovery_status WHEN 'completed' THEN 'found' WHEN 'no_contacts' THEN 'none' ELSE 'todo' END AS discovery,
  CASE WHEN coalesce(website_url, '') <> '' THEN 'yes' ELSE 'no' END AS website,

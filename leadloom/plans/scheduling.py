@@ -144,8 +144,7 @@ def schedule_pool(v):
     campaign = v.v_campaigns.select(F.col("id").alias("discovery_campaign_id"), "send_timezone")
     zone = v.v_businesses.select(F.col("id").alias("business_id"), "discovery_campaign_id").join(campaign, "discovery_campaign_id")
     active = v.v_mailboxes.where("is_active")
-    boxes = active.agg(F.array_sort(F.collect_list(F.struct("priority", "id")))).scalar()
-    ids = F.transform(boxes, lambda b: b["id"])
+    ids = active.agg(F.array_sort(F.collect_list("id"))).scalar()
     dealt = F.element_at(ids, (1 + F.pmod(F.xxhash64("id"), F.size(ids))).cast("int"))
     approved = v.v_emails_of.where(F.col("status") == "approved").select("id", "business_id")
     requests = approved.join(due, "id").join(zone, "business_id").select(

@@ -177,15 +177,24 @@ def scoring_context(v):
                        "c.contact.job_title", F.size("c.other_addresses_at_this_business").alias("others"))
 
 
-@query("score_gate", "M10 X23 X24", """
-WITH s AS (SELECT id, max(least(greatest(o - 20, 0), 100)) AS score FROM (SELECT id, id * 7 % 140 AS o FROM {v_prospects} WHERE id % 3 <> 0) x GROUP BY 1)
-SELECT p.id, CASE WHEN hit THEN CASE WHEN email_status = 'deliverable' AND s.score >= 60 THEN 'ready' ELSE 'needs_review' END ELSE outreach_status END AS outreach_status,
- CASE WHEN hit THEN s.score ELSE email_score END AS email_score, CASE WHEN hit THEN 'looks right' END AS email_score_reason
-FROM (SELECT *, outreach_status IN ('pending', 'needs_review') AND id % 3 <> 0 AS hit FROM {v_prospects}) p LEFT JOIN s ON s.id = p.id""")
+_SCORES = """SELECT l_orderkey AS id, l_linenumber AS position, (l_orderkey * 7 + l_linenumber * 31) % 140 - 20 AS score,
+ CASE WHEN l_linenumber % 2 = 0 THEN '  looks   right ' ELSE 'no' END AS reasoning FROM {lineitem}"""
+
+
+@query("score_gate", "M10 X23 X24", f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS n FROM ({_SCORES}) r),
+f(id, n, outreach_status, email_score, email_score_reason, email_status) AS (
+  SELECT id, 0::bigint, outreach_status, email_score, NULL::varchar, email_status FROM {{v_prospects}}
+  UNION ALL
+  SELECT f.id, c.n, CASE WHEN f.outreach_status IN ('pending', 'needs_review')
+      THEN CASE WHEN f.email_status = 'deliverable' AND least(greatest(c.score, 0), 100) >= 60 THEN 'ready' ELSE 'needs_review' END ELSE f.outreach_status END,
+    CASE WHEN f.outreach_status IN ('pending', 'needs_review') THEN least(greatest(c.score, 0), 100) ELSE f.email_score END,
+    CASE WHEN f.outreach_status IN ('pending', 'needs_review') THEN regexp_replace(trim(c.reasoning), ' +', ' ') ELSE f.email_score_reason END, f.email_status
+  FROM f JOIN c ON c.id = f.id AND c.n = f.n + 1)
+SELECT id, arg_max(outreach_status, n) AS outreach_status, max_by(struct_pack(v := email_score), n).v AS email_score,
+ max_by(struct_pack(v := email_score_reason), n).v AS email_score_reason FROM f GROUP BY id""")
 def score_gate(v):
-    scores = v.v_prospects.where(F.col("id") % 3 != 0).select(
-        "id", (F.col("id") * 7 % 140 - 20).cast("int").alias("score"), F.lit("  looks \n right ").alias("reasoning"))
-    return verify.apply_scores(v.v_prospects, scores, 60, NOW).select("id", "outreach_status", "email_score", "email_score_reason")
+    return verify.apply_scores(v.v_prospects, v.sql(_SCORES), 60, NOW).select("id", "outreach_status", "email_score", "email_score_reason")
 
 
 @query("verification_queue", "F9 O3", """

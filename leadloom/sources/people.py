@@ -82,7 +82,7 @@ def ingest_domain_people(responses: DataFrame, column: str = "raw") -> DataFrame
         *[c for c in responses.columns if c != column], "pos", "email", F.coalesce(name, "email").alias("name"), first.alias("first_name"),
         last.alias("last_name"), squeeze(F.col("e.position")).alias("position"), F.col("e.seniority").alias("seniority"),
         ((F.coalesce("e.type", F.lit("")) == "generic") | name.isNull()).alias("generic"), F.col("e.linkedin").alias("linkedin_url"),
-        F.slice(urls, 1, 10).alias("source_urls"), F.round(confidence / 100, 3).cast("decimal(4,3)").alias("confidence"))
+        F.slice(urls, 1, 10).alias("source_urls"), F.size(urls).alias("n_sources"), F.round(confidence / 100, 3).cast("decimal(4,3)").alias("confidence"))
 
 
 def ingest_search_results(answers: DataFrame, column: str = "raw", best: int = MAX_SEARCH_RESULTS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import let
@@ -127,10 +127,45 @@ def fill(template: str, values: str) -> tuple[Column, Column]:
     return F.concat(*pieces), gaps
 
 
+def tokenised(text: Column) -> Column:
+    """A template text as struct(literals, variables): one literal more than variables, which have a name and maybe a fallback."""
+    text = F.coalesce(text, F.lit(""))
+    whole, names, fallbacks = (F.regexp_extract_all(text, F.lit(VARIABLE), F.lit(i)) for i in range(3))
+    found = F.arrays_zip(whole.alias("whole"), names.alias("name"), fallbacks.alias("fallback"))
+    variables = F.transform(found, lambda v: F.struct(
+        v["name"].alias("name"), F.when(F.contains(v["whole"], F.lit("|")), strip(v["fallback"])).alias("fallback")))
+    return F.struct(F.split(text, VARIABLE, -1).alias("literals"), variables.alias("variables"))
+
+
+def fill_tokens(tokens: Column, values: Column) -> tuple[Column, Column]:
+    """What ``fill`` does, with a tokenised template that may differ from row to row."""
+    def value(v: Column) -> Column:
+        return F.try_element_at(values, v["name"])
+
+    filled = F.transform(tokens["variables"], lambda v: F.coalesce(value(v), v["fallback"], F.lit("")))
+    text = F.array_join(F.zip_with(tokens["literals"], filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    gaps = F.filter(tokens["variables"], lambda v: value(v).isNull() & v["fallback"].isNull())
+    return text, F.array_distinct(F.transform(gaps, lambda v: v["name"]))
+
+
+def render_rows(rows: DataFrame, templates: DataFrame, values: str, template_id: str = "template_id", out: str = "draft") -> DataFrame:
+    """Rows with the draft of their own template (templates: id, subject, body), as ``render`` gives it.
+
+    Templates are cut once each, not once a row. A row whose template is NULL or unknown gets a NULL draft.
+    """
+    cut = templates.select(F.col("id").alias("__template"), tokenised(F.col("subject")).alias("__subject"), tokenised(F.col("body")).alias("__body"))
+    joined = rows.join(cut, F.col(template_id) == F.col("__template"), "left")
+    subject, body = fill_tokens(F.col("__subject"), F.col(values)), fill_tokens(F.col("__body"), F.col(values))
+    draft = F.when(F.col("__template").isNotNull(), _draft(*subject, *body))
+    return joined.withColumn(out, draft).drop("__template", "__subject", "__body")
+
+
 def render(subject: str, body: str, values: str) -> Column:
     """struct(subject, body, missing); the texts are NULL (the email is held) when anything is missing."""
-    subject_text, subject_gaps = fill(subject, values)
-    body_text, body_gaps = fill(body, values)
+    return _draft(*fill(subject, values), *fill(body, values))
+
+
+def _draft(subject_text: Column, subject_gaps: Column, body_text: Column, body_gaps: Column) -> Column:
     subject_text, body_text = squeeze(subject_text), strip(body_text)
     gaps = F.array_union(subject_gaps, body_gaps)
     empty = F.when(subject_text == "", F.array(F.lit("subject"))).when(body_text == "", F.array(F.lit("body")))

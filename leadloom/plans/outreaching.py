@@ -106,6 +106,37 @@ def template_fill(v):
         F.col("draft.subject").alias("subject"), F.col("draft.body").alias("body"))
 
 
+# braces would name tables here, so variables stand in << >>
+_TEMPLATES = """SELECT * FROM (VALUES (cast(1 AS bigint), 'Hello << business_name >>', 'Dear <<first_name|friend>>,<<nothing|>> is <<city>> home?'),
+ (2, '<<city|Your town>> and <<category>>', 'Rated <<google_rating|n/a>> by <<google_review_count|nobody>>.  '), (11, 'Again', '<<greeting>> <<website>>'),
+ (12, 'Re <<campaign_name|us>>', 'x'), (13, 'Third << city >>', '<<job_title|you>><<city>>'), (14, '', 'no subject'), (21, 'Two one', 'b <<business_name>>')) t(id, subject, body)"""
+_CHOSEN = f"SELECT f.*, cast(1 + id % 4 AS bigint) AS email_sequence_id, cast(id % 5 AS int) AS sequence FROM ({_FACTS}) f"
+
+
+@query("row_templates", "J4 X26 X25", f"""
+WITH c AS (SELECT c.*, CASE WHEN c.sequence = 0 THEN s.initial_template_id ELSE f.template_id END AS template_id FROM ({_CHOSEN}) c
+  LEFT JOIN {{v_sequences}} s ON s.id = c.email_sequence_id LEFT JOIN {{v_follow_ups}} f ON f.sequence_id = c.email_sequence_id AND f.sequence = c.sequence),
+g AS (SELECT *, CASE id % 4 WHEN 0 THEN 'Ann' WHEN 3 THEN 'Bo' END AS first, nullif(city, '') AS town, CASE WHEN id % 3 = 0 THEN 'Owner' END AS title,
+  nullif(website_url, '') AS site, regexp_replace(cast(google_rating AS varchar), '\\.0$', '') AS stars FROM c),
+t AS (SELECT *, CASE template_id WHEN 1 THEN CASE WHEN town IS NULL THEN 'city' END WHEN 11 THEN CASE WHEN site IS NULL THEN 'website' END
+    WHEN 13 THEN CASE WHEN town IS NULL THEN 'city' END WHEN 14 THEN 'subject' END AS missing FROM g)
+SELECT id, template_id, missing,
+ CASE WHEN missing IS NULL THEN CASE template_id WHEN 1 THEN 'Hello ' || business_name WHEN 2 THEN coalesce(town, 'Your town') || ' and ' || category
+   WHEN 11 THEN 'Again' WHEN 12 THEN 'Re us' WHEN 13 THEN 'Third ' || town WHEN 21 THEN 'Two one' END END AS subject,
+ CASE WHEN missing IS NULL THEN CASE template_id WHEN 1 THEN 'Dear ' || coalesce(first, 'friend') || ', is ' || town || ' home?'
+   WHEN 2 THEN 'Rated ' || coalesce(stars, 'n/a') || ' by ' || coalesce(cast(google_review_count AS varchar), 'nobody') || '.'
+   WHEN 11 THEN CASE WHEN first IS NULL THEN 'Hi' ELSE 'Hi ' || first || ',' END || ' ' || site WHEN 12 THEN 'x' WHEN 13 THEN coalesce(title, 'you') || town
+   WHEN 21 THEN 'b ' || business_name END END AS body FROM t""")
+def row_templates(v):
+    """From prospect facts through the template each row resolves to, to its text."""
+    resolved = outreach.resolve_template(v.sql(_CHOSEN), v.v_sequences, v.v_follow_ups)
+    rows = resolved.withColumn("values", templates.variables(sender_name="The team", sender_company="Us"))
+    braces = {c: F.replace(F.replace(F.col(c), F.lit("<<"), F.lit("{{")), F.lit(">>"), F.lit("}}")) for c in ("subject", "body")}
+    drafted = templates.render_rows(rows, v.sql(_TEMPLATES).withColumns(braces), "values")
+    return drafted.select("id", "template_id", F.when(F.size("draft.missing") > 0, F.array_join("draft.missing", ",")).alias("missing"),
+                          F.col("draft.subject").alias("subject"), F.col("draft.body").alias("body"))
+
+
 @query("template_problems", "X27", """
 WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Dear {{first_name}} ' WHEN 1 THEN '{{nobody|x}} and {{ city }} ' WHEN 2 THEN '{{previous_subject}} '
    WHEN 3 THEN '{{City}} is {{broken ' ELSE 'plain ' END || lang AS text FROM {documents})

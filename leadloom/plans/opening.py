@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from leadloom.functions import templates
 from leadloom.plans.registry import query
 from leadloom.streaming import opens
 
@@ -30,7 +31,12 @@ def fixed_window_limit(v):
 @query("limited_requests", "T1 S10", "WITH RECURSIVE " + _T1.replace("@t", "t").replace("@k", "token_key") + ",\n" + _T1.replace("@t", "i").replace("@k", "ip")
        + " SELECT t_f.id, t_f.hits <= 2 AND i_f.hits <= 20 AS admitted FROM t_f JOIN i_f ON i_f.id = t_f.id")
 def limited_requests(v):
-    return opens.limit_requests(_hits(v), 20, 2, DAY).select("id", "admitted")
+    """The opens as the image requests that they were, read back."""
+    token = templates.tracking_token(F.col("token_key"), "salt")
+    requests = v.v_opens.select("id", F.lit("GET").alias("method"), F.concat(F.lit("/email/footer/"), token, F.lit(".png")).alias("path"),
+                                F.concat(F.lit(" "), "ip", F.lit(", 10.0.0.1")).alias("forwarded_for"), F.lit("10.0.0.2").alias("real_ip"),
+                                F.lit("reader").alias("user_agent"), F.col("opened_at").alias("ts"))
+    return opens.limit_requests(opens.read_open_requests(requests), 20, 2, DAY).select("id", "admitted")
 
 
 _T2 = """q AS MATERIALIZED (SELECT token_key * 10 + 1 AS k, row_number() OVER (PARTITION BY token_key ORDER BY opened_at, id) AS n, id, opened_at AS ts
@@ -47,7 +53,14 @@ def _emails(v):
     return v.v_emails.withColumn("tracking_token", F.floor(F.col("id") / 10)).where(F.col("sequence_step") == 1)
 
 
-@query("recorded_opens", "T2 T8", "WITH RECURSIVE " + _T2 + " SELECT id, k AS email_id FROM f WHERE ok")
+@query("deduplicated_opens", "T8", "WITH RECURSIVE " + _T2 + " SELECT id, k AS email_id FROM f WHERE ok")
+def deduplicated_opens(v):
+    """Every open delivered twice counts once."""
+    twice = _hits(v).unionByName(_hits(v))
+    return opens.recorded_opens(opens.once(twice), _emails(v), 2, DAY).select("id", "email_id")
+
+
+@query("recorded_opens", "T2", "WITH RECURSIVE " + _T2 + " SELECT id, k AS email_id FROM f WHERE ok")
 def recorded_opens(v):
     return opens.recorded_opens(_hits(v), _emails(v), 2, DAY).select("id", "email_id")
 

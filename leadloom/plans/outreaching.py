@@ -139,14 +139,14 @@ def row_templates(v):
 
 @query("template_problems", "X27", """
 WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Dear {{first_name}} ' WHEN 1 THEN '{{nobody|x}} and {{ city }} ' WHEN 2 THEN '{{previous_subject}} '
-   WHEN 3 THEN '{{City}} is {{broken ' ELSE 'plain ' END || lang AS text FROM {documents})
+   WHEN 3 THEN '{{City}} is {{broken ' ELSE 'plain ' END || text AS text FROM {documents})
 SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'unknown variable nobody' WHEN 2 THEN 'previous_subject only exists in follow-ups'
    WHEN 3 THEN 'broken variable {{City}}' ELSE '' END AS problems,
   CASE doc_id % 5 WHEN 0 THEN 'first_name' WHEN 1 THEN 'nobody,city' WHEN 2 THEN 'previous_subject' ELSE '' END AS used FROM t""")
 def template_problems(v):
     kind = F.col("doc_id") % 5
     text = F.concat(F.when(kind == 0, "Dear {{first_name}} ").when(kind == 1, "{{nobody|x}} and {{ city }} ")
-                    .when(kind == 2, "{{previous_subject}} ").when(kind == 3, "{{City}} is {{broken ").otherwise("plain "), F.col("lang"))
+                    .when(kind == 2, "{{previous_subject}} ").when(kind == 3, "{{City}} is {{broken ").otherwise("plain "), F.col("text"))
     rows = v.documents.select("doc_id", text.alias("text"))
     return rows.select("doc_id", F.array_join(templates.problems("text", ["first_name", "city", "previous_subject"], follow_up=False), "; ").alias("problems"),
                        F.array_join(templates.used_variables("text"), ",").alias("used"))

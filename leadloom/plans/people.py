@@ -1,10 +1,13 @@
 """Decision-maker queries; people and texts are made from the customer rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadloom.functions import names, places
 from leadloom.operators import people
 from leadloom.plans.registry import query
+from leadloom.session import ensure_checkpoint_dir
 from leadloom.sources import people as provider
 
 FIRST = ("Ann", "Omar", "Élise", "Syed", "Mary")
@@ -46,6 +49,27 @@ def classified_titles(v):
     return rows.select("id", "r.kind", "r.rank", "r.role_name")
 
 
+@query("titles_by_own_roles", "S9 J9", """
+SELECT c_custkey AS id, CASE n_regionkey WHEN 0 THEN 'target' WHEN 1 THEN 'target' WHEN 2 THEN 'fallback' WHEN 3 THEN 'excluded' END AS kind,
+ CASE WHEN n_regionkey < 2 THEN (SELECT count(*) FROM {nation} m WHERE m.n_regionkey < 2 AND m.n_nationkey < n.n_nationkey) WHEN n_regionkey = 2 THEN 50 WHEN n_regionkey = 3 THEN 99 END AS rank,
+ CASE WHEN n_regionkey < 3 THEN n_name END AS role_name
+FROM {customer} JOIN {nation} n ON n_nationkey = c_nationkey""")
+def titles_by_own_roles(v):
+    """A roles file made of the nations, written and loaded, against titles that name a nation."""
+    def listed(test):
+        role = F.struct(F.col("n_name").alias("name"), F.lit("seller").alias("role_type"), F.array(F.concat(F.lower("n_name"), F.lit("/desk"))).alias("keywords"))
+        return F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("n_nationkey", role.alias("r"))))), lambda x: x["r"])
+
+    region = F.col("n_regionkey")
+    folder = f"{ensure_checkpoint_dir(v.nation.sparkSession)}/roles-{uuid.uuid4().hex}"
+    v.nation.agg(listed(region < 2).alias("target_roles"), listed(region == 2).alias("fallback_roles"),
+                 F.collect_list(F.when(region == 3, F.concat(F.lower("n_name"), F.lit(" desk")))).alias("exclude_keywords")).coalesce(1).write.json(folder)
+    roles = provider.load_roles(v.nation.sparkSession, folder)
+    rows = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("Head, "), F.col("n_name"), F.lit("-Desk ")).alias("title"))
+    return provider.classify_by_roles(rows, "title", roles).select("id", "role.kind", "role.rank", "role.role_name")
+
+
 @query("extracted_people", "X15 X18", f"""
 WITH w AS (SELECT *, f || ' ' || l AS whole FROM ({_WHO}) x)
 SELECT id AS business_id, 0 AS shape, whole AS name, 'Practice Owner' AS job_title, 0 AS rank, 'Dr. ' || whole || ', DDS , Practice Owner since 2001' AS evidence FROM w WHERE f <> 'Élise' AND l <> 'Müller'
@@ -63,7 +87,11 @@ def extracted_people(v):
 
 @query("extracted_from_documents", "X15")
 def extracted_from_documents(v):
-    texts = v.documents.select("doc_id", "text", F.lit("Smile Dental").alias("business_name"))
+    """Names of two capitalised words of each document, in the shapes a website has them, before its own text."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,9})\b")), lambda w: w != "")
+    name = F.concat(F.try_element_at(words, F.lit(1)), F.lit(" "), F.try_element_at(words, F.lit(-1)))
+    said = F.concat(name, F.lit(", CEO and founder\n\nDr. "), name, F.lit(", BDS\nPrincipal Dentist\n"), F.col("text"))
+    texts = v.documents.select("doc_id", F.coalesce(said, F.col("text")).alias("text"), F.lit("Smile Dental").alias("business_name"))
     return people.extract_people(texts, ["doc_id"]).select("doc_id", "shape", "name", "job_title")
 
 

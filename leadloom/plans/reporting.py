@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import lifecycle, qualify, reports
 from leadloom.operators.outreach import ready_prospects
 from leadloom.plans.registry import query
+from leadloom.sources.report import usage_log
 from leadloom.schemas import EMAIL_STATUSES, PIPELINE_STAGES
 
 NOW = dt.datetime(2024, 1, 2, 12, 0, 0)
@@ -108,7 +109,7 @@ _USAGE_SUMS = """cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(out
 SELECT action, provider, model, grouping(action) = 1 AS is_total, {_USAGE_SUMS}
 FROM {{v_usage}} GROUP BY GROUPING SETS ((), (action, provider, model))""")
 def usage_summary(v):
-    return reports.usage_summary(v.v_usage)
+    return reports.usage_summary(usage_log(v.v_usage.withColumn("detail", F.lit(None).cast("string"))))
 
 
 @query("usage_by_day_range", "F21 A4", f"""

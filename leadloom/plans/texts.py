@@ -65,12 +65,16 @@ def document_emails(v):
     return v.documents.select("doc_id", F.explode(urls.extract_emails(F.col("text"))).alias("email"))
 
 
-@query("document_email_kinds", "X19", r"""
-SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS role_based FROM {conversations}""")
+@query("document_email_kinds", "X19 X16", r"""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Info@' WHEN 1 THEN 'front-desk@' WHEN 2 THEN split_part(email, '@', 1) || '@' ELSE 'no.reply@' END || split_part(email, '@', 2) AS email,
+ doc_id % 4 <> 2 AS role_based
+FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b'))) AS email FROM {documents}) x""")
 def document_email_kinds(v):
-    kind = F.col("conv_id") % 4
-    address = F.when(kind == 0, "Info@x.org").when(kind == 1, "no.reply@x.org").when(kind == 2, F.concat(F.lit("ann"), F.col("conv_id").cast("string"), F.lit("@x.org"))).otherwise("front-desk@x.org")
-    return v.conversations.select("conv_id", "turn", urls.is_role_based(address).alias("role_based"))
+    """Addresses of the documents, three in four moved to a role of their domain."""
+    found = v.documents.select("doc_id", F.explode(urls.extract_emails(F.col("text"))).alias("email"))
+    kind, domain = F.col("doc_id") % 4, F.substring_index("email", "@", -1)
+    address = F.when(kind == 2, F.col("email")).otherwise(F.concat(F.when(kind == 0, "Info@").when(kind == 1, "front-desk@").otherwise("no.reply@"), domain))
+    return found.select("doc_id", address.alias("email")).withColumn("role_based", urls.is_role_based(F.col("email")))
 
 
 @query("normalized_texts", "X1", r"""
@@ -86,10 +90,13 @@ def ascii_texts(v):
 
 
 @query("cleaned_markdown", "X18", r"""
-SELECT doc_id, 'see the site ' || doc_id || ', here' || chr(10) || 'Bold title' || chr(10) || 'x y' AS text FROM {documents}""")
+SELECT doc_id, 'see the site ' || doc_id || ', here' || chr(10) || 'Bold title' || chr(10) || 'x y' || chr(10) ||
+ array_to_string(list_transform(string_split_regex(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'),
+  '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://[^\s]+', ' ', 'g'), '|', ', '), '[#*_`>]+', ' ', 'g'), '\r\n|[\n\r]'),
+  lambda line: trim(regexp_replace(line, '\s+', ' ', 'g'))), chr(10)) AS text FROM {documents}""")
 def cleaned_markdown(v):
     key = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("![logo](a.png) see [the site "), key, F.lit("](https://x.org/a)|here https://y.org/z?q=1 \n## **Bold**   title\n> `x`  y "))
+    raw = F.concat(F.lit("![logo](a.png) see [the site "), key, F.lit("](https://x.org/a)|here https://y.org/z?q=1 \n## **Bold**   title\n> `x`  y \n"), F.col("text"))
     return v.documents.select("doc_id", text.clean_markdown(raw).alias("text"))
 
 

@@ -30,20 +30,34 @@ EXCLUDED_WORDS = ("associate", "hygienist", "receptionist", "assistant", "front
 
 
 def load_roles(spark: SparkSession, path: str) -> DataFrame:
-    """A roles file (target_roles, fallback_roles, exclude_keywords) as rows (kind, rank, name, role_type, keyword)."""
+    """A roles file (target_roles, fallback_roles, exclude_keywords) as rows (kind, rank, name, role_type, keyword, place in the file)."""
     role = "array<struct<name:string,role_type:string,keywords:array<string>>>"
     raw = spark.read.schema(f"target_roles {role}, fallback_roles {role}, exclude_keywords array<string>").option("multiLine", True).json(path)
 
     def rows(column: str, kind: str, rank: Column) -> DataFrame:
         return raw.select(F.posexplode(column).alias("at", "r")).select(
-            F.lit(kind).alias("kind"), rank.alias("rank"), "r.name", "r.role_type", F.explode("r.keywords").alias("keyword"))
+            F.lit(kind).alias("kind"), rank.alias("rank"), "r.name", "r.role_type", F.explode("r.keywords").alias("keyword"), F.col("at").alias("place"))
 
     excluded = raw.select(F.lit("excluded").alias("kind"), F.lit(99).alias("rank"), F.lit(None).cast("string").alias("name"),
-                          F.lit("other").alias("role_type"), F.explode("exclude_keywords").alias("keyword"))
+                          F.lit("other").alias("role_type"), F.explode("exclude_keywords").alias("keyword"), F.lit(0).alias("place"))
     every = rows("target_roles", "target", F.col("at")).unionByName(rows("fallback_roles", "fallback", F.lit(50))).unionByName(excluded)
     return every.withColumn("keyword", F.trim(F.regexp_replace(F.lower("keyword"), r"[\s\-/]+", " ")))
 
 
+def classify_by_roles(rows: DataFrame, title: str, roles: DataFrame, out: str = "role") -> DataFrame:
+    """Rows with struct(kind, rank, role_name, role_type) of a title by the roles given (see ``load_roles``), as
+    ``classify_title`` does by its own. The roles are a file's, so they reach every row as one array."""
+    step = F.when(F.col("kind") == "target", 0).when(F.col("kind") == "excluded", 1).otherwise(2)
+    role = F.struct(step.alias("step"), "place", "kind", "rank", F.col("name").alias("role_name"), "role_type", "keyword")
+    listed = roles.agg(F.array_sort(F.collect_list(role))).scalar()
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(title), r"(?U)[\s\-/]+", " ")), F.lit(" "))
+    known = rows.withColumn("__roles", listed).withColumn("__padded", padded)
+    found = F.filter("__roles", lambda r: F.contains(F.col("__padded"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    first = F.try_element_at(found, F.lit(1))
+    held = F.struct(*[first[c].alias(c) for c in ("kind", "rank", "role_name", "role_type")])
+    return known.withColumn(out, F.when(first.isNotNull(), held)).drop("__roles", "__padded")
+
+
 def classify_title(title: Column) -> Column:
     """struct(kind, rank, role_name, role_type) of a job title, NULL when no role keyword is in it.
 

@@ -204,6 +204,11 @@ def record_opens(stream: DataFrame, emails: DataFrame, limit: int = OPENS_PER_EM
     return counted.where("admitted").drop("admitted")
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Batch twin of deduplicated: each event id once."""
+    return rows.dropDuplicates(["id"])
+
+
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each event id once; events later than the watermark are dropped."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])

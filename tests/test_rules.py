@@ -226,7 +226,7 @@ def test_roles_file(spark, tmp_path):
     path = tmp_path / "roles.json"
     path.write_text('{"target_roles": [{"name": "Owner", "role_type": "owner",\n "keywords": ["Co-Founder", "owner"]}], "fallback_roles": [], "exclude_keywords": ["front/desk"]}')
     assert {tuple(r) for r in load_roles(spark, str(path)).collect()} == {
-        ("target", 0, "Owner", "owner", "co founder"), ("target", 0, "Owner", "owner", "owner"), ("excluded", 99, None, "other", "front desk")}
+        ("target", 0, "Owner", "owner", "co founder", 0), ("target", 0, "Owner", "owner", "owner", 0), ("excluded", 99, None, "other", "front desk", 0)}
 
 
 def test_cascade_reaches_grandchildren(spark):

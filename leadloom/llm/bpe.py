@@ -203,23 +203,31 @@ def join_tree(codec: Codec, leaves: dict[str, tuple[str, np.ndarray]]) -> np.nda
     return nodes[""][1]
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS,
+           decoded: str | None = None) -> DataFrame:
     """Add ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, in binary.
 
     ``tokenizer`` is a path of a tokenizer file that every executor can read. Every row stays, repeated
     rows included; NULL and empty texts get an empty value. All other columns
-    pass through; one named ``out`` is replaced.
+    pass through; one named ``out`` is replaced. With ``decoded`` a column of that name gets the text that
+    the ids decode to, special tokens included, in the same step.
     """
     def whole(texts):
-        return [codec(tokenizer).encode([x or "" for x in texts])]
+        known = codec(tokenizer)
+        ids = known.encode([x or "" for x in texts])
+        return [ids, _texts(known, ids)] if decoded else [ids]
 
-    added = [(out, T.BinaryType())]
+    added = [(out, T.BinaryType())] + ([(decoded, T.StringType())] if decoded else [])
     is_long = F.coalesce(F.length(text) > leaf_chars, F.lit(False))
     short = map_text(df.where(~is_long), text, added, whole)
-    return short.unionByName(_encode_long(df.where(is_long), tokenizer, text, out, leaf_chars).select(*short.columns))
+    return short.unionByName(_encode_long(df.where(is_long), tokenizer, text, out, leaf_chars, decoded).select(*short.columns))
+
+
+def _texts(known: Codec, ids: list[bytes | None]) -> pa.Array:
+    return pa.array([known.decode(x) for x in ids], pa.binary()).cast(pa.string())
 
 
-def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars: int) -> DataFrame:
+def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars: int, decoded: str | None) -> DataFrame:
     """Leaves as rows; the row's other columns travel with its first leaf."""
     row, path, piece, of_piece = "__row", "__path", "__piece", "__ids"
     df = df.withColumn(row, F.monotonically_increasing_id())
@@ -247,14 +255,17 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
 
     leaves = df.mapInArrow(split, leaf_schema).repartition(row, path)
     leaves = map_text(leaves, piece, [(of_piece, T.BinaryType())], encode_leaves, rows=64)
-    schema = with_columns(df.drop(row), [(text, T.StringType()), (out, T.BinaryType())])
+    schema = with_columns(df.drop(row), [(text, T.StringType()), (out, T.BinaryType())] + ([(decoded, T.StringType())] if decoded else []))
 
     def assemble(group):
         group = group.sort_by(path)
         paths, pieces = group.column(path).to_pylist(), group.column(piece).to_pylist()
         ids = [np.frombuffer(x, "<u4") for x in group.column(of_piece).to_pylist()]
-        joined = join_tree(codec(tokenizer), dict(zip(paths, zip(pieces, ids))))
+        known = codec(tokenizer)
+        joined = join_tree(known, dict(zip(paths, zip(pieces, ids))))
         made = {text.lower(): pa.array(["".join(pieces)], pa.string()), out.lower(): pa.array([joined.astype("<u4").tobytes()], pa.binary())}
+        if decoded:
+            made[decoded.lower()] = _texts(known, made[out.lower()].to_pylist())
         return pa.table({f.name: made.get(f.name.lower()) if f.name.lower() in made else group.column(f.name).slice(0, 1) for f in schema.fields})
 
     return leaves.groupBy(row).applyInArrow(assemble, schema)
@@ -263,15 +274,13 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the text of the ids, special tokens included. NULL ids decode to an empty text."""
     def texts(values):
-        known = codec(tokenizer)
-        return [pa.array([known.decode(x) for x in values], pa.binary()).cast(pa.string())]
+        return [_texts(codec(tokenizer), values)]
 
     return map_text(df, ids, [(out, T.StringType())], texts, rows=64)
 
 
 def digests(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents."""
-    encoded = encode(docs.select("doc_id", "text"), tokenizer, leaf_chars=leaf_chars).select("doc_id", "ids")
-    return decode(encoded, tokenizer).select(
+    return encode(docs.select("doc_id", "text"), tokenizer, leaf_chars=leaf_chars, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

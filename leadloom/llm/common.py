@@ -84,6 +84,7 @@ def map_text(df: DataFrame, text: str, added: list[tuple[str, T.DataType]], per_
                 found = per_batch(piece.column(at).to_pylist())
                 yield replace_columns(piece, [(name, v if isinstance(v, pa.Array) else pa.array(v, kind))
                                               for (name, kind), v in zip(kinds, found)])
+        pa.default_memory_pool().release_unused()  # the process waits for other tasks now
 
     return df.mapInArrow(run, schema)
 

@@ -66,6 +66,9 @@ def test_rows_and_columns_stay(spark, library):
     want = sorted((str(i), t or "", library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in values)
     assert sorted((str(r.doc_id), r.text or "", np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == want
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    both = bpe.encode(df, PATH, leaf_chars=500, decoded="decoded")
+    assert both.columns == ["doc_id", "text", "at", "ids", "decoded"]
+    assert [r.a for r in bpe.decode(both, PATH, out="again").select((F.col("again") == F.col("decoded")).alias("a")).collect()] == [True] * len(values)
 
 
 def test_digests(spark, library):

@@ -7,7 +7,7 @@ from leadloom.plans import load
 FOLDER = "/root/testdata/sf0.001"
 SPEC = re.compile(r"windowspecdefinition\((.*?)(?: ASC| DESC|, specifiedwindowframe)")  # the partition keys come first
 # a block of a key, the lines of one order (seven numbers at most), the guesses for one person's name, a summary row per block
-BOUNDED = ("__block", "__level", "l_orderkey", "person_id", "__carry", "__before")
+BOUNDED = ("__block", "__part", "__level", "l_orderkey", "person_id", "__carry", "__before")
 
 
 def plan(df) -> list[str]:

@@ -71,6 +71,16 @@ def quota_exhausted(prospects: DataFrame, emails: DataFrame, follow_ups: DataFra
     return rows.where(~next_step_exists()).select("prospect_id", "pipeline_stage", "last_sent")
 
 
+def without_next_step(expired: DataFrame, prospects: DataFrame, emails: DataFrame, follow_ups: DataFrame) -> DataFrame:
+    """Of the waits that ran out (prospect_id, expired_at; a stream or a table) those of leads on the way whose
+    sequence has no next step, with their stage: what quota_exhausted finds by looking, as it happens."""
+    moving = prospects.where(F.col("pipeline_stage").isin(*RESUME_STAGES)).withColumnRenamed("id", "prospect_id")
+    latest = latest_email(emails).where(F.col("latest.status").isin(*SENT))
+    rows = (expired.join(moving, "prospect_id").join(latest, "prospect_id").withColumn("step_number", F.col("latest.sequence_step"))
+            .join(_steps(follow_ups), ["email_sequence_id", "step_number"], "left"))
+    return rows.where(~next_step_exists()).select("prospect_id", "expired_at", "pipeline_stage")
+
+
 def leads(prospects: DataFrame, emails: DataFrame) -> DataFrame:
     """Prospects on the pipeline, plus ready ones not on it yet (New Lead)."""
     on_it = prospects.where(F.col("pipeline_stage").isNotNull())

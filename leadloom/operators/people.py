@@ -400,7 +400,7 @@ def build_contacts(people: DataFrame, found: DataFrame, links: DataFrame, domain
     ``domains``: business_id, domain_no, domain.
     """
     # used by six joins below: computed once, kept in reliable storage
-    chosen = materialize(chosen_people(people).withColumn("person_id", F.xxhash64("business_id", "person_key")))
+    chosen = materialize(chosen_people(people).withColumn("person_id", F.concat_ws("\u0001", F.col("business_id").cast("string"), "person_key")))
     own = own_emails(chosen, found, domains).withColumnRenamed("email", "own_email").withColumnRenamed("source", "own_source")
     rows = materialize(chosen.join(own, "person_id", "left").join(profile_links(chosen, links), "person_id", "left"))
     observed = rows.where(F.col("pattern").isNotNull()).groupBy("business_id").agg(F.min_by("pattern", "arrival").alias("observed"))

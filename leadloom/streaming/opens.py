@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -130,9 +130,13 @@ def open_rollup(emails: DataFrame, opens: DataFrame) -> DataFrame:
         "open_count": F.coalesce("open_count", F.lit(0))})
 
 
-def merge_rollup(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """A stored rollup (email_id, first_opened_at, last_opened_at, open_count) with one micro-batch of opens added."""
-    new = batch.groupBy("email_id").agg(F.min("ts").alias("first_opened_at"), F.max("ts").alias("last_opened_at"), F.count("*").alias("open_count"))
+def _rolled(opens: DataFrame) -> DataFrame:
+    return opens.groupBy("email_id").agg(F.min("ts").alias("first_opened_at"), F.max("ts").alias("last_opened_at"), F.count("*").alias("open_count"))
+
+
+def merge_rollup(stored: DataFrame, batch: DataFrame, rolled: bool = False) -> DataFrame:
+    """A stored rollup (email_id, first_opened_at, last_opened_at, open_count) with one micro-batch of opens, or a rollup of such, added."""
+    new = batch if rolled else _rolled(batch)
     return stored.unionByName(new).groupBy("email_id").agg(
         F.min("first_opened_at").alias("first_opened_at"), F.max("last_opened_at").alias("last_opened_at"), F.sum("open_count").alias("open_count"))
 
@@ -191,16 +195,17 @@ def limited_stream(stream: DataFrame, key: str, limit: int, window_seconds: int,
 
 
 def limited_requests_stream(stream: DataFrame, per_ip: int = PER_IP, per_token: int = PER_TOKEN,
-                            window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+                            window_seconds: int = WINDOW_SECONDS, delay: str | None = "10 minutes") -> DataFrame:
     """Requests both limits let through; the token counter also advances for those the IP limit stops."""
-    by_ip = limited_stream(stream, "ip", per_ip, window_seconds, "first_hit").withColumnRenamed("admitted", "ip_ok")
+    by_ip = limited_stream(stream, "ip", per_ip, window_seconds, "first_hit", delay).withColumnRenamed("admitted", "ip_ok")
     both = limited_stream(by_ip, "token", per_token, window_seconds, "first_hit", delay=None)
     return both.where(F.col("ip_ok") & F.col("admitted")).drop("ip_ok", "admitted")
 
 
-def record_opens(stream: DataFrame, emails: DataFrame, limit: int = OPENS_PER_EMAIL, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+def record_opens(stream: DataFrame, emails: DataFrame, limit: int = OPENS_PER_EMAIL, window_seconds: int = WINDOW_SECONDS,
+                 delay: str | None = "10 minutes") -> DataFrame:
     """Opens (id, token, ts) that count: of sent emails, at most ``limit`` per email and trailing window."""
-    counted = limited_stream(sent_opens(stream, emails), "email_id", limit, window_seconds, "trailing")
+    counted = limited_stream(sent_opens(stream, emails), "email_id", limit, window_seconds, "trailing", delay)
     return counted.where("admitted").drop("admitted")
 
 
@@ -214,6 +219,28 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def track_opens(requests: DataFrame, emails: DataFrame, rollups: str, checkpoint: str, delay: str = "10 minutes", **trigger):
+    """The whole job, started: image requests (id, method, path, ...) read, told apart by id, limited, recorded, rolled up.
+
+    ``rollups`` and ``checkpoint`` are folders that all machines share. Every micro-batch writes the
+    rollup of its own opens into a folder of its number, so one that is run again replaces itself;
+    ``read_rollup`` adds them up. ``trigger`` as for ``writeStream.trigger``.
+    """
+    passed = limited_requests_stream(deduplicated(read_open_requests(requests), delay), delay=None)
+    counted = record_opens(passed, emails, delay=None)
+
+    def add(batch: DataFrame, number: int) -> None:
+        _rolled(batch).write.mode("overwrite").parquet(f"{rollups}/batch={number}")
+
+    return counted.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "10 seconds"}).start()
+
+
+def read_rollup(spark: SparkSession, rollups: str) -> DataFrame:
+    """First and last open and count of every email, over all micro-batches."""
+    none = spark.createDataFrame([], "email_id long, first_opened_at timestamp, last_opened_at timestamp, open_count long")
+    return merge_rollup(none, spark.read.schema(none.schema).parquet(rollups).select(*none.columns), rolled=True)
+
+
 def usage_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Daily totals per action and model of usage records (created_at, action, model, tokens, credits)."""
     return (stream.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day"), "action", "model")

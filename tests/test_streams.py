@@ -118,6 +118,27 @@ def test_both_limits_stream(spark, tmp_path):
     assert sorted(r.id for r in drained(spark, stream, tmp_path).collect()) == sorted(r.id for r in batch.collect())
 
 
+def test_the_whole_job(spark, tmp_path):
+    """Requests delivered twice, over the limits, of unknown tokens and of emails not sent; the state goes when its time is over."""
+    tokens = {f"k{i}": f"{i}" * 43 for i in range(4)}
+    emails = spark.createDataFrame([(i, tokens[f"k{i}"], BASE if i < 3 else None) for i in range(4)], "id long, tracking_token string, sent_at timestamp")
+    rng = random.Random(8)
+    rows = [(i, "GET", f"/footer/{tokens[rng.choice(list(tokens))]}.png", f"10.0.0.{rng.randrange(2)}", "", "ua", BASE + dt.timedelta(seconds=3 * i)) for i in range(400)]
+    rows += [(5000, "GET", "/footer/" + "z" * 43, "9.9.9.9", "", "ua", BASE + dt.timedelta(hours=3)), (5001, "GET", "/footer/" + "z" * 43, "9.9.9.9", "", "ua", BASE + dt.timedelta(hours=6))]
+    schema = "id long, method string, path string, forwarded_for string, real_ip string, user_agent string, ts timestamp"
+    stream = as_stream(spark, [r for r in rows[:400] for _ in range(2)] + rows[400:], schema, tmp_path, files=2)
+    query = opens.track_opens(stream, emails, str(tmp_path / "rollups"), str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    read = opens.read_open_requests(spark.createDataFrame(rows, schema))
+    batch = opens.recorded_opens(opens.limit_requests(read).where("admitted").drop("admitted"), emails)
+    want = {r.email_id: (r.n, r.first, r.last) for r in batch.groupBy("email_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
+    got = {r.email_id: (r.open_count, r.first_opened_at, r.last_opened_at) for r in opens.read_rollup(spark, str(tmp_path / "rollups")).collect()}
+    assert got == want and len(want) == 3
+    left = [s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]]
+    most = [max(p["stateOperators"][i]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) for i in range(len(left))]
+    assert sum(left) < sum(most)
+
+
 def test_rollup_merges_batches(spark):
     rows = [(1, BASE), (1, BASE + dt.timedelta(hours=1)), (2, BASE)]
     first, second = (spark.createDataFrame(part, "email_id long, ts timestamp") for part in (rows[:1], rows[1:]))

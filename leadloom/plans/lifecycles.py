@@ -42,6 +42,19 @@ def quota_exhausted(v):
         "last_sent", F.date_format("last_sent", "yyyy-MM-dd"))
 
 
+@query("expired_waits", "T5", f"""
+SELECT p.id AS prospect_id, p.pipeline_stage, strftime(last_sent + interval 3 day, '%Y-%m-%d') AS expired FROM {{v_prospects}} p JOIN ({LATEST}) l ON l.prospect_id = p.id
+LEFT JOIN {{v_follow_ups}} f ON f.sequence_id = p.email_sequence_id AND f.sequence = l.sequence_step AND f.template_id IS NOT NULL
+WHERE p.pipeline_stage IN ('initial_email', 'follow_up') AND l.last_sent < {_NOW} - interval 3 day AND l.status IN ('sent', 'opened')
+ AND (p.sequence_stopped_at IS NOT NULL OR p.do_not_contact OR f.sequence IS NULL)""")
+def expired_waits(v):
+    """What the stream of waits that ran out leads to, its waits taken from the table."""
+    last = lifecycle.latest_email(v.v_emails).where(F.col("last_sent") < F.lit(NOW) - F.expr("INTERVAL 3 DAYS"))
+    waits = last.select("prospect_id", (F.col("last_sent") + F.expr("INTERVAL 3 DAYS")).alias("expired_at"))
+    return lifecycle.without_next_step(waits, v.v_prospects, v.v_emails, v.v_follow_ups).select(
+        "prospect_id", "pipeline_stage", F.date_format("expired_at", "yyyy-MM-dd").alias("expired"))
+
+
 @query("infer_stage", "M11", """
 SELECT p.id AS prospect_id, CASE WHEN bool_or(e.status = 'replied') OR starts_with(lower(coalesce(any_value(p.sequence_stop_reason), '')), 'repl') THEN 'replied'
  WHEN any_value(p.sequence_stopped_at) IS NOT NULL THEN 'lost' WHEN bool_or(e.status IN ('sent', 'opened') AND e.sequence_step > 1) THEN 'follow_up'

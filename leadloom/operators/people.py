@@ -36,6 +36,7 @@ def _keywords() -> str:
 
 
 KEYWORD = _keywords()
+# The shapes in which people are named with a role, the name-sharing doctor, and where a title ends.
 SHAPES = {
     # name of the shape -> (pattern, group of the names, group of the title)
     "name_title": (rf"({NAME}){SUFFIX}(?:\s*\([^)]*\))?\s*(?:,|\bis\b|\bare\b|\bwas\b|\bserves as\b|\bas\b|–|—|-|:)\s*([^.\n;]{{1,60}})", 1, 2),
@@ -44,6 +45,7 @@ SHAPES = {
     "associates": (rf"({NAME}){SUFFIX}\s*(?:&|and)\s*Associates\b", 1, 0),
 }
 NAMESAKE = r"\b(?:Dr|Prof)\.?[ \t]+(?:[A-Z]\.[ \t]*)*[A-Z][A-Za-z'’\-]+(?:[ \t]+[A-Z][A-Za-z'’\-]+){0,2}"
+TITLE_END = r",\s+(?:and\s+)?[A-Z][a-z]+\s+[A-Z]|\s+and\s+[A-Z][a-z]+\s+[A-Z][a-z]+"
 PRINCIPAL = "Principal (practice named after them)"
 
 
@@ -94,7 +96,7 @@ def tidy_title(title: Column) -> Column:
         return F.when(F.size(hits) == 0, t).when(F.size(words) > 2, short).otherwise(kept)
 
     def polished(t: Column) -> Column:
-        one = F.get(F.split(t, r",\s+(?:and\s+)?[A-Z][a-z]+\s+[A-Z]|\s+and\s+[A-Z][a-z]+\s+[A-Z][a-z]+"), 0)
+        one = F.get(F.split(t, TITLE_END), 0)
         bare = F.btrim(F.regexp_replace(F.btrim(one, F.lit(edge)), r"(?i)^(?:the|a|an|our|its|current|lead)\s+", ""), F.lit(edge))
         return F.left(F.concat(F.upper(F.left(bare, F.lit(1))), F.substr(bare, F.lit(2))), F.lit(MAX_TITLE))
 

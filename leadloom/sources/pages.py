@@ -157,6 +157,7 @@ def site_page_targets(sites: DataFrame, links: DataFrame, read: DataFrame, n: in
 
 # ---------------------------------------------------------------- research answers
 
+# What marks a finding as a contact detail or as a note on the browsing itself.
 CONTACT_DETAIL = r"@|\+?\d[\d\s().-]{7,}\d"
 RESEARCH_NOTE = (r"(?i)current page|this page|blank|unvisited|same-site|five-page|page limit|cleaned|scrap|likely|next page"
                  r"|remaining|usable|no visible|no links|did not provide|evidence|qualif|navigation")
@@ -164,7 +165,8 @@ RESEARCH_NOTE = (r"(?i)current page|this page|blank|unvisited|same-site|five-pag
 
 def website_findings(findings: Column, limit: int = 12) -> Column:
     """Facts noted on a site (array of texts in page order): collapsed, without contact details and
-    notes on the browsing itself, a fact worded twice kept once (80% of the smaller word set shared)."""
+    notes on the browsing itself, a fact worded twice kept once (80% of the smaller word set shared). A fact is
+    compared with the ``limit`` kept ones at most."""
     texts = F.filter(F.transform(findings, lambda t: squeeze(t)), lambda t: t.isNotNull() & ~t.rlike(CONTACT_DETAIL) & ~t.rlike(RESEARCH_NOTE))
     worded = F.filter(F.transform(texts, lambda t: fields(
         text=t, words=F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"))))), lambda w: F.size(w["words"]) > 0)
@@ -173,9 +175,9 @@ def website_findings(findings: Column, limit: int = 12) -> Column:
     def add(kept: Column, new: Column) -> Column:
         repeats = F.exists(kept, lambda old: F.size(F.array_intersect(new["words"], old["words"]))
                            >= F.lit(0.8) * F.least(F.size(new["words"]), F.size(old["words"])))
-        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(new)))
+        return F.when((F.size(kept) >= limit) | repeats, kept).otherwise(F.concat(kept, F.array(new)))
 
-    return F.slice(F.transform(F.aggregate(worded, empty, add), lambda w: F.left(w["text"], F.lit(300))), 1, limit)
+    return F.transform(F.aggregate(worded, empty, add), lambda w: F.left(w["text"], F.lit(300)))
 
 
 def validate_decisions(log: DataFrame, must_score: Column) -> DataFrame:

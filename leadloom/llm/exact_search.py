@@ -2,7 +2,7 @@
 
 Scores are exact. Products run in double precision while no sum of them can leave 2**53, which real
 embeddings never do; beyond that a tile falls back to Python integers, and a score outside 64 bits is
-held at the border of its range. Vectors that are NULL, empty, or hold NULL or non-finite components
+held at the border of its range, as is a component beyond 2**55. Vectors that are NULL, empty, or hold NULL or non-finite components
 take no part; vectors of another length than the query's are no candidates of it. Rows that repeat id
 and vector are one; rows that share an id only are candidates each, and the query's own id is none.
 """

@@ -177,7 +177,7 @@ def merge_people(mentions: DataFrame) -> DataFrame:
     forms = forms.withColumn("words", tokens(fold_ascii(F.col("name"))))
     ordered = forms.repartition("business_id").sortWithinPartitions("business_id", "pos", "name")
     kinds = dict(mentions.dtypes)
-    merged = ordered.groupBy("business_id").applyInPandas(
+    merged = ordered.mapInPandas(
         _join_variants, f"business_id {kinds['business_id']}, person_key string, name string, entry string, entry_pos {kinds['pos']}")
     tagged = mentions.join(merged, ["business_id", "person_key", "name"])
     # the best role wins the title: target first, then the lowest rank, then the first mention
@@ -254,10 +254,13 @@ class _Entries:
 
 
 def _join_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    entries = _Entries()
+    """A partition's businesses one after the other: rows of one stand together, in order, so only its people are held."""
+    entries, of = _Entries(), None
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
+            if row.business_id != of:
+                entries, of = _Entries(), row.business_id
             entry = entries.add(row.person_key, list(row.words), row.name, row.pos)
             out.append((row.business_id, row.person_key, row.name, entry[0], entry[3]))
         if out:

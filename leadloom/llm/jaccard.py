@@ -1,0 +1,178 @@
+"""Near duplicates by shingle similarity: wide SimHash sketches propose pairs, the shingles themselves decide.
+
+Two texts are linked if their sets of shingles have a Jaccard similarity of at least four fifths. Texts with one set are one node.
+
+Candidates: a sketch is a SimHash of 256 bits over the distinct shingles. Sets that similar differ in about 39 bits
+(deviation 6), others in about 128 (deviation 8), so ``NEAR`` bits lose next to no pair. Their sizes differ by at
+most a quarter, which is exact: nodes are cut into tiles along their size, and only tiles whose sizes can meet are
+compared. Tiles are borders of counted quantiles, so neither a hot text nor a hot size makes a large one.
+
+Links: candidates are dealt by the buckets of their two nodes, and every bucket pair gets the shingles of its nodes once.
+Pairs that are already connected within a bucket pair need no look, so a dense family costs one comparison a node.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leadloom.llm.common import map_text
+from leadloom.llm.simhash import Sets, components, shingle_hashes
+from leadloom.scale import join_summary, with_block
+from leadloom.session import materialize
+
+WORDS = 5
+SKETCH_WORDS = 4  # of 64 bits
+FIRST, NEAR = 24, 64  # bits that may differ in the first word and in all
+SMALL, FIRST_SMALL, NEAR_SMALL = 32, 30, 84  # sketches of so few shingles scatter more
+TILE_ROWS = 4096
+MOST_TILES = 1024
+BUCKET_BYTES = 1 << 24
+STEP = 1 << 22  # sketch pairs in hand at once
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct shingle hashes, ascending; none for a text without words."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros(SKETCH_WORDS, np.uint64)
+    for word in range(SKETCH_WORDS if len(shingles) else 0):
+        ones = np.zeros(64, np.int64)
+        for start in range(0, len(shingles), 1 << 16):
+            z = shingles[start:start + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (word + 1) % (1 << 64))  # splitmix64
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            ones += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[word] = np.packbits(2 * ones > len(shingles)).view(">u8")[0]
+    return out
+
+
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of at least four fifths."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 5 * both >= 4 * (len(one) + len(other) - both)
+
+
+def near_pairs(sizes: np.ndarray, sketches: np.ndarray, other_sizes: np.ndarray, other: np.ndarray, same: bool):
+    """Arrays (left, right) of positions whose sizes and sketches allow a link; sizes ascend. ``same``: a tile with itself."""
+    step = max(1, STEP // max(1, len(other)))
+    for start in range(0, len(sizes), step):
+        own = sizes[start:start + step, None]
+        few = own <= SMALL
+        fine = (4 * other_sizes[None, :] <= 5 * own) & (4 * own <= 5 * other_sizes[None, :])
+        fine &= np.bitwise_count(sketches[start:start + step, None, 0] ^ other[None, :, 0]) <= np.where(few, FIRST_SMALL, FIRST)
+        left, right = np.nonzero(fine)
+        left += start
+        if same:
+            left, right = left[left < right], right[left < right]
+        for a in range(0, len(left), STEP):
+            one, two = left[a:a + STEP], right[a:a + STEP]
+            differ = np.bitwise_count(sketches[one] ^ other[two]).sum(1, dtype=np.int64)
+            near = differ <= np.where(sizes[one] <= SMALL, NEAR_SMALL, NEAR)
+            if near.any():
+                yield one[near], two[near]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, bucket_a, bucket_b) of nodes (node, size, sketch): the pairs to look at, each once."""
+    count = min(MOST_TILES, -(-nodes.count() // TILE_ROWS))
+    order = F.col("size").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
+    cut = with_block(nodes, order, name="tile", blocks=count) if count > 1 else nodes.withColumn("tile", F.lit(0))
+
+    def pack(key, group):
+        sizes, own = group.column("size").to_numpy(), group.column("node").to_numpy()
+        by_size = np.argsort(sizes, kind="stable")
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        buckets = -(-len(own) * int(sizes.max()) * 8 // BUCKET_BYTES)
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "low": pa.array([int(sizes.min())], pa.int64()),
+                         "high": pa.array([int(sizes.max())], pa.int64()), "buckets": pa.array([buckets], pa.int64()),
+                         "nodes": pa.array([own[by_size].astype("<i8").tobytes()], pa.binary()),
+                         "sizes": pa.array([sizes[by_size].astype("<i8").tobytes()], pa.binary()),
+                         "sketches": pa.array([sketches[by_size].tobytes()], pa.binary())})
+
+    packed = materialize(cut.withColumn("tile", F.col("tile").cast("long")).groupBy("tile").applyInArrow(
+        pack, "tile long, low long, high long, buckets long, nodes binary, sizes binary, sketches binary"))
+    held = ["tile", "buckets", "nodes", "sizes", "sketches"]
+    left, right = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in [*held, "low", "high"]]) for side in "ab")
+    meet = left.select("tile_a", "high_a").join(right.select("tile_b", "low_b"), (F.col("tile_a") <= F.col("tile_b")) & (4 * F.col("low_b") <= 5 * F.col("high_a")))
+    meet = meet.select("tile_a", "tile_b").join(left.drop("low_a", "high_a"), "tile_a").join(right.drop("low_b", "high_b"), "tile_b")
+    meet = meet.repartition(max(1, min(512, 4 * count)), "tile_a", "tile_b")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
+                read = lambda name, kind: np.frombuffer(x[name].as_buffer(), kind)  # noqa: E731, B023
+                tile_a, tile_b = x["tile_a"].as_py(), x["tile_b"].as_py()
+                own, other = read("nodes_a", "<i8"), read("nodes_b", "<i8")
+                sketches, others = (read(f"sketches_{s}", "<u8").reshape(-1, SKETCH_WORDS) for s in "ab")
+                for i, j in near_pairs(read("sizes_a", "<i8"), sketches, read("sizes_b", "<i8"), others, tile_a == tile_b):
+                    a, b = own[i], other[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((tile_a << 32) + a % x["buckets_a"].as_py()),
+                                                      pa.array((tile_b << 32) + b % x["buckets_b"].as_py())], names=["a", "b", "bucket_a", "bucket_b"])
+
+    return meet.mapInArrow(run, "a long, b long, bucket_a long, bucket_b long")
+
+
+def links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b) of the candidates whose sets (node, shingles) are similar: a spanning forest per bucket pair."""
+    at = [F.col("bucket_a").alias("at_a"), F.col("bucket_b").alias("at_b")]
+    asked = pairs.select(*at, F.col("a").alias("node")).unionByName(pairs.select(*at, F.col("b").alias("node"))).distinct()
+    # a node is asked for once a bucket pair, so no key of this join is hot
+    given = asked.join(shingles, "node")
+
+    def compare(some, sets):
+        of = {n.as_py(): i for i, n in enumerate(sets.column("node"))}
+        held = sets.column("shingles")
+        read = [np.frombuffer(x.as_buffer(), "<u8") for x in held]
+        joined, found = Sets(len(read)), []
+        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist()):
+            i, j = of[a], of[b]
+            if joined.root(i) != joined.root(j) and similar(read[i], read[j]):
+                joined.union(i, j)
+                found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return pairs.groupBy("bucket_a", "bucket_b").cogroup(given.groupBy("at_a", "at_b")).applyInArrow(compare, "a long, b long")
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of each component of links, that of the smallest doc_id (rows without one come last); all columns of ``df``.
+
+    NULL, empty and blank texts have one empty set and count as copies. Rows that repeat an id and text are one row
+    afterwards; of different texts with one id the one with the smaller hash stays.
+    """
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+
+    def describe(texts):
+        sets = [shingle_set(x, words) for x in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
+        return [pa.array(nodes), [len(x) for x in sets], [sketch(x).astype("<u8").tobytes() for x in sets]]
+
+    added = [("node", T.LongType()), ("size", T.LongType()), ("sketch", T.BinaryType())]
+    prints = materialize(map_text(rows, "text", added, describe).drop("text"))
+    mark = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = materialize(prints.groupBy("node").agg(F.min(mark).alias("first"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.max("sketch").alias("sketch")))
+    pairs = materialize(candidates(classes.where("size > 0").select("node", "size", "sketch")))
+
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = classes.select("node", "text_hash").join(asked, "node", "left_semi").select("node", F.col("text_hash").alias("chosen"))
+    of_text = prints.groupBy("text_hash").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).join(chosen, "node", "left")
+    of_text = of_text.select("text_hash", "n", F.when(F.col("chosen") == F.col("text_hash"), F.col("node")).alias("node"))
+    texts = join_summary(rows.select("text_hash", "text"), of_text, ["text_hash"], "n").where(F.col("node").isNotNull())
+    sets = map_text(texts, "text", [("shingles", T.BinaryType())], lambda x: [[shingle_set(t, words).astype("<u8").tobytes() for t in x]])
+    sets = sets.select("node", "shingles").dropDuplicates(["node"])
+
+    found = components(links(pairs, sets))
+    kept = classes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash")).distinct()
+    whole = df.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(text)})
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
+    return whole.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")

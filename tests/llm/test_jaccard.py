@@ -1,0 +1,80 @@
+"""Near duplicates of the pipeline against brute-force Jaccard similarity."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from leadloom.llm import jaccard
+from test_simhash import ROWS
+
+
+def plain_kept(rows):
+    """Smallest id of each component of Jaccard similarity of at least 4/5, by all pairs of texts; every row has an id."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        key = frozenset(" ".join(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+        sets[key] = min(i, sets.get(key, i))
+    keys = sorted(sets, key=sets.get)
+    root = list(range(len(keys)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(keys)):
+        for i in range(j):
+            if 5 * len(keys[i] & keys[j]) >= 4 * len(keys[i] | keys[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return sorted(sets[keys[i]] for i in range(len(keys)) if root[i] == i)
+
+
+def variants(seed):
+    """Texts of 5 to 400 words with chains of copies in which a few words differ, on both sides of the limit."""
+    rng, rows = random.Random(seed), []
+    while len(rows) < 400:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 8, 9, 12, 30, 100, 400]))]
+        for _ in range(rng.choice([1, 1, 2, 4, 20])):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.choice([0, 1, 1, max(1, len(words) // 50), max(1, len(words) // 30)])):
+                words[rng.choice([0, -1, rng.randrange(len(words))])] = f"x{rng.randrange(5000)}"
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 64)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 1 << 15)
+    rows = variants(seed)
+    rng = random.Random(seed)
+    rng.shuffle(rows)
+    rows += rows[:10] + [(1000, "same text of some words here")] * 50 + [(2000, None), (2001, " ")]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == plain_kept(rows)
+
+
+def test_stage_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = plain_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == want
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "doc_id long, text string, node string, tile int")
+    rows = jaccard.keep_first(df).collect()
+    assert rows[0].__fields__ == ["doc_id", "text", "node", "tile"]
+    assert sorted(r.doc_id or -1 for r in rows) == [-1, 1, 2, 3, 8, 8, 100]
+    assert jaccard.keep_first(df.limit(0)).count() == 0
+    assert jaccard.keep_first(df.where(F.col("text").isNull())).count() == 1
+
+
+def test_similar_is_inclusive():
+    ten = np.arange(10, dtype=np.uint64)
+    assert jaccard.similar(ten, ten[:8]) and not jaccard.similar(ten, ten[:7])

@@ -154,9 +154,12 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 
 
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score",
-             dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+             dimensions: int = DIMENSIONS, seed: int = SEED, familiarity: str | None = None) -> DataFrame:
     """Add the language of the nearest prototype and its cosine, at least 0 and at most 1.
 
+    ``familiarity`` names a third column: the mean product of the text's trigrams with that prototype, both at length 1.
+    Unlike the cosine it does not grow with the text's length, so one limit serves short and long texts.
+
     ``und`` and 0 where the text is NULL or has no letter, or where there is no prototype. Ties go to the
     alphabetically first language. All rows and other columns stay.
     """
@@ -165,23 +168,29 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
 
     def run(texts):
         known = letters(dimensions, seed)
-        langs, scores = [], []
+        langs, scores, means = [], [], []
         for a, b in pieces(texts):
             part = [x or "" for x in texts[a:b]]
-            vectors = bundles(*trigrams(part, known), len(part), known)
+            of, at, spelled = trigrams(part, known)
+            vectors = bundles(of, at, spelled, len(part), known)
             size = np.sqrt((vectors * vectors).sum(1))
             if not names:
                 langs += [UNKNOWN] * len(part)
                 scores += [0.0] * len(part)
+                means += [0.0] * len(part)
                 continue
             cosine = vectors @ profile / np.where(size, size, 1.0)[:, None]
             best = cosine.argmax(1)
             has = [any(c.isalpha() for c in x) for x in part]
             langs += [names[i] if fine else UNKNOWN for i, fine in zip(best, has)]
             scores += [float(min(1.0, max(0.0, row[i]))) if fine else 0.0 for row, i, fine in zip(cosine, best, has)]
-        return [langs, scores]
+            count = np.maximum(np.bincount(of, minlength=len(part)), 1)
+            mean = cosine[np.arange(len(part)), best] * size / (np.sqrt(dimensions) * count)
+            means += [float(x) if fine else 0.0 for x, fine in zip(mean, has)]
+        return [langs, scores, means][:len(added)]
 
-    return map_text(df, text, [(out, T.StringType()), (score, T.DoubleType())], run, rows=2048)
+    added = [(out, T.StringType()), (score, T.DoubleType())] + ([(familiarity, T.DoubleType())] if familiarity else [])
+    return map_text(df, text, added, run, rows=2048)
 
 
 def predict(docs: DataFrame, learning: Column, held_out: Column) -> DataFrame:

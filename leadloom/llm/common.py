@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table below ``spark.checkpoint.dir``: lineage ends, columns are read one by one and the size is known."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """A column name for each label that ``df`` does not have."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for label in labels:
+        name = f"__{label}"
+        while name in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def worker_state(key, build):
     """A value built once in a Python worker process and kept there for its later tasks.
 
@@ -89,6 +108,44 @@ def map_text(df: DataFrame, text: str, added: list[tuple[str, T.DataType]], per_
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches, keys: list[str]):
+    """Record batches of whole groups with the groups' borders, from batches that are sorted by the keys (whole numbers)."""
+    held, waiting = None, []
+
+    def borders(rows):
+        new = np.zeros(rows.num_rows - 1, bool)
+        for name in keys:
+            values = rows.column(name).to_numpy(zero_copy_only=False)
+            new |= values[1:] != values[:-1]
+        return np.concatenate([[0], 1 + np.flatnonzero(new), [rows.num_rows]])
+
+    def together(parts):
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = borders(batch)
+        same = held is not None and all(held.column(name)[0] == batch.column(name)[0] for name in keys)
+        if waiting and not (same and len(edges) == 2):
+            if not same:
+                rows = together(waiting)
+                yield rows, np.array([0, rows.num_rows])
+                waiting = []
+            else:  # the open group ends in this batch
+                rows = together([*waiting, batch.slice(0, edges[1])])
+                yield rows, np.array([0, rows.num_rows])
+                batch, edges, waiting = batch.slice(edges[1]), edges[1:] - edges[1], []
+        if len(edges) > 2:
+            yield batch.slice(0, edges[-2]), edges[:-1]
+            batch = batch.slice(edges[-2])
+        waiting.append(batch)
+        held = batch
+    if waiting:
+        rows = together(waiting)
+        yield rows, np.array([0, rows.num_rows])
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; a NULL id counts as fold 0 (held out)."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5, F.lit(0))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_search, hash_forest, idfiles, langid, mixing, quality, simhash, toxicity, warc
+from leadloom.llm import bpe, exact_search, hash_forest, idfiles, langid, mixing, ngram_join, quality, simhash, toxicity, turns, warc, whitening
 from leadloom.llm.common import fold, held_out, shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -123,6 +123,76 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to, cast(NULL AS VARCHAR) AS problem
 FROM p JOIN f USING (h)"""
 
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_OP11 = """
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: cast(ascii(x) AS BIGINT))),
+                 lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM f, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) WHERE fault <> 0),
+o AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS clean,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(role, 1, 1), md5(length(role) || ':' || role || text)) AS i FROM d),
+q AS (SELECT conv_id, i, turn, role, text, substr(role, 1, 1) AS own, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+             CASE WHEN clean = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN right(clean, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (i > 1 AND previous || own NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM q GROUP BY conv_id),
+-- after i turns and what is inserted behind them: the cheapest, then first, audit per state; more than two insertions in one place never pay
+s AS (
+  SELECT conv_id, cast(0 AS BIGINT) AS i, ['', 'u', 'a'][k + 1] AS state, cast(5 * k AS BIGINT) AS cost, repeat('I', k) AS audit, ['user:', 'assistant:'][1:k] AS lines
+  FROM c, unnest(range(3)) AS t(k)
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT conv_id, i, CASE k WHEN 0 THEN state WHEN 1 THEN follow ELSE CASE follow WHEN 'u' THEN 'a' ELSE 'u' END END AS state, cost + 5 * k AS cost,
+           audit || repeat('I', k) AS audit,
+           lines || CASE WHEN k = 0 THEN [] WHEN follow = 'u' THEN ['user:', 'assistant:'][1:k] ELSE ['assistant:', 'user:'][1:k] END AS lines
+    FROM (
+      SELECT conv_id, i, cost, audit, lines, state, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS follow FROM (
+        SELECT s.conv_id, q.i, CASE e WHEN 'D' THEN s.state WHEN 'K' THEN q.own ELSE want END AS state,
+               s.cost + CASE e WHEN 'D' THEN 2 ELSE CASE e WHEN 'R' THEN 1 ELSE 0 END + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END END AS cost, s.audit || e AS audit,
+               s.lines || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [q.role || ':' || q.text] ELSE [CASE want WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || q.text] END AS lines
+        FROM (SELECT *, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS want FROM s) AS s JOIN q ON q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.i = s.i + 1,
+             unnest(['D', 'K', 'R']) AS t(e)
+        WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'K' AND (own = want OR own = 's' AND state = '') OR e = 'R' AND own <> want))),
+      unnest(range(3)) AS t(k))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+r AS (SELECT conv_id, cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM s JOIN c USING (conv_id) WHERE i = n AND state IN ('', 'a')
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id) LEFT JOIN r USING (conv_id)"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP13 = """
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM w, unnest(range(1, 1 + CASE len(w) WHEN 0 THEN 0 ELSE greatest(len(w) - 3, 1) END)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS found FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.found = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id
+FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(found) AS low FROM r GROUP BY doc_id) AS m USING (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_hash_forest, op3_id_files, op4_language, op5_exact_search, op6_mixing, op7_toxicity, op8_quality, op9_warc,
-                                  op10_simhash)}
-ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op6_mixing": ORACLE_OP6, "op9_warc": ORACLE_OP9}
+                                  op10_simhash, op11_turn_repair, op12_whitening, op13_ngram_join)}
+ORACLES: dict[str, str] = {"op5_exact_search": ORACLE_OP5, "op6_mixing": ORACLE_OP6, "op9_warc": ORACLE_OP9, "op11_turn_repair": ORACLE_OP11,
+                           "op13_ngram_join": ORACLE_OP13}

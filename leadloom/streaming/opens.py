@@ -1,9 +1,8 @@
 """Open tracking: image requests, rate limits and open counts, as streams and as batch twins.
 
-Both limits depend on what was admitted before, so neither is a window function. A limit's state is
-void after a quiet spell of one window, which cuts a key into independent spells. A spell streams
-through its task in time order, in batches of bounded size; each batch is decided by jumps to the next
-moment at which something changes, so the work is a search per window or admitted row, not a step per row.
+Both limits depend on what was admitted before, so neither is a window function; ``limits`` says how tables are judged.
+In streams a key's rows of a micro-batch are decided by jumps to the next moment at which something changes, so the work is a
+search per window or admitted row, not a step per row.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadloom.functions.templates import TOKEN_PATTERN
-from leadloom.scale import running, with_block
+from leadloom.streaming.limits import RULES, rate_limit
 
 # The image path with its token, the limits, and how much of a user agent is kept.
 FOOTER_PATH = r"/footer/([^/]+?)(?:\.(?:png|gif|jpe?g|webp))?/?$"
@@ -39,70 +38,6 @@ def read_open_requests(requests: DataFrame) -> DataFrame:
             .where(F.col("token").rlike(TOKEN_PATTERN)))
 
 
-# ---------------------------------------------------------------- the two rules
-
-
-def first_hit(times: np.ndarray, limit: int, window_us: int, state: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None]:
-    """A window opens with its first hit; at most ``limit`` hits pass until one comes a window later.
-
-    ``times`` ascend; ``state`` is the open window's start and its hits so far. Returns who passes, and the state after.
-    """
-    passes, at = np.zeros(len(times), bool), 0
-    while at < len(times):
-        start, hits = state if state and times[at] < state[0] + window_us else (int(times[at]), 0)
-        end = int(np.searchsorted(times, start + window_us))
-        passes[at:min(end, at + max(0, limit - hits))] = True
-        state, at = (start, hits + end - at), end
-    return passes, state
-
-
-def trailing(times: np.ndarray, limit: int, window_us: int, state: tuple[int, ...] | None) -> tuple[np.ndarray, tuple[int, ...]]:
-    """At most ``limit`` pass in any trailing window; who does not pass does not count.
-
-    ``state`` holds the last ``limit`` times that passed.
-    """
-    passes, last, at = np.zeros(len(times), bool), list(state or ())[-limit:], 0
-    while at < len(times) and limit > 0:
-        if len(last) == limit and times[at] < last[0] + window_us:
-            at = int(np.searchsorted(times, last[0] + window_us))
-            continue
-        passes[at] = True
-        last = [*last, int(times[at])][-limit:]
-        at += 1
-    return passes, tuple(last)
-
-
-RULES = {"first_hit": first_hit, "trailing": trailing}
-
-
-def rate_limit(rows: DataFrame, key: str, limit: int, window_seconds: int, rule: str) -> DataFrame:
-    """Batch twin: rows (id, key, ts) with ``admitted``, in order of (ts, id) per key; a NULL key is a key."""
-    window_us = window_seconds * 1_000_000
-    named = with_block(rows.withColumn("__at", F.unix_micros("ts")), F.col("__at"))
-    order, part = [F.col("__at"), F.col("id")], F.col("__part")
-    seen = running(named, [key], part, order, before=True, lasts={"__previous": F.col("__at")})
-    opens = F.col("__previous").isNull() | (F.col("__at") - F.col("__previous") >= window_us)
-    spells = running(seen.withColumn("__opens", F.when(opens, F.col("__at"))), [key], part, order, lasts={"__spell": F.col("__opens")})
-    shape = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
-    return (spells.select(*rows.columns, "__spell", "__at").repartition(key, "__spell").sortWithinPartitions(key, "__spell", "__at", "id")
-            .groupBy(key, "__spell").applyInPandas(_fold(RULES[rule], limit, window_us, rows.columns), f"{shape}, admitted boolean"))
-
-
-def _fold(rule, limit: int, window_us: int, columns: list[str]):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = None, None
-        for batch in batches:
-            times = batch["__at"].to_numpy()
-            if len(times):
-                if (times[1:] < times[:-1]).any() or (last is not None and times[0] < last):
-                    raise ValueError("rows must arrive in time order")
-                last = times[-1]
-            passes, state = rule(times, limit, window_us, state)
-            yield batch[columns].assign(admitted=passes)
-
-    return fold
-
-
 def limit_requests(rows: DataFrame, per_ip: int = PER_IP, per_token: int = PER_TOKEN, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Requests (id, ip, token, ts) with ``admitted``: both counters advance before either decides."""
     by_ip = rate_limit(rows.select("id", "ip", "ts"), "ip", per_ip, window_seconds, "first_hit").select("id", F.col("admitted").alias("__ip"))

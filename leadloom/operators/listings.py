@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import urls
 from leadloom.functions.text import normalize_name_key, normalize_text
-from leadloom.scale import join_summary, top_k
+from leadloom.graphs import components
+from leadloom.scale import join_summary, positions, top_k, with_block
 from leadloom.session import materialize
 
 IDENTITY = ("place", "link", "name_key", "address_key", "domain_key")
@@ -62,12 +63,18 @@ def _wanted_keys(scope: str = "") -> Column:
         F.when(open_, wanted("d", *site)).otherwise(wanted("do", *site))))
 
 
+def _met(looked: DataFrame, summary: DataFrame) -> DataFrame:
+    """Rows (probe, key), several a probe, with the summary of their key, where there is one; a key may be wanted by a third of all rows."""
+    wanted = looked.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    return join_summary(looked, wanted.join(summary, "__key"), ["__key"], "__n", how="inner")
+
+
 def _smallest_matches(probe: DataFrame, probe_id: str, refs: DataFrame, values: dict[str, Column],
                       offered: Column, wanted: Column) -> DataFrame:
     """Probe rows with, per value, its minimum over the matching reference rows (NULL without a match)."""
     minima = {name: F.min(name).alias(name) for name in values}
     summary = refs.select(F.explode(offered).alias("__key"), *[v.alias(n) for n, v in values.items()]).groupBy("__key").agg(*minima.values())
-    hits = probe.select(F.col(probe_id).alias("__probe"), F.explode(wanted).alias("__key")).join(summary, "__key").groupBy("__probe").agg(*minima.values())
+    hits = _met(probe.select(F.col(probe_id).alias("__probe"), F.explode(wanted).alias("__key")), summary).groupBy("__probe").agg(*minima.values())
     return probe.join(hits, probe[probe_id] == hits["__probe"], "left").drop("__probe")
 
 
@@ -86,7 +93,7 @@ def first_match(found: DataFrame, saved: DataFrame, probe_id: str = "arrival") -
     summary = refs.select(F.explode(both(_offered_keys)).alias("__key"), "__order").groupBy("__key").agg(F.min("__order").alias("__order"))
     looked = found.select(F.col(probe_id).alias("__probe"), F.explode(both(_wanted_keys)).alias("__key"))
     foreign = ~F.contains(F.col("__key"), F.lit("\u0002"))
-    hits = looked.join(summary, "__key").groupBy("__probe").agg(F.min(F.struct(foreign.alias("foreign"), "__order")).alias("__best"))
+    hits = _met(looked, summary).groupBy("__probe").agg(F.min(F.struct(foreign.alias("foreign"), "__order")).alias("__best"))
     return (found.join(hits, found[probe_id] == hits["__probe"], "left").withColumn("match", F.col("__best.__order"))
             .drop("__probe", "__best"))
 
@@ -96,15 +103,19 @@ def new_listings(found: DataFrame, saved: DataFrame, probe_id: str = "arrival")
     return first_match(found, saved, probe_id).where(F.col("match").isNull()).drop("match")
 
 
+ROUNDS = 3  # in which whoever waits for nobody is decided; what is left then waits in chains
+FOLDED = 1 << 17  # rows of a chain, or a knot of chains, that one task decides in order
+
+
 def greedy_dedupe(found: DataFrame, saved: DataFrame | None = None, arrival: str = "arrival") -> DataFrame:
     """Accept a listing iff it matches no saved and no already accepted one, in arrival order.
 
-    The match is not transitive, so this is not a connected-components question. Copies with equal
-    keys collapse to their first arrival. Then, in rounds: whoever matches an accepted row is
-    rejected, whoever has no earlier undecided match is accepted. A round is one grouped minimum
-    over keys and one join of what is still open; the rounds are the longest chain of rows that wait
-    for one another, and each writes only what it leaves open and what it accepts.
-    Returns the found rows with ``accepted``.
+    The match is not transitive, so this is not a connected-components question; but rows that share no key, directly or
+    through others, cannot matter to one another. Copies with equal keys collapse to their first arrival. Then, in rounds: whoever matches an
+    accepted row is rejected, whoever has no earlier undecided match is accepted. A round is one grouped minimum over keys and
+    one join of what is still open. After a few rounds only chains of rows that wait for one another are open: connected
+    components over shared keys separate them, in rounds that grow with the logarithm of a chain, and each is decided in arrival order by look-ups. Components
+    that are too large for a task go through the plain rounds until they are small or done. Returns the found rows with ``accepted``.
     """
     rows = identify(found)
     matchable = (F.col("place").isNotNull() | F.col("link").isNotNull()
@@ -116,16 +127,18 @@ def greedy_dedupe(found: DataFrame, saved: DataFrame | None = None, arrival: str
             F.col("stored").isNull()).drop("stored")
     open_, fresh, accepted = materialize(firsts), None, []
     while True:
-        # whoever an earlier round accepted has met all that is open already: only the last round's are asked again
-        in_play = open_.withColumn("__in", F.lit(False))
-        if fresh is not None:
-            in_play = in_play.unionByName(fresh.withColumn("__in", F.lit(True)))
-        judged = _smallest_matches(open_, "first", in_play, {"taken": F.when(F.col("__in"), F.col("first")), "waiting": F.when(~F.col("__in"), F.col("first"))},
-                                   _offered_keys(), _wanted_keys())
-        decision = F.when(F.col("taken").isNotNull(), False).when(F.coalesce("waiting", "first") >= F.col("first"), True)
-        judged = materialize(judged.withColumn("decided", decision).drop("taken", "waiting").where(F.coalesce("decided", F.lit(True))))
-        fresh, open_ = judged.where("decided").drop("decided"), judged.where(F.col("decided").isNull()).drop("decided")
-        accepted.append(fresh.select(F.col("first").alias("__winner")))
+        for _ in range(ROUNDS):
+            fresh, open_ = _round(open_, fresh)
+            accepted.append(fresh.select(F.col("first").alias("__winner")))
+            if open_.isEmpty():
+                break
+        if open_.isEmpty():
+            break
+        # rows that wait only for one another are decided at once; what the last round accepted has yet to reject its matches
+        open_ = _unmatched(open_, fresh)
+        decided, open_ = _chains(open_)
+        fresh = decided
+        accepted.append(decided.select(F.col("first").alias("__winner")))
         if open_.isEmpty():
             break
     winners = functools.reduce(DataFrame.unionByName, accepted)
@@ -133,6 +146,58 @@ def greedy_dedupe(found: DataFrame, saved: DataFrame | None = None, arrival: str
     return joined.withColumn("accepted", ~F.col("__matchable") | F.col("__winner").isNotNull()).select(*found.columns, "accepted")
 
 
+def _round(open_: DataFrame, fresh: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Who of the open rows is accepted, and who stays open, after what the last round accepted."""
+    # whoever an earlier round accepted has met all that is open already: only the last round's are asked again
+    in_play = open_.withColumn("__in", F.lit(False))
+    if fresh is not None:
+        in_play = in_play.unionByName(fresh.withColumn("__in", F.lit(True)))
+    judged = _smallest_matches(open_, "first", in_play, {"taken": F.when(F.col("__in"), F.col("first")), "waiting": F.when(~F.col("__in"), F.col("first"))},
+                               _offered_keys(), _wanted_keys())
+    decision = F.when(F.col("taken").isNotNull(), False).when(F.coalesce("waiting", "first") >= F.col("first"), True)
+    judged = materialize(judged.withColumn("decided", decision).drop("taken", "waiting").where(F.coalesce("decided", F.lit(True))))
+    return judged.where("decided").drop("decided"), judged.where(F.col("decided").isNull()).drop("decided")
+
+
+def _unmatched(open_: DataFrame, fresh: DataFrame) -> DataFrame:
+    judged = _smallest_matches(open_, "first", fresh, {"taken": F.col("first")}, _offered_keys(), _wanted_keys())
+    return materialize(judged.where(F.col("taken").isNull()).drop("taken"))
+
+
+def _chains(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows of the components of open rows over shared keys, and the rows of components that are too large for a task.
+
+    A node is a row's arrival, or a key as a negative hash; keys that only one row has connect nothing.
+    """
+    keyed = open_.select("first", _offered_keys().alias("offered"), _wanted_keys().alias("wanted"))
+    key = F.explode(F.transform(F.array_union("offered", "wanted"), lambda k: -F.shiftright(F.abs(F.xxhash64(k)), 1) - 1))
+    edges = keyed.select(F.col("first").cast("long").alias("a"), key.alias("b"))
+    component = components(edges.select("a", "b")).where(F.col("node") >= 0)
+    placed = materialize(keyed.join(component, F.col("first") == F.col("node"), "left").select(
+        "first", "offered", "wanted", F.coalesce("component", F.col("first").cast("long")).alias("of")))
+    large = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDED).select("of")
+    folded = placed.join(large, "of", "left_anti")
+    ordered = folded.repartition("of").sortWithinPartitions("of", "first")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, taken = None, set()
+        for batch in batches:
+            out = []
+            for component, first, offered, wanted in zip(batch["of"], batch["first"], batch["offered"], batch["wanted"]):
+                if component != of:
+                    of, taken = component, set()
+                if taken.isdisjoint(wanted):
+                    taken.update(offered)
+                    out.append(first)
+            yield pd.DataFrame({"winner": out}, dtype="int64")
+
+    kind = dict(open_.dtypes)["first"]
+    winners = materialize(ordered.mapInPandas(decide, f"winner {kind}"))
+    accepted = open_.join(winners, F.col("first") == F.col("winner"), "left_semi")
+    rest = placed.join(large, "of", "left_semi").select(F.col("first").alias("left"))
+    return accepted, materialize(open_.join(rest, F.col("first") == F.col("left"), "left_semi"))
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str, arrival: str) -> DataFrame:
     """Incoming rows to append: non-empty keys not stored yet, the first arrival of each; blank keys never collide."""
     filled = F.coalesce(key, F.lit("")) != ""
@@ -178,30 +243,50 @@ def backfill_place_ids(businesses: DataFrame) -> DataFrame:
             .select("id", "place_id", (F.col("__stored").isNotNull() | (F.col("id") != F.col("__lowest"))).alias("taken")))
 
 
+BLOCK = 256  # queries, or blocks of them, that are put together in one row
+
+
 def remaining_demand(results: DataFrame, known: DataFrame, limit: int, per_search: int = 240) -> DataFrame:
     """Search results (campaign_id, query_no, position, is_new) that a campaign takes until ``limit`` new ones are accepted.
 
     Queries run in order. Each asks for what is still missing plus the businesses the campaign already
     had (``known``: campaign_id, known), at most ``per_search``, gets no more than that, and none runs
-    once the limit is reached. What a query may ask depends on the queries before it, so a campaign's
-    queries stream through one task in order, each as one row with the places of its new results
-    (``per_search`` at most); results themselves never meet.
+    once the limit is reached. So a query turns the number accepted before it into the number after it: a table of ``limit + 1`` numbers
+    that saturates. Tables of neighbouring queries compose, ``BLOCK`` at a time and block by block again, which gives every query
+    the number before it without running a campaign's queries one after the other in one place.
     """
     received = results.where(F.col("position") < per_search)
     queries = received.groupBy("campaign_id", "query_no").agg(F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("position")))).alias("new"))
     queries = queries.join(known, "campaign_id", "left").withColumn("known", F.coalesce("known", F.lit(0)).cast("long"))
-    ordered = queries.repartition("campaign_id").sortWithinPartitions("campaign_id", "query_no")
-    kinds = dict(queries.dtypes)
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        accepted = 0
-        for batch in batches:
-            taken = []
-            for new, had in zip(batch["new"], batch["known"]):
-                asked = min(limit - accepted + had, per_search)
-                taken.append([p for p in new if p < asked][:max(0, limit - accepted)] if accepted < limit else [])
-                accepted += len(taken[-1])
-            yield batch[["campaign_id", "query_no"]].assign(position=taken)
-
-    taken = ordered.groupBy("campaign_id").applyInPandas(take, f"campaign_id {kinds['campaign_id']}, query_no {kinds['query_no']}, position {kinds['new']}")
-    return taken.select("campaign_id", "query_no", F.explode("position").alias("position"))
+    def taken(before: Column) -> Column:
+        """The new results that a query takes after so many: within what it asks for, and no more than are missing."""
+        asked = F.least(F.lit(limit) - before + F.col("known"), F.lit(per_search))
+        return F.when(before < limit, F.slice(F.filter("new", lambda p: p < asked), F.lit(1), F.greatest(F.lit(limit) - before, F.lit(0)))).otherwise(
+            F.slice(F.col("new"), 1, 0))
+
+    numbered = positions(with_block(queries, F.col("query_no")), ["campaign_id"], [F.col("query_no")], [F.col("__part")], out="n").drop("__part")
+    numbered = materialize(numbered.withColumn("after", F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda a: (a + F.size(taken(a))).cast("int"))))
+    before = _before(numbered.select("campaign_id", "n", "after"), limit).withColumnsRenamed({"campaign_id": "of", "n": "at"})
+    reached = numbered.join(before, F.col("campaign_id").eqNullSafe(F.col("of")) & (F.col("n") == F.col("at")))
+    return reached.select("campaign_id", "query_no", F.explode(taken(F.col("before"))).alias("position"))
+
+
+def _before(steps: DataFrame, limit: int) -> DataFrame:
+    """(campaign_id, n, before): the number that steps (campaign_id, n from 0, after: table) 0 to n - 1 lead to from 0."""
+    through = lambda table, x: F.get(table, x)
+    blocks = steps.groupBy("campaign_id", F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "after"))).alias("steps"))
+    blocks = materialize(blocks.withColumn("after", F.aggregate(
+        "steps", F.sequence(F.lit(0), F.lit(limit)), lambda table, step: F.transform(table, lambda x: through(step["after"], x)))))
+    if blocks.where("block > 0").isEmpty():
+        entered = blocks.withColumn("before", F.lit(0))
+    else:
+        outer = _before(blocks.select("campaign_id", F.col("block").alias("n"), "after"), limit).withColumnsRenamed({"campaign_id": "of", "n": "at"})
+        entered = blocks.join(outer, F.col("campaign_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    start = F.struct(F.col("before").alias("now"), F.array().cast("array<struct<n:bigint,before:int>>").alias("seen"))
+
+    def go(held: Column, step: Column) -> Column:
+        seen = F.array_append(held["seen"], F.struct(step["n"].alias("n"), held["now"].alias("before")))
+        return F.struct(through(step["after"], held["now"]).alias("now"), seen.alias("seen"))
+
+    return entered.select("campaign_id", F.explode(F.aggregate("steps", start, go, lambda held: held["seen"])).alias("s")).select("campaign_id", "s.n", "s.before")

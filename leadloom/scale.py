@@ -116,6 +116,14 @@ def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[C
                                              for prefix in ("__local_", "__carry_")])
 
 
+def _short(rows: DataFrame) -> list[Column]:
+    """What tells most rows apart without reading long values: plain columns, and the first characters of texts."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+    plain = [F.substring(c, 1, 32) if kind in ("string", "binary") else F.col(c) for c, kind in kinds.items()
+             if kind not in ("map", "array", "struct", "variant")]
+    return plain or [F.col(c) for c, kind in kinds.items() if kind in ("array", "struct")] or [F.lit(0)]
+
+
 HOT_KEYS = 1024  # keys whose summary rows may travel to every task
 
 
@@ -127,7 +135,7 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size:
     aggregate hands its partitioning on to the join. So the largest keys by ``size`` (rows per key)
     are broadcast, at most ``HOT_KEYS`` of them by LIMIT; every other key holds less than one in
     ``HOT_KEYS`` rows and meets its rows in a shuffled join, in which rows already served are dealt
-    out by a hash of the whole row. The summary must have a row for every key that can be hot, matched
+    out by a hash of the row (of texts, their beginnings). The summary must have a row for every key that can be hot, matched
     or not: group the rows themselves. NULL keys match NULL keys. ``how`` is left or inner.
     """
     values = [c for c in summary.columns if c not in keys and (keep_size or c != size)]
@@ -137,7 +145,7 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size:
     hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], found.alias("__hot"))
     cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.least(F.col(size), F.lit(0)).cast("int").alias("__cold_lane"), found.alias("__cold"))
     same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    rows_hash = F.pmod(F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if f.dataType.typeName() != "map"]), F.lit(1 << 20))
+    rows_hash = F.pmod(F.xxhash64(*_short(rows)), F.lit(1 << 20))
     served = (rows.withColumn("__row_hash", rows_hash.cast("int")).join(F.broadcast(hot), same, "left")
               .withColumn("__lane", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.col("__row_hash"))))
     same = [F.col("__lane") == F.col("__cold_lane")] + [F.col(k).eqNullSafe(F.col(f"__cold_{k}")) for k in keys]

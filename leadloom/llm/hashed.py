@@ -44,14 +44,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learning, rows: int =
     """(doc_id, text, label, slice) of at most ``rows`` labelled documents, chosen by a hash of their id.
 
     ``learning`` says which ids may be learnt from. A document with several labels counts as 1 if at least half
-    of them are. Only ids and labels are ordered, and at most ``rows`` of them are joined to the texts.
+    of them are; of several texts with one id that of the smallest hash is learnt, so the bound holds for rows. Only ids and labels
+    are ordered, at most ``rows`` of them are joined to the texts, and a task hands on one text an id.
     """
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learning(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("label"))
     chosen = chosen.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).orderBy("order", "doc_id").limit(rows)
     texts = docs.where(learning(F.col("doc_id"))).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select(
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    return one.select(
         "doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SLICES)).cast("int").alias("slice"))
 
 

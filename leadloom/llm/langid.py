@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import map_text, small_batches, worker_state
+from leadloom.llm.common import fresh, map_text, small_batches, worker_state
 
 DIMENSIONS = 512
 SEED = 41
 BATCH_TEXTS = 192
 BATCH_CHARS = 1 << 19
-MOST_LANGUAGES = 20_000  # prototypes travel to every task, 4 KB each
+GROUP = 2048  # languages that a pass compares with: their prototypes travel to every task, 4 KB each (16 KB with 2,048 dimensions)
 UNKNOWN = "und"
 
 
@@ -126,7 +126,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     """Prototype of every language of ``df``; rows without text or language teach nothing.
 
     Every task adds up its texts, one vector per language; vectors are summed by component in Spark,
-    and one vector per language reaches the driver.
+    and one vector per language reaches the driver. Any number of languages may be named.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
@@ -147,10 +147,10 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
                                              names=["lang", "at", "value"])
 
     sums = rows.mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    found = sums.limit(dimensions * MOST_LANGUAGES + 1).toPandas().sort_values(["lang", "at"])
-    if len(found) > dimensions * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {str(name): part["value"].to_numpy() for name, part in found.groupby("lang", sort=True)}
+    vectors: dict[str, np.ndarray] = {}
+    for r in sums.toLocalIterator():
+        vectors.setdefault(r["lang"], np.zeros(dimensions))[r["at"]] = r["value"]
+    return dict(sorted(vectors.items()))
 
 
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score",
@@ -161,9 +161,35 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     Unlike the cosine it does not grow with the text's length, so one limit serves short and long texts.
 
     ``und`` and 0 where the text is NULL or has no letter, or where there is no prototype. Ties go to the
-    alphabetically first language. All rows and other columns stay.
+    alphabetically first language. All rows and other columns stay. More than ``GROUP`` languages are compared in several passes.
     """
     names = sorted(prototypes)
+    if len(names) > GROUP:
+        return _in_groups(df, prototypes, text, out, score, dimensions, seed, familiarity)
+    return _compared(df, prototypes, text, out, score, dimensions, seed, familiarity, 0.0)
+
+
+def _in_groups(df, prototypes, text, out, score, dimensions, seed, familiarity):
+    """The best of every group's best; the first of equal ones, as groups are in order."""
+    names, rows, best = sorted(prototypes), df, []
+    for start in range(0, len(names), GROUP):
+        best.append(fresh(rows, "lang", "cosine", "mean"))
+        lang, cosine, mean = best[-1]
+        rows = _compared(rows, {n: prototypes[n] for n in names[start:start + GROUP]}, text, lang, cosine, dimensions, seed, mean, -1.0)
+    top = F.lit(None)
+    for lang, cosine, mean in best:
+        found = F.struct(F.col(cosine).alias("cosine"), F.col(lang).alias("lang"), F.col(mean).alias("mean"))
+        top = found if best[0][0] == lang else F.when(found["cosine"] > top["cosine"], found).otherwise(top)
+    held = fresh(rows, "top")[0]
+    rows = rows.withColumn(held, top)
+    given = {out: F.col(held)["lang"], score: F.greatest(F.col(held)["cosine"], F.lit(0.0))} | ({familiarity: F.col(held)["mean"]} if familiarity else {})
+    kept = [c for c in df.columns if c.lower() not in {g.lower() for g in given}]
+    return rows.select(*kept, *[v.alias(c) for c, v in given.items()])
+
+
+def _compared(df, prototypes, text, out, score, dimensions, seed, familiarity, least):
+    """``identify`` in one pass; scores below ``least`` become it."""
+    names = sorted(prototypes)
     profile = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in names], 1) if names else np.zeros((dimensions, 0))
 
     def run(texts):
@@ -183,7 +209,7 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
             best = cosine.argmax(1)
             has = [any(c.isalpha() for c in x) for x in part]
             langs += [names[i] if fine else UNKNOWN for i, fine in zip(best, has)]
-            scores += [float(min(1.0, max(0.0, row[i]))) if fine else 0.0 for row, i, fine in zip(cosine, best, has)]
+            scores += [float(min(1.0, max(least, row[i]))) if fine else 0.0 for row, i, fine in zip(cosine, best, has)]
             count = np.maximum(np.bincount(of, minlength=len(part)), 1)
             mean = cosine[np.arange(len(part)), best] * size / (np.sqrt(dimensions) * count)
             means += [float(x) if fine else 0.0 for x, fine in zip(mean, has)]

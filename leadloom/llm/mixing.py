@@ -10,7 +10,8 @@ halvings.
 A source's budget is its weight times ``budget`` tokens (by default, all that there are). Its documents
 are dealt into blocks by a hash, blocks are put in a random order and so are documents within a block.
 As many whole rounds as the budget pays for take every document; a last round takes documents from the
-beginning of the permutation up to the rest of the budget. Only sums per block cross blocks, so a source
+beginning of the permutation up to the rest of the budget, the one that crosses it too if that lands nearer (``tokens_before`` plus half its
+tokens is no more than the rest), so a source of one document does not vanish. Only sums per block cross blocks, so a source
 of a third of all rows is never in one task.
 
 DataFrame functions only. Tokens are counted as words, runs of characters that are no ASCII white space.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadloom.llm.common import fresh
 from leadloom.scale import join_summary
 from leadloom.session import materialize
 
@@ -75,9 +77,9 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     source of their own. Rows that repeat id, source and text are one document whose tokens count for
     all of them. Rows without tokens cost nothing. An empty table stays empty.
     """
-    keys = {"__source": F.col(source).cast("string"), "__id": F.col(doc_id).cast("string"), "__hash": F.coalesce(F.xxhash64(text), F.lit(0))}
-    rows = docs.withColumns(keys)
-    units = rows.select(*keys, word_count(F.col(text)).alias("tokens")).groupBy(*keys).agg(
+    own = dict(zip(fresh(docs, "source", "id", "hash"), (F.col(source).cast("string"), F.col(doc_id).cast("string"), F.coalesce(F.xxhash64(text), F.lit(0)))))
+    rows, keys = docs.withColumns(own), ("__source", "__id", "__hash")
+    units = rows.select(*[F.col(c).alias(k) for c, k in zip(own, keys)], word_count(F.col(text)).alias("tokens")).groupBy(*keys).agg(
         F.first("tokens").alias("n_tokens"), F.sum("tokens").alias("tokens"))
     units = materialize(units)
     sources = units.groupBy("__source").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("units"))
@@ -105,15 +107,20 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     blocks = blocks.select(F.col("__source").alias("__of"), F.col("__block").alias("__in"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("__earlier"))
     placed = dealt.join(blocks, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__in")))
     before = F.col("__earlier") + F.col("__inside")
-    placed = placed.select(*[F.col(k).alias(f"{k}_of") for k in keys], "n_tokens", "weight", before.alias("tokens_before"),
-                           (F.col("rounds") + F.when(before + F.col("tokens") <= F.col("rest"), 1).otherwise(0)).cast("int").alias("copies"))
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    of = fresh(docs, "source_of", "id_of", "hash_of")
+    placed = placed.select(*[F.col(k).alias(c) for k, c in zip(keys, of)], "n_tokens", "weight", before.alias("tokens_before"),
+                           (F.col("rounds") + F.when(2 * before + F.col("tokens") <= 2 * F.col("rest"), 1).otherwise(0)).cast("int").alias("copies"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(own, of)]
     added = ["n_tokens", "weight", "tokens_before", "copies"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    return rows.select(*kept, *keys).join(placed, same).select(*kept, *added)
+    return rows.select(*kept, *own).join(placed, same).select(*kept, *added)
 
 
 def realised(docs: DataFrame, **settings) -> DataFrame:
-    """The mixture: every row of ``docs`` as often as it is drawn; the columns of ``docs``."""
-    mixed = mix(docs, **settings).where(F.col("copies") > 0)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixture: every row of ``docs`` as often as it is drawn; the columns of ``docs``, those of the names ``mix`` adds included."""
+    added = ["n_tokens", "weight", "tokens_before", "copies"]
+    clashing = [c for c in docs.columns if c.lower() in added]
+    aside = dict(zip(clashing, fresh(docs, *clashing)))
+    mixed = mix(docs.withColumnsRenamed(aside), **settings).where(F.col("copies") > 0)
+    drawn = mixed.withColumn(fresh(mixed, "copy")[0], F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return drawn.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

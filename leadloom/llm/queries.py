@@ -84,7 +84,7 @@ o AS (SELECT *, md5('6:' || coalesce(source, '~') || ':block:' || block) AS plac
 p AS (SELECT *, cast(coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY place, block, mark, cast(doc_id AS VARCHAR)
                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before FROM o)
 SELECT doc_id, source, cast(n_tokens AS BIGINT) AS n_tokens, weight, tokens_before,
-       cast(rounds + CASE WHEN tokens_before + n_tokens <= rest THEN 1 ELSE 0 END AS INT) AS copies
+       cast(rounds + CASE WHEN 2 * tokens_before + n_tokens <= 2 * rest THEN 1 ELSE 0 END AS INT) AS copies
 FROM p"""
 
 

@@ -1,12 +1,12 @@
 """Toxicity: a factorization machine over hashed terms.
 
 The terms of a text are its lower-cased words and the beginnings of four, five and six letters of its
-longer words, as 64-bit hashes; a term counts once, with its inverse text frequency as value, and a
-text's values have the length ``LENGTH``. Besides a weight every term has a short vector,
-and the product of two terms' vectors is the weight of their meeting, which an additive model misses.
-Terms enter that occur in at least ``LEAST_TEXTS`` texts of the learning sample, the ``MOST_TERMS`` most
-frequent of them. Weights are learnt by FTRL-Proximal and vectors by adaptive gradients, in slices of
-the sample whose states are averaged after every round. A vector near zero of a term without weight
+longer words, hashed to one of ``PLACES`` places; a place counts once a text, with a value that falls with the share of learning texts that have it
+and is damped where very few have it, so a rare insult counts and a thousand unique words do not drown the rest. A
+text's values have the length ``LENGTH``. Besides a weight every place has a short vector,
+and the product of two places' vectors is the weight of their meeting, which an additive model misses.
+Every term of every learning text enters; places that no learning text has say nothing. Weights are learnt by FTRL-Proximal and vectors by adaptive
+gradients, in slices of the sample whose states are averaged after every round. A vector near zero of a place without weight
 is set to zero.
 """
 
@@ -28,8 +28,9 @@ from leadloom.session import materialize
 
 FACTORS = 4
 ROUNDS = 6
-LEAST_TEXTS = 10
-MOST_TERMS = 65_536
+BITS = 17
+PLACES = 1 << BITS
+DAMPING = 5.0  # texts at which a place has half its value
 LENGTH = 10.0
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.0, 0.1
 RATE, SHRINK, START = 0.05, 1e-3, 0.02
@@ -40,26 +41,26 @@ WORD = r"[^\W\d_]+"
 
 
 class Terms(dict):
-    """For every word the bytes of its terms' hashes, or of their places in a model."""
+    """For every word the bytes of its terms' places."""
 
-    def __init__(self, places: dict[bytes, bytes] | None = None):
+    def __init__(self):
         self.split = re.compile(WORD).findall
-        self.places = places
 
     def __missing__(self, word: str) -> bytes:
         parts = [word] + [word[:n] + "~" for n in (4, 5, 6) if len(word) > n]
-        hashes = [xxhash.xxh64_digest(x)[::-1] for x in parts]
-        found = b"".join(hashes if self.places is None else [self.places.get(x, b"") for x in hashes])
+        found = b"".join((xxhash.xxh64_intdigest(x) >> (64 - BITS)).to_bytes(4, "little") for x in parts)
         if len(word) <= 64:
             if len(self) >= CACHED_TOKENS:
                 self.clear()
             self[word] = found
         return found
 
+    def raw(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.split((text or "").lower())))
+
     def __call__(self, text: str | None) -> np.ndarray:
-        """Distinct hashes (or places) of a text, ascending."""
-        raw = b"".join(map(self.__getitem__, self.split((text or "").lower())))
-        return np.unique(np.frombuffer(raw, "<u8" if self.places is None else "<i4"))
+        """Distinct places of a text, ascending."""
+        return np.unique(np.frombuffer(self.raw(text), "<i4"))
 
 
 def values(idf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def values(idf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def machine(bias: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> float:
-    """Of the terms of one text, whose weights, vectors and values are given."""
+    """Of the places of one text, whose weights, vectors and values are given."""
     weighted = v * x[:, None]
     total = weighted.sum(0)
     return bias + float(w @ x) + 0.5 * float(total @ total - (weighted * weighted).sum())
@@ -77,7 +78,6 @@ def machine(bias: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> float:
 @dataclass
 class Model:
     bias: float
-    hashes: np.ndarray  # of all terms that entered, as all of them count in a text's length
     idf: np.ndarray
     weights: np.ndarray
     vectors: np.ndarray
@@ -85,24 +85,33 @@ class Model:
     def value(self, at: np.ndarray) -> float:
         return machine(self.bias, self.weights[at], self.vectors[at], values(self.idf, at))
 
+    def values_of(self, of: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """``value`` of n texts at once: ``of`` says which text a place belongs to."""
+        x = self.idf[at]
+        size = np.sqrt(np.bincount(of, x * x, n))
+        x = x * (LENGTH / np.where(size, size, 1.0))[of]
+        weighted = self.vectors[at] * x[:, None]
+        out = self.bias + np.bincount(of, self.weights[at] * x, n) - 0.5 * np.bincount(of, (weighted * weighted).sum(1), n)
+        for column in weighted.T:
+            out += 0.5 * np.bincount(of, column, n) ** 2
+        return out
+
 
-def frequent_terms(rows: DataFrame, least: int = LEAST_TEXTS, most: int = MOST_TERMS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms to learn about, ascending, and their inverse text frequencies; at most ``most`` reach the driver."""
+def text_shares(rows: DataFrame) -> np.ndarray:
+    """The value of every place before a text's length: how rare it is among the learning texts (``ready``: places of each)."""
     def count(batches):
-        terms = worker_state(("terms",), Terms)
+        held = np.zeros(PLACES, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found = [terms(x) for x in batch.slice(start, 512).column(0).to_pylist()]
-                hashes, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+            for x in batch.column(0):
+                held[np.frombuffer(x.as_buffer(), "<i4")] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["place", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(most).toPandas()
-    hashes = kept["term"].to_numpy(np.int64).view(np.uint64)
-    texts = max(rows.count(), least + 1)
-    idf = np.log(texts / kept["n"].to_numpy(np.float64)) / np.log(texts / least)
-    order = np.argsort(hashes)
-    return hashes[order], idf[order]
+    counted = rows.select("places").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(PLACES)
+    n[counted["place"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
+    texts = max(rows.count(), 2)
+    return np.where(n > 0, np.log(texts / np.maximum(n, 1)) / np.log(texts) * n / (n + DAMPING), 0.0)
 
 
 def weights(z: np.ndarray, n: np.ndarray, l1: float = L1, l2: float = L2) -> np.ndarray:
@@ -142,21 +151,17 @@ def _round(idf: np.ndarray, state: dict[str, np.ndarray], turn: int):
 
 def learn(rows: DataFrame, rounds: int = ROUNDS, factors: int = FACTORS, seed: int = 77) -> Model:
     """A model from rows of (doc_id, text, label, slice); an empty one, which scores one half, if there are none."""
-    rows = materialize(rows)
-    hashes, idf = frequent_terms(rows)
-    places = {h.to_bytes(8, "little"): i.to_bytes(4, "little") for i, h in enumerate(hashes.tolist())}
-
     def featurise(batches):
-        terms = Terms(places)
+        terms = worker_state(("terms", BITS), Terms)
         for batch in batches:
-            found = [terms(x).tobytes() for x in batch.column("text").to_pylist()]
+            found = [terms(x).astype("<i4").tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
                                              names=["slice", "doc_id", "label", "places"])
 
     ready = materialize(rows.select("slice", "doc_id", "label", "text").mapInArrow(featurise, "slice int, doc_id long, label double, places binary"))
-    size = len(hashes)
-    state = {"z": np.zeros(size + 1), "n": np.zeros(size + 1), "v": np.random.default_rng(seed).normal(0, START, (size, factors)),
-             "g": np.ones((size, factors))}
+    idf = text_shares(ready)
+    state = {"z": np.zeros(PLACES + 1), "n": np.zeros(PLACES + 1), "v": np.random.default_rng(seed).normal(0, START, (PLACES, factors)),
+             "g": np.ones((PLACES, factors))}
     state = {k: x.astype(np.float32) for k, x in state.items()}
     for turn in range(rounds):
         states = ready.groupBy("slice").applyInArrow(_round(idf, state, turn), "rows long, z binary, n binary, v binary, g binary").collect()
@@ -169,19 +174,21 @@ def learn(rows: DataFrame, rounds: int = ROUNDS, factors: int = FACTORS, seed: i
     z, n, v = (state[k].astype(np.float64) for k in "znv")
     w = weights(z, n)[:-1]
     kept = (w != 0) | (np.sqrt((v * v).sum(1)) >= LEAST_VECTOR)
-    return Model(float(weights(z[-1], n[-1], 0.0, 0.0)), hashes, idf, w, v * kept[:, None])
+    return Model(float(weights(z[-1], n[-1], 0.0, 0.0)), idf, w, v * kept[:, None])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the probability of label 1; a text without known terms, or NULL, gets that of the bias alone."""
-    places = {h.to_bytes(8, "little"): i.to_bytes(4, "little") for i, h in enumerate(model.hashes.tolist())}
-    name = xxhash.xxh64_hexdigest(model.hashes.tobytes())
+    """Add the probability of label 1; a text without known terms, or NULL, gets that of the bias alone. Texts are scored a batch at a time."""
+    small = Model(model.bias, model.idf.astype(np.float32), model.weights.astype(np.float32), model.vectors.astype(np.float32))
 
     def run(texts):
-        terms = worker_state(("placed", name), lambda: Terms(places))
-        return [sigmoid(np.array([model.value(terms(x)) for x in texts], np.float64)).tolist()]
+        terms = worker_state(("terms", BITS), Terms)
+        raw = [terms.raw(x) for x in texts]
+        of = np.repeat(np.arange(len(texts)), [len(x) // 4 for x in raw])
+        both = np.unique((of << BITS) | np.frombuffer(b"".join(raw), "<i4"))
+        return [sigmoid(small.values_of(both >> BITS, both & (PLACES - 1), len(texts))).tolist()]
 
-    return map_text(df, text, [(out, T.DoubleType())], run)
+    return map_text(df, text, [(out, T.DoubleType())], run, rows=64)
 
 
 def train(docs: DataFrame, labels: DataFrame, learning, label: str = "toxic") -> Model:

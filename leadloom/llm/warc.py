@@ -1,8 +1,8 @@
 """Web archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
-Writing: every task's partition becomes one archive, written through Spark's text sink, whose rows are
-raw bytes here; the sink's line separator is an empty skippable frame, so every archive is a valid
-Zstandard file. Reading: frame by frame, so that a record is all that is ever decoded at once.
+Writing: every task's partition becomes archives of bounded size, written through Spark's text sink, whose rows are
+raw bytes here: some megabytes of frames each. The sink's line separator is an empty skippable frame, so every archive is a valid
+Zstandard file; the sink begins a new file after so many rows, and the row that it begins with has a dictionary frame of its own. Reading: frame by frame, so that a record is all that is ever decoded at once.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ DICTIONARY_BYTES = 32768
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 8192  # what the dictionary is trained on, at most
 CAPTURED = "1970-01-01T00:00:00Z"
 LEVEL = 3
+ROW_BYTES, ROWS = 4 << 20, 32  # frames of a row, rows of an archive: about 128 MB and a record at most
 STEP = 8192
 
 
@@ -56,7 +57,8 @@ def first_copies(pages: DataFrame, page_id: str = "page_id", payload: str = "htm
 
 def train_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
     """A dictionary from a bounded sample (``SAMPLE_ROWS`` pages, ``SAMPLE_CHARS`` of each); empty if that is too little."""
-    rows = pages.where(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()
+    content = F.substring(payload, 1, SAMPLE_CHARS)
+    rows = pages.where(F.length(payload) > 0).select(content.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()
     sample = [r[0].encode() for r in rows]
     if len(sample) < 16 or sum(map(len, sample)) < 4 * DICTIONARY_BYTES:
         return b""
@@ -96,21 +98,28 @@ def write(pages: DataFrame, folder: str) -> None:
     def run(batches):
         made = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=True, write_checksum=True)
-        begun = False
+        held, size, made_rows = [], 0, 0
+
+        def row():
+            nonlocal held, size, made_rows
+            lead = [struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary] if made_rows % ROWS == 0 else []
+            out = pa.RecordBatch.from_arrays([pa.array([b"".join(lead + held)], pa.binary())], names=["frame"])
+            held, size, made_rows = [], 0, made_rows + 1
+            return out
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                frames = []
-                for row in batch.slice(at, 256).to_pylist():
-                    if not begun:
-                        frames.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
-                        begun = True
-                    raw = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"])
-                    frames.append(packer.compress(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                for page in batch.slice(at, 256).to_pylist():
+                    held.append(packer.compress(record(page["page_id"], page["url"], (page["html"] or "").encode(), page["refers_to"])))
+                    size += len(held[-1])
+                    if size >= ROW_BYTES:
+                        yield row()
+        if held:
+            yield row()
 
     small_batches(pages.sparkSession)
     frames = rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(folder)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", ROWS).text(folder)
 
 
 def frames(content: memoryview):

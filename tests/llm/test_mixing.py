@@ -56,7 +56,7 @@ def test_weights(spark, entropy, max_repeats):
         assert all(abs(r.weight - weight) < 1e-5 for r in own)
         drawn, longest = sum(r.copies * r.n_tokens for r in own), max(r.n_tokens for r in own)
         budget = weight * sum(held.values())
-        assert budget - longest - 1 <= drawn <= budget + 1
+        assert abs(drawn - budget) <= longest / 2 + 1
         assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
 
 
@@ -72,8 +72,28 @@ def test_the_draw_follows_the_permuted_blocks(spark):
         budget = round(got[own[0][0]].weight * sum(len(t.split()) for _, _, t in rows))
         for i, n in sorted(own, key=place):
             assert got[i].tokens_before == before
+            assert got[i].copies == budget // held + (before + n / 2 <= budget % held)
             before += n
-            assert got[i].copies == budget // held + (before <= budget % held)
+
+
+def test_a_source_of_one_document_stays(spark):
+    """Its weight pays for more than half of it, so it is taken; a budget of less than half leaves it out."""
+    rows = [(i, "many", "word " * 100) for i in range(95)] + [(1000, "one", "word " * 4000)]
+    got = {r.doc_id: r for r in mixing.mix(frame(spark, rows)).collect()}
+    total = 95 * 100 + 4000
+    assert 0.5 < got[1000].weight * total / 4000 and got[1000].copies == round(got[1000].weight * total / 4000)
+    less = {r.doc_id: r for r in mixing.mix(frame(spark, rows), budget=total // 4).collect()}
+    assert less[1000].copies == (less[1000].weight * (total // 4) >= 2000)
+
+
+def test_names_of_its_own(spark):
+    """Columns with the names that the operator uses inside keep their values."""
+    names = ["__source", "__id", "__hash", "__copy", "__source_of", "__block", "__mark", "weight", "n_tokens"]
+    df = frame(spark, rows_of({"a": 40, "b": 5})).drop("weight", "copies")
+    clashing = df.withColumns({n: F.lit(n) for n in names})
+    got = mixing.realised(clashing)
+    assert got.columns == clashing.columns and got.count() == mixing.realised(df).count()
+    assert all(r[n] == n for r in got.collect() for n in names)
 
 
 def test_odd_rows(spark):

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadloom.graphs import components
 from leadloom.llm.common import fresh, map_text, small_batches, whole_groups, written
-from leadloom.llm.simhash import components, shingle_hashes
+from leadloom.llm.simhash import shingle_hashes
 from leadloom.scale import join_summary
 from leadloom.session import materialize
 

@@ -7,12 +7,12 @@ Links: fingerprints within ``distance`` bits agree in at least one of ``distance
 Per block, equal values bring fingerprints together, and there a sorted array of the fingerprints,
 rotated so that the block leads, is a binary trie: a node is a range of it. Pairs of nodes are
 traversed together from the root down, one bit at a time; the bits in which their paths differ add
-up, and a pair is dropped when the budget is exceeded. Only distinct fingerprints enter, so exact
+up, and a pair is dropped when the budget is exceeded, or when all below both is connected already. The first
+steps down are Spark's where a group is large: its nodes some bits down are counted off, and every pair of them within the budget
+is a row group of its own, dealt to any task. Only distinct fingerprints enter, so exact
 copies cost nothing, and a group hands on a spanning forest of its links instead of all of them.
 
-Components: the smallest document of a fingerprint stands for it. Every round sends the neighbours of
-a node to the smallest of them (large star, then small star), so that chains shorten geometrically;
-rounds go through ``spark.checkpoint.dir``.
+Components: ``graphs.components`` over fingerprints; the smallest document of a fingerprint stands for it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import map_text
+from leadloom.graphs import components, contracted
+from leadloom.llm.common import fresh, map_text, whole_groups
 from leadloom.scale import join_summary
 from leadloom.session import materialize
 
@@ -33,7 +34,9 @@ DISTANCE = 4
 BITS = 64
 SEED = 42
 DIRECT = 64  # node pairs of up to so many fingerprint pairs are compared one by one
-STEP = 1 << 18  # node pairs in hand at once
+STEP = 1 << 16  # node pairs in hand at once
+GROUP = 1 << 16  # fingerprints of a node pair's side that a task gets, about; more are split by further bits
+MOST_SPLIT = 12  # bits
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -84,20 +87,25 @@ def rotated(values: np.ndarray, bits: int) -> np.ndarray:
     return values if bits == 0 else (values << np.uint64(bits)) | (values >> np.uint64(BITS - bits))
 
 
-def trie_pairs(keys: np.ndarray, groups: list[tuple[int, int]], prefix: int, distance: int):
-    """Positions of linked keys within each group, a range of ``keys`` that is sorted and shares ``prefix`` leading bits.
+def trie_pairs(keys: np.ndarray, pairs: list[tuple[int, int, int, int, int, int]], distance: int, labels: np.ndarray | None = None):
+    """Positions of linked keys below node pairs: (range, range, next bit, bits that differ so far), a node with itself included.
 
-    Yields arrays (left, right). Node pairs of all groups go down the tries together, deepest first.
+    ``keys`` are sorted within each range. Yields arrays (left, right). The caller may keep ``labels`` of what is connected up to date:
+    pairs of nodes all below which have one label are dropped. Node pairs go down the tries together, deepest first.
     """
-    start = np.array(groups, np.int64).reshape(-1, 2)
-    start = start[start[:, 1] - start[:, 0] > 1]
-    # a node pair: range, range, bit to look at, bits that differ so far
-    stack = [np.column_stack([start, start, np.full(len(start), prefix), np.zeros(len(start), np.int64)])]
+    start = np.array(pairs, np.int64).reshape(-1, 6)
+    start = start[(start[:, 0] != start[:, 2]) | (start[:, 1] - start[:, 0] > 1)]
+    stack = [start]
     while stack:
         pairs = stack.pop()
         if len(pairs) > STEP:
             stack += [pairs[STEP:], pairs[:STEP]]
             continue
+        if labels is not None and len(pairs):
+            changes = np.r_[0, np.cumsum(labels[1:] != labels[:-1])]
+            a, b, c, d = pairs[:, :4].T
+            one = (changes[b - 1] == changes[a]) & (changes[d - 1] == changes[c]) & (labels[a] == labels[c])
+            pairs = pairs[~one]
         sizes = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         small = (sizes <= DIRECT) | (pairs[:, 4] >= BITS)
         if small.any():
@@ -115,8 +123,8 @@ def trie_pairs(keys: np.ndarray, groups: list[tuple[int, int]], prefix: int, dis
         made = np.concatenate(made)
         made = made[(made[:, 0] < made[:, 1]) & (made[:, 2] < made[:, 3]) & (made[:, 5] <= distance)]
         made = made[~((made[:, 0] == made[:, 2]) & (made[:, 1] == made[:, 3]) & (made[:, 1] - made[:, 0] == 1))]
-        if len(made):
-            stack.append(made)
+        # what is nearest is looked at first: it connects most
+        stack += [x for x in (made[made[:, 5] > 0], made[made[:, 5] == 0]) if len(x)]
 
 
 def _split(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -144,101 +152,77 @@ def _compare(keys, pairs, distance):
         yield left[near], right[near]
 
 
-class Sets:
-    """Union-find over positions; the smallest value of a set is its root's."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def union(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
+def connected(keys: np.ndarray, pairs: list[tuple[int, int, int, int, int, int]], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the linked keys: every position but the first of its component, and that one."""
+    labels = np.arange(len(keys))
+    for left, right in trie_pairs(keys, pairs, distance, labels):
+        # links between what is apart so far; smallest labels spread over them, then over all of each label
+        one, other = labels[left], labels[right]
+        apart = one != other
+        if apart.any():
+            moved, to = contracted(one[apart], other[apart])
+            at = np.searchsorted(moved, labels)
+            hit = (at < len(moved)) & (moved[np.minimum(at, len(moved) - 1)] == labels)
+            labels[hit] = to[at[hit]]
+    fine = np.flatnonzero(labels != np.arange(len(keys)))
+    return fine, labels[fine]
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) of nodes (node, fingerprint), fingerprints distinct: a spanning forest of the links of every block."""
+    """(a, b) of nodes (node, fingerprint), fingerprints distinct: a spanning forest of the links of every node pair dealt out.
+
+    There are at most ``distance + 1`` times 2^(bits of a block) groups, so their counts may travel to every task.
+    """
     bounds = block_bounds(distance)
     unsigned = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("fingerprint", BITS - first - size).bitwiseAND(F.lit((1 << size) - 1))).alias("value"))
                 for i, (first, size) in enumerate(bounds)]
     dealt = nodes.select("node", "fingerprint", F.explode(F.array(*unsigned)).alias("at")).select("node", "fingerprint", "at.block", "at.value")
-    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value")
-
-    def whole_groups(batches):
-        """Columns of one or more whole groups; the last group of a batch waits for the next one."""
-        held = None
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            block, value = columns[2], columns[3]
-            cut = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1]))
-            if len(cut):
-                yield [c[:cut[-1] + 1] for c in columns]
-                held = [c[cut[-1] + 1:] for c in columns]
-            else:
-                held = columns
-        if held is not None and len(held[0]):
-            yield held
+    counts = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"))
+    more = F.least(F.greatest(F.ceil(F.log2(F.col("n") / GROUP)), F.lit(0)), F.lit(MOST_SPLIT)).cast("int")
+    split = counts.select(F.col("block").alias("of"), F.col("value").alias("with"), more.alias("split"))
+    dealt = dealt.join(F.broadcast(split), (F.col("block") == F.col("of")) & (F.col("value") == F.col("with"))).drop("of", "with")
+    # the bits behind the block, cyclically, say which node below the block's a fingerprint is in
+    after = F.element_at(F.array(*[F.lit((first + size) % BITS) for first, size in bounds]), F.col("block") + 1)
+    turned = F.call_function("shiftleft", F.col("fingerprint"), after).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fingerprint"), F.lit(BITS) - after))
+    turned = F.when(after == 0, F.col("fingerprint")).otherwise(turned)
+    child = F.when(F.col("split") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", turned, F.lit(BITS) - F.col("split")))
+    dealt = dealt.withColumn("child", child)
+    every = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("split")) - 1)
+    near = F.filter(every, lambda c: F.bit_count(c.bitwiseXOR(F.col("child"))) <= distance)
+    pair = F.explode(F.when(F.col("split") == 0, F.array(F.lit(0).cast("long"))).otherwise(near))
+    dealt = dealt.select("node", "fingerprint", "block", "value", "split", "child", pair.alias("mate"))
+    dealt = dealt.select("node", "fingerprint", F.col("block").cast("long").alias("block"), "value", F.least("child", "mate").alias("low"), F.greatest("child", "mate").alias("high"),
+                         F.col("split").cast("long").alias("split"), "child")
+    place = ["block", "value", "low", "high"]
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place)
 
     def run(batches):
-        for node, fingerprint, block, value in whole_groups(batches):
-            for b in np.unique(block).tolist():
-                rows = np.flatnonzero(block == b)
-                first, size = bounds[b]
-                keys = rotated(fingerprint[rows].view(np.uint64), first)
-                order = np.argsort(keys, kind="stable")  # equal block values stand together: they lead
-                keys, own = keys[order], node[rows][order]
-                top = keys >> np.uint64(BITS - size)
-                edges = np.flatnonzero(np.r_[True, top[1:] != top[:-1], True])
-                by_node = np.argsort(own, kind="stable")
-                rank = np.empty(len(own), np.int64)
-                rank[by_node] = np.arange(len(own))
-                sets, touched = Sets(len(own)), []
-                for left, right in trie_pairs(keys, list(zip(edges[:-1].tolist(), edges[1:].tolist())), size, distance):
-                    left, right = rank[left], rank[right]
-                    touched.append(np.unique(np.concatenate([left, right])))
-                    for i, j in zip(left.tolist(), right.tolist()):
-                        sets.union(i, j)
-                if touched:
-                    found = np.unique(np.concatenate(touched))
-                    to = np.array([sets.root(i) for i in found.tolist()])
-                    fine = to != found
-                    smallest = own[by_node]
-                    yield pa.RecordBatch.from_arrays([pa.array(smallest[found[fine]]), pa.array(smallest[to[fine]])], names=["a", "b"])
+        for rows, edges in whole_groups(batches, place):
+            column = {name: rows.column(name).to_numpy() for name in (*place, "node", "fingerprint", "split", "child")}
+            keys = column["fingerprint"].view(np.uint64).copy()
+            for b in np.unique(column["block"]).tolist():
+                of = column["block"] == b
+                keys[of] = rotated(keys[of], bounds[b][0])
+            group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            order = np.lexsort((keys, column["child"], group))
+            keys, own, child = keys[order], column["node"][order], column["child"][order]
+            pairs = []
+            for i, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                low, high, split = (int(column[name][a]) for name in ("low", "high", "split"))
+                bit = bounds[int(column["block"][a])][1] + split
+                middle = a + int(np.searchsorted(child[a:z], high)) if low != high else z
+                if low == high:
+                    pairs.append((a, z, a, z, bit, 0))
+                elif a < middle < z:
+                    pairs.append((a, middle, middle, z, bit, (low ^ high).bit_count()))
+            if pairs:
+                left, right = connected(keys, pairs, distance)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[left]), pa.array(own[right])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component) of every node of the edges (a, b): the smallest node that can be reached."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
-        # large star: neighbours above a node go to the smallest node around it
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
-        large = join_summary(both, smallest, ["a"], "n").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        # small star: a node and its neighbours below go to the smallest of them
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        moved = join_summary(large, lowest, ["a"], "n")
-        small = moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(lowest.select("a", F.col("low").alias("b")))
-        after = materialize(small.where(F.col("a") != F.col("b")).distinct())
-        if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
-            break
-        edges = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def _classified(df: DataFrame, doc_id: str, text: str, distance: int, words: int) -> DataFrame:
     """doc_id, text_hash, fingerprint, component (a fingerprint) and component_id of every row."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -271,7 +255,8 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     kept = _classified(df, doc_id, text, distance, words).groupBy("component").agg(first)
-    kept = kept.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash")).distinct()
-    rows = df.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(text)})
-    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    own_id, own_hash, kept_id, kept_hash = fresh(df, "id", "hash", "kept_id", "kept_hash")
+    kept = kept.select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash)).distinct()
+    rows = df.withColumns({own_id: F.col(doc_id).cast("long"), own_hash: F.xxhash64(text)})
+    same = F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash))
+    return rows.join(kept, same, "left_semi").dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from leadloom.llm import ngram_join
 from test_simhash import ROWS
 
@@ -123,3 +124,26 @@ def test_keep_first_and_odd_rows(spark):
     assert ngram_join.keep_first(df.limit(0)).count() == ngram_join.near_duplicates(df.limit(0)).count() == 0
     assert ngram_join.keep_first(df.where(F.col("text").isNull())).count() == 1
     assert ngram_join.near_duplicates(df).count() == len(ROWS)
+
+
+def plain_kept(rows):
+    """Smallest id of each component of five-word similarity of at least 4/5; texts without words are copies of one another."""
+    found = plain_components(rows, 5, 4, 5)
+    blank = [i for i, size, _ in found if not size]
+    return sorted({c for _, size, c in found if size} | set(blank[:1]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_against_brute_force(spark, seed):
+    rows = variants(seed)
+    rows += rows[:10] + [(1000, "same text of some words here")] * 50 + [(2000, None), (2001, " ")]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == plain_kept(rows)
+
+
+def test_stage_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = plain_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == want

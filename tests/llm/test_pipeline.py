@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import difference
-from leadloom.llm import queries, simhash
+from leadloom.llm import queries
+from test_ngram_join import plain_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,8 +39,8 @@ def test_stages(spark):
         assert after.columns == docs.columns, name
         assert after.exceptAll(before).isEmpty() if name != "mixing" else after.distinct().exceptAll(before).isEmpty()
         if name == "near duplicates":
-            ids = simhash.near_duplicates(before).select("component_id").distinct().collect()
-            assert sorted(r.doc_id for r in after.collect()) == sorted(r.component_id for r in ids)
+            want = plain_kept([(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()])
+            assert sorted(r.doc_id for r in after.collect()) == want
         before = after
     rows = corpus_pipeline.token_stage(spark, before, FOLDER).collect()
     texts = {r.doc_id: r.text for r in before.collect()}
@@ -62,11 +63,16 @@ def test_odd_documents(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1000, "", "en", "src0", 0), (1001, " ", None, None, 1), (1002, "12 34", "en", "src1", 5),
                                  (1003, "le chat et la souris " * 20_000, "fr", "src1", None)], good.schema)
     docs = good.unionByName(odd).unionByName(odd).unionByName(good.limit(5)).withColumns({"score": F.lit("x"), "ids": F.lit(1), "__spare": F.lit(None).cast("date")})
+    # names that operators and stages use inside
+    names = ["__id", "__hash", "__score", "__lang", "__source", "__copy", "__of", "__least", "__familiarity", "__kept_id", "__decoded", "node", "weight", "copies", "text_hash"]
+    docs = docs.withColumns({n: F.lit(n) for n in names})
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, docs, FOLDER).checkpoint()
         assert kept.count() or _ == "none"
         docs = kept
     assert {"score", "ids", "__spare"} <= set(docs.columns)
+    row = docs.first()
+    assert all(row[n] == n for n in names)
     empty = good.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0

@@ -66,15 +66,20 @@ def test_trie_pairs(monkeypatch, prefix):
     keys = np.sort(np.array(clusters(prefix, 300), np.uint64))
     top = keys >> np.uint64(64 - prefix) if prefix else np.zeros(len(keys), np.uint64)
     edges = np.flatnonzero(np.r_[True, top[1:] != top[:-1], True])
-    groups = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-    got = sorted(tuple(sorted(x)) for left, right in simhash.trie_pairs(keys, groups, prefix, 4) for x in zip(left.tolist(), right.tolist()))
+    pairs = [(a, b, a, b, prefix, 0) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    got = sorted(tuple(sorted(x)) for left, right in simhash.trie_pairs(keys, pairs, 4) for x in zip(left.tolist(), right.tolist()))
     want = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys))
             if top[i] == top[j] and (int(keys[i]) ^ int(keys[j])).bit_count() <= 4]
     assert got == want and want
 
 
-def test_components_of_links(spark):
+@pytest.mark.parametrize("group", [1 << 16, 4])
+def test_components_of_links(spark, monkeypatch, group):
+    """With groups that are split by further bits, too: more than a thousand fingerprints share a block's value."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     prints = clusters(9, 1200)
+    if group == 4:
+        prints = sorted({p & ~(0xFFF << 52) for p in prints[:600]} | set(prints[600:]))
     want = plain_components(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(i, s) for i, s in enumerate(signed)], "node long, fingerprint long")
@@ -84,6 +89,22 @@ def test_components_of_links(spark):
         assert got.get(i, i) == min(others)
 
 
+def test_a_dense_family_is_a_forest():
+    """4,000 fingerprints within four bits of one another or nearly so: far fewer pairs are looked at than there are."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    family = sorted({flipped(rng, base, rng.choice([1, 2])) for _ in range(4000)})
+    keys, seen = np.array(family, np.uint64), []
+    whole = simhash._compare
+    simhash._compare = lambda keys, pairs, distance: seen.append(int(((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])).sum())) or whole(keys, pairs, distance)
+    try:
+        left, right = simhash.connected(keys, [(0, len(keys), 0, len(keys), 0, 0)], 4)
+    finally:
+        simhash._compare = whole
+    assert len(left) == len(keys) - 1 and set(right.tolist()) == {0}
+    assert sum(seen) < len(keys) ** 2 / 4
+
+
 def test_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(500)] + [(5, 5), (200, 199)]
     got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

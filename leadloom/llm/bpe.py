@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import arrow_schema, map_text, with_columns, worker_state
+from leadloom.llm.common import arrow_schema, fresh, map_text, with_columns, worker_state
 
 LEAF_CHARS = 32768
 CACHED_WORDS = 250_000  # of one worker process, about 50 MB
@@ -229,7 +229,7 @@ def _texts(known: Codec, ids: list[bytes | None]) -> pa.Array:
 
 def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars: int, decoded: str | None) -> DataFrame:
     """Leaves as rows; the row's other columns travel with its first leaf."""
-    row, path, piece, of_piece = "__row", "__path", "__piece", "__ids"
+    row, path, piece, of_piece = fresh(df, "row", "path", "piece", "piece_ids")
     df = df.withColumn(row, F.monotonically_increasing_id())
     leaf_schema = T.StructType([f for f in df.schema.fields if f.name.lower() != text.lower()]
                                + [T.StructField(path, T.StringType()), T.StructField(piece, T.StringType())])

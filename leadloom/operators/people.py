@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import names, urls
 from leadloom.functions.text import clean_markdown, fields, fold_ascii, let, lookup, token, tokens
-from leadloom.scale import top_k
+from leadloom.graphs import components
+from leadloom.scale import join_summary, top_k
 from leadloom.session import materialize
 from leadloom.sources.people import EXCLUDED_WORDS, FALLBACK_ROLES, TARGET_ROLES, classify_title
 
@@ -49,8 +50,32 @@ TITLE_END = r",\s+(?:and\s+)?[A-Z][a-z]+\s+[A-Z]|\s+and\s+[A-Z][a-z]+\s+[A-Z][a-
 PRINCIPAL = "Principal (practice named after them)"
 
 
+CHUNK = 128
+
+
+def _offsets(steps: Column) -> Column:
+    """Running sums of an array, the element itself included: sums of chunks first, so the work does not grow with the square."""
+    chunks = F.ceil(F.size(steps) / CHUNK).cast("int")
+
+    def add(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+    def summed(p: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(p["chunks"] - 1, F.lit(0))), lambda k: add(F.slice(p["steps"], k * CHUNK + 1, F.lit(CHUNK))))
+        return fields(steps=p["steps"], sums=sums)
+
+    def before(p: Column) -> Column:
+        return fields(steps=p["steps"], before=F.transform(p["sums"], lambda s, k: add(F.slice(p["sums"], F.lit(1), k))))
+
+    def placed(p: Column) -> Column:
+        return F.transform(p["steps"], lambda x, i: F.get(p["before"], F.floor(i / CHUNK).cast("int")) + add(
+            F.slice(p["steps"], F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK + 1)))
+
+    return let(let(let(fields(steps=steps, chunks=chunks), summed), before), placed)
+
+
 def _matches(text: Column, pattern: str, name_group: int, title_group: int) -> Column:
-    """All matches with their start: array of (names, title, at, length)."""
+    """All matches with their start: array of (whole, names, title, at, length)."""
     wanted = {"whole": f"({pattern})", "names": pattern, "title": pattern}
     whole = F.regexp_extract_all(text, F.lit(wanted["whole"]), F.lit(1))
     people = F.regexp_extract_all(text, F.lit(pattern), F.lit(name_group))
@@ -58,27 +83,45 @@ def _matches(text: Column, pattern: str, name_group: int, title_group: int) -> C
     # the text between matches gives their positions
     gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
 
+    def stepped(m: Column) -> Column:
+        steps = F.transform(m["whole"], lambda w, i: F.get(m["gaps"], i) + F.when(i > 0, F.length(F.get(m["whole"], i - 1))).otherwise(0))
+        return fields(whole=m["whole"], names=m["names"], titles=m["titles"], starts=_offsets(steps))
+
     def placed(m: Column) -> Column:
-        before = lambda i: F.aggregate(F.slice(m["gaps"], 1, i + 1), F.lit(0), lambda a, g: a + g) + F.aggregate(
-            F.slice(m["whole"], 1, i), F.lit(0), lambda a, w: a + F.length(w))
-        return F.transform(m["whole"], lambda w, i: fields(names=F.get(m["names"], i), title=F.get(m["titles"], i), at=before(i), length=F.length(w)))
+        return F.transform(m["whole"], lambda w, i: fields(whole=w, names=F.get(m["names"], i), title=F.get(m["titles"], i), at=F.get(m["starts"], i), length=F.length(w)))
 
-    found = let(fields(whole=whole, names=people, titles=titles, gaps=gaps), placed)
+    found = let(let(fields(whole=whole, names=people, titles=titles, gaps=gaps), stepped), placed)
     return F.when(text.rlike(pattern), found)
 
 
-def _sentence(text: Column, at: Column, length: Column) -> Column:
-    """The line holding a match, cut to 250 characters either side when it is long."""
+def _lines(text: Column) -> Column:
+    """The lines of a text and where each begins."""
+    def placed(lines: Column) -> Column:
+        return fields(lines=lines, starts=_offsets(F.transform(lines, lambda x, i: F.when(i > 0, F.length(F.get(lines, i - 1)) + 1).otherwise(0))))
+
+    return let(F.split(text, "\n"), placed)
+
+
+def _line_of(starts: Column, at: Column) -> Column:
+    """The line that a position is in: the last that begins no later, by binary search."""
+    return F.aggregate(F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e)), F.lit(0),
+                       lambda low, step: F.when(F.get(starts, low + step) <= at, low + step).otherwise(low))
+
+
+def _sentence(lines: Column, match: Column) -> Column:
+    """The line holding a match, cut to 250 characters either side when it is long. Only the lines that it begins and ends in are read."""
+    def found(p: Column) -> Column:
+        first, last = _line_of(p["starts"], p["at"]), _line_of(p["starts"], p["at"] + F.length(p["whole"]))
+        return fields(whole=p["whole"], head=F.left(F.get(p["lines"], first), p["at"] - F.get(p["starts"], first)),
+                      tail=F.substr(F.get(p["lines"], last), p["at"] + F.length(p["whole"]) - F.get(p["starts"], last) + 1))
+
     def cut(p: Column) -> Column:
-        # up to the match, and from its end: the pieces of its line
-        head = F.element_at(F.split(F.left(p["text"], p["at"]), "\n"), -1)
-        whole = F.substr(p["text"], p["at"] + 1, p["length"])
-        tail = F.get(F.split(F.substr(p["text"], p["at"] + p["length"] + 1), "\n"), 0)
-        long = F.length(head) + p["length"] + F.length(tail) > 500
-        near = F.concat(F.when(long, F.right(head, F.lit(250))).otherwise(head), whole, F.when(long, F.left(tail, F.lit(250))).otherwise(tail))
+        long = F.length(p["head"]) + F.length(p["whole"]) + F.length(p["tail"]) > 500
+        near = F.concat(F.when(long, F.right(p["head"], F.lit(250))).otherwise(p["head"]), p["whole"],
+                        F.when(long, F.left(p["tail"], F.lit(250))).otherwise(p["tail"]))
         return F.trim(F.regexp_replace(near, r"(?U)\s+", " "))
 
-    return let(fields(text=text, at=at, length=length), cut)
+    return let(let(fields(lines=lines["lines"], starts=lines["starts"], whole=match["whole"], at=match["at"]), found), cut)
 
 
 def tidy_title(title: Column) -> Column:
@@ -114,11 +157,12 @@ def extract_people(texts: DataFrame, keys: list[str]) -> DataFrame:
     from leadloom.functions.text import distinctive_tokens
 
     rows = texts.select(*keys, clean_markdown(F.col("text")).alias("text"), distinctive_tokens(F.col("business_name")).alias("own"))
+    rows = rows.withColumn("lines", _lines(F.col("text")))
     none = F.array().cast("array<struct<shape:int,names:string,title:string,at:int,evidence:string,weak:boolean>>")
 
     def shaped(number: int, found: Column, title, weak: bool = False) -> Column:
         made = F.transform(found, lambda m: fields(shape=F.lit(number), names=m["names"], title=title(m), at=m["at"],
-                                                   evidence=_sentence(F.col("text"), m["at"], m["length"]), weak=F.lit(weak)))
+                                                   evidence=_sentence(F.col("lines"), m), weak=F.lit(weak)))
         return F.coalesce(made, none)
 
     keyed = {name: _matches(F.col("text"), *spec) for name, spec in SHAPES.items()}
@@ -163,6 +207,9 @@ def _name_lines(text: Column) -> Column:
 # ---------------------------------------------------------------- merging mentions
 
 
+MANY_FORMS = 4096  # names of a business that one task folds in order; more are folded part by part
+
+
 def merge_people(mentions: DataFrame) -> DataFrame:
     """Mentions (business_id, pos, url, source, name, first_name, last_name, person_key, job_title, kind, rank,
     role_name, role_type, weak, evidence) as persons: one row per business and person.
@@ -171,15 +218,20 @@ def merge_people(mentions: DataFrame) -> DataFrame:
     earlier (names of two words or more, one a prefix of the other, or the same last word and the
     shorter's first inside the longer). Which variant applies depends on the order, so that part
     is a fold; it sees each distinct name of a business once, at its first mention, while all
-    evidence stays outside and is aggregated with partial sums.
+    evidence stays outside and is aggregated with partial sums. Names that share no mark, directly or through others, cannot
+    matter to one another: a business of very many names is folded by connected components of names and marks.
     """
+    mentions = materialize(mentions)
     forms = mentions.groupBy("business_id", "person_key", "name").agg(F.min("pos").alias("pos"))
-    forms = forms.withColumn("words", tokens(fold_ascii(F.col("name"))))
-    ordered = forms.repartition("business_id").sortWithinPartitions("business_id", "pos", "name")
+    forms = materialize(forms.withColumn("words", tokens(fold_ascii(F.col("name")))))
+    ordered = _parts_of_names(forms).repartition("business_id", "part").sortWithinPartitions("business_id", "part", "pos", "name")
     kinds = dict(mentions.dtypes)
     merged = ordered.mapInPandas(
         _join_variants, f"business_id {kinds['business_id']}, person_key string, name string, entry string, entry_pos {kinds['pos']}")
-    tagged = mentions.join(merged, ["business_id", "person_key", "name"])
+    merged = merged.withColumnsRenamed({"business_id": "of", "person_key": "key", "name": "form"})
+    # a name is one row there, so its mentions meet it in a plain join, whose skew Spark splits
+    same = F.col("business_id").eqNullSafe(F.col("of")) & F.col("person_key").eqNullSafe(F.col("key")) & F.col("name").eqNullSafe(F.col("form"))
+    tagged = materialize(mentions.join(merged, same).drop("of", "key", "form"))
     # the best role wins the title: target first, then the lowest rank, then the first mention
     role = F.struct((F.col("kind") != "target").alias("k"), "rank", "pos")
     facts = F.struct("job_title", "kind", "rank", "role_name", "role_type")
@@ -199,6 +251,23 @@ def merge_people(mentions: DataFrame) -> DataFrame:
                     F.coalesce("evidences", F.array().cast("array<string>")).alias("evidences")))
 
 
+def _parts_of_names(forms: DataFrame) -> DataFrame:
+    """The names (business_id, person_key, name, pos, words) with the part of their business that they are folded in."""
+    large = forms.groupBy("business_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_FORMS).select(F.col("business_id").alias("of"))
+    whole = forms.withColumn("part", F.lit(0).cast("long"))
+    if large.isEmpty():
+        return whole
+    same = F.col("business_id").eqNullSafe(F.col("of"))
+    some = forms.join(large, same, "left_semi").withColumn("node", F.xxhash64(F.lit("form"), "business_id", "person_key", "name"))
+    last = F.element_at("words", -1)
+    marks = F.concat(F.array(F.xxhash64(F.lit("key"), "business_id", "person_key")), F.transform("words", lambda w: F.xxhash64(F.lit("last"), F.col("business_id"), last, w)),
+                     F.when(F.size("words") > 1, F.array(F.xxhash64(F.lit("first"), F.col("business_id"), F.get("words", 0), F.get("words", 1)))).otherwise(
+                         F.array().cast("array<bigint>")))
+    found = components(some.select(F.col("node").alias("a"), F.explode(marks).alias("b"))).withColumnRenamed("node", "at")
+    parts = some.join(found, F.col("node") == F.col("at"), "left").withColumn("part", F.coalesce("component", "node"))
+    return whole.join(large, same, "left_anti").unionByName(parts.select(whole.columns))
+
+
 def _firsts(rows: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
     """The first k values of each group by ``at``, as an array; k rows of a group at most are collected."""
     first = top_k(rows, keys, [F.col("at"), F.col(value)], k, "__place")
@@ -254,13 +323,13 @@ class _Entries:
 
 
 def _join_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition's businesses one after the other: rows of one stand together, in order, so only its people are held."""
+    """A partition's businesses (or parts of one) one after the other: rows of one stand together, in order, so only its people are held."""
     entries, of = _Entries(), None
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            if row.business_id != of:
-                entries, of = _Entries(), row.business_id
+            if (row.business_id, row.part) != of:
+                entries, of = _Entries(), (row.business_id, row.part)
             entry = entries.add(row.person_key, list(row.words), row.name, row.pos)
             out.append((row.business_id, row.person_key, row.name, entry[0], entry[3]))
         if out:
@@ -475,6 +544,11 @@ def rank_domain_people(people: DataFrame) -> DataFrame:
 
 
 def waterfall(people: DataFrame) -> DataFrame:
-    """Evidence (business_id, tier, kind, ...) up to the first tier that named a target role; all when none did."""
-    stop = people.where(F.col("kind") == "target").groupBy("business_id").agg(F.min("tier").alias("__stop"))
-    return people.join(stop, "business_id", "left").where(F.col("__stop").isNull() | (F.col("tier") <= F.col("__stop"))).drop("__stop")
+    """Evidence (business_id, tier, kind, ...) up to the first tier that named a target role; all when none did, or without business.
+
+    A business with a third of all evidence is one summary row to it.
+    """
+    target = F.when((F.col("kind") == "target") & F.col("business_id").isNotNull(), F.col("tier"))
+    stop = people.groupBy("business_id").agg(F.min(target).alias("__stop"), F.count(F.lit(1)).alias("__n"))
+    rows = join_summary(people, stop, ["business_id"], "__n")
+    return rows.where(F.col("__stop").isNull() | (F.col("tier") <= F.col("__stop"))).drop("__stop")

@@ -142,13 +142,16 @@ def scoring_queue(prospects: DataFrame, rescore: bool = False, limit: int | None
 def sibling_addresses(prospects: DataFrame, k: int = 12) -> DataFrame:
     """(id, siblings): up to k other addresses of the business, by id, excluded ones left out.
 
-    The first k+1 per business serve every prospect of it, whichever one of them is itself.
+    The first k+1 per business serve every prospect of it, whichever one of them is itself; a business with a third of all prospects is
+    one summary row to them. Prospects without business have no siblings.
     """
-    usable = prospects.where(F.coalesce("verdict", F.lit("")) != "excluded").select("business_id", "id", "email", "email_status")
-    first = top_k(usable, ["business_id"], [F.col("id")], k + 1)
+    usable = prospects.where(F.col("business_id").isNotNull() & (F.coalesce("verdict", F.lit("")) != "excluded"))
+    first = top_k(usable.select("business_id", "id", "email", "email_status"), ["business_id"], [F.col("id")], k + 1)
     lists = first.groupBy("business_id").agg(F.array_sort(F.collect_list(F.struct("id", "email", "email_status"))).alias("__first"))
+    sizes = prospects.groupBy("business_id").agg(F.count(F.lit(1)).alias("__n"))
+    rows = join_summary(prospects.select("id", "business_id"), sizes.join(lists, "business_id", "left"), ["business_id"], "__n")
     others = F.slice(F.filter("__first", lambda s: s["id"] != F.col("id")), 1, k)
-    return prospects.select("id", "business_id").join(lists, "business_id", "left").select(
+    return rows.select(
         "id", F.coalesce(F.transform(others, lambda s: F.struct(s["email"].alias("address"), s["email_status"].alias("status"))),
                          F.array().cast("array<struct<address:string,status:string>>")).alias("siblings"))
 

@@ -255,13 +255,12 @@ def browse_page(v):
 
 
 @query("profiles_in_stored_order", "O1 O2", """
-SELECT business_id, position FROM (SELECT business_id, row_number() OVER (ORDER BY qualification_score DESC NULLS FIRST, business_id)
- AS position FROM {v_website_profiles}) x WHERE position <= 100""")
+SELECT business_id, row_number() OVER (ORDER BY qualification_score DESC NULLS FIRST, business_id) AS position FROM {v_website_profiles}""")
 def profiles_in_stored_order(v):
-    ordered = v.v_website_profiles.orderBy(*reports.DEFAULT_ORDER["website_profiles"]()).limit(100)
-    from leadloom.scale import positions
-    placed = positions(ordered, [], reports.DEFAULT_ORDER["website_profiles"](),
-                       [-F.coalesce("qualification_score", F.lit(1000)), F.floor(F.col("business_id") / 1000)])
+    """The place of every profile in the stored order; no task sorts more than a block of one score."""
+    from leadloom.scale import positions, with_block
+    rows = with_block(v.v_website_profiles, F.col("business_id"))
+    placed = positions(rows, [], reports.DEFAULT_ORDER["website_profiles"](), [-F.coalesce("qualification_score", F.lit(1000)), F.col("__part")])
     return placed.select("business_id", (F.col("position") + 1).alias("position"))
 
 

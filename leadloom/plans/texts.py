@@ -110,7 +110,21 @@ def public_urls(v):
     return v.customer.select(F.col("c_custkey").alias("id"), urls.is_public_url(url).alias("public"))
 
 
-@query("website_findings", "F24 W16 X31")
+@query("website_findings", "F24 W16 X31", r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM {documents}),
+t AS (SELECT doc_id, i, nullif(trim(regexp_replace(parts[i], '[\s\p{Z}\x0B\x1C-\x1F\x{85}]+', ' ', 'g')), '') AS text FROM s, unnest(range(1, len(parts) + 1)) u(i)),
+w AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, text, words FROM (
+ SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM t
+ WHERE text IS NOT NULL AND NOT regexp_matches(text, '@|\+?\d[\d\s().-]{7,}\d') AND NOT regexp_matches(text, '(?i)current page|this page|blank|unvisited|same-site|five-page|page limit|cleaned|scrap|likely|next page|remaining|usable|no visible|no links|did not provide|evidence|qualif|navigation')) x
+ WHERE len(words) > 0),
+f AS (
+  SELECT doc_id, 0::bigint AS n, []::varchar[] AS kept, []::varchar[][] AS known FROM {documents}
+  UNION ALL
+  SELECT doc_id, n, CASE WHEN repeats THEN kept ELSE list_append(kept, text[1:300]) END, CASE WHEN repeats THEN known ELSE list_append(known, words) END
+  FROM (SELECT f.doc_id, w.n, f.kept, f.known, w.text, w.words,
+     coalesce(list_bool_or(list_transform(f.known, lambda k: len(list_intersect(k, w.words)) >= 0.8 * least(len(k), len(w.words)))), false) AS repeats
+   FROM f JOIN w ON w.doc_id = f.doc_id AND w.n = f.n + 1 WHERE len(f.kept) < 12) y)
+SELECT doc_id, array_to_string(arg_max(kept, n), '|') AS findings FROM f GROUP BY doc_id""")
 def website_findings(v):
     sentences = F.split("text", r"(?<=[.!?])\s+")
     return v.documents.select("doc_id", F.array_join(pages.website_findings(sentences), "|").alias("findings"))

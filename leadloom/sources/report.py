@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT_COLUMNS = ("contact_id", "business_id", "email", "status", "verdict", "probed", "catch_all", "role_account", "note")
@@ -15,9 +15,23 @@ def report_rows(outcomes: DataFrame) -> DataFrame:
                            F.coalesce("note", F.lit("")).alias("note"))
 
 
+REPORT_SCHEMA = "contact_id long, business_id long, email string, status string, verdict string, probed boolean, catch_all boolean, role_account boolean, note string"
+
+
 def write_report(outcomes: DataFrame, path: str) -> None:
-    """A folder of CSV files with header; as many files as there are partitions."""
-    report_rows(outcomes).write.mode("overwrite").option("header", True).csv(path)
+    """The report in order of business and contact, as CSV with a header, through Spark's commit protocol.
+
+    Files are ranges of that order and their names follow it, so they are one report when read by name; a small run is one file. Texts are quoted
+    where they hold a comma, a quote or a line break.
+    """
+    rows = report_rows(outcomes).orderBy("business_id", "contact_id", "email")
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A written report, with types; a note is never NULL."""
+    rows = spark.read.schema(REPORT_SCHEMA).option("header", True).option("escape", '"').option("multiLine", True).option("enforceSchema", False).csv(path)
+    return rows.withColumn("note", F.coalesce("note", F.lit("")))
 
 
 def usage_log(calls: DataFrame, path: str | None = None) -> DataFrame:

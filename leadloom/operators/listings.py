@@ -167,14 +167,14 @@ def _unmatched(open_: DataFrame, fresh: DataFrame) -> DataFrame:
 def _chains(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows of the components of open rows over shared keys, and the rows of components that are too large for a task.
 
-    A node is a row's arrival, or a key as a negative hash; keys that only one row has connect nothing.
+    A node is twice a row's arrival, or the odd hash of a key.
     """
     keyed = open_.select("first", _offered_keys().alias("offered"), _wanted_keys().alias("wanted"))
-    key = F.explode(F.transform(F.array_union("offered", "wanted"), lambda k: -F.shiftright(F.abs(F.xxhash64(k)), 1) - 1))
-    edges = keyed.select(F.col("first").cast("long").alias("a"), key.alias("b"))
-    component = components(edges.select("a", "b")).where(F.col("node") >= 0)
-    placed = materialize(keyed.join(component, F.col("first") == F.col("node"), "left").select(
-        "first", "offered", "wanted", F.coalesce("component", F.col("first").cast("long")).alias("of")))
+    node = 2 * F.col("first").cast("long")
+    key = F.explode(F.transform(F.array_union("offered", "wanted"), lambda k: F.xxhash64(k).bitwiseOR(F.lit(1).cast("long"))))
+    found = components(keyed.select(node.alias("a"), key.alias("b")))
+    placed = materialize(keyed.join(found, node == F.col("node"), "left").select(
+        "first", "offered", "wanted", F.coalesce("component", node).alias("of")))
     large = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDED).select("of")
     folded = placed.join(large, "of", "left_anti")
     ordered = folded.repartition("of").sortWithinPartitions("of", "first")

@@ -7,6 +7,7 @@ search per window or admitted row, not a step per row.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,11 +185,11 @@ def usage_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
             .select(F.col("window.start").alias("day"), "action", "model", "input_tokens", "output_tokens", "credits", "calls"))
 
 
-class ReplyTimeout(StatefulProcessor):
-    """Per lead: expire when nothing came for the reply window after its last send."""
+class Silence(StatefulProcessor):
+    """Per key: expire when nothing came for some time after a row of one of the ``starts`` kinds."""
 
-    def __init__(self, window_seconds: int):
-        self.window_ms = window_seconds * 1000
+    def __init__(self, seconds: float, starts: tuple[str, ...], key: str, kind: str):
+        self.wait_ms, self.starts, self.key, self.kind = int(seconds * 1000), starts, key, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -201,31 +202,45 @@ class ReplyTimeout(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
-        for kind, at in zip(batch["kind"], _micros(batch["ts"])):
-            self._cancel()
-            if kind == "sent":  # a reply, a stop or a further email cancels; a send starts the wait
-                due = at // 1000 + self.window_ms
+        for kind, at in zip(batch[self.kind], _micros(batch["ts"])):
+            self._cancel()  # any sign ends a wait
+            if kind in self.starts:
+                due = at // 1000 + self.wait_ms
                 self.handle.registerTimer(due)
                 self.state.update((due,))
-        yield pd.DataFrame({"prospect_id": pd.Series(dtype="int64"), "expired_at": pd.Series(dtype="datetime64[us]")})
+        yield pd.DataFrame({self.key: pd.Series(dtype="int64"), "expired_at": pd.Series(dtype="datetime64[us]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         self.state.clear()
-        yield pd.DataFrame({"prospect_id": [key[0]], "expired_at": pd.to_datetime([due], unit="ms").astype("datetime64[us]")})
+        yield pd.DataFrame({self.key: [key[0]], "expired_at": pd.to_datetime([due], unit="ms").astype("datetime64[us]")})
 
     def close(self) -> None:
         pass
 
 
+def _silent(stream: DataFrame, key: str, kind: str, starts: tuple[str, ...], seconds: float, delay: str) -> DataFrame:
+    shape = T.StructType([T.StructField(key, T.LongType()), T.StructField("expired_at", T.TimestampType())])
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Silence(seconds, starts, key, kind), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+
+
 def reply_timeouts(stream: DataFrame, reply_window_days: int = 3, delay: str = "0 seconds") -> DataFrame:
     """Leads without any sign for the reply window after a send: (prospect_id, expired_at).
 
-    ``stream``: prospect_id, kind (sent, or anything that ends the wait), ts.
+    ``stream``: prospect_id, kind (sent, or anything that ends the wait: a reply, a stop, a further email), ts.
     """
-    shape = T.StructType([T.StructField("prospect_id", T.LongType()), T.StructField("expired_at", T.TimestampType())])
-    return stream.withWatermark("ts", delay).groupBy("prospect_id").transformWithStateInPandas(
-        statefulProcessor=ReplyTimeout(reply_window_days * 86_400), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+    return _silent(stream, "prospect_id", "kind", ("sent",), reply_window_days * 86_400, delay)
+
+
+def stale_runs_stream(stream: DataFrame, after: dt.timedelta = dt.timedelta(minutes=2), delay: str = "0 seconds") -> DataFrame:
+    """Runs queued that never started in time: (id, expired_at). Stream twin of ``schedule.stale_runs``; ``stream``: id, status, ts of every change."""
+    return _silent(stream, "id", "status", ("queued",), after.total_seconds(), delay)
+
+
+def abandoned_runs_stream(stream: DataFrame, after: dt.timedelta = dt.timedelta(minutes=10), delay: str = "0 seconds") -> DataFrame:
+    """Runs that showed no progress for so long: (id, expired_at). ``stream``: id, status (running with every sign of progress), ts."""
+    return _silent(stream, "id", "status", ("running",), after.total_seconds(), delay)
 
 
 def due_emails_writer(queue_table, send_batch, checkpoint: str, every: str = "30 seconds"):

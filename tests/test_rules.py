@@ -206,6 +206,105 @@ def test_merge_people_joins_variants(spark):
         ("shoaib|shoaib", "Muhammad Shoaib Ahmed", "Owner", 2), ("jane|doe", "Jane R Doe", "Dentist", 2)]
 
 
+def test_names_folded_by_parts_are_the_same(spark, monkeypatch):
+    """A business of many names, folded whole and by components of names that share a mark."""
+    rng = random.Random(4)
+    given, family = ["Ann", "Omar", "Lena", "Noor", "Tom", "Sara", "Muhammad"], [f"Fam{i}" for i in range(40)]
+    rows = []
+    for i in range(900):
+        words = rng.sample(given, rng.choice([1, 1, 2])) + [rng.choice(family)] + ([rng.choice(family)] if rng.random() < 0.2 else [])
+        rows.append((1 if i % 3 else rng.randrange(2, 9), i, f"u{i % 7}", "website", " ".join(words), words[0], words[-1], f"{words[0]}|{words[-1]}".lower(), "Dentist", "fallback", 50,
+                     "Dentist", "dentist", False, f"e{i}"))
+    shape = ("business_id long, pos long, url string, source string, name string, first_name string, last_name string, person_key string, job_title string, kind string, rank int, "
+             "role_name string, role_type string, weak boolean, evidence string")
+    df = spark.createDataFrame(rows, shape)
+    whole = people.merge_people(df).collect()
+    monkeypatch.setattr(people, "MANY_FORMS", 20)
+    assert sorted(whole) == sorted(people.merge_people(df).collect()) and len(whole) > 100
+
+
+def test_matches_of_a_long_text(spark):
+    """20,000 people in one text: work in proportion to it, each in its own line."""
+    import time
+    line = lambda i: f"Sara Noor{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}, Office Manager number {i}"
+    took = []
+    for n in (2500, 20_000):
+        rows = spark.createDataFrame([(1, "\n".join(line(i) for i in range(n)), "Smile Dental")], "business_id int, text string, business_name string")
+        start = time.monotonic()
+        got = people.extract_people(rows, ["business_id"]).where("shape = 0").select("at", "evidence").collect()
+        took.append(time.monotonic() - start)
+        assert len(got) == n and {r.evidence for r in got} == {line(i) for i in range(n)}
+        assert max(r["at"] for r in got) == len("\n".join(line(i) for i in range(n - 1))) + 1
+    assert took[1] < 40 * max(took[0], 0.5)
+
+
+def test_a_long_chain_settles(spark, monkeypatch):
+    """10,000 listings, each a match of the one before it only: decided by components, not one a round."""
+    from leadloom import graphs
+    rounds, steps = [], []
+    one, whole = listings._round, graphs._parents
+    monkeypatch.setattr(listings, "_round", lambda *a: rounds.append(1) or one(*a))
+    jump = graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df: steps.append(1) or jump(df))
+    n = 10_000
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("arrival"), F.lit(None).cast("string").alias("place_id"),
+                                          F.concat(F.lit("https://m.org/"), F.floor(F.col("id") / 2).cast("string")).alias("maps_url"),
+                                          F.concat(F.lit("shop "), F.floor((F.col("id") + 1) / 2).cast("string")).alias("name"), F.lit("1 Road").alias("address"),
+                                          F.lit(None).cast("string").alias("domain"))
+    got = listings.greedy_dedupe(rows).where("accepted").select("arrival").collect()
+    assert sorted(r.arrival for r in got) == list(range(0, n, 2))
+    assert len(rounds) + len(steps) / 2 <= 20 and whole is graphs._parents
+
+
+def test_greedy_in_chains_and_rounds(spark, monkeypatch):
+    """Random listings with few keys, decided in rounds, by components, and with components that are too large, as one after the other would be."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice([None] * 6 + ["ChIJa", "ChIJb"]), rng.choice([None, f"l{rng.randrange(60)}"]), f"n{rng.randrange(25)}", rng.choice([None, f"a{rng.randrange(6)}"]),
+             rng.choice([None, f"d{rng.randrange(6)}.org"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "arrival long, place_id string, maps_url string, name string, address string, domain string")
+
+    def same(a, b):
+        if a[1] and b[1]:
+            return a[1] == b[1]
+        if a[2] and a[2] == b[2]:
+            return True
+        if a[3] != b[3]:
+            return False
+        return a[4] == b[4] if a[4] and b[4] else bool(a[5]) and a[5] == b[5]
+
+    kept = []
+    for r in rows:
+        if not any(same(r, k) for k in kept):
+            kept.append(r)
+    for limit, first in ((1 << 17, 3), (1 << 17, 1), (4, 1)):
+        monkeypatch.setattr(listings, "FOLDED", limit)
+        monkeypatch.setattr(listings, "ROUNDS", first)
+        got = listings.greedy_dedupe(df).where("accepted").collect()
+        assert sorted(r.arrival for r in got) == [r[0] for r in kept]
+
+
+def test_demand_over_many_blocks(spark, monkeypatch):
+    """More queries of a campaign than a block holds, block of blocks included, against one after the other."""
+    monkeypatch.setattr(listings, "BLOCK", 4)
+    rng = random.Random(6)
+    rows = [(c, q, p, rng.random() < 0.1) for c in (1, 2, 3) for q in range(70) for p in sorted(rng.sample(range(30), rng.randrange(12)))]
+    known = {1: 0, 2: 7}
+    limit, per_search, want = 25, 20, []
+    for c in (1, 2, 3):
+        accepted = 0
+        for q in range(70):
+            if accepted >= limit:
+                break
+            asked = min(limit - accepted + known.get(c, 0), per_search)
+            new = [p for cc, qq, p, is_new in rows if (cc, qq) == (c, q) and is_new and p < asked][:limit - accepted]
+            want += [(c, q, p) for p in new]
+            accepted += len(new)
+    got = listings.remaining_demand(spark.createDataFrame(rows, "campaign_id long, query_no long, position int, is_new boolean"),
+                                    spark.createDataFrame(list(known.items()), "campaign_id long, known int"), limit, per_search)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_extracts_people_by_shape(spark):
     text = ("Dr. Jane Smith & Associates\nOur hygienist is Mary Poe.\nKashif Jamal, CEO and founder\n[Dr. Kashif Jamal](x) sees patients. Tom Ray is a receptionist\n"
             "Dr. Lena Brook, BDS\nPrincipal Dentist\nSara Noor\nJunk\nPractice Manager")
@@ -243,10 +342,14 @@ def test_cascade_reaches_grandchildren(spark):
 
 
 def test_report_sink(spark, tmp_path):
-    from leadloom.sources.report import REPORT_COLUMNS, usage_log, write_report
+    from leadloom.sources.report import REPORT_COLUMNS, read_report, usage_log, write_report
     rows = spark.createDataFrame([(1, 2, "a@b.org", "risky", "catch_all", True, True, None, None)],
                                  "contact_id int, business_id int, address string, status string, verdict string, probed boolean, is_catch_all boolean, is_role_account boolean, note string")
     write_report(rows, str(tmp_path / "r"))
+    more = rows.union(spark.createDataFrame([(3, 1, "c@d.org", "risky", "x", False, None, False, 'a, "b"\nc')], rows.schema))
+    write_report(more, str(tmp_path / "q"))
+    assert [tuple(r) for r in read_report(spark, str(tmp_path / "q")).collect()] == [(3, 1, "c@d.org", "risky", "x", False, None, False, 'a, "b"\nc'),
+                                                                                     (1, 2, "a@b.org", "risky", "catch_all", True, True, None, "")]
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == list(REPORT_COLUMNS)
     calls = spark.createDataFrame([(None, None, "x" * 300, None)], "action string, model string, detail string, input_tokens long")
     logged = usage_log(calls, str(tmp_path / "u")).first()

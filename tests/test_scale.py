@@ -89,6 +89,7 @@ def test_no_task_gets_a_hot_key(spark):
     """The operators that join rows to a summary of their key, on a key with a third of the rows, without any broadcast of Spark's own."""
     from leadloom.operators import listings, tables, verify
     from leadloom.operators.outreach import ready_prospects
+    from leadloom.operators.people import waterfall
 
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     old = {k: spark.conf.get(k) for k in settings}
@@ -107,17 +108,28 @@ def test_no_task_gets_a_hot_key(spark):
                                 F.lit("ready").alias("outreach_status"), F.lit(False).alias("do_not_contact"), F.lit(None).cast("timestamp").alias("sequence_stopped_at"), F.lit(None).cast("string").alias("pipeline_stage"))
         emails = spark.createDataFrame([], "prospect_id long")
         known = spark.createDataFrame([], "domain string")
+        crowd = prospects.withColumn("business_id", F.xxhash64("key")).withColumn("verdict", F.lit("ok"))
+        evidence = base.select("id", F.xxhash64("key").alias("business_id"), (F.col("id") % 3).alias("tier"), F.when(F.col("id") % 5 == 0, "target").otherwise("fallback").alias("kind"))
+        # one listing in three has the hot name and address, every one a link of its own; half of them are saved
+        listed = listings.identify(base.select(F.col("id").alias("arrival"), (F.col("id") % 7).alias("campaign_id"), F.lit(None).cast("string").alias("place_id"),
+                                               F.concat(F.lit("https://m.org/"), F.col("id").cast("string")).alias("maps_url"), F.coalesce("key", F.lit("none")).alias("name"),
+                                               F.lit("1 Road").alias("address"), F.lit(None).cast("string").alias("domain")))
+        saved = listed.where(F.col("arrival") % 2 == 0).withColumnRenamed("arrival", "id")
         for name, df in {"prompts": tables.prompts_to_kinds(prompts), "shortcuts": verify.shortcut_domains(checks, known),
-                         "places": listings.backfill_place_ids(businesses), "ready": ready_prospects(prospects, emails)}.items():
+                         "places": listings.backfill_place_ids(businesses), "ready": ready_prospects(prospects, emails),
+                         "siblings": verify.sibling_addresses(crowd), "waterfall": waterfall(evidence)}.items():
             read = largest_read(spark, df)
             assert read and max(read) < 30_000 / 6, (name, read)
+        # several keys a listing: more rows than listings, of which no task gets more than twice its share
+        shares = largest_read(spark, listings.first_match(listed.where(F.col("arrival") % 2 == 1), saved), shares=True)
+        assert shares and max(shares) < 2 / 16, shares
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
 
 
-def largest_read(spark, df):
-    """Rows that the fullest task of each shuffled stage read, of joins and windows, from the executed plan's metrics."""
+def largest_read(spark, df, shares=False):
+    """Rows that the fullest task of each shuffled stage read, of joins and windows, from the executed plan's metrics; or its share of the stage's rows."""
     store = spark.sparkContext._jsc.sc().statusStore()
     before = {s.stageId() for s in _stages(spark, store)}
     df.write.format("noop").mode("overwrite").save()
@@ -126,7 +138,8 @@ def largest_read(spark, df):
     for stage in _stages(spark, store):
         if stage.stageId() not in before and stage.shuffleReadRecords() > 5000:
             tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
-            out.append(max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())))
+            most = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
+            out.append(most / stage.shuffleReadRecords() if shares else most)
     return out
 
 

@@ -166,6 +166,50 @@ def test_reply_window_runs_out(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "2024-01-04")]
 
 
+def test_stale_and_abandoned_runs(spark, tmp_path):
+    """As the batch rule at the end of the stream says, each found when the watermark passes its time."""
+    from leadloom.operators.schedule import stale_runs
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [(1, "queued", at(0)), (2, "queued", at(0)), (2, "running", at(1)), (3, "queued", at(1)), (2, "running", at(8)), (4, "running", at(3)), (4, "done", at(9)), (9, "tick", at(30)),
+            (9, "tick", at(31)), (9, "tick", at(32))]
+    schema = "id long, status string, ts timestamp"
+    folders = [tmp_path / n for n in ("stale", "abandoned")]
+    for f in folders:
+        f.mkdir()
+    got = drained(spark, opens.stale_runs_stream(as_stream(spark, rows, schema, folders[0], files=10)), folders[0]).collect()
+    last = {i: (s, t) for i, s, t in rows[:7]}
+    table = spark.createDataFrame([(i, s, t) for i, (s, t) in last.items()], "id long, status string, created_at timestamp")
+    assert sorted(r.id for r in got) == sorted(r.id for r in stale_runs(table, at(30)).collect()) == [1, 3]
+    assert {r.id: r.expired_at for r in got} == {1: at(2), 3: at(3)}
+    got = drained(spark, opens.abandoned_runs_stream(as_stream(spark, rows, schema, folders[1], files=10)), folders[1]).collect()
+    assert {r.id: r.expired_at for r in got} == {2: at(18)}
+
+
+def test_due_emails_are_handed_out(spark, tmp_path):
+    """Every tick hands out what is due at that moment, earliest first; a restarted stream goes on."""
+    import threading
+    schema = "id long, status string, scheduled_at timestamp"
+    queue = [(3, "queued", BASE), (1, "queued", BASE), (2, "queued", dt.datetime(2999, 1, 1)), (4, "sent", BASE), (5, "queued", BASE - dt.timedelta(days=1))]
+    seen, told = [], threading.Event()
+
+    def send(rows, epoch):
+        seen.append((epoch, [r.id for r in rows.collect()]))
+        told.set()
+
+    ticks = tmp_path / "ticks"
+    for turn in range(2):
+        spark.range(1).select(F.lit(turn).alias("n")).coalesce(1).write.mode("append").parquet(str(ticks))
+        stream = spark.readStream.schema("n int").parquet(str(ticks))
+        start = opens.due_emails_writer(lambda: spark.createDataFrame(queue, schema), send, str(tmp_path / "cp"), every="1 second")
+        told.clear()
+        query = start(stream)
+        try:
+            assert told.wait(60)
+        finally:
+            query.stop()
+    assert [ids for _, ids in seen] == [[5, 1, 3]] * len(seen) and [e for e, _ in seen] == list(range(len(seen))) and len(seen) >= 2
+
+
 def test_open_requests(spark):
     token = "t" * 43
     rows = [("GET", f"/email/footer/{token}.png"), ("GET", f"/footer/{token}/"), ("POST", f"/footer/{token}"), ("GET", "/footer/short"), ("GET", f"/footer/{token}/x"), ("GET", f"/footer/%74{token[1:]}")]

@@ -258,7 +258,8 @@ def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, sett
 
     Each slot depends on the one before it, so a pool is a sequence, and pools are the unit of
     parallel work: a pool's requests are sorted by the shuffle and stream through its task in
-    batches. What a pool can hold is bounded by its mailboxes' daily caps, not by the data.
+    batches, of which only the mailboxes' latest slots are held. A pool is a handful of mailboxes; make pools per sender and not per account,
+    because requests beyond the daily caps roll on to later days in the same task.
     """
     ordered = requests.select(
         "pool", F.col("arrival").alias("position"), "email_id", F.unix_micros("earliest").alias("earliest_us"), "zone", "window_start",

@@ -109,9 +109,22 @@ def send_times_shown(v):
                              F.date_format(begin, _FORMAT).alias("window_begin"), F.date_format(finish, _FORMAT).alias("window_finish"))
 
 
-@query("schedule_single_mailbox", "W8 A11", """
-WITH RECURSIVE q AS MATERIALIZED (SELECT mailbox_id, id, scheduled_at AS earliest, row_number() OVER (PARTITION BY mailbox_id ORDER BY id) AS n
-  FROM {v_emails} WHERE status = 'approved'),
+# Every prospect has one sender, a supplier, so senders grow with the data.
+_SENDER = "1 + prospect_id % (SELECT count(*) FROM {supplier})"
+
+
+def _sender(v):
+    return 1 + F.col("prospect_id") % v.supplier.agg(F.count("*")).scalar()
+
+
+def _senders(v):
+    box = (F.col("s_suppkey") + 1).cast("long")
+    return v.supplier.select(box.alias("pool"), box.alias("mailbox_id"), F.lit(1).alias("priority"))
+
+
+@query("schedule_single_mailbox", "W8 A11", f"""
+WITH RECURSIVE q AS MATERIALIZED (SELECT mailbox_id, id, earliest, row_number() OVER (PARTITION BY mailbox_id ORDER BY id) AS n
+  FROM (SELECT id, scheduled_at AS earliest, {_SENDER} AS mailbox_id FROM {{v_emails}} WHERE status = 'approved') x),
 f(mailbox_id, n, id, slot, used) AS (
   SELECT DISTINCT mailbox_id, 0::bigint, NULL::bigint, NULL::timestamp, 0 FROM q
   UNION ALL
@@ -126,33 +139,52 @@ SELECT mailbox_id, id AS email_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot F
 def schedule_single_mailbox(v):
     settings = Settings(daily_cap=3, gap_fixed_seconds=600, gap_random_min_seconds=0, gap_random_max_seconds=0)
     requests = v.v_emails.where(F.col("status") == "approved").select(
-        F.col("mailbox_id").alias("pool"), F.col("id").alias("arrival"), F.col("id").alias("email_id"),
+        _sender(v).alias("pool"), F.col("id").alias("arrival"), F.col("id").alias("email_id"),
         F.col("scheduled_at").alias("earliest"), F.lit("UTC").alias("zone"), F.lit(9 * 3600).alias("window_start"),
         F.lit(18 * 3600).alias("window_end"), F.lit(None).cast("long").alias("previous_mailbox_id"),
         schedule.gap_micros(F.col("id"), settings).alias("gap_us"))
-    boxes = v.v_mailboxes.select(F.col("id").alias("pool"), F.col("id").alias("mailbox_id"), "priority")
     nobody = v.v_emails.where(F.lit(False)).select("mailbox_id", "scheduled_at")
-    return schedule.schedule(requests, boxes, nobody, settings).select(
+    return schedule.schedule(requests, _senders(v), nobody, settings).select(
         "mailbox_id", "email_id", F.date_format("slot", _FORMAT).alias("slot"))
 
 
-@query("schedule_pool", "W8 W9")
+_HELD = ", ".join(f"'{s}'" for s in HOLDS_SLOT if s != "approved")
+
+
+@query("schedule_pool", "W8 W9", f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT *, {_SENDER} AS box FROM {{v_emails}}),
+q AS MATERIALIZED (
+  SELECT e.id, e.box, c.send_timezone AS z, 300 + e.id * 7919 % 121 AS gap, row_number() OVER (PARTITION BY e.box ORDER BY e.id) AS n,
+    CASE WHEN e.sequence_step = 1 THEN {_NOW} ELSE greatest({_NOW}, l.sent_at + to_days(coalesce(f.days_after_previous, 0))) END AS earliest
+  FROM b e JOIN {{v_prospects}} p ON p.id = e.prospect_id JOIN {{v_businesses}} s ON s.id = p.business_id JOIN {{v_campaigns}} c ON c.id = s.discovery_campaign_id
+  LEFT JOIN b l ON l.prospect_id = e.prospect_id AND l.sequence_step = e.sequence_step - 1
+  LEFT JOIN {{v_follow_ups}} f ON f.sequence_id = p.email_sequence_id AND f.sequence = e.sequence_step - 1
+  WHERE e.status = 'approved' AND (e.sequence_step = 1 OR l.sent_at IS NOT NULL)),
+h AS (SELECT box, max(scheduled_at) AS last, list(scheduled_at) AS slots FROM b WHERE status IN ({_HELD}) AND scheduled_at IS NOT NULL GROUP BY box),
+f(box, n, id, slot, recent) AS (
+  SELECT box, 0::bigint, NULL::bigint, last, coalesce(list_filter(slots, lambda x: x > last - interval 26 hour), []) FROM (SELECT DISTINCT box FROM q) d LEFT JOIN h USING (box)
+  UNION ALL
+  SELECT box, n, id, slot, list_append(list_filter(recent, lambda x: x > slot - interval 26 hour), slot) FROM (
+    SELECT box, n, id, recent, CASE WHEN c1 < timezone('UTC', timezone(z, day + interval 18 hour)) AND NOT is_full THEN c1
+                                    ELSE timezone('UTC', timezone(z, day + interval 33 hour)) END AS slot FROM (
+      SELECT *, greatest(c0, timezone('UTC', timezone(z, day + interval 9 hour))) AS c1,
+        coalesce(date_trunc('day', timezone(z, timezone('UTC', last))) = day
+          AND len(list_filter(recent, lambda x: date_trunc('day', timezone(z, timezone('UTC', x))) = day)) >= 5, false) AS is_full FROM (
+        SELECT *, cast(date_trunc('day', timezone(z, timezone('UTC', c0))) AS timestamp) AS day FROM (
+          SELECT q.box, q.n, q.id, q.z, f.slot AS last, f.recent, greatest(q.earliest, coalesce(f.slot + to_seconds(q.gap), q.earliest)) AS c0
+          FROM f JOIN q ON q.box = f.box AND q.n = f.n + 1)))))
+SELECT id AS email_id, box AS mailbox_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot FROM f WHERE n > 0""")
 def schedule_pool(v):
-    """Every mailbox is a pool: follow-ups stay with the mailbox that wrote before, others are dealt out by a hash."""
-    settings = Settings()
+    """Approved emails whose time has come, in the zones of their campaigns, behind what their senders hold already."""
+    settings = Settings(daily_cap=5)
     due = schedule.earliest_send(v.v_emails, v.v_prospects, v.v_follow_ups, NOW).where(F.col("problem").isNull())
     campaign = v.v_campaigns.select(F.col("id").alias("discovery_campaign_id"), "send_timezone")
     zone = v.v_businesses.select(F.col("id").alias("business_id"), "discovery_campaign_id").join(campaign, "discovery_campaign_id")
-    active = v.v_mailboxes.where("is_active")
-    ids = active.agg(F.array_sort(F.collect_list("id"))).scalar()
-    dealt = F.element_at(ids, (1 + F.pmod(F.xxhash64("id"), F.size(ids))).cast("int"))
     approved = v.v_emails_of.where(F.col("status") == "approved").select("id", "business_id")
+    gap = ((300 + F.col("id") * 7919 % 121) * 1_000_000).cast("long")
     requests = approved.join(due, "id").join(zone, "business_id").select(
-        F.when(F.array_contains(ids, F.col("previous_mailbox_id")), F.col("previous_mailbox_id")).otherwise(dealt).alias("pool"),
-        F.col("id").alias("arrival"), F.col("id").alias("email_id"), "earliest",
-        F.col("send_timezone").alias("zone"), F.lit(9 * 3600).alias("window_start"), F.lit(18 * 3600).alias("window_end"),
-        "previous_mailbox_id", schedule.gap_micros(F.col("id"), settings).alias("gap_us"))
-    boxes = active.select(F.col("id").alias("pool"), F.col("id").alias("mailbox_id"), "priority")
-    held = v.v_emails.where(F.col("status").isin(*[s for s in HOLDS_SLOT if s != "approved"])).select("mailbox_id", "scheduled_at")
-    return schedule.schedule(requests, boxes, held, settings).select(
+        _sender(v).alias("pool"), F.col("id").alias("arrival"), F.col("id").alias("email_id"), "earliest", F.col("send_timezone").alias("zone"),
+        F.lit(9 * 3600).alias("window_start"), F.lit(18 * 3600).alias("window_end"), "previous_mailbox_id", gap.alias("gap_us"))
+    held = v.v_emails.where(F.col("status").isin(*[s for s in HOLDS_SLOT if s != "approved"])).select(_sender(v).alias("mailbox_id"), "scheduled_at")
+    return schedule.schedule(requests, _senders(v), held, settings).select(
         "email_id", "mailbox_id", F.date_format("slot", _FORMAT).alias("slot"))

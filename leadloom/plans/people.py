@@ -205,9 +205,43 @@ def built_contacts(v):
         "business_id", "place", "name", "email", "email_source", "confidence", "is_primary")
 
 
-@query("own_emails", "J14", """
-SELECT c_custkey AS person_id, CASE c_custkey % 3 WHEN 0 THEN 'alee@b' WHEN 1 THEN 'ann.lee@mail.b' END || c_custkey || '.org' AS email, CASE c_custkey % 3 WHEN 0 THEN 'flast' ELSE 'first.last' END AS pattern
-FROM {customer} WHERE c_custkey % 3 < 2""")
+# More people, named by their customer's number, and what their orders' numbers make of those names.
+_FAR = 1_000_000_000
+_F3, _L3 = "['Ann', 'Omar', 'Mary']", "['Lee', 'Khan', 'Stone']"
+_CROWD = f"""SELECT c_custkey + {_FAR} AS id, {_F3}[c_custkey % 3 + 1] AS f, {_L3}[(c_custkey // 3) % 3 + 1] AS l FROM {{customer}}"""
+_SAID = f"""SELECT o_custkey + {_FAR} AS business_id, o_orderkey AS pos, o_orderkey % 8 AS k, o_orderkey % 3 AS h, 'b' || o_custkey || '.org' AS site,
+ lower({_F3}[(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE o_custkey END) % 3 + 1]) AS f,
+ lower({_L3}[((CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE o_custkey END) // 3) % 3 + 1]) AS l FROM {{orders}}"""
+
+
+def _crowd(v):
+    key = F.col("c_custkey")
+    one = lambda values, at: F.get(F.array(*[F.lit(x) for x in values]), at.cast("int"))
+    return v.customer.select((key + _FAR).alias("person_id"), (key + _FAR).alias("business_id"), one(("Ann", "Omar", "Mary"), key % 3).alias("first_name"),
+                             one(("Lee", "Khan", "Stone"), F.floor(key / 3) % 3).alias("last_name"))
+
+
+def _said(v):
+    key = F.col("o_orderkey")
+    of = F.when(key % 5 == 0, key).otherwise(F.col("o_custkey"))
+    one = lambda values, at: F.get(F.array(*[F.lit(x) for x in values]), at.cast("int"))
+    return v.orders.select((F.col("o_custkey") + _FAR).alias("business_id"), key.alias("pos"), (key % 8).alias("k"), (key % 3).alias("h"),
+                           F.concat(F.lit("b"), F.col("o_custkey").cast("string"), F.lit(".org")).alias("site"),
+                           one(("ann", "omar", "mary"), of % 3).alias("f"), one(("lee", "khan", "stone"), F.floor(of / 3) % 3).alias("l"))
+
+
+@query("own_emails", "J14", f"""
+WITH c AS ({_CROWD}), s AS ({_SAID}),
+found AS (SELECT business_id, pos, CASE k WHEN 0 THEN f || '.' || l WHEN 1 THEN f || l WHEN 2 THEN left(f, 1) || l WHEN 3 THEN 'info' WHEN 4 THEN f WHEN 5 THEN l || f WHEN 6 THEN 'zoe' ELSE f || '_' || l END AS local,
+  CASE h WHEN 0 THEN site WHEN 1 THEN 'mail.' || site ELSE 'other.org' END AS host FROM s),
+g AS (SELECT c.id, x.label, x.no, x.base::double AS base, replace(replace(replace(replace(x.shape, '<first>', lower(f)), '<last>', lower(l)), '<f>', left(lower(f), 1)), '<l>', left(lower(l), 1)) AS local
+  FROM c CROSS JOIN (VALUES {_PATTERN_VALUES}) x(no, label, shape, base, needs)),
+b AS (SELECT id, local, arg_min(label, no) AS label FROM g GROUP BY 1, 2),
+hits AS (SELECT b.id AS person_id, local || '@' || host AS email, label AS pattern, row_number() OVER (PARTITION BY b.id ORDER BY pos) AS n
+  FROM b JOIN found USING (local) WHERE found.business_id = b.id AND local <> 'info' AND host <> 'other.org')
+SELECT person_id, email, pattern FROM hits WHERE n = 1
+UNION ALL SELECT c_custkey AS person_id, CASE c_custkey % 3 WHEN 0 THEN 'alee@b' WHEN 1 THEN 'ann.lee@mail.b' END || c_custkey || '.org' AS email, CASE c_custkey % 3 WHEN 0 THEN 'flast' ELSE 'first.last' END AS pattern
+FROM {{customer}} WHERE c_custkey % 3 < 2""")
 def own_emails(v):
     key, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
     crowd = v.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_custkey").alias("business_id"), F.lit("Ann Lee").alias("name"))
@@ -215,23 +249,52 @@ def own_emails(v):
                      F.concat(F.when(kind == 0, "alee@b").when(kind == 1, "ann.lee@mail.b").otherwise("ann@notb"), key, F.lit(".org")), F.concat(F.lit("zoe@b"), key, F.lit(".org")))
     found = v.customer.select(F.col("c_custkey").alias("business_id"), F.posexplode(listed).alias("first_pos", "address"), F.lit("website").alias("source"))
     domains = v.customer.select(F.col("c_custkey").alias("business_id"), F.concat(F.lit("b"), key, F.lit(".org")).alias("domain"))
+    more, said, k = _crowd(v), _said(v), F.col("k")
+    local = (F.when(k == 0, F.concat("f", F.lit("."), "l")).when(k == 1, F.concat("f", "l")).when(k == 2, F.concat(F.left("f", F.lit(1)), "l")).when(k == 3, "info").when(k == 4, F.col("f"))
+             .when(k == 5, F.concat("l", "f")).when(k == 6, "zoe").otherwise(F.concat("f", F.lit("_"), "l")))
+    host = F.when(F.col("h") == 0, F.col("site")).when(F.col("h") == 1, F.concat(F.lit("mail."), "site")).otherwise("other.org")
+    crowd = crowd.unionByName(more.select("person_id", "business_id", F.concat_ws(" ", "first_name", "last_name").alias("name")))
+    found = found.unionByName(said.select("business_id", F.col("pos").alias("first_pos"), F.concat(local, F.lit("@"), host).alias("address"), F.lit("website").alias("source")))
+    domains = domains.unionByName(domains.select((F.col("business_id") + _FAR).alias("business_id"), "domain"))
     return people.own_emails(crowd, found, domains).drop("source")
 
 
-@query("profile_links", "J15", """
-SELECT c_custkey AS person_id, 'https://www.linkedin.com/in/' || CASE c_custkey % 2 WHEN 0 THEN 'dr-ann-lee' ELSE 'leeann' END || c_custkey AS profile FROM {customer} WHERE c_custkey % 5 <> 0""")
+@query("profile_links", "J15", f"""
+WITH c AS ({_CROWD}), s AS ({_SAID}),
+links AS (SELECT business_id, pos, CASE k WHEN 0 THEN f || '-' || l WHEN 1 THEN l || f WHEN 2 THEN l WHEN 3 THEN 'dr-' || f || '-' || l || '-' || pos WHEN 4 THEN f ELSE 'team-' || pos END AS slug FROM s WHERE h < 2),
+hits AS (SELECT c.id AS person_id, 'https://www.linkedin.com/in/' || slug AS profile, row_number() OVER (PARTITION BY c.id ORDER BY pos) AS n
+  FROM c JOIN links ON links.business_id = c.id WHERE contains(replace(slug, '-', ''), lower(f)) AND contains(replace(slug, '-', ''), lower(l)))
+SELECT person_id, profile FROM hits WHERE n = 1
+UNION ALL SELECT c_custkey AS person_id, 'https://www.linkedin.com/in/' || CASE c_custkey % 2 WHEN 0 THEN 'dr-ann-lee' ELSE 'leeann' END || c_custkey AS profile FROM {{customer}} WHERE c_custkey % 5 <> 0""")
 def profile_links(v):
     key = F.col("c_custkey")
     crowd = v.customer.select(key.alias("person_id"), key.alias("business_id"), F.lit("Ann").alias("first_name"), F.when(key % 5 != 0, "Lee").alias("last_name"))
     slug = F.when(key % 2 == 0, "dr-ann-lee").otherwise("leeann")
     links = F.array(F.lit("https://www.linkedin.com/in/ann-smith"), F.concat(F.lit("https://pk.linkedin.com/in/"), slug, key.cast("string"), F.lit("?x=1")),
                     F.lit("https://www.linkedin.com/in/ann-lee-late"), F.lit("https://x.org/ann-lee"))
-    return people.profile_links(crowd, v.customer.select(key.alias("business_id"), F.posexplode(links).alias("pos", "url")))
-
-
-@query("ranked_domain_people", "W2 A20 S4", """
-SELECT c_custkey AS business_id, v.place, v.local || '@b' || c_custkey || '.org' AS email, v.title AS job_title, v.place = 1 AS is_primary
-FROM {customer} JOIN (VALUES (0, 1, 'own', 'Owner'), (0, 2, 'mgr', 'Office Manager'), (0, 3, 'exec', NULL), (0, 4, 'sen', NULL), (1, 1, 'info', 'General address')) v(k, place, local, title) ON v.k = c_custkey % 2""")
+    given = v.customer.select(key.alias("business_id"), F.posexplode(links).alias("pos", "url"))
+    said, k = _said(v), F.col("k")
+    slug = (F.when(k == 0, F.concat("f", F.lit("-"), "l")).when(k == 1, F.concat("l", "f")).when(k == 2, F.col("l")).when(k == 3, F.concat(F.lit("dr-"), "f", F.lit("-"), "l", F.lit("-"), F.col("pos").cast("string")))
+            .when(k == 4, F.col("f")).otherwise(F.concat(F.lit("team-"), F.col("pos").cast("string"))))
+    more = said.select("business_id", "pos", F.concat(F.when(F.col("h") < 2, "https://www.linkedin.com/in/").otherwise("https://x.org/in/"), slug).alias("url"))
+    crowd = crowd.unionByName(_crowd(v).select(crowd.columns))
+    return people.profile_links(crowd, given.unionByName(more))
+
+
+_STAFF = f"""SELECT o_custkey + {_FAR} AS business_id, o_orderkey AS pos, 'p' || o_orderkey || '@b.org' AS email, o_orderkey % 11 = 0 AS generic,
+ CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ['Owner', 'Office Manager', 'Receptionist', NULL, NULL, 'Dentist', NULL][o_orderkey % 7 + 1] END AS position,
+ ['executive', 'senior', 'junior'][(o_orderkey // 7) % 3 + 1] AS seniority, cast((o_custkey * 7 + o_orderkey) % 1000 / 1000 AS decimal(4, 3)) AS confidence FROM {{orders}} WHERE o_orderkey % 13 < 5"""
+
+
+@query("ranked_domain_people", "W2 A20 S4", f"""
+WITH p AS ({_STAFF}),
+r AS (SELECT *, CASE position WHEN 'Owner' THEN 0 WHEN 'Office Manager' THEN 3 WHEN 'Dentist' THEN 50 ELSE CASE WHEN generic THEN 200 ELSE 100 + CASE seniority WHEN 'executive' THEN 0 WHEN 'senior' THEN 1 ELSE 2 END END END AS rank
+  FROM p WHERE position IS DISTINCT FROM 'Receptionist'),
+u AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY rank, confidence DESC, pos) AS place FROM r
+  WHERE NOT generic OR business_id NOT IN (SELECT business_id FROM r WHERE NOT generic))
+SELECT business_id, place, email, coalesce(position, CASE WHEN generic THEN 'General address' END) AS job_title, place = 1 AS is_primary FROM u WHERE place <= 4
+UNION ALL SELECT c_custkey AS business_id, v.place, v.local || '@b' || c_custkey || '.org' AS email, v.title AS job_title, v.place = 1 AS is_primary
+FROM {{customer}} JOIN (VALUES (0, 1, 'own', 'Owner'), (0, 2, 'mgr', 'Office Manager'), (0, 3, 'exec', NULL), (0, 4, 'sen', NULL), (1, 1, 'info', 'General address')) v(k, place, local, title) ON v.k = c_custkey % 2""")
 def ranked_domain_people(v):
     key, some = F.col("c_custkey").cast("string"), F.col("c_custkey") % 2 == 0
     one = lambda local, first, position, seniority, confidence: F.struct(
@@ -241,7 +304,13 @@ def ranked_domain_people(v):
                        one("exec", "Exe", None, "executive", 0.1), one("mgr", "Mgr", "Office Manager", None, 0.2), one("own", "Own", "Owner", None, 0.1))
     nobody = F.array(one("info", None, None, None, 0.99), one("rec", "Rec", "Receptionist", None, 0.9))
     rows = v.customer.select(F.col("c_custkey").alias("business_id"), F.posexplode(F.when(some, everyone).otherwise(nobody)).alias("pos", "p")).select("business_id", "pos", "p.*")
-    return people.rank_domain_people(rows).select("business_id", "place", "email", "job_title", "is_primary")
+    key = F.col("o_orderkey")
+    title = F.when(key % 11 != 0, F.get(F.array(*[F.lit(x).cast("string") for x in ("Owner", "Office Manager", "Receptionist", None, None, "Dentist", None)]), (key % 7).cast("int")))
+    staff = v.orders.where(key % 13 < 5).select(
+        (F.col("o_custkey") + _FAR).alias("business_id"), key.cast("int").alias("pos"), F.concat(F.lit("p"), key.cast("string"), F.lit("@b.org")).alias("email"),
+        F.lit(None).cast("string").alias("name"), title.alias("position"), F.get(F.array(F.lit("executive"), F.lit("senior"), F.lit("junior")), (F.floor(key / 7) % 3).cast("int")).alias("seniority"),
+        (key % 11 == 0).alias("generic"), ((F.col("o_custkey") * 7 + key) % 1000 / 1000).cast("decimal(4,3)").alias("confidence"))
+    return people.rank_domain_people(rows.unionByName(staff)).select("business_id", "place", "email", "job_title", "is_primary")
 
 
 @query("business_domains", "X4 J10", """

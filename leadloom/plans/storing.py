@@ -212,7 +212,10 @@ def verification_report(v):
 
 
 @query("domain_people", "S4", """
-SELECT c_custkey AS business_id, i AS pos, 'P' || i || '@b' || c_custkey || '.org' AS email, CASE i WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bo' WHEN 2 THEN 'P2@b' || c_custkey || '.org' END AS name,
+WITH o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderpriority AS p, o_orderstatus AS s, cast(o_orderkey % 160 - 30 AS double) AS c FROM {orders})
+SELECT o_custkey + 1000000000 AS business_id, i AS pos, s || k || '@b.org' AS email, CASE k % 3 WHEN 0 THEN s || ' ' || p WHEN 1 THEN p ELSE s || k || '@b.org' END AS name,
+ nullif(trim(regexp_replace(p, '[- ]+', ' ', 'g')), '') AS position, cast(least(greatest(c, 0), 100) / 100 AS decimal(4, 3)) AS confidence, k % 4 AS n_sources FROM o WHERE k % 5 <> 0
+UNION ALL SELECT c_custkey AS business_id, i AS pos, 'P' || i || '@b' || c_custkey || '.org' AS email, CASE i WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bo' WHEN 2 THEN 'P2@b' || c_custkey || '.org' END AS name,
  CASE i WHEN 0 THEN 'Clinic Owner' END AS position, cast(CASE i WHEN 0 THEN 0.95 WHEN 1 THEN 1 ELSE 0 END AS decimal(4, 3)) AS confidence, CASE WHEN i = 0 THEN 1 ELSE 0 END AS n_sources FROM {customer}, range(0, 3) r(i)""")
 def domain_people(v):
     key = F.col("c_custkey").cast("string")
@@ -226,6 +229,14 @@ def domain_people(v):
     answer = F.struct(F.array(entry(0, "Ann", " Lee", "Clinic   Owner", 95, ["https://a.org"]), entry(1, " Bo ", None, "", 250, [None]),
                               entry(2, None, "", None, -3, [""]), junk).alias("emails"))
     responses = v.customer.select(F.col("c_custkey").alias("business_id"), F.to_json(answer).alias("raw"))
+    # the orders of a customer as one answer about its people; every fifth has no address
+    k, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    uris = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.when(i <= k % 4, F.concat(F.lit("https://s.org/"), i.cast("string"))).otherwise("").alias("uri")))
+    person = F.struct(k.alias("k"), F.concat(F.lit("  "), status, k.cast("string"), F.when(k % 5 != 0, "@").otherwise(" at "), F.lit("b.org ")).alias("value"),
+                      F.when(k % 3 == 0, status).when(k % 3 == 1, " ").alias("first_name"), F.when(k % 3 < 2, F.concat(F.lit(" "), priority)).alias("last_name"),
+                      F.regexp_replace(priority, "-", "  ").alias("position"), (k % 160 - 30).alias("confidence"), F.lit("personal").alias("type"), uris.alias("sources"))
+    told = v.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(person)).alias("emails"))
+    responses = responses.unionByName(told.select((F.col("o_custkey") + 1_000_000_000).alias("business_id"), F.to_json(F.struct("emails")).alias("raw")))
     return people.ingest_domain_people(responses).select("business_id", "pos", "email", "name", "position", "confidence", F.size("source_urls").alias("n_sources"))
 
 

@@ -100,14 +100,26 @@ def cleaned_markdown(v):
     return v.documents.select("doc_id", text.clean_markdown(raw).alias("text"))
 
 
-@query("public_urls", "F27", """
-SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN false WHEN 7 THEN false ELSE true END AS public FROM {customer}""")
+@query("public_urls", "F27", r"""
+WITH o AS (SELECT o_orderkey + 1000000000 AS id, CASE o_orderstatus WHEN 'F' THEN 'http' WHEN 'O' THEN 'https' ELSE 'ftp' END AS scheme, [0, 10, 100, 127, 169, 172, 192, 198, 203, 224, 8, 255, 300][o_orderkey % 13 + 1] AS a,
+  o_custkey % 260 AS b, (o_orderkey // 13) % 260 AS c, o_orderkey * 7 % 260 AS d FROM {orders})
+SELECT id, scheme <> 'ftp' AND greatest(a, b, c, d) <= 255 AND NOT (a IN (0, 10, 127) OR a >= 224 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31
+  OR a = 192 AND (b = 168 OR b = 0 AND c IN (0, 2)) OR a = 198 AND (b IN (18, 19) OR b = 51 AND c = 100) OR a = 203 AND b = 0 AND c = 113) AS public FROM o
+UNION ALL SELECT page_id + 2000000000, starts_with(url, 'http') AND NOT regexp_matches(url, '^[a-z]+://(localhost|[^/]*\.local)([:/]|$)') FROM {pages}
+UNION ALL SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN false WHEN 7 THEN false ELSE true END AS public FROM {customer}""")
 def public_urls(v):
     kind, key = F.col("c_custkey") % 9, F.col("c_custkey").cast("string")
     url = (F.when(kind == 0, F.concat(F.lit("https://b"), key, F.lit(".org/x"))).when(kind == 1, "http://localhost:8000/").when(kind == 2, "http://db.local/x")
            .when(kind == 3, "http://192.168.1.7/").when(kind == 4, "http://93.184.216.34/").when(kind == 5, F.concat(F.lit("ftp://b"), key, F.lit(".org")))
            .when(kind == 6, "http://[::1]/").when(kind == 7, "http://169.254.169.254/latest").otherwise("http://172.15.0.1/"))
-    return v.customer.select(F.col("c_custkey").alias("id"), urls.is_public_url(url).alias("public"))
+    order = F.col("o_orderkey")
+    first = F.get(F.array(*[F.lit(x) for x in (0, 10, 100, 127, 169, 172, 192, 198, 203, 224, 8, 255, 300)]), (order % 13).cast("int"))
+    scheme = F.when(F.col("o_orderstatus") == "F", "http").when(F.col("o_orderstatus") == "O", "https").otherwise("ftp")
+    host = F.concat_ws(".", first, F.col("o_custkey") % 260, F.floor(order / 13) % 260, order * 7 % 260)
+    given = v.customer.select(F.col("c_custkey").alias("id"), url.alias("url")).unionByName(
+        v.orders.select((order + 1_000_000_000).alias("id"), F.concat(scheme, F.lit("://"), host, F.lit("/x")).alias("url"))).unionByName(
+        v.pages.select((F.col("page_id") + 2_000_000_000).alias("id"), "url"))
+    return given.select("id", urls.is_public_url(F.col("url")).alias("public"))
 
 
 @query("website_findings", "F24 W16 X31", r"""

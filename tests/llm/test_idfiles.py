@@ -3,11 +3,14 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadloom.llm import idfiles
+from tokenizers import Tokenizer
+
+from leadloom.llm import bpe, idfiles
 
 
 @settings(max_examples=150, deadline=None)
@@ -59,6 +62,25 @@ def test_files_keep_the_order_of_documents(spark, tmp_path):
     assert not left
 
 
+def test_files_hold_what_the_library_encodes(spark, tmp_path):
+    """From texts to files and back, against the tokenizers library: whole documents, nulls and long texts included."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(9001, None), (9000, ""), (9002, "le chat et " * 9000), (9003, " \n")], docs.schema))
+    folder = str(tmp_path / "ids")
+    idfiles.write(idfiles.in_order(docs), folder, ids="text", to_ids=lambda texts: bpe.codec(path).encode([x or "" for x in texts]), end_id=1)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts, start = {r.doc_id: r.text or "" for r in docs.collect()}, 0
+    got = {r.doc_id: r for r in idfiles.documents(spark, folder).collect()}
+    assert len(got) == len(texts)
+    for key in sorted(texts):
+        ids = np.array([*library.encode(texts[key], add_special_tokens=False).ids, 1], "<u4")
+        assert (got[key].start, got[key].n_tokens, got[key].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_no_documents(spark, tmp_path):
     folder = str(tmp_path / "none")
     idfiles.write(idfiles.in_order(spark.createDataFrame([], "doc_id long, text string")), folder, ids="text", to_ids=lambda x: [b""] * len(x))

@@ -38,6 +38,46 @@ def test_held_out_accuracy(spark):
     assert 150 < len(unseen) < 250 and np.mean(unseen) >= 0.97
 
 
+def test_the_nearest_prototype_by_cosine(spark):
+    """Languages, scores and familiarity against plain vectors, in one pass and in passes of two languages."""
+    rng = np.random.default_rng(3)
+    texts = ["the cat sat on the mat and the dog", "der Hund und die Katze auf dem Tisch", "le chat est sur la table", "", "12 34", "xyz", "Éte", "the chat und la table"]
+    prototypes = {n: rng.integers(-50, 50, 256).astype(float) for n in ("de", "en", "fr", "it", "pt")}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = langid.Letters(256, langid.SEED)
+    one = langid.identify(df, prototypes, dimensions=256, familiarity="means").collect()
+    old, langid.GROUP = langid.GROUP, 2
+    try:
+        passes = langid.identify(df, prototypes, dimensions=256, familiarity="means")
+        assert passes.columns == ["doc_id", "text", "lang_pred", "score", "means"]
+        several = passes.collect()
+    finally:
+        langid.GROUP = old
+    for rows in (one, several):
+        for r in rows:
+            if not any(c.isalpha() for c in r.text):
+                assert (r.lang_pred, r.score, r.means) == ("und", 0.0, 0.0)
+                continue
+            vector = plain_vector(r.text, known)
+            cosine = {n: float(vector @ p / (np.linalg.norm(vector) * np.linalg.norm(p))) for n, p in prototypes.items()}
+            best = max(sorted(cosine), key=cosine.get)
+            assert r.lang_pred == best and abs(r.score - max(0, cosine[best])) < 1e-9
+            count = len(langid.trigrams([r.text], known)[0])
+            assert abs(r.means - cosine[best] * np.linalg.norm(vector) / (16 * count)) < 1e-9
+
+
+def test_as_many_languages_as_there_are(spark):
+    """A language for every text: nothing is refused, and a text is found in its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(rng.choice(list(letters), 6)) for _ in range(12)), f"l{i:04d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = langid.learn(df, dimensions=1024)
+    assert len(prototypes) == 300
+    got = langid.identify(df, prototypes, dimensions=1024).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_odd_texts(spark):
     values = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, None, "en"), (4, "", None), (5, "123 -- !", "fr"),
               (None, "the dog", None), (1, "the cat sat on the mat", "en"), (6, "the " * 30_000, None)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import struct
 
 import pytest
@@ -60,6 +61,30 @@ def test_archives_are_plain_zstandard(spark, tmp_path):
     assert seen == len(ROWS)
 
 
+def test_one_id_for_hundreds_of_pages(spark, tmp_path):
+    rows = [(7, "u", f"page {i % 90}") for i in range(500)] + [(8, "u", "page 3"), (3, "u", "page 4")]
+    folder = str(tmp_path / "warc")
+    warc.write(frame(spark, rows), folder)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, folder).collect()]
+    assert sorted(got, key=str) == expected(rows)
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """A task's pages go into several archives, each with a dictionary of its own in front."""
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    monkeypatch.setattr(warc, "ROWS", 3)
+    rng = random.Random(1)
+    rows = [(i, "u", " ".join(str(rng.random()) for _ in range(100))) for i in range(400)]
+    folder = tmp_path / "warc"
+    warc.write(frame(spark, rows).coalesce(1), str(folder))
+    sizes = [p.stat().st_size for p in folder.glob("part-*")]
+    assert len(sizes) > 20 and max(sizes) < warc.DICTIONARY_BYTES + 3 * 2 * 2000 + 100
+    for path in folder.glob("part-*"):
+        assert len(list(warc.frames(memoryview(path.read_bytes())))) > 0
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, str(folder)).collect()]
+    assert sorted(got, key=str) == expected(rows)
+
+
 def test_no_pages(spark, tmp_path):
     folder = str(tmp_path / "none")
     warc.write(frame(spark, []), folder)

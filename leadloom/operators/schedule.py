@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
-from collections.abc import Iterator
-from zoneinfo import ZoneInfo
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.operators import slots
 from leadloom.schemas import HOLDS_SLOT, SENT, Settings
 
 STUCK_AFTER = dt.timedelta(minutes=15)
-MAX_DAYS_TRIED = 366
 
 
 def local_date(moment: Column, zone: Column) -> Column:
@@ -138,108 +134,6 @@ def stale_runs(runs: DataFrame, now: dt.datetime, after: dt.timedelta = dt.timed
 # ---------------------------------------------------------------- slots
 
 
-class _Days:
-    """Local days in UTC microseconds, per zone and window; looked up once per day."""
-
-    def __init__(self):
-        self._zones, self._bounds, self._recent = {}, {}, {}
-
-    def _micros(self, day: dt.date, seconds: int, zone: str) -> int:
-        tz = self._zones.setdefault(zone, ZoneInfo(zone))
-        wall = dt.datetime.combine(day, dt.time(seconds // 3600, seconds // 60 % 60, seconds % 60), tzinfo=tz)
-        return int(wall.timestamp()) * 1_000_000
-
-    def date(self, micros: int, zone: str) -> dt.date:
-        start, end, day = self._recent.get(zone, (0, 0, None))
-        if not start <= micros < end:  # the last day asked for is usually the one asked for again
-            tz = self._zones.setdefault(zone, ZoneInfo(zone))
-            day = dt.datetime.fromtimestamp(micros // 1_000_000, tz).date()
-            self._recent[zone] = (*self.bounds(day, zone, None), day)
-        return day
-
-    def bounds(self, day: dt.date, zone: str, window: tuple[int, int] | None) -> tuple[int, int]:
-        key = (day, zone, window)
-        if key not in self._bounds:
-            if len(self._bounds) > 100_000:
-                self._bounds.clear()
-            following = day + dt.timedelta(days=1)
-            self._bounds[key] = ((self._micros(day, window[0], zone), self._micros(day, window[1], zone)) if window
-                                 else (self._micros(day, 0, zone), self._micros(following, 0, zone)))
-        return self._bounds[key]
-
-
-class _Box:
-    """One mailbox: its latest slot and, per zone, how many slots that slot's local day holds.
-
-    Slots never go back in time, so earlier days cannot matter any more.
-    """
-
-    def __init__(self, latest: int | None, counts: dict[str, int]):
-        self.latest, self.counts = latest, counts
-
-    def next_slot(self, days: _Days, earliest: int, gap: int, zone: str, window, cap: int) -> tuple[int, dt.date] | None:
-        at = earliest if self.latest is None else max(earliest, self.latest + gap)
-        full_day = days.date(self.latest, zone) if self.latest is not None and self.counts.get(zone, 0) >= cap else None
-        for _ in range(MAX_DAYS_TRIED):
-            day = days.date(at, zone)
-            begin, finish = days.bounds(day, zone, window)
-            at = max(at, begin)
-            if at < finish and day != full_day:
-                return at, day
-            at = days.bounds(day + dt.timedelta(days=1), zone, window)[0]
-        return None
-
-    def take(self, days: _Days, slot: int, zones) -> None:
-        for zone in zones:
-            same = self.latest is not None and days.date(self.latest, zone) == days.date(slot, zone)
-            self.counts[zone] = self.counts.get(zone, 0) + 1 if same else 1
-        self.latest = slot
-
-
-_OUT = "pool bigint, position bigint, email_id bigint, mailbox_id bigint, slot_us bigint"
-
-
-def _fold(cap: int):
-    """Hand out slots in order: a stream of batches per pool in, the same stream of rows out."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        days, boxes, zones, last, pool = _Days(), {}, [], None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                pool = row.pool
-                if isinstance(row.state, str):  # the state row comes first
-                    state = json.loads(row.state)
-                    zones = state["zones"]
-                    boxes = {int(k): _Box(b["latest"], {c["zone"]: c["n"] for c in b["counts"]}) for k, b in state["boxes"].items()}
-                    continue
-                if last is not None and row.position <= last:
-                    raise ValueError("slots must be handed out in order")
-                last = row.position
-                window = None if pd.isna(row.window_start) or pd.isna(row.window_end) else (int(row.window_start), int(row.window_end))
-                first = None if pd.isna(row.previous_mailbox_id) else int(row.previous_mailbox_id)
-                best = None
-                # in mailbox order, the previous mailbox first; the earliest local day wins, the first box on ties
-                for box_id in sorted(boxes, key=lambda b: b != first) if first in boxes else boxes:
-                    found = boxes[box_id].next_slot(days, int(row.earliest_us), int(row.gap_us), row.zone, window, cap)
-                    if found and (best is None or found[1] < best[2]):
-                        best = (box_id, *found)
-                if best:
-                    boxes[best[0]].take(days, best[1], zones)
-                    out.append((pool, row.position, row.email_id, best[0] or None, best[1]))
-                else:
-                    out.append((pool, row.position, row.email_id, None, None))
-            if out:
-                yield _frame(out)
-
-    return fold
-
-
-def _frame(rows) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["pool", "position", "email_id", "mailbox_id", "slot_us"])
-    return frame.astype("Int64")
-
-
 def gap_micros(email_id: Column, settings: Settings, seed: int = 0) -> Column:
     """The fixed gap plus a jitter hashed from the email id, so a retried task draws the same."""
     spread = (settings.gap_random_max_seconds - settings.gap_random_min_seconds) * 1000
@@ -256,46 +150,12 @@ def schedule(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame, sett
     ``mailboxes``: pool, mailbox_id, priority (active ones; a pool without any gets times only).
     ``holders``: mailbox_id, scheduled_at of emails that already hold a slot.
 
-    Each slot depends on the one before it, so a pool is a sequence, and pools are the unit of
-    parallel work: a pool's requests are sorted by the shuffle and stream through its task in
-    batches, of which only the mailboxes' latest slots are held. A pool is a handful of mailboxes; make pools per sender and not per account,
-    because requests beyond the daily caps roll on to later days in the same task.
+    Each slot depends on the one before it; ``slots`` says how a pool's requests are handed out in several tasks all the same.
     """
     ordered = requests.select(
-        "pool", F.col("arrival").alias("position"), "email_id", F.unix_micros("earliest").alias("earliest_us"), "zone", "window_start",
-        "window_end", "previous_mailbox_id", "gap_us", F.lit(None).cast("string").alias("state"))
-    rows = ordered.unionByName(_opening_state(requests, mailboxes, holders), allowMissingColumns=True)
-    rows = rows.repartition("pool").sortWithinPartitions("pool", F.col("state").isNull(), "position")
-    result = rows.groupBy("pool").applyInPandas(_fold(settings.daily_cap), _OUT)
-    return result.select("pool", "position", "email_id", "mailbox_id", F.timestamp_micros("slot_us").alias("slot"))
-
-
-def _opening_state(requests: DataFrame, mailboxes: DataFrame, holders: DataFrame) -> DataFrame:
-    """One row per pool: its zones, and per mailbox the latest held slot with that day's counts.
-
-    A pool without mailboxes gets a stand-in (id 0) that every holder counts against.
-    """
-    zones = requests.groupBy("pool").agg(F.array_sort(F.collect_set("zone")).alias("zones"))
-    boxes = zones.join(mailboxes, "pool", "left").withColumn("mailbox_id", F.coalesce("mailbox_id", F.lit(0).cast("long")))
-    held = holders.where(F.col("scheduled_at").isNotNull()).groupBy("mailbox_id").agg(F.max("scheduled_at").alias("latest"))
-    every = held.agg(F.lit(0).cast("long").alias("mailbox_id"), F.max("latest").alias("latest"))
-    latest = held.where(F.col("mailbox_id") != 0).unionByName(every)
-    # a zone's local day lasts at most 25 hours, so only the last ones before the latest slot can share it
-    near = holders.select("mailbox_id", "scheduled_at").join(latest, "mailbox_id").where(
-        F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
-    near_all = holders.select(F.lit(0).cast("long").alias("mailbox_id"), "scheduled_at").withColumn(
-        "latest", held.agg(F.max("latest")).scalar()).where(F.col("scheduled_at") > F.col("latest") - F.expr("INTERVAL 26 HOURS"))
-    used = zones.select(F.explode("zones").alias("zone")).distinct().agg(F.collect_set("zone")).scalar()
-    counts = (near.unionByName(near_all).groupBy("mailbox_id", "latest", "scheduled_at").agg(F.count("*").alias("n"))
-              .withColumn("zone", F.explode(used))
-              .where(local_date(F.col("scheduled_at"), F.col("zone")) == local_date(F.col("latest"), F.col("zone")))
-              .groupBy("mailbox_id", "latest", "zone").agg(F.sum("n").alias("n"))
-              .groupBy("mailbox_id", "latest").agg(F.collect_list(F.struct("zone", "n")).alias("counts")))
-    state = boxes.join(counts, "mailbox_id", "left").select(
-        "pool", "zones", F.struct(F.coalesce("priority", F.lit(0)).alias("priority"), "mailbox_id",
-                                  F.struct(F.unix_micros("latest").alias("latest"),
-                                           F.coalesce("counts", F.array().cast("array<struct<zone:string,n:bigint>>")).alias("counts")).alias("box")).alias("b"))
-    entries = F.transform(F.array_sort(F.collect_list("b")), lambda b: F.struct(b["mailbox_id"].cast("string").alias("k"), b["box"].alias("v")))
-    packed = state.groupBy("pool", "zones").agg(F.map_from_entries(entries).alias("boxes"))
-    return packed.select("pool", F.lit(-1).cast("long").alias("position"),
-                         F.to_json(F.struct("zones", "boxes"), {"ignoreNullFields": "false"}).alias("state"))
+        F.col("pool").cast("long").alias("pool"), F.col("arrival").cast("long").alias("position"), F.col("email_id").cast("long").alias("email_id"),
+        F.unix_micros("earliest").alias("earliest_us"), "zone", F.col("window_start").cast("int").alias("window_start"), F.col("window_end").cast("int").alias("window_end"),
+        F.col("previous_mailbox_id").cast("long").alias("previous_mailbox_id"), F.col("gap_us").cast("long").alias("gap_us"), F.lit(None).cast("string").alias("state"))
+    first = slots.opening(requests, mailboxes, holders, settings.daily_cap).withColumn("pool", F.col("pool").cast("long"))
+    rows = ordered.unionByName(first, allowMissingColumns=True)
+    return slots.hand_out(rows, settings.daily_cap).select("pool", "position", "email_id", "mailbox_id", F.timestamp_micros("slot_us").alias("slot"))

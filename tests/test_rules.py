@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators import lifecycle, listings, outreach, people, schedule, tables, verify
+from leadloom.operators import lifecycle, listings, outreach, people, schedule, slots, tables, verify
 from leadloom.schemas import Settings
 from leadloom.sources.people import load_roles
 
@@ -151,6 +151,43 @@ def test_schedule(spark, seed):
         k: (b, t.strftime("%Y-%m-%d %H:%M:%S")) for k, (b, t) in expected.items()}
 
 
+@pytest.mark.parametrize("seed,boxes,zones,busy", [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 2, 2, True), (5, 1, 1, True)])
+def test_a_pool_over_many_partitions(spark, monkeypatch, seed, boxes, zones, busy):
+    """One pool fills a dozen partitions, small pools stand around it: as one request after the other. Where one mailbox works in one zone, the forecast is right
+    however far it is behind; several mailboxes take one more round a partition."""
+    rng = random.Random(seed)
+    settings = Settings(daily_cap=rng.choice([4, 7]))
+    start = dt.datetime(2024, 2, 1 if seed < 5 else 27, 12, tzinfo=UTC)  # the last one runs across a change of clocks
+    names = ["Europe/Berlin", "Asia/Karachi", "America/New_York"][:zones]
+    requests = []
+    for pool in (1, 2, 3, 4):
+        for i in range(1500 if pool == 2 else 40):
+            late = rng.random() < (0.02 if busy else 0.5)
+            earliest = start + dt.timedelta(minutes=rng.randrange(0, 60) + (rng.randrange(0, 200_000) if late else 0) + (0 if busy else 400 * i))
+            requests.append({"pool": pool, "arrival": i, "email_id": 10_000 * pool + i, "earliest": earliest, "zone": rng.choice(names), "window_start": 9 * 3600, "window_end": 12 * 3600,
+                             "previous_mailbox_id": None, "gap_us": rng.randrange(300, 3000) * 1_000_000})
+    held = [(1 + rng.randrange(8), start + dt.timedelta(hours=rng.randrange(-40, 10))) for _ in range(30)]
+    known = [(pool, 2 * pool + b - 1, b) for pool in (1, 2, 3, 4) for b in range(boxes)]
+    expected = {}
+    for pool in (1, 2, 3, 4):
+        expected |= sequential_slots([r for r in requests if r["pool"] == pool], [(b, p) for q, b, p in known if q == pool], held, settings)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    turns, whole = [], slots._handed_out
+    monkeypatch.setattr(slots, "_handed_out", lambda cap: turns.append(1) or whole(cap))
+    try:
+        got = schedule.schedule(spark.createDataFrame(requests, REQUEST), spark.createDataFrame(known, "pool long, mailbox_id long, priority int"),
+                                spark.createDataFrame(held, "mailbox_id long, scheduled_at timestamp"), settings)
+        text = F.date_format("slot", "yyyy-MM-dd HH:mm:ss")
+        assert {r.email_id: (r.mailbox_id, r.s) for r in got.withColumn("s", text).collect()} == {k: (b, t.strftime("%Y-%m-%d %H:%M:%S")) for k, (b, t) in expected.items()}
+        if boxes == zones == 1:
+            assert len(turns) <= 3  # a change of clocks within the time that they are behind costs another one
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_mailboxes_fill_up_in_order(spark):
     settings = Settings(daily_cap=2, gap_fixed_seconds=60, gap_random_min_seconds=0, gap_random_max_seconds=0)
     now = dt.datetime(2024, 1, 2, 10, tzinfo=UTC)

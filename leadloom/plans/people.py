@@ -22,8 +22,21 @@ def _who(v):
     return v.customer.select(key.alias("id"), pick(FIRST, key % 5).alias("f"), pick(LAST, F.floor(key / 5) % 5).alias("l"))
 
 
+# A person for every document: its first two plain words, in the ways that names are written.
+_WORDED = f"""SELECT doc_id + {1_000_000_000} AS id, upper(w[1][1]) || w[1][2:] AS f, upper(w[2][1]) || w[2][2:] AS l FROM (
+ SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[a-z]{{7,12}}')) AS w FROM {{documents}}) d WHERE len(w) > 1 AND w[1] <> w[2]"""
+
+
+def _worded(v):
+    """(id, f, l, text) of the documents with two plain words."""
+    words = F.filter(F.split("text", " "), lambda x: x.rlike(r"\A[a-z]{7,12}\z"))
+    rows = v.documents.select((F.col("doc_id") + 1_000_000_000).alias("id"), words.alias("w"), "text").where((F.size("w") > 1) & (F.get("w", 0) != F.get("w", 1)))
+    return rows.select("id", F.initcap(F.get("w", 0)).alias("f"), F.initcap(F.get("w", 1)).alias("l"), "text")
+
+
 @query("cleaned_names", "X14", f"""
-SELECT id, CASE k WHEN 3 THEN NULL WHEN 6 THEN NULL ELSE f || ' ' || l END AS name, CASE WHEN k IN (3, 6) THEN NULL ELSE f END AS first_name,
+SELECT id, f || ' ' || l AS name, f AS first_name, l AS last_name, lower(f) || '|' || lower(l) AS person_key FROM ({_WORDED}) d
+UNION ALL SELECT id, CASE k WHEN 3 THEN NULL WHEN 6 THEN NULL ELSE f || ' ' || l END AS name, CASE WHEN k IN (3, 6) THEN NULL ELSE f END AS first_name,
  CASE WHEN k IN (3, 6) THEN NULL ELSE l END AS last_name,
  CASE WHEN k IN (3, 6) THEN NULL ELSE lower(strip_accents(f)) || '|' || replace(lower(strip_accents(l)), '-', '') END AS person_key
 FROM (SELECT *, id % 7 AS k FROM ({_WHO}) w) x""")
@@ -32,7 +45,10 @@ def cleaned_names(v):
     raw = (F.when(kind == 0, F.concat(F.lit("Dr. M. "), whole, F.lit(", DDS"))).when(kind == 1, F.concat(F.lit("  meet "), whole, F.lit(" MD PhD ")))
            .when(kind == 2, F.concat(whole, F.lit("'s"))).when(kind == 3, F.concat("f", F.lit("'s Smile "), "l")).when(kind == 4, F.concat(F.lit("Mr. J K "), whole))
            .when(kind == 5, F.concat("f", F.lit(",  "), "l")).otherwise(F.concat(F.lit("The "), "f", F.lit(" Dental "), "l")))
-    return _who(v).select("id", names.clean_name(raw).alias("n")).select("id", "n.*")
+    written = (F.when(kind == 0, F.concat(F.lit("Prof. "), whole, F.lit(", MD"))).when(kind == 1, F.concat(F.lit(" "), whole, F.lit("'s"))).when(kind == 2, F.concat(F.lit("Mrs. K "), whole))
+               .when(kind == 3, F.concat("f", F.lit(",   "), "l")).when(kind == 4, F.concat(F.lit("Dr "), whole, F.lit(" PhD, FCPS"))).otherwise(F.concat(F.lit("  "), "f", F.lit(" \t"), "l")))
+    found = _who(v).select("id", names.clean_name(raw).alias("n")).unionByName(_worded(v).select("id", names.clean_name(written).alias("n")))
+    return found.select("id", "n.*")
 
 
 TITLES = ("Co-Founder & CEO", "Associate Dentist", "Front Office Manager", "Senior Orthodontist", "Director of Operations", "Cook", "Dentist/Owner", "Nurse Administrator")
@@ -337,7 +353,11 @@ def evidence_waterfall(v):
 
 
 @query("business_mentions", "J13 X13 X20", f"""
-SELECT id, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS mentioned FROM (SELECT c_custkey AS id, c_custkey % 5 AS k FROM {{customer}}) x""")
+WITH x AS ({_WORDED}), d AS (SELECT x.*, text, n.f AS nf, n.l AS nl, (x.id + 1) % 3 AS k FROM x JOIN {{documents}} ON doc_id = x.id - 1000000000 LEFT JOIN x AS n ON n.id = x.id + 1),
+t AS (SELECT id, CASE k WHEN 0 THEN f ELSE coalesce(nf, f) END AS a, CASE k WHEN 2 THEN coalesce(nl, l) ELSE l END AS b, lower(regexp_replace(strip_accents(text), '[^A-Za-z0-9]', '', 'g')) AS hay,
+  regexp_replace(text, '[^0-9]', '', 'g') AS digits, right('92300' || lpad(cast(id AS varchar), 12, '0'), 9) AS phone FROM d)
+SELECT id, contains(digits, phone) OR CASE WHEN lower(a) = lower(b) THEN contains(hay, lower(a)) ELSE contains(hay, lower(a)) AND contains(hay, lower(b)) END AS mentioned FROM t
+UNION ALL SELECT id, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS mentioned FROM (SELECT c_custkey AS id, c_custkey % 5 AS k FROM {{customer}}) x""")
 def business_mentions(v):
     kind, key = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
     rows = v.customer.select(
@@ -346,4 +366,11 @@ def business_mentions(v):
         .when(kind == 3, F.concat(F.lit("call 0300-"), F.lpad(key, 7, "0"))).otherwise("Smile Dental of Karachi").alias("text"),
         F.concat(F.lit("+92300"), F.lpad(key, 7, "0")).alias("phone"))
     context = places.context_tokens(F.lit("Lahore"), F.array(F.lit("smile-dental.pk")))
+    # every document against a business of its own first words, or of the next document's
+    worded = _worded(v)
+    following = worded.select((F.col("id") - 1).alias("id"), F.col("f").alias("nf"), F.col("l").alias("nl"))
+    kind = (F.col("id") + 1) % 3
+    a, b = F.when(kind == 0, F.col("f")).otherwise(F.coalesce("nf", "f")), F.when(kind == 2, F.coalesce("nl", "l")).otherwise(F.col("l"))
+    more = worded.join(following, "id", "left").select("id", F.concat(a, F.lit(" "), b, F.lit(" Clinic")).alias("name"), "text", F.concat(F.lit("+92300"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("phone"))
+    rows = rows.select("id", "name", "text", "phone").unionByName(more)
     return rows.select("id", places.mentions_business(F.col("text"), F.col("name"), context, places.phone_key(F.col("phone"))).alias("mentioned"))

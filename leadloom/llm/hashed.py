@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import small_batches
+from leadloom.session import materialize
 
 SAMPLE_ROWS = 20_000  # the bound of the learning sample
 SLICES = 4
@@ -57,5 +60,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learning, rows: int =
         "doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SLICES)).cast("int").alias("slice"))
 
 
+def sliced(ready: DataFrame) -> DataFrame:
+    """The learning rows with one slice a partition, written once: rounds read them where they lie."""
+    return materialize(ready.repartitionById(SLICES, "slice"))
+
+
+def each_slice(ready: DataFrame, train, shape: str) -> DataFrame:
+    """``train`` over every slice of ``sliced`` rows (a table in, a table out); a slice is a quarter of the bounded sample."""
+    def run(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            for own in sorted(set(rows.column("slice").to_pylist())):
+                yield from train(rows.filter(pc.equal(rows.column("slice"), own))).to_batches()
+
+    return ready.mapInArrow(run, shape)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))

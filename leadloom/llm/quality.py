@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from leadloom.llm.common import map_text, worker_state
-from leadloom.llm.hashed import Tokens, sample, sigmoid
-from leadloom.session import materialize
+from leadloom.llm.hashed import Tokens, each_slice, sample, sigmoid, sliced
 
 BITS = 17
 ROUNDS = 4
@@ -89,11 +88,11 @@ def learn(rows: DataFrame, rounds: int = ROUNDS, bits: int = BITS) -> np.ndarray
                      pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([values.astype("<f4").tobytes()], pa.binary())],
                     names=["slice", "doc_id", "label", "places", "shares"])
 
-    ready = materialize(rows.select("slice", "doc_id", "label", "text").mapInArrow(
+    ready = sliced(rows.select("slice", "doc_id", "label", "text").mapInArrow(
         featurise, "slice int, doc_id long, label double, places binary, shares binary"))
     z = n = np.zeros((1 << bits) + 1, np.float32)
     for turn in range(rounds):
-        states = ready.groupBy("slice").applyInArrow(_round(z, n, turn), "rows long, z binary, n binary").collect()
+        states = each_slice(ready, _round(z, n, turn), "rows long, z binary, n binary").collect()
         total = sum(s["rows"] for s in states)
         if not total:
             break

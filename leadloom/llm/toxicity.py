@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.llm.common import map_text, worker_state
-from leadloom.llm.hashed import CACHED_TOKENS, sample, sigmoid
-from leadloom.session import materialize
+from leadloom.llm.hashed import CACHED_TOKENS, each_slice, sample, sigmoid, sliced
 
 FACTORS = 4
 ROUNDS = 6
@@ -158,13 +157,13 @@ def learn(rows: DataFrame, rounds: int = ROUNDS, factors: int = FACTORS, seed: i
             yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
                                              names=["slice", "doc_id", "label", "places"])
 
-    ready = materialize(rows.select("slice", "doc_id", "label", "text").mapInArrow(featurise, "slice int, doc_id long, label double, places binary"))
+    ready = sliced(rows.select("slice", "doc_id", "label", "text").mapInArrow(featurise, "slice int, doc_id long, label double, places binary"))
     idf = text_shares(ready)
     state = {"z": np.zeros(PLACES + 1), "n": np.zeros(PLACES + 1), "v": np.random.default_rng(seed).normal(0, START, (PLACES, factors)),
              "g": np.ones((PLACES, factors))}
     state = {k: x.astype(np.float32) for k, x in state.items()}
     for turn in range(rounds):
-        states = ready.groupBy("slice").applyInArrow(_round(idf, state, turn), "rows long, z binary, n binary, v binary, g binary").collect()
+        states = each_slice(ready, _round(idf, state, turn), "rows long, z binary, n binary, v binary, g binary").collect()
         total = sum(s["rows"] for s in states)
         if not total:
             break

@@ -29,7 +29,7 @@ FACTORS = 4
 ROUNDS = 6
 BITS = 17
 PLACES = 1 << BITS
-DAMPING = 5.0  # texts at which a place has half its value
+DAMPING, LEAST_DAMPING = 0.003, 2.0  # share of the learning texts, and number of texts at least, at which a place has half its value
 LENGTH = 10.0
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.0, 0.1
 RATE, SHRINK, START = 0.05, 1e-3, 0.02
@@ -110,7 +110,8 @@ def text_shares(rows: DataFrame) -> np.ndarray:
     n = np.zeros(PLACES)
     n[counted["place"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
     texts = max(rows.count(), 2)
-    return np.where(n > 0, np.log(texts / np.maximum(n, 1)) / np.log(texts) * n / (n + DAMPING), 0.0)
+    half = max(LEAST_DAMPING, DAMPING * texts)
+    return np.where(n > 0, np.log(texts / np.maximum(n, 1)) / np.log(texts) * n / (n + half), 0.0)
 
 
 def weights(z: np.ndarray, n: np.ndarray, l1: float = L1, l2: float = L2) -> np.ndarray:

@@ -231,7 +231,8 @@ def _encode_long(df: DataFrame, tokenizer: str, text: str, out: str, leaf_chars:
     """Leaves as rows; the row's other columns travel with its first leaf."""
     row, path, piece, of_piece = fresh(df, "row", "path", "piece", "piece_ids")
     df = df.withColumn(row, F.monotonically_increasing_id())
-    leaf_schema = T.StructType([f for f in df.schema.fields if f.name.lower() != text.lower()]
+    # later leaves of a row hold nothing else, so no column is required here
+    leaf_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name.lower() != text.lower()]
                                + [T.StructField(path, T.StringType()), T.StructField(piece, T.StringType())])
     kinds = arrow_schema(leaf_schema)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import names, places
 from leadloom.operators import people
 from leadloom.plans.registry import query
+from leadloom.scale import not_broadcast
 from leadloom.session import ensure_checkpoint_dir
 from leadloom.sources import people as provider
 
@@ -180,7 +181,7 @@ def candidate_address_ranking(v):
     ranked = people.candidate_emails(crowd, domains)
     # the confidence in steps of 0.005, clear of rounding
     label, weighted = F.col("pattern"), people.generated_addresses(crowd).select("person_id", "local", "base", "weight")
-    rows = ranked.withColumn("local", F.substring_index("email", "@", 1)).join(weighted, ["person_id", "local"])
+    rows = ranked.withColumn("local", F.substring_index("email", "@", 1)).join(not_broadcast(weighted), ["person_id", "local"])
     base = F.when((F.col("person_id") % 3 == 0) & (label == "flast"), 0.7).otherwise(F.col("base"))
     score = F.floor(base * F.col("weight") * F.when(F.col("email").endswith("@main.org"), 1.0).otherwise(0.5) * 200).cast("int")
     return rows.select("person_id", "position", "email", "pattern", score.alias("score"))

@@ -2,6 +2,7 @@
 
 import re
 
+from leadloom.operators import people
 from leadloom.plans import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,3 +52,14 @@ def broadcasts(df) -> int:
 def test_guesses_are_not_broadcast(spark):
     """Spark's estimate leaves out what an explode makes, so these joins were broadcasts that no driver held at size."""
     assert broadcasts(load()["candidate_address_ranking"](spark, FOLDER)) == 1  # the few domains of the nations
+
+
+def test_links_and_addresses_are_not_broadcast(spark):
+    """The pieces of links were broadcast, about 25 rows for each link."""
+    ids = spark.range(100)
+    crowd = ids.selectExpr("id AS person_id", "id AS business_id", "'Ann' AS first_name", "'Lee' AS last_name", "'Ann Lee' AS name")
+    links = ids.selectExpr("id AS business_id", "0 AS pos", "'https://linkedin.com/in/ann-lee/' AS url")
+    found = ids.selectExpr("id AS business_id", "'ann.lee@b.org' AS address", "'website' AS source", "0 AS first_pos")
+    domains = ids.selectExpr("id AS business_id", "'b.org' AS domain")
+    for hits in (people.profile_links(crowd, links), people.own_emails(crowd, found, domains)):
+        assert broadcasts(hits) == 0 and hits.count() == 100

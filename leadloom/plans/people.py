@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import names, places
 from leadloom.operators import people
 from leadloom.plans.registry import query
-from leadloom.scale import not_broadcast
+from leadloom.scale import dealt_out, not_broadcast
 from leadloom.session import ensure_checkpoint_dir
 from leadloom.sources import people as provider
 
@@ -98,7 +98,7 @@ def extracted_people(v):
     whole = F.concat_ws(" ", "f", "l")
     text = F.concat(F.lit("# **Dr. "), whole, F.lit(", DDS**, Practice Owner since 2001\nOur office manager is Omar Khan, the receptionist is Sara Noor.\n"
                                                      "The clinic was founded by Lena Brook and Tom Reed\n\nPaul Hill\nClinic manager\n"))
-    texts = _who(v).select(F.col("id").alias("business_id"), text.alias("text"), F.lit("Smile Dental").alias("business_name"))
+    texts = dealt_out(_who(v)).select(F.col("id").alias("business_id"), text.alias("text"), F.lit("Smile Dental").alias("business_name"))
     return people.extract_people(texts, ["business_id"]).select("business_id", "shape", "name", "job_title", "rank", "evidence")
 
 

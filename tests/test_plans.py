@@ -63,3 +63,18 @@ def test_links_and_addresses_are_not_broadcast(spark):
     domains = ids.selectExpr("id AS business_id", "'b.org' AS domain")
     for hits in (people.profile_links(crowd, links), people.own_emails(crowd, found, domains)):
         assert broadcasts(hits) == 0 and hits.count() == 100
+
+
+def test_people_are_extracted_in_many_tasks(spark):
+    """One file of customers was one task; and no name is cleaned twice, once for a condition and once for its value."""
+    lines = plan(load()["extracted_people"](spark, FOLDER))
+    assert any("REPARTITION_BY_NUM" in line for line in lines)
+    assert sum("ArrowEvalPython" in line for line in lines[[i for i, line in enumerate(lines) if "Initial Plan" in line][-1] if any("Initial Plan" in line for line in lines) else 0:]) <= 4
+
+
+def test_tree_of_words_finds_the_longest():
+    words = {"co founder", "co", "coo", "owner", "owner and dentist", "owner dentist", "ow"}
+    listed = re.compile("(?i:" + "|".join(w.replace(" ", r"[\s\-/]+") for w in sorted(words, key=lambda w: (-len(w), w))) + ")")
+    tree = re.compile("(?i:" + people._tree(words) + ")")
+    for text in ("Co-Founder and COO", "owner and  dentist, owner, ow", "Owner / dentist", "cowner co", "none"):
+        assert [m.span() for m in tree.finditer(text)] == [m.span() for m in listed.finditer(text)]

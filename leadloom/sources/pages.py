@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from leadloom.functions import urls
 from leadloom.functions.text import fields, let, squeeze
 from leadloom.scale import top_k
+from leadloom.session import small_batches
 
 # Parts of a page that are not its content, and texts nobody sees.
 CHROME = ("script", "style", "noscript", "svg", "nav", "header", "footer", "aside", "form")
@@ -74,6 +75,7 @@ def extract_pages(pages: DataFrame, keep_chars: int | None = None) -> DataFrame:
 
     The whole page is read; ``keep_chars`` cuts the stored text to a limit, as a page store may want.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(*[c for c in pages.columns if c != "html"], urls.normalize_url_idna(F.col("url")).alias("page_url"),
                         _parse("html").alias("p"))
     rows = rows.select("*", urls.url_parts(F.col("page_url")).alias("base"), F.regexp_replace(urls.hostname(F.col("page_url")), r"^www\.", "").alias("home"))

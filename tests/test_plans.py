@@ -78,3 +78,16 @@ def test_tree_of_words_finds_the_longest():
     tree = re.compile("(?i:" + people._tree(words) + ")")
     for text in ("Co-Founder and COO", "owner and  dentist, owner, ow", "Owner / dentist", "cowner co", "none"):
         assert [m.span() for m in tree.finditer(text)] == [m.span() for m in listed.finditer(text)]
+
+
+def test_python_workers_get_small_batches(spark):
+    """Ten thousand pages at once, as Spark hands them out by itself, made a worker's memory grow with its partition."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    load()["page_links"](spark, FOLDER)
+    rows = F.pandas_udf(lambda html: pd.Series([len(html)] * len(html)), "long")
+    pages = spark.range(0, 5000, 1, 1)
+    assert pages.select(rows(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("n")).agg(F.max("n")).first()[0] <= 1000
+    assert pages.select(rows(F.repeat(F.lit("x" * 100), 1000)).alias("n")).agg(F.max("n")).first()[0] <= 100

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import templates, text, urls
 from leadloom.plans.registry import query
+from leadloom.scale import dealt_out
 from leadloom.schemas import user_fields_schema
 from leadloom.sources import pages
 
@@ -215,7 +216,7 @@ t AS (SELECT business_id, o, p.path, p.tier FROM l, (VALUES ('/', -1), ('/meet-t
   WHERE NOT (business_id % 2 = 0 AND p.path = '/meet-the-team'))
 SELECT business_id, o || path AS url, rank FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY tier) AS rank FROM t) x WHERE rank <= 6""")
 def site_page_targets(v):
-    sites = v.v_businesses.select(F.col("id").alias("business_id"), "website_url")
+    sites = dealt_out(v.v_businesses.select(F.col("id").alias("business_id"), "website_url"), "business_id")
     link = F.array(*[F.concat("website_url", F.lit(p)) for p in ("/blog", "/About-Us", "/our-doctors", "/meet-the-team")], F.lit("https://other.org/team"))
     links = sites.where(F.coalesce("website_url", F.lit("")) != "").select("business_id", F.posexplode(link).alias("pos", "url")).withColumn("pos", F.col("pos").cast("long"))
     read = links.where((F.col("pos") == 3) & (F.col("business_id") % 2 == 0)).select("business_id", "url", F.lit(400).alias("chars"))

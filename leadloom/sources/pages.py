@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from leadloom.functions import urls
 from leadloom.functions.text import fields, let, squeeze
-from leadloom.scale import top_k
+from leadloom.scale import dealt_out, not_broadcast, top_k
 from leadloom.session import small_batches
 
 # Parts of a page that are not its content, and texts nobody sees.
@@ -142,15 +142,17 @@ def site_page_targets(sites: DataFrame, links: DataFrame, read: DataFrame, n: in
     base = sites.where(F.trim(F.coalesce("website_url", F.lit(""))) != "").select("business_id", site.alias("site")).select(
         "business_id", F.concat(urls.scheme_of(F.col("site")), F.lit("://"), urls.netloc_of(F.col("site"))).alias("origin"),
         F.regexp_replace(urls.hostname(F.col("site")), r"^www\.", "").alias("host")).where(F.col("host") != "")
+    base = dealt_out(base, "business_id")
     fixed = F.array(F.struct(F.lit(-1).alias("tier"), F.lit("/").alias("path")),
                     *[F.struct(F.lit(100 + i).alias("tier"), F.lit(p).alias("path")) for i, p in enumerate(COMMON_SITE_PATHS)])
     common = base.select("business_id", "origin", F.explode(fixed).alias("f")).select(
         "business_id", F.col("f.tier").alias("tier"), F.lit(0).cast("long").alias("pos"), F.concat("origin", "f.path").alias("url"))
     # of several links to one page the last spelling is kept, at the place of the first
-    own = links.join(base, "business_id").where(F.col("url").startswith("http") & urls.is_same_site(F.col("url"), F.col("host")))
+    own = links.join(not_broadcast(base), "business_id").where(F.col("url").startswith("http") & urls.is_same_site(F.col("url"), F.col("host")))
     own = own.groupBy("business_id", urls.page_identity(F.col("url")).alias("identity")).agg(F.min("pos").alias("pos"), F.max_by("url", "pos").alias("url"))
     own = own.select("business_id", keyword_rank(F.col("url")).alias("tier"), "pos", "url").where(F.col("tier") < len(SITE_PAGE_KEYWORDS))
-    options = common.unionByName(own).withColumn("identity", urls.page_identity(F.col("url")))
+    # a page is here twice at most, so nothing is lost by grouping after the shuffle, where no task sorts a whole file's sites
+    options = dealt_out(common.unionByName(own).withColumn("identity", urls.page_identity(F.col("url"))), "business_id", "identity")
     best = options.groupBy("business_id", "identity").agg(F.min(F.struct("tier", "pos", "url")).alias("b"))
     done = read.where(F.col("chars") > 300).select("business_id", urls.page_identity(F.col("url")).alias("identity"))
     best = best.join(done, ["business_id", "identity"], "left_anti").select("business_id", "b.*")

@@ -91,3 +91,11 @@ def test_python_workers_get_small_batches(spark):
     pages = spark.range(0, 5000, 1, 1)
     assert pages.select(rows(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("n")).agg(F.max("n")).first()[0] <= 1000
     assert pages.select(rows(F.repeat(F.lit("x" * 100), 1000)).alias("n")).agg(F.max("n")).first()[0] <= 100
+
+
+def test_sites_are_dealt_out_before_they_become_pages(spark):
+    """The pages of all sites of a file were sorted in the task that read the file."""
+    lines = plan(load()["site_page_targets"](spark, FOLDER))
+    lines = lines[[i for i, line in enumerate(lines) if line.strip() == "+- == Initial Plan =="][-1] + 1 if any("Initial Plan" in line for line in lines) else 0:]
+    explodes = [i for i, line in enumerate(lines) if "Generate explode" in line]
+    assert explodes and all("REPARTITION_BY_NUM" in next(line for line in lines[i:] if "Exchange" in line or "FileScan" in line) for i in explodes)

@@ -99,3 +99,11 @@ def test_sites_are_dealt_out_before_they_become_pages(spark):
     lines = lines[[i for i, line in enumerate(lines) if line.strip() == "+- == Initial Plan =="][-1] + 1 if any("Initial Plan" in line for line in lines) else 0:]
     explodes = [i for i, line in enumerate(lines) if "Generate explode" in line]
     assert explodes and all("REPARTITION_BY_NUM" in next(line for line in lines[i:] if "Exchange" in line or "FileScan" in line) for i in explodes)
+
+
+def test_every_email_waits_for_its_own_mailbox(spark):
+    """A few mailboxes hold all emails; dealing them to many senders made every chain short."""
+    from leadloom.plans.views import Views
+    own = Views(spark, FOLDER).v_emails.where("status = 'approved'").selectExpr("id AS email_id", "cast(mailbox_id AS bigint) AS own")
+    made = load()["schedule_single_mailbox"](spark, FOLDER).join(own, "email_id", "right")
+    assert made.where("mailbox_id IS NULL OR mailbox_id <> own").count() == 0 and made.count() > 0

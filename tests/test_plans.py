@@ -107,3 +107,13 @@ def test_every_email_waits_for_its_own_mailbox(spark):
     own = Views(spark, FOLDER).v_emails.where("status = 'approved'").selectExpr("id AS email_id", "cast(mailbox_id AS bigint) AS own")
     made = load()["schedule_single_mailbox"](spark, FOLDER).join(own, "email_id", "right")
     assert made.where("mailbox_id IS NULL OR mailbox_id <> own").count() == 0 and made.count() > 0
+
+
+def test_emails_are_made_once_for_a_schedule(spark, monkeypatch):
+    """What is due, what was sent before and what is held each read and numbered all lines again, several times over."""
+    from leadloom.operators import schedule
+    given, whole = [], schedule.schedule
+    monkeypatch.setattr(schedule, "schedule", lambda *frames: given.append(frames[:3]) or whole(*frames))
+    load()["schedule_pool"](spark, FOLDER)
+    for rows in given[0]:
+        assert not any("l_linenumber" in line for line in plan(rows))

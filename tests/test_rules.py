@@ -188,6 +188,29 @@ def test_a_pool_over_many_partitions(spark, monkeypatch, seed, boxes, zones, bus
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("begins", [True, False])
+def test_only_the_last_pool_of_a_partition_is_gone_through(monkeypatch, begins):
+    """What other pools end with leads nowhere; all of them were handed out twice."""
+    import pyarrow as pa
+    at = 1_704_103_200_000_000
+    row = lambda pool, i: (pool, i, 10 * pool + i, at, 60_000_000, "UTC", None, None, None, None, 3)
+    opened = lambda pool: (pool, *[None] * 8, "[[7,[]]]", 3)
+    rows = [row(1, 8), row(1, 9), opened(2), *[row(2, i) for i in range(30)], opened(3), row(3, 0), row(3, 1)] if begins else [row(1, i) for i in range(4)]
+    kinds = [pa.int64()] * 5 + [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=slots.ROW)
+    placed, whole = [], slots.place
+    monkeypatch.setattr(slots, "place", lambda days, boxes, cap, request: placed.append(request) or whole(days, boxes, cap, request))
+    for size in (1, 2, 7, 100):
+        placed.clear()
+        found = [r for batch in slots._ends(2)(iter(table.to_batches(size))) for r in batch.to_pylist()]
+        if begins:
+            assert [(r["pool"], r["part"], r["begins"], r["whole"], r["ends"], r["view"]) for r in found] == [
+                (1, 3, False, False, None, None), (3, 3, True, False, f"[[7, [{at}, {at + 60_000_000}]]]", None)]
+            assert len(placed) == 2
+        else:
+            assert [(r["pool"], r["begins"], r["whole"], r["ends"], r["view"]) for r in found] == [(1, False, True, None, "null")]
+
+
 def test_mailboxes_fill_up_in_order(spark):
     settings = Settings(daily_cap=2, gap_fixed_seconds=60, gap_random_min_seconds=0, gap_random_max_seconds=0)
     now = dt.datetime(2024, 1, 2, 10, tzinfo=UTC)

@@ -117,3 +117,17 @@ def test_emails_are_made_once_for_a_schedule(spark, monkeypatch):
     load()["schedule_pool"](spark, FOLDER)
     for rows in given[0]:
         assert not any("l_linenumber" in line for line in plan(rows))
+
+
+def test_names_are_worked_out_once_and_meet_addresses_ungrouped(spark):
+    """A condition on a name's variants went below the exchange that deals names out, so few tasks worked them all out beforehand; and all guesses were grouped
+    and joined to people again before any met an address."""
+    lines = plan(load()["own_emails"](spark, FOLDER))
+    assert sum("ArrowEvalPython" in line for line in lines) == 1
+    assert not any("Aggregate" in line and "max_by" in line for line in lines)
+    crowd = spark.createDataFrame([(1, 1, "Ann Lee"), (2, 2, "Ann Lee"), (3, 3, "Ann Lee"), (4, 4, "Ann Lee"), (5, 5, "Info Desk"), (6, 6, "Ann Lee")], "person_id long, business_id long, name string")
+    found = spark.createDataFrame([(1, "ann@mail.b.org", 5), (1, "alee@b.org", 7), (1, "lee@notb.org", 1), (2, "ann.lee@x.net", 2), (2, "ann.lee@x.net", 2), (3, "ann@b.org.", 1), (4, "ann@org", 1),
+                                   (5, "info@b.org", 1), (6, "ann@any.org", None)], "business_id long, address string, first_pos long").selectExpr("*", "'website' AS source")
+    domains = spark.createDataFrame([(1, "b.org"), (1, "b.org"), (3, "b.org"), (4, None), (5, "b.org")], "business_id long, domain string")
+    got = {r.person_id: (r.email, r.pattern) for r in people.own_emails(crowd, found, domains).collect()}
+    assert got == {1: ("ann@mail.b.org", "first"), 2: ("ann.lee@x.net", "first.last"), 6: (None, None)}

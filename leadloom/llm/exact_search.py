@@ -1,5 +1,8 @@
 """Exact top-k by integer inner product: tiled matrix products, partial selection per tile, lists merged in a tree.
 
+A task keeps the k best of its queries while it goes through its shards, so of a tile only scores that reach a query's k-th best so
+far are looked at; where they are many, as with equal vectors, the k best of every row are selected.
+
 Scores are exact. Products run in double precision while no sum of them can leave 2**53, which real
 embeddings never do; beyond that a tile falls back to Python integers, and a score outside 64 bits is
 held at the border of its range, as is a component beyond 2**55. Vectors that are NULL, empty, or hold NULL or non-finite components
@@ -18,6 +21,8 @@ from leadloom.llm import tiles
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
 SCALE = 256.0
+SHARE = 8  # of a first tile, one column in so many gives a bound
+MANY = 32  # times k: so many scores a query of a tile are sorted as they are
 
 
 def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,12 +38,6 @@ def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return rows[fine], columns[fine]
 
 
-def tile_scores(queries: np.ndarray, shard: np.ndarray, n: int) -> np.ndarray | None:
-    """Exact integer scores, or None if sums might leave what doubles and the selection's keys hold exactly."""
-    bound = np.abs(queries).max() * np.abs(shard).max() * queries.shape[1]
-    return (queries @ shard.T).astype(np.int64) if bound < min(2.0 ** 53, 2.0 ** 62 / (n + 1)) else None
-
-
 def _exact_tile(queries, query_ids, shard, ids, k):
     """The same by Python integers, row by row."""
     low, high = -(1 << 63), (1 << 63) - 1
@@ -54,27 +53,57 @@ def _exact_tile(queries, query_ids, shard, ids, k):
     return np.array(rows, int), np.array(columns, int), np.array(scores, np.int64)
 
 
+class Strip:
+    """Queries of one length and the k best of every one among the shards so far."""
+
+    def __init__(self, ids, queries, k, block_rows):
+        self.ids, self.queries, self.k, self.block_rows = ids, queries, k, block_rows
+        self.found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)  # query, id, score
+        self.least = np.full(len(ids), -np.inf)  # the k-th best score of every query that has k
+        self.room = np.empty(0)
+
+    def tile(self, low: int, ids: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and exact score of what can be among the k best of a block of queries."""
+        queries, own, n = self.queries[low:low + self.block_rows], self.ids[low:low + self.block_rows], len(ids)
+        bound = np.abs(queries).max() * np.abs(shard).max() * queries.shape[1]
+        if bound >= min(2.0 ** 53, 2.0 ** 62 / (n + 1)):  # sums might leave what doubles and the selection's keys hold exactly
+            return _exact_tile(queries, own, shard, ids, self.k)
+        if len(self.room) < len(queries) * n:
+            self.room = np.empty(len(queries) * n)
+        scores = np.matmul(queries, shard.T, out=self.room[:len(queries) * n].reshape(len(queries), n))
+        least, some = self.least[low:low + len(queries)], n // SHARE
+        if some > self.k and np.isinf(least).any():  # the k-th best of some columns is a bound as well
+            first = np.where(own[:, None] == ids[None, :some], -np.inf, scores[:, :some])
+            least = np.maximum(least, np.partition(first, some - self.k, axis=1)[:, some - self.k])
+        reach = scores >= least[:, None]
+        if np.count_nonzero(reach) > MANY * self.k * len(queries):
+            at, of = select(scores.astype(np.int64), own[:, None] == ids[None, :], self.k)
+        else:
+            at, of = np.divmod(np.flatnonzero(reach), n)
+            others = own[at] != ids[of]
+            at, of = at[others], of[others]
+        return at, of, scores[at, of].astype(np.int64)
+
+    def add(self, ids: np.ndarray, shard: np.ndarray) -> None:
+        parts = [self.found]
+        for low in range(0, len(self.ids), self.block_rows):
+            at, of, scores = self.tile(low, ids, shard)
+            parts.append((at + low, ids[of], scores))
+        together = [np.concatenate(x) for x in zip(*parts)]
+        kept = tiles.best(*together, self.k)
+        self.found = tuple(x[kept] for x in together)
+        count = np.bincount(self.found[0], minlength=len(self.ids))
+        full, last = count == self.k, np.cumsum(count) - 1
+        self.least[full] = self.found[2][last[full]]
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.ids[self.found[0]], self.found[1], self.found[2]
+
+
 def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
            shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of every query row against all other rows."""
-    rows = tiles.usable(df, vec_id, vector, zero_too=True).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
-    counted = rows.select(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-counted[0] // shard_rows)), max(1, -(-counted[1] // block_rows))
-    index, queries = tiles.pack(rows, shards, 1), tiles.pack(tiles.asked(rows, is_query), blocks, 2)
-
-    def score(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, part, dim = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("block", "shard", "dim"))
-                query_ids, q = tiles.matrix(*(batch.column(batch.schema.get_field_index(c))[i] for c in ("query_ids", "query_matrix")), dim)
-                ids, shard = tiles.matrix(*(batch.column(batch.schema.get_field_index(c))[i] for c in ("ids", "matrix")), dim)
-                found = tile_scores(q, shard, len(ids))
-                if found is None:
-                    at, of, values = _exact_tile(q, query_ids, shard, ids, k)
-                else:
-                    at, of = select(found, query_ids[:, None] == ids[None, :], k)
-                    values = found[at, of]
-                yield tiles.output(block, part, query_ids[at], ids[of], values)
-
-    lists = tiles.tiles(queries, index, shards).mapInArrow(score, tiles.LIST.format(score="long"))
-    return tiles.ranked(tiles.merge_lists(lists, shards, k, "long"), queries, k)
+    rows = tiles.usable(df, vec_id, vector, zero_too=True)
+    # the whole number below a single-precision component, times a power of two, is one of single precision as well
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).cast(rows.schema["v"].dataType))
+    return tiles.search(rows, is_query, shard_rows, block_rows, k, "long", lambda ids, queries: Strip(ids, queries, k, block_rows))

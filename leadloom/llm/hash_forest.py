@@ -20,7 +20,6 @@ smallest ids can be among the k nearest. Rows that repeat id and vector are one.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,6 @@ LETTERS = 4
 GATHER = 0.3
 FLOOR = 1200  # rows to gather at least, a row counted once a tree
 SEED = 20260101
-FOREST = "shard long, dim int, ids binary, matrix binary, strings binary, orders binary"
 
 
 def rotations(dim: int, trees: int, letters: int, seed: int) -> np.ndarray:
@@ -78,34 +76,50 @@ def distinct(ids: np.ndarray, matrix: np.ndarray, copies: int) -> np.ndarray:
 
 
 class Shard:
-    def __init__(self, ids, matrix, strings, orders, bits):
+    def __init__(self, ids, matrix, strings, orders, bits, small=None):
         self.ids, self.matrix, self.strings, self.orders, self.bits = ids, matrix, strings, orders, bits
         self.norms = np.sqrt((matrix * matrix).sum(1))
+        self.small = (unit(matrix) if small is None else small).astype(np.float32)
+        self.slack = (matrix.shape[1] + 8) * 2.0 ** -22  # more than two cosines in single precision can be off by
 
     def below(self, spelled: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
         """From and to, per tree and query, of the rows below the prefixes at which the trees stop ascending."""
         trees, n = spelled.shape
+        masks = np.array([(1 << dropped) - 1 for dropped in range(self.bits + 1)], np.uint64)
         low, high = np.zeros((trees, n), np.int64), np.zeros((trees, n), np.int64)
-        open_ = np.arange(n)
-        for dropped in range(0, self.bits + 1):  # bits left off the end: none, one, ... until all trees hold the whole shard
-            if not len(open_):
-                break
-            mask = np.uint64((1 << dropped) - 1)
+
+        def look(which, dropped):
+            mask = masks[dropped]
             for t in range(trees):
-                asked = spelled[t, open_]
-                low[t, open_] = np.searchsorted(self.strings[t], asked & ~mask, "left")
-                high[t, open_] = np.searchsorted(self.strings[t], asked | mask, "right")
-            open_ = open_[(high[:, open_] - low[:, open_]).sum(0) < enough]
+                asked = spelled[t, which]
+                low[t, which] = np.searchsorted(self.strings[t], asked & ~mask, "left")
+                high[t, which] = np.searchsorted(self.strings[t], asked | mask, "right")
+
+        # bits left off the end: the fewest with enough rows, or all of them, when all trees hold the whole shard; found by halves, as rows only join
+        least, most = np.zeros(n, np.int64), np.full(n, self.bits)
+        while len(open_ := np.flatnonzero(least < most)):
+            middle = (least[open_] + most[open_]) // 2
+            look(open_, middle)
+            reached = (high[:, open_] - low[:, open_]).sum(0) >= enough
+            most[open_[reached]] = middle[reached]
+            least[open_[~reached]] = middle[~reached] + 1
+        look(np.arange(n), most)
         return low, high
 
-    def nearest(self, query: np.ndarray, own: int, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def gathered(self, low: list[int], high: list[int]) -> np.ndarray:
+        """Rows between the trees' borders, each once."""
+        marked = np.zeros(len(self.ids), bool)
+        marked[np.concatenate([order[a:b] for order, a, b in zip(self.orders, low, high)])] = True
+        return np.flatnonzero(marked)
+
+    def nearest(self, query: np.ndarray, small: np.ndarray, own: int, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.ids[rows] != own]
         if not len(rows):
             return rows, np.empty(0)
         size = np.sqrt((query * query).sum())
-        rough = (self.matrix[rows] @ query) / (self.norms[rows] * size)
         if len(rows) > k:
-            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+            rough = self.small.take(rows, axis=0) @ small
+            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - self.slack]
         exact = (self.matrix[rows] * query).sum(1) / (self.norms[rows] * size)  # row by row alike, so equal vectors tie
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return rows[best], exact[best]
@@ -118,62 +132,49 @@ def _safe(matrix: np.ndarray) -> np.ndarray:
     return np.where(odd, matrix / np.exp2(np.floor(np.log2(largest))), matrix) if odd.any() else matrix
 
 
+class Strip:
+    """Queries of one length, their strings, and the k best of every one among the shards so far."""
+
+    def __init__(self, ids, queries, k, turns, gather, floor, block_rows):
+        self.ids, self.queries, self.k, self.turns, self.gather, self.floor, self.block_rows = ids, _safe(queries), k, turns, gather, floor, block_rows
+        self.letter = letter_bits(queries.shape[1])
+        self.small = unit(self.queries).astype(np.float32)
+        self.strings = np.stack([spelled(self.small, t, self.letter) for t in turns])
+        self.found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # query, id, score
+
+    def grown(self, ids: np.ndarray, matrix: np.ndarray) -> Shard:
+        kept = distinct(ids, matrix, self.k + 1)
+        ids, matrix = ids[kept], _safe(matrix[kept])
+        small = unit(matrix).astype(np.float32)
+        strings = [spelled(small, t, self.letter) for t in self.turns]
+        orders = [np.argsort(s, kind="stable") for s in strings]
+        return Shard(ids, matrix, [s[o] for s, o in zip(strings, orders)], orders, self.letter * len(self.turns[0]), small)
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        shard = self.grown(ids, matrix)
+        parts = [self.found]
+        for start in range(0, len(self.ids), self.block_rows):
+            low, high = shard.below(self.strings[:, start:start + self.block_rows], max(self.floor, self.gather * len(shard.ids)))
+            for q, (a, b) in enumerate(zip(low.T.tolist(), high.T.tolist()), start):
+                at, values = shard.nearest(self.queries[q], self.small[q], self.ids[q], shard.gathered(a, b), self.k)
+                parts.append((np.full(len(at), q), shard.ids[at], values))
+        together = [np.concatenate(x) for x in zip(*parts)]
+        kept = tiles.best(*together, self.k)
+        self.found = tuple(x[kept] for x in together)
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.ids[self.found[0]], self.found[1], self.found[2]
+
+
 def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES,
            letters: int = LETTERS, gather: float = GATHER, floor: int = FLOOR, shard_rows: int = SHARD_ROWS,
            block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score (cosine in double precision): the k nearest rows found for every query row."""
     rows = tiles.usable(df, vec_id, vector, zero_too=False)
-    counted = rows.select(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-counted[0] // shard_rows)), max(1, -(-counted[1] // block_rows))
-
-    def turns(dim):
-        return worker_state(("turns", dim, trees, letters, seed), lambda: rotations(dim, trees, letters, seed))
-
-    def letters_of(dim):
-        return min(letters, 64 // letter_bits(dim))
-
-    def grow(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column(1)[i].as_py()
-                ids, matrix = tiles.matrix(batch.column(2)[i], batch.column(3)[i], dim)
-                kept = distinct(ids, matrix, k + 1)
-                ids, matrix = ids[kept], _safe(matrix[kept])
-                bits, small = letter_bits(dim), unit(matrix)
-                strings = [spelled(small, t[:letters_of(dim)], bits) for t in turns(dim)]
-                orders = [np.argsort(s, kind="stable").astype("<u4") for s in strings]
-                strings = [s[o] for s, o in zip(strings, orders)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1)]
-                    + [pa.array([x], pa.binary()) for x in (ids.tobytes(), matrix.tobytes(), b"".join(s.tobytes() for s in strings),
-                                                            b"".join(o.tobytes() for o in orders))],
-                    names=["shard", "dim", "ids", "matrix", "strings", "orders"])
-
-    def score(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
-                dim = cell["dim"].as_py()
-                query_ids, asked = tiles.matrix(cell["query_ids"], cell["query_matrix"], dim)
-                asked = _safe(asked)
-                ids, matrix = tiles.matrix(cell["ids"], cell["matrix"], dim)
-                bits = letter_bits(dim)
-                strings = np.frombuffer(cell["strings"].as_buffer(), np.uint64).reshape(-1, max(1, len(ids)))
-                orders = np.frombuffer(cell["orders"].as_buffer(), "<u4").reshape(-1, max(1, len(ids)))
-                shard = Shard(ids, matrix, strings, orders, bits * letters_of(dim))
-                small = unit(asked)
-                low, high = shard.below(np.stack([spelled(small, t[:letters_of(dim)], bits) for t in turns(dim)]), max(floor, gather * len(ids)))
-                found = []
-                for q in range(len(query_ids)):
-                    marked = np.zeros(len(ids), bool)
-                    for t in range(len(orders)):
-                        marked[orders[t, low[t, q]:high[t, q]]] = True
-                    at, values = shard.nearest(asked[q], query_ids[q], np.flatnonzero(marked), k)
-                    found.append((np.full(len(at), query_ids[q]), ids[at], values))
-                columns = [np.concatenate([f[c] for f in found]) for c in range(3)]
-                yield tiles.output(cell["block"].as_py(), cell["shard"].as_py(), *columns)
-
-    forest = tiles.pack(rows, shards, 1).mapInArrow(grow, FOREST)
-    queries = tiles.pack(tiles.asked(rows, is_query), blocks, 2)
-    lists = tiles.tiles(queries, forest, shards).mapInArrow(score, tiles.LIST.format(score="double"))
-    return tiles.ranked(tiles.merge_lists(lists, shards, k, "double"), queries, k)
+
+    def begin(ids, queries):
+        dim = queries.shape[1]
+        turns = worker_state(("turns", dim, trees, letters, seed), lambda: rotations(dim, trees, letters, seed))
+        return Strip(ids, queries, k, turns[:, :min(letters, 64 // letter_bits(dim))], gather, floor, block_rows)
+
+    return tiles.search(rows, is_query, shard_rows, block_rows, k, "double", begin)

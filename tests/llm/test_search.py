@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import exact_search, hash_forest
+from leadloom.llm import exact_search, hash_forest, tiles
 
 
 def query():
@@ -125,3 +125,36 @@ def test_a_query_ascends_to_the_longest_shared_prefixes():
 def test_nothing_to_search(spark, search):
     assert search(frame(spark, [(1, None)]), query()).count() == 0
     assert search(frame(spark, [(0, [1.0, 0.5])]), query()).count() == 0
+
+
+@pytest.mark.parametrize("search", [exact_search.search, hash_forest.search])
+def test_nothing_packed_travels(spark, search):
+    """A block of queries as bytes, a thousand copies of it at once, filled an executor's heap, and so did a shard's forest beside every block."""
+    plan = search(frame(spark, vectors(400)), query(), shard_rows=64, block_rows=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not any(word in plan for word in ("Join", "matrix", "strings"))
+
+
+@pytest.mark.parametrize("slots, strip_rows", [(1, 3), (3, 5), (64, 65536)])
+def test_strips_and_slots(spark, monkeypatch, slots, strip_rows):
+    """Tasks with several shards and queries in several strips find the same."""
+    rows = vectors(400) + ODD + [(2000 + i, [0.5] * 16) for i in range(300)]
+    whole = listed(hash_forest.search(frame(spark, rows), query(), shard_rows=64))
+    monkeypatch.setattr(tiles, "LEAST_SLOTS", slots)
+    monkeypatch.setattr(tiles, "STRIP_ROWS", strip_rows)
+    assert listed(exact_search.search(frame(spark, rows), query(), shard_rows=64, block_rows=2)) == brute(rows, integer)
+    assert listed(hash_forest.search(frame(spark, rows), query(), shard_rows=64, block_rows=2)) == whole
+
+
+def test_a_tile_gives_all_that_reaches_the_best_so_far():
+    """Whatever the order of shards, with equal scores, equal ids and doubles left behind."""
+    rng = np.random.default_rng(8)
+    for scale in (3, 1e8):
+        matrix = np.floor(rng.integers(-3, 4, (900, 4)) * scale)
+        ids = np.sort(rng.integers(0, 800, 900))
+        strip = exact_search.Strip(np.arange(0, 800, 50), matrix[:16], 5, 6)
+        for start in range(0, 900, 300):
+            strip.add(ids[start:start + 300], matrix[start:start + 300])
+        got = list(zip(*(x.tolist() for x in strip.lists())))
+        want = [(q, i, s) for q, v in zip(range(0, 800, 50), matrix[:16])
+                for s, i in sorted(((int(sum(int(a) * int(b) for a, b in zip(v, row))), i) for i, row in zip(ids.tolist(), matrix) if i != q), key=lambda x: (-x[0], x[1]))[:5]]
+        assert got == want

@@ -43,7 +43,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY pos) AS off
    SELECT 1 FROM f WHERE f.business_id = k.business_id AND regexp_replace(f.url, '^[a-z]+://', '') = k.identity AND f.pos % 100 = 0))
 SELECT business_id, url, pos, offered_rank FROM o WHERE offered_rank <= 50""")
 def unvisited_links(v):
-    links = pages.extract_pages(v.pages).select("page_id", F.explode("links").alias("l")).select(
+    links = pages.extract_pages(v.pages, most_links=pages.MAX_PAGE_LINKS).select("page_id", F.explode("links").alias("l")).select(
         (F.col("page_id") % 20).alias("business_id"), (F.col("page_id") * 100 + F.col("l.pos")).alias("pos"), "l.url")
     return pages.unvisited_links(links, links.where(F.col("pos") % 100 == 0).select("business_id", "url"))
 

@@ -69,11 +69,12 @@ def _parse(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["links", "seen", "content"])
 
 
-def extract_pages(pages: DataFrame, keep_chars: int | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, keep_chars: int | None = None, most_links: int | None = None) -> DataFrame:
     """Pages (page_id, url, html) with their links (absolute, each once, with the anchor's position), e-mail
     addresses and main text.
 
-    The whole page is read; ``keep_chars`` cuts the stored text to a limit, as a page store may want.
+    The whole page is read; ``keep_chars`` cuts the stored text to a limit, as a page store may want, and ``most_links``
+    its links to the first so many.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(*[c for c in pages.columns if c != "html"], urls.normalize_url_idna(F.col("url")).alias("page_url"),
@@ -86,17 +87,21 @@ def extract_pages(pages: DataFrame, keep_chars: int | None = None) -> DataFrame:
             same_site=(F.col("home") != "") & F.endswith(F.concat(F.lit("."), n["host"]), F.concat(F.lit("."), F.col("home")))))
 
     def distinct(found: Column) -> Column:
-        return let(F.transform(found, lambda a: a["identity"]), lambda ids: F.filter(
-            found, lambda a, i: F.array_position(ids, a["identity"]) == i + 1))
+        """The first of each identity: sorted by identity and place, as a page may have any number of links."""
+        places = F.array_sort(F.transform(found, lambda a, i: fields(identity=a["identity"], i=i)))
+        firsts = let(places, lambda s: F.filter(s, lambda x, j: x["identity"].isNotNull() & ((j == 0) | (F.get(s, j - 1)["identity"].isNull())
+                                                                                             | (F.get(s, j - 1)["identity"] != x["identity"]))))
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(found, i))
 
     usable = F.filter(F.transform("p.links", link), lambda a: a["url"].isNotNull())
     first = let(usable, distinct)
+    links = first if most_links is None else F.slice(first, 1, most_links)
     mailto = F.filter(F.transform("p.links", lambda a: urls.mailto_address(a["href"])), lambda x: x.isNotNull())
     emails = F.array_sort(F.array_distinct(F.concat(urls.extract_emails(F.col("p.seen")), F.flatten(F.transform(mailto, lambda m: urls.extract_emails(m))),
                                                      urls.extract_emails(F.col("p.content")))))
     content = F.col("p.content") if keep_chars is None else F.left("p.content", F.lit(keep_chars))
     return rows.select(*[c for c in pages.columns if c != "html"], "page_url", content.alias("content"),
-                       F.transform(F.slice(first, 1, MAX_PAGE_LINKS), lambda a: a.dropFields("identity")).alias("links"), emails.alias("emails"))
+                       F.transform(links, lambda a: a.dropFields("identity")).alias("links"), emails.alias("emails"))
 
 
 def explode_pages(profiles: DataFrame, part: str) -> DataFrame:

@@ -131,3 +131,13 @@ def test_names_are_worked_out_once_and_meet_addresses_ungrouped(spark):
     domains = spark.createDataFrame([(1, "b.org"), (1, "b.org"), (3, "b.org"), (4, None), (5, "b.org")], "business_id long, domain string")
     got = {r.person_id: (r.email, r.pattern) for r in people.own_emails(crowd, found, domains).collect()}
     assert got == {1: ("ann@mail.b.org", "first"), 2: ("ann.lee@x.net", "first.last"), 6: (None, None)}
+
+
+def test_links_are_told_apart_without_comparing_all(spark):
+    """Pages have any number of links: 30,000 of them must not be compared with each other."""
+    from leadloom.sources import pages
+    html = "".join(f'<a href="/p{i % 29_990}">n{i}</a>' for i in range(30_000))
+    rows = spark.createDataFrame([(1, "https://a.org/x", html)], "page_id long, url string, html string")
+    links = pages.extract_pages(rows).first().links
+    assert [x.pos for x in links] == list(range(29_990)) and links[7].url == "https://a.org/p7" and links[7].text == "n7"
+    assert [x.pos for x in pages.extract_pages(rows, most_links=3).first().links] == [0, 1, 2]

@@ -25,12 +25,13 @@ def normalized_urls(v):
                        urls.is_same_site(F.col("normalized"), F.lit("example.com")).alias("same_site"), urls.is_public_url(F.col("url")).alias("public"))
 
 
-_LINKS = f"""SELECT page_id, url, i - 1 AS pos, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_HOST} || CASE WHEN hrefs[i] = '/' THEN '/' ELSE rtrim(hrefs[i], '/') END AS link
- FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS hrefs FROM {{pages}}) x, range(1, 101) r(i) WHERE i <= len(hrefs)"""
+_LINK = f"""SELECT page_id, url, i - 1 AS pos, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_HOST} || CASE WHEN hrefs[i] = '/' THEN '/' ELSE rtrim(hrefs[i], '/') END AS link
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS hrefs FROM {{pages}}) x"""
+_LINKS = f"{_LINK}, range(1, 101) r(i) WHERE i <= len(hrefs)"  # a page's first hundred, as research remembers them
 
 
 @query("page_links", "X17 J19 O5", f"""
-SELECT page_id, min(pos) AS pos, link AS url FROM ({_LINKS}) l GROUP BY page_id, link""")
+SELECT page_id, min(pos) AS pos, link AS url FROM ({_LINK}, unnest(range(1, len(hrefs) + 1)) r(i)) l GROUP BY page_id, link""")
 def page_links(v):
     return pages.extract_pages(v.pages).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.pos")
 

@@ -133,6 +133,22 @@ def test_names_are_worked_out_once_and_meet_addresses_ungrouped(spark):
     assert got == {1: ("ann@mail.b.org", "first"), 2: ("ann.lee@x.net", "first.last"), 6: (None, None)}
 
 
+def test_all_links_of_a_page_count(spark, tmp_path):
+    """Links beyond a page's first hundred were dropped, in page_links and in the number that page_content gives; unvisited_links, whose SQL says so, still remembers a hundred."""
+    from compare import difference
+    from leadloom.plans.views import TABLES
+    for name in TABLES:
+        if name != "pages":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{FOLDER}/{name}.parquet")
+    html = "<html><body>" + "".join(f'<a href="/p{i % 270}">n</a>' for i in range(300)) + "</body></html>"
+    rows = [(1, "https://a.org/x", html), (2, "https://b.org/", '<a href="/p">n</a>'), (3, "https://c.org/", "<p>none</p>"), (4, "https://d.org/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    links = load()["page_links"](spark, str(tmp_path))
+    assert difference(links, load()["page_links"].oracle, str(tmp_path)) is None and links.count() == 271
+    assert {r.page_id: r.links for r in load()["page_content"](spark, str(tmp_path)).collect()} == {1: 270, 2: 1, 3: 0, 4: 0}
+    assert difference(load()["unvisited_links"](spark, str(tmp_path)), load()["unvisited_links"].oracle, str(tmp_path)) is None
+
+
 def test_links_are_told_apart_without_comparing_all(spark):
     """Pages have any number of links: 30,000 of them must not be compared with each other."""
     from leadloom.sources import pages
